@@ -33,6 +33,18 @@ def ratio(num, den) -> Column:
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
 
 
+def avg_exact(col) -> Column:
+    """Mean with an exact (decimal) sum: ``double(sum(decimal)) / count``.
+
+    A double sum depends on the order partitions are merged in, so a mean
+    sitting on a rounding tie could round either way from run to run; the
+    decimal sum is order-free (6 decimals kept per value).
+    """
+    c = _c(col)
+    s = F.sum(c.cast("decimal(38,6)")).cast("double")
+    return F.try_divide(s, F.count(c).cast("double"))
+
+
 def truncated_health(failed, total) -> Column:
     """``int((1 - failed/total) * 100)``, 100 when total is 0.
 

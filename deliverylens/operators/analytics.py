@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..functions.scalars import ceil_div, ratio, round_to, truncated_health
+from ..functions.scalars import avg_exact, ceil_div, ratio, round_to, truncated_health
 from ..functions.stats import exact_quantiles
 from ..tables import Tables
 
@@ -26,7 +26,7 @@ def endpoint_instability(attempts: DataFrame, min_attempts: int = 5) -> DataFram
          .agg(F.count("attempt_id").alias("total_attempts"),
               P.count_if(P.is_delivery_failure()).alias("failure_count"),
               P.count_if(P.is_timeout()).alias("timeout_count"),
-              round_to(F.avg("response_time_ms"), 4).alias("avg_response_time"))
+              round_to(avg_exact("response_time_ms"), 4).alias("avg_response_time"))
          .where(F.col("total_attempts") > min_attempts))
     return (g.withColumn("failure_rate", ratio("failure_count", "total_attempts"))
             .withColumn("timeout_rate", ratio("timeout_count", "total_attempts"))
@@ -37,7 +37,7 @@ def retry_patterns(attempts: DataFrame) -> DataFrame:
     """A2: per attempt number: volume, mean latency, success percentage."""
     return (attempts.groupBy("attempt_number")
             .agg(F.count("attempt_id").alias("count"),
-                 round_to(F.avg("response_time_ms"), 4).alias("avg_response_time"),
+                 round_to(avg_exact("response_time_ms"), 4).alias("avg_response_time"),
                  (P.count_if(P.is_success()).cast("double") * F.lit(100.0)
                   / F.count("attempt_id").cast("double")).alias("success_rate_percent"))
             .orderBy("attempt_number"))

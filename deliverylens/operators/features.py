@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import predicates as P
-from ..functions.scalars import ratio, round_to
+from ..functions.scalars import avg_exact, ratio, round_to
 from ..tables import Tables
 
 
@@ -51,7 +51,7 @@ def attempt_features(attempts: DataFrame) -> DataFrame:
                  P.count_if(P.is_server_error()).alias("server_error_count"),
                  P.count_if(P.is_client_error()).alias("client_error_count"),
                  P.count_if(P.is_success()).alias("success_count"),
-                 round_to(F.avg("response_time_ms"), 4).alias("avg_response_time"),
+                 round_to(avg_exact("response_time_ms"), 4).alias("avg_response_time"),
                  F.max("response_time_ms").alias("max_response_time")))
 
 

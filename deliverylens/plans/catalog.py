@@ -146,3 +146,298 @@ def _ml7(spark, sf_dir):
 def _a13(spark, sf_dir):
     f = SPL.stratified_split(FE.event_features(_t(spark, sf_dir)))
     return A.class_weight(f.where(F.col("split") == "train"))
+
+
+# ---------------------------------------------------------------------------
+# decisions (D1-D3, D5-D9), P11, A11
+# ---------------------------------------------------------------------------
+from ..operators import decisions as D  # noqa: E402
+from ..operators import ingest as M  # noqa: E402
+from ..operators import views as V  # noqa: E402
+from ..sources import raw as RAW  # noqa: E402
+from ..sources.testdata import STORED_BEFORE  # noqa: E402
+
+
+def _rules(spark, sf_dir):
+    return D.intelligence_rules(FE.features_per_event(_t(spark, sf_dir)))
+
+
+@register("intelligence_rules")
+def _d5(spark, sf_dir):
+    return _rules(spark, sf_dir)
+
+
+@register("failure_reason")
+def _d1(spark, sf_dir):
+    return _rules(spark, sf_dir).select("event_id", "failure_reason")
+
+
+@register("recommended_action")
+def _d2(spark, sf_dir):
+    return _rules(spark, sf_dir).select("event_id", "recommended_action")
+
+
+@register("delivery_state")
+def _d3(spark, sf_dir):
+    return _rules(spark, sf_dir).select("event_id", "delivery_state")
+
+
+@register("replay_gate")
+def _d6(spark, sf_dir):
+    return D.replay_gate(_rules(spark, sf_dir))
+
+
+@register("response_category")
+def _d7(spark, sf_dir):
+    a = _t(spark, sf_dir).attempts
+    return D.with_response_category(a).select("attempt_id", "http_status", "timeout", "response_category")
+
+
+@register("label_delivery_outcome")
+def _d8(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return D.label_delivery_outcome(t.attempts, t.events)
+
+
+@register("retry_scheduled")
+def _d9(spark, sf_dir):
+    return D.retry_scheduled(_t(spark, sf_dir).attempts)
+
+
+@register("labels_for_split")
+def _p11(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    train = SPL.shuffle_split(t.events.select("event_id")).where(F.col("split") == "train")
+    return D.label_delivery_outcome(t.attempts, t.events).join(train.select("event_id"), "event_id", "left_semi")
+
+
+def baseline_prediction(features: DataFrame) -> DataFrame:
+    """A transparent predictor for the report: recovered iff the endpoint's
+    health is at least 0.7 (the 'endpoint offline' line of D1)."""
+    return features.withColumn(
+        "prediction", F.coalesce((F.col("endpoint_health_score") >= 0.7).cast("int"), F.lit(0)))
+
+
+@register("classification_report")
+def _a11(spark, sf_dir):
+    f = SPL.stratified_split(FE.event_features(_t(spark, sf_dir))).where(F.col("split") == "test")
+    return A.classification_report(baseline_prediction(f), label="is_recovered", pred="prediction")
+
+
+# ---------------------------------------------------------------------------
+# views (P1, E1-E4, R1, R3-R7) and the hourly twin of the health stream
+# ---------------------------------------------------------------------------
+@register("event_lookup")
+def _p1(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    requested = t.replays.select("event_id").unionByName(t.attempts.select("event_id"))
+    return V.event_lookup(t.events, requested)
+
+
+@register("list_events")
+def _e1(spark, sf_dir):
+    return V.list_events(_t(spark, sf_dir), page=1, limit=5)
+
+
+@register("event_timeline")
+def _e2(spark, sf_dir):
+    return V.event_timeline(_t(spark, sf_dir))
+
+
+@register("top_unstable")
+def _e3(spark, sf_dir):
+    return V.top_unstable(A.endpoint_instability(_t(spark, sf_dir).attempts), k=5)
+
+
+@register("first_attempt_patterns")
+def _e4(spark, sf_dir):
+    return V.first_attempt_patterns(A.retry_patterns(_t(spark, sf_dir).attempts), k=4)
+
+
+@register("instability_view")
+def _r3(spark, sf_dir):
+    return V.instability_view(A.endpoint_instability(_t(spark, sf_dir).attempts))
+
+
+@register("retry_view")
+def _r4(spark, sf_dir):
+    return V.retry_view(A.retry_patterns(_t(spark, sf_dir).attempts))
+
+
+@register("endpoint_view")
+def _r5(spark, sf_dir):
+    return V.endpoint_view(A.tenant_endpoints(_t(spark, sf_dir)))
+
+
+@register("replay_view")
+def _r6(spark, sf_dir):
+    return V.replay_view(A.replay_frequency(_t(spark, sf_dir).replays))
+
+
+@register("system_status")
+def _r7(spark, sf_dir):
+    return V.system_status(A.tenant_overview(_t(spark, sf_dir)))
+
+
+@register("ingest_summary")
+def _r1(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return V.ingest_summary(t, A.endpoint_instability(t.attempts), A.retry_patterns(t.attempts))
+
+
+@register("endpoint_health_hourly")
+def _st3_twin(spark, sf_dir):
+    from ..streaming.jobs import endpoint_health_windows
+    return endpoint_health_windows(_t(spark, sf_dir).attempts, "1 hour")
+
+
+# ---------------------------------------------------------------------------
+# ingest (S3-S5, S11, M1-M10) and data quality (Q1-Q3)
+# ---------------------------------------------------------------------------
+def _stored(t):
+    """Rows already stored before the incoming batch (see STORED_BEFORE)."""
+    cut = F.lit(STORED_BEFORE).cast("timestamp_ntz")
+    att = t.attempts.where(F.col("attempted_at") < cut)
+    ev = t.events.where(F.col("created_at") < cut)
+    eps = t.endpoints.join(att.select("endpoint_id"), "endpoint_id", "left_semi")
+    return ev, eps, att
+
+
+def _coerced(t):
+    return M.coerce_attempts(RAW.attempts_csv_rows(t))
+
+
+def _csv_first_rows(t):
+    return M.first_row_per_event(_coerced(t), RAW.input_order())
+
+
+def _docs(t):
+    return RAW.parse_log_documents(RAW.log_documents_json(t))
+
+
+def _valid_docs(t):
+    return M.validate_logs(_docs(t))[0]
+
+
+@register("coerce_attempts")
+def _s3(spark, sf_dir):
+    return _coerced(_t(spark, sf_dir))
+
+
+@register("first_row_per_event")
+def _m6(spark, sf_dir):
+    return _csv_first_rows(_t(spark, sf_dir)).select(
+        "attempt_id", "event_id", "attempt_number", "endpoint_id", "event_type", "customer_id")
+
+
+_ATT_OUT = ["attempt_id", "event_id", "endpoint_id", "attempt_number", "http_status", "response_time_ms",
+            "timeout", "signature_valid"]
+
+
+@register("dedupe_attempts_in_batch")
+def _m5(spark, sf_dir):
+    rows = _csv_first_rows(_t(spark, sf_dir))
+    return M.dedupe_attempts_in_batch(rows, RAW.input_order(), mode="strict").select(*_ATT_OUT)
+
+
+@register("insert_endpoints_if_absent")
+def _m2(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    _, eps, _ = _stored(t)
+    return M.insert_endpoints_if_absent(eps, _csv_first_rows(t), F.col("uploader"))
+
+
+@register("insert_events_if_absent")
+def _m3(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    ev, _, _ = _stored(t)
+    rows = _coerced(t).withColumnRenamed("uploader", "user_id")
+    return M.insert_events_if_absent(ev, rows, RAW.input_order())
+
+
+def _inserted_attempts(t):
+    _, _, att = _stored(t)
+    rows = _csv_first_rows(t).withColumnRenamed("uploader", "user_id")
+    return M.insert_attempts_if_absent(att, rows, RAW.input_order(), mode="strict")
+
+
+@register("insert_attempts_if_absent")
+def _m4(spark, sf_dir):
+    return _inserted_attempts(_t(spark, sf_dir)).select(*_ATT_OUT, "user_id")
+
+
+@register("ingest_report")
+def _m9(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return M.ingest_report(_coerced(t), _inserted_attempts(t))
+
+
+@register("backfill_tenant")
+def _m10(spark, sf_dir):
+    return M.backfill_tenant(_t(spark, sf_dir).attempts).select("attempt_id", "user_id")
+
+
+@register("with_surrogate_id")
+def _s11(spark, sf_dir):
+    from ..functions.scalars import surrogate_id
+    a = _t(spark, sf_dir).attempts
+    return a.select("attempt_id", surrogate_id("att", "event_id", "attempt_number", "attempt_id")
+                    .alias("surrogate_id"))
+
+
+@register("read_logs_json")
+def _s4(spark, sf_dir):
+    d = _docs(_t(spark, sf_dir))
+    a = F.element_at("delivery_attempts", 1)
+    return d.select(
+        "event_id", "event_type", "customer_id", "user_id",
+        F.col("endpoint.endpoint_id").alias("endpoint_id"), F.col("endpoint.avg_success_rate").alias("avg_success_rate"),
+        F.col("endpoint.active").alias("active"),
+        F.col("endpoint.rate_limit_per_minute").alias("rate_limit_per_minute"),
+        F.size("delivery_attempts").alias("n_attempts"),
+        a["attempt_number"].alias("attempt_number"), a["http_status"].alias("http_status"),
+        a["response_time_ms"].alias("response_time_ms"), a["timeout"].alias("timeout"),
+        a["signature_valid"].alias("signature_valid"), a["attempted_at"].alias("attempted_at"),
+        a["attempt_id"].alias("attempt_id"),
+        F.col("replay_history.previous_replays").alias("previous_replays"),
+        F.col("replay_history.duplicate_detected").alias("duplicate_detected"),
+        F.col("replay_history.manually_triggered").alias("manually_triggered"))
+
+
+@register("validate_logs")
+def _s5(spark, sf_dir):
+    d = _docs(_t(spark, sf_dir))
+    return d.select("event_id", F.element_at("delivery_attempts", 1)["attempt_id"].alias("attempt_id"),
+                    M.reject_reason().alias("reject_reason"))
+
+
+@register("explode_attempts")
+def _m8(spark, sf_dir):
+    return M.explode_attempts(_valid_docs(_t(spark, sf_dir)))
+
+
+@register("expand_replays")
+def _m7(spark, sf_dir):
+    return M.expand_replays(_valid_docs(_t(spark, sf_dir)))
+
+
+@register("upsert_endpoints")
+def _m1(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    _, eps, _ = _stored(t)
+    return M.upsert_endpoints(eps, _valid_docs(t), RAW.document_order())
+
+
+@register("key_violations")
+def _q1(spark, sf_dir):
+    return M.key_violations(_t(spark, sf_dir))
+
+
+@register("fk_orphans")
+def _q2(spark, sf_dir):
+    return M.fk_orphans(_t(spark, sf_dir))
+
+
+@register("duplicate_events")
+def _q3(spark, sf_dir):
+    return M.duplicate_events(_t(spark, sf_dir).events)
