@@ -172,8 +172,9 @@ def dedupe_attempts_in_batch(rows: DataFrame, order: Column, mode: str = "strict
         return rows
     if mode != "strict":
         raise ValueError(f"unknown mode {mode!r}")
-    return _first_by(rows.withColumn("_ord", order), ["event_id", "attempt_number"], F.col("_ord"),
-                     [c for c in rows.columns] + ["_ord"]).drop("_ord")
+    key = "__dedupe_order"
+    return _first_by(rows.withColumn(key, order), ["event_id", "attempt_number"], F.col(key),
+                     list(rows.columns))
 
 
 # ---------------------------------------------------------------------------

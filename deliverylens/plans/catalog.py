@@ -441,3 +441,67 @@ def _q2(spark, sf_dir):
 @register("duplicate_events")
 def _q3(spark, sf_dir):
     return M.duplicate_events(_t(spark, sf_dir).events)
+
+
+# ---------------------------------------------------------------------------
+# model-backed jobs (rows-only checks): ML2-ML6, A12, D4, R2
+# ---------------------------------------------------------------------------
+from ..ml import intelligence as INTEL  # noqa: E402
+from ..ml import isolation_forest as IFOREST  # noqa: E402
+from ..ml import recovery as REC  # noqa: E402
+
+# Boosting rounds used by the registered queries; the library default is the
+# original 150 (see ml.recovery), which only changes the fit time.
+QUERY_BOOST_ROUNDS = 20
+_MODELS: dict = {}
+
+
+def models_for(spark, sf_dir):
+    key = (id(spark), sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = INTEL.fit_models(_t(spark, sf_dir), max_iter=QUERY_BOOST_ROUNDS)
+    return _MODELS[key]
+
+
+def _fpe_rows(t):
+    return FE.select_model_columns(FE.features_per_event(t))
+
+
+@register("score_recovery")
+def _ml5(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    s = REC.score_recovery(models_for(spark, sf_dir).recovery, _fpe_rows(t))
+    return s.select("event_id", "prediction", "p_recovered", "safe_to_replay")
+
+
+@register("risk_score")
+def _ml6(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    s = REC.score_recovery(models_for(spark, sf_dir).recovery, _fpe_rows(t))
+    return s.select("event_id", "risk_score")
+
+
+@register("score_anomaly")
+def _ml4(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    m = models_for(spark, sf_dir)
+    s = IFOREST.score_isolation_forest(REC.impute(_fpe_rows(t)), m.forest, FE.MODEL_FEATURES)
+    return (s.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(m.threshold))
+            .select("event_id", "anomaly_score", "is_anomaly",
+                    F.when(F.col("is_anomaly"), -1).otherwise(1).alias("anomaly_label")))
+
+
+@register("anomaly_rate")
+def _a12(spark, sf_dir):
+    return INTEL.anomaly_rate(_t(spark, sf_dir), models_for(spark, sf_dir))
+
+
+@register("event_intelligence")
+def _d4(spark, sf_dir):
+    return INTEL.event_intelligence(_t(spark, sf_dir), models_for(spark, sf_dir))
+
+
+@register("event_analysis_report")
+def _r2(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return INTEL.event_analysis_report(t, INTEL.event_intelligence(t, models_for(spark, sf_dir)))
