@@ -15,16 +15,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 _LOW_BITS = 1 << 33  # monotonically_increasing_id = partition << 33 | row index
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    num_partitions: int | None = None) -> DataFrame:
-    """One row per (column_name, prob) with the interpolated ``value``.
+def ranked_values(df: DataFrame, columns: list[str], num_partitions: int | None = None,
+                  materialize: bool = True) -> DataFrame:
+    """Long form (column_name, value) of the non-null values, range-
+    partitioned and sorted, with each row's partition id and position.
 
-    Nulls are ignored.  A value that holds a large share of the rows is
-    spread over several range partitions by a hash tie-break, so a hot value
-    never lands in a single task.
+    A value that holds a large share of the rows is spread over several
+    range partitions by a hash tie-break, so a hot value never lands in a
+    single task.
     """
     spark = df.sparkSession
     p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -35,15 +38,23 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                           for c in columns])).alias("kv"))
             .select("kv.column_name", "kv.value", "tb")
             .where(F.col("value").isNotNull()))
-
     ranked = (long.repartitionByRange(p, "column_name", "value", "tb")
               .sortWithinPartitions("column_name", "value", "tb")
               .withColumn("pid", F.spark_partition_id())
               .withColumn("local", F.monotonically_increasing_id()
                           - F.spark_partition_id().cast("bigint") * F.lit(_LOW_BITS)))
+    if materialize:
+        # the ranked rows feed several consumers; written once to the shared
+        # checkpoint folder, the sort runs once and the row ids are frozen
+        checkpoint_dir(spark)
+        ranked = ranked.checkpoint(eager=True)
+    return ranked
+
 
+def quantiles_from_ranked(ranked: DataFrame, probs: list[float]) -> DataFrame:
+    """One row per (column_name, prob) with the interpolated ``value``."""
     # per (column, partition): row count and first local index -- at most
-    # (#columns x #partitions) rows, so the broadcast below is bounded.
+    # (#columns x #partitions) rows, so the broadcasts below are bounded.
     w = Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     part = (ranked.groupBy("column_name", "pid")
             .agg(F.count(F.lit(1)).alias("cnt"), F.min("local").alias("first_local"))
@@ -72,6 +83,13 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value")))
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
+                    num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
+    """One row per (column_name, prob): the exact linear-interpolation
+    quantile of each column (nulls ignored)."""
+    return quantiles_from_ranked(ranked_values(df, columns, num_partitions, materialize), probs)
+
+
 def exact_quantile_value(df: DataFrame, column: str, prob: float) -> DataFrame:
     """Single-row frame with column ``q`` = the exact quantile of ``column``."""
     return exact_quantiles(df.select(column), [column], [prob]).select(F.col("value").alias("q"))

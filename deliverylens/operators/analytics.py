@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.scalars import avg_exact, ceil_div, ratio, round_to, truncated_health
-from ..functions.stats import exact_quantiles
+from ..functions.stats import quantiles_from_ranked, ranked_values
 from ..tables import Tables
 
 
@@ -122,21 +122,22 @@ def describe_features(features: DataFrame, columns: list[str] | None = None) ->
     """A10: count, mean, sample std, min, 25/50/75% (linear), max per column,
     as rows; quantiles are exact and computed distributed."""
     cols = columns or DESCRIBE_COLUMNS
-    long = (features.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols]))
-        .alias("kv")).select("kv.*"))
-    moments = (long.groupBy("column_name")
+    ranked = ranked_values(features.select(*cols), cols)  # one sort, checkpointed
+    moments = (ranked.groupBy("column_name")
                .agg(F.count("value").alias("count"),
                     round_to(F.avg("value"), 4).alias("mean"),
                     round_to(F.stddev_samp("value"), 4).alias("std"),
                     round_to(F.min("value"), 4).alias("min"),
                     round_to(F.max("value"), 4).alias("max")))
-    q = (exact_quantiles(features.select(*cols), cols, [0.25, 0.5, 0.75])
+    q = (quantiles_from_ranked(ranked, [0.25, 0.5, 0.75])
          .groupBy("column_name")
          .agg(*[round_to(F.first(F.when(F.col("prob") == p, F.col("value")), ignorenulls=True), 4).alias(n)
                 for p, n in [(0.25, "q25"), (0.5, "q50"), (0.75, "q75")]]))
-    return moments.join(q, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    # a column with no non-null value still gets its (count 0) row
+    names = features.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    return (names.join(moments, "column_name", "left").join(q, "column_name", "left")
+            .select("column_name", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min",
+                    "q25", "q50", "q75", "max"))
 
 
 def class_weight(labelled: DataFrame, label: str = "is_recovered") -> DataFrame:
