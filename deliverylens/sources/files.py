@@ -51,9 +51,16 @@ def read_logs_json(spark: SparkSession, path: str, multiline: bool = True) -> Da
 
 
 def load_parquet_tables(spark: SparkSession, base: str) -> Tables:
-    """The five tables from a folder of parquet tables."""
+    """The five tables from a folder of parquet tables; a table that
+    was never written (the bulk dataset has no users) reads as empty."""
+    schemas = {"users": S.USERS, "webhook_events": S.WEBHOOK_EVENTS, "endpoints": S.ENDPOINTS,
+               "delivery_attempts": S.DELIVERY_ATTEMPTS, "replay_actions": S.REPLAY_ACTIONS}
+
     def r(name):
-        return spark.read.parquet(os.path.join(base, name))
+        path = os.path.join(base, name)
+        if not os.path.exists(path) and "://" not in base:
+            return spark.createDataFrame([], schemas[name])
+        return spark.read.parquet(path)
     return Tables(users=r("users"), events=r("webhook_events"), endpoints=r("endpoints"),
                   attempts=r("delivery_attempts"), replays=r("replay_actions"))
 
