@@ -103,7 +103,7 @@ def validate_logs(docs: DataFrame, corrupt_col: str | None = None) -> tuple[Data
 # M8 / M7: documents -> attempt rows and replay rows
 # ---------------------------------------------------------------------------
 def _parse_ts(c: Column) -> Column:
-    return F.try_to_timestamp(c).cast("timestamp_ntz")
+    return c.try_cast("timestamp_ntz")
 
 
 def explode_attempts(docs: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ def ingest_json_batch(spark: SparkSession, docs: DataFrame, base: str) -> DataFr
     corrupt = FILES.CORRUPT if FILES.CORRUPT in docs.columns else None
     ok, rejects = M.validate_logs(docs, corrupt)
     first = F.element_at("delivery_attempts", 1)
-    order = F.struct(F.try_to_timestamp(first["attempted_at"]), first["attempt_id"],
+    order = F.struct(first["attempted_at"].try_cast("timestamp_ntz"), first["attempt_id"],
                      F.monotonically_increasing_id())
     ok = ok.withColumn("_ord", order)
     stored = read_tables(spark, base)
