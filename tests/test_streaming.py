@@ -60,3 +60,31 @@ def test_stream_ingest_equals_batch(spark, scratch):
     assert a.attempts.count() == b.attempts.count() == 30
     assert a.attempts.select(*key).exceptAll(b.attempts.select(*key)).count() == 0
     assert a.events.count() == b.events.count() == 26
+
+
+def test_stream_json_ingest_equals_batch(spark, scratch):
+    import json
+    src = os.path.join(scratch, "docs")
+    os.makedirs(src)
+    base_doc = {"event_type": "invoice.paid", "customer_id": "c1", "user_id": "u1",
+                "endpoint": {"endpoint_id": "ep1", "avg_success_rate": 0.5, "active": True,
+                             "rate_limit_per_minute": 60}}
+    for i in range(3):
+        docs = [dict(base_doc, event_id=f"e{i}{j}",
+                     delivery_attempts=[{"attempt_number": k, "http_status": 200 if k == 2 else 500,
+                                         "response_time_ms": 100, "timeout": False, "signature_valid": True,
+                                         "attempted_at": f"2024-01-0{i + 1} 00:00:0{k}"} for k in (1, 2)],
+                     replay_history={"previous_replays": j, "duplicate_detected": False,
+                                     "manually_triggered": True})
+                for j in range(3)]
+        with open(os.path.join(src, f"batch{i}.json"), "w") as f:
+            json.dump(docs, f)
+    streamed = os.path.join(scratch, "streamed")
+    ST.stream_ingest(spark, src, streamed, fmt="json", checkpoint=os.path.join(scratch, "ck")).awaitTermination(300)
+    batch = os.path.join(scratch, "batch")
+    jobs.ingest_json_job(spark, src, batch)
+    a, b = jobs.read_tables(spark, streamed), jobs.read_tables(spark, batch)
+    assert a.attempts.count() == b.attempts.count() == 18
+    assert a.replays.count() == b.replays.count() == 9
+    assert a.events.count() == 9
+    assert a.replays.select("replay_id").exceptAll(b.replays.select("replay_id")).count() == 0
