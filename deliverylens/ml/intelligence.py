@@ -78,23 +78,25 @@ def event_intelligence(t: Tables, models: Models, ids: DataFrame | None = None)
     rules_in = scored.select("event_id", "safe_to_replay", "is_anomaly",
                              *[F.col(f"raw_{c}").alias(c) for c in RULE_INPUTS])
     decided = D.apply_rules(rules_in)
-    if ids is None:
-        return decided
+    return decided if ids is None else with_fallback(ids, decided)
+
+
+def with_fallback(ids: DataFrame, decided: DataFrame) -> DataFrame:
+    """One row per requested id; ids without a decision row get the
+    constant answer, flagged ``is_fallback``."""
     fb = S.FALLBACK_INTELLIGENCE
     req = ids.select(F.col("event_id")).dropDuplicates()
     j = req.join(decided, "event_id", "left")
     hit = F.col("delivery_state").isNotNull()
-    return j.select(
-        "event_id",
-        F.when(hit, F.col("delivery_state")).otherwise(F.lit(fb["delivery_state"])).alias("delivery_state"),
-        F.when(hit, F.col("failure_reason")).otherwise(F.lit(fb["failure_reason"])).alias("failure_reason"),
-        F.when(hit, F.col("safe_to_replay")).otherwise(F.lit(fb["safe_to_replay"])).alias("safe_to_replay"),
-        F.when(hit, F.col("is_anomaly")).otherwise(F.lit(fb["is_anomaly"])).alias("is_anomaly"),
-        F.when(hit, F.col("recommended_action")).otherwise(F.lit(fb["recommended_action"]))
-        .alias("recommended_action"),
-        F.when(hit, F.col("endpoint_health")).otherwise(F.lit(fb["endpoint_health"])).alias("endpoint_health"),
-        F.when(hit, F.col("timeout_ratio")).otherwise(F.lit(fb["timeout_ratio"])).alias("timeout_ratio"),
-        (~hit).alias("is_fallback"))
+
+    def pick(col: str, default) -> F.Column:
+        return F.when(hit, F.col(col)).otherwise(F.lit(default)).alias(col)
+
+    return j.select("event_id", pick("delivery_state", fb["delivery_state"]),
+                    pick("failure_reason", fb["failure_reason"]), pick("safe_to_replay", fb["safe_to_replay"]),
+                    pick("is_anomaly", fb["is_anomaly"]), pick("recommended_action", fb["recommended_action"]),
+                    pick("endpoint_health", fb["endpoint_health"]), pick("timeout_ratio", fb["timeout_ratio"]),
+                    (~hit).alias("is_fallback"))
 
 
 def event_analysis_report(t: Tables, decisions: DataFrame) -> DataFrame:

@@ -126,11 +126,16 @@ def system_status(overview: DataFrame) -> DataFrame:
 
 
 def ingest_summary(t: Tables, instability: DataFrame, patterns: DataFrame,
-                   k_unstable: int = 3, k_retry: int = 4) -> DataFrame:
+                   k_unstable: int = 3, k_retry: int = 4, scope: str = "all") -> DataFrame:
     """The ingest summary as rows (user_id, email, section, label, value)
-    for every tenant with an email: its own event and attempt counts; plus
-    the top unstable endpoints and first retry patterns, which rank all
-    tenants (as the original report does) and so carry no tenant."""
+    for every tenant with an email: its own event and attempt counts, then
+    the top unstable endpoints and the first retry patterns.
+
+    ``scope="all"`` ranks all tenants together, as the original report does;
+    those rows are emitted once, with no tenant.  ``scope="tenant"`` ranks
+    each tenant's own attempts (``instability``/``patterns`` unused), with a
+    per-tenant top-k that Spark limits per map task before the shuffle.
+    """
     contacts = (t.users.where(F.col("email").isNotNull() & (F.trim("email") != ""))
                 .select("user_id", "email"))
     ev = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"))
@@ -144,6 +149,10 @@ def ingest_summary(t: Tables, instability: DataFrame, patterns: DataFrame,
                   F.struct(F.lit("ingest").alias("section"), F.lit("attempts_stored").alias("label"),
                            F.coalesce("n_attempts", F.lit(0)).cast("double").alias("value")))).alias("r"))
               .select("user_id", "email", "r.*"))
+    if scope == "tenant":
+        return counts.unionByName(_tenant_rankings(t, contacts, k_unstable, k_retry))
+    if scope != "all":
+        raise ValueError(f"unknown scope {scope!r}")
     unstable = top_unstable(instability, k_unstable).select(
         F.lit("unstable_endpoints").alias("section"), F.col("endpoint_id").alias("label"),
         round_to(F.col("failure_rate") * 100.0, 4).alias("value"))
@@ -156,3 +165,24 @@ def ingest_summary(t: Tables, instability: DataFrame, patterns: DataFrame,
         F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("string").alias("email"),
         "section", "label", "value")
     return counts.unionByName(ranked)
+
+
+def _tenant_rankings(t: Tables, contacts: DataFrame, k_unstable: int, k_retry: int) -> DataFrame:
+    owned = t.attempts.join(t.events.select("event_id", F.col("user_id").alias("owner")), "event_id")
+    per_ep = (owned.groupBy("owner", "endpoint_id")
+              .agg(F.count("attempt_id").alias("n"), P.count_if(P.is_delivery_failure()).alias("f"))
+              .where(F.col("n") > 5)
+              .withColumn("failure_rate", F.col("f").cast("double") / F.col("n").cast("double")))
+    w1 = Window.partitionBy("owner").orderBy(F.desc("failure_rate"), F.asc_nulls_last("endpoint_id"))
+    unstable = (per_ep.withColumn("rk", F.row_number().over(w1)).where(F.col("rk") <= k_unstable)
+                .select("owner", F.lit("unstable_endpoints").alias("section"), F.col("endpoint_id").alias("label"),
+                        round_to(F.col("failure_rate") * 100.0, 4).alias("value")))
+    per_n = (owned.groupBy("owner", "attempt_number")
+             .agg(F.count("attempt_id").alias("n"), P.count_if(P.is_success()).alias("ok")))
+    w2 = Window.partitionBy("owner").orderBy("attempt_number")
+    retry = (per_n.withColumn("rk", F.row_number().over(w2)).where(F.col("rk") <= k_retry)
+             .select("owner", F.lit("retry_effectiveness").alias("section"),
+                     F.concat(F.lit("attempt #"), F.col("attempt_number").cast("string")).alias("label"),
+                     round_to(F.col("ok").cast("double") * 100.0 / F.col("n").cast("double"), 4).alias("value")))
+    return (contacts.join(unstable.unionByName(retry), contacts["user_id"] == F.col("owner"))
+            .select("user_id", "email", "section", "label", "value"))

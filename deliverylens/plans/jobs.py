@@ -103,14 +103,28 @@ def _order(df: DataFrame) -> Column:
     return F.monotonically_increasing_id()
 
 
-def ingest_csv_batch(spark: SparkSession, raw: DataFrame, base: str, user_id: str | None = None) -> DataFrame:
+def check_uploaders(uploaders: DataFrame, users: DataFrame | None) -> None:
+    """Q2 for an upload: every uploading tenant must exist, else the whole
+    batch is rejected (the original fails on the foreign key)."""
+    if users is None:
+        return
+    unknown = (uploaders.select("user_id").where(F.col("user_id").isNotNull()).distinct()
+               .join(users.select("user_id"), "user_id", "left_anti").limit(5).collect())
+    if unknown:
+        raise ValueError(f"unknown user_id in upload: {[r.user_id for r in unknown]}")
+
+
+def ingest_csv_batch(spark: SparkSession, raw: DataFrame, base: str, user_id: str | None = None,
+                     users: DataFrame | None = None) -> DataFrame:
     """M11 (CSV path) on a frame of text rows: S3 -> M6 -> M2 -> M3 -> M4,
-    committed as one batch; returns the M9 report."""
+    committed as one batch; returns the M9 report.  With ``users`` given,
+    an upload by an unknown tenant is rejected before anything is written."""
     rows = raw.withColumn("_ord", _order(raw))
     if "user_id" not in rows.columns:
         rows = rows.withColumn("user_id", F.lit(user_id))
     elif user_id is not None:
         rows = rows.withColumn("user_id", F.lit(user_id))
+    check_uploaders(rows, users)
     typed = M.coerce_attempts(rows)
     valid = typed.where(F.col("is_valid"))
     first = M.first_row_per_event(valid, F.col("_ord"))
@@ -136,10 +150,12 @@ def ingest_csv_batch(spark: SparkSession, raw: DataFrame, base: str, user_id: st
     return spark.createDataFrame(report)
 
 
-def ingest_json_batch(spark: SparkSession, docs: DataFrame, base: str) -> DataFrame:
+def ingest_json_batch(spark: SparkSession, docs: DataFrame, base: str,
+                      users: DataFrame | None = None) -> DataFrame:
     """M11 (document path) on parsed documents: S5 -> M1 -> M3 -> M8 ->
     M4 -> M7, committed as one batch; returns per-table row counts plus
     the number of rejected documents."""
+    check_uploaders(docs, users)
     corrupt = FILES.CORRUPT if FILES.CORRUPT in docs.columns else None
     ok, rejects = M.validate_logs(docs, corrupt)
     first = F.element_at("delivery_attempts", 1)
@@ -166,11 +182,13 @@ def ingest_json_batch(spark: SparkSession, docs: DataFrame, base: str) -> DataFr
     return spark.createDataFrame(counts, "item string, n long")
 
 
-def ingest_csv_job(spark: SparkSession, path: str, base: str, user_id: str) -> DataFrame:
+def ingest_csv_job(spark: SparkSession, path: str, base: str, user_id: str,
+                   users: DataFrame | None = None) -> DataFrame:
     """S1 + S2 + M11: read an upload (file or folder) and ingest it."""
-    return ingest_csv_batch(spark, FILES.read_attempts_csv(spark, path), base, user_id)
+    return ingest_csv_batch(spark, FILES.read_attempts_csv(spark, path), base, user_id, users)
 
 
-def ingest_json_job(spark: SparkSession, path: str, base: str, multiline: bool = True) -> DataFrame:
+def ingest_json_job(spark: SparkSession, path: str, base: str, multiline: bool = True,
+                    users: DataFrame | None = None) -> DataFrame:
     """S4 + M11: read log documents and ingest them."""
-    return ingest_json_batch(spark, FILES.read_logs_json(spark, path, multiline), base)
+    return ingest_json_batch(spark, FILES.read_logs_json(spark, path, multiline), base, users)

@@ -173,3 +173,13 @@ def test_exact_quantiles_match_numpy(spark):
     got = {r.prob: r.value for r in exact_quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.95, 1.0], 7).collect()}
     for q, v in got.items():
         assert abs(v - np.quantile(vals, q)) < 1e-12
+
+
+def test_upload_by_unknown_user_is_rejected(spark, scratch):
+    base = os.path.join(scratch, "store")
+    users = spark.createDataFrame([("user_1", "A", "a@x")], S.USERS)
+    with pytest.raises(ValueError, match="unknown user_id"):
+        jobs.ingest_csv_job(spark, os.path.join(DATA, "sample_upload.csv"), base, "user_404", users=users)
+    assert jobs.read_tables(spark, base).attempts.count() == 0  # nothing written
+    r = jobs.ingest_csv_job(spark, os.path.join(DATA, "sample_upload.csv"), base, "user_1", users=users).first()
+    assert r.attempts_inserted == 5

@@ -147,3 +147,33 @@ def test_class_balance_and_report(spark):
     assert rep["1"].precision == 0.75 and rep["1"].recall == 1.0 and rep["0"].recall == 0.5
     assert rep["accuracy"].f1_score == 0.8 and rep["accuracy"].support == 10
     assert rep["macro avg"].precision == round((0.75 + 1.0) / 2, 4)
+
+
+def test_fallback_for_unknown_ids(spark):
+    from deliverylens.ml.intelligence import with_fallback
+    decided = spark.createDataFrame(
+        [("e1", "recovered", "unknown", True, False, "trigger_auto_replay", 0.91, 0.0, False)],
+        "event_id string, delivery_state string, failure_reason string, safe_to_replay boolean, "
+        "is_anomaly boolean, recommended_action string, endpoint_health double, timeout_ratio double, "
+        "is_fallback boolean")
+    ids = spark.createDataFrame([("e1",), ("nope",), ("nope",)], "event_id string")
+    out = {r.event_id: r for r in with_fallback(ids, decided).collect()}
+    assert len(out) == 2 and out["e1"].endpoint_health == 0.91 and not out["e1"].is_fallback
+    fb = out["nope"]
+    assert (fb.delivery_state, fb.failure_reason, fb.safe_to_replay, fb.is_anomaly, fb.recommended_action,
+            fb.endpoint_health, fb.timeout_ratio, fb.is_fallback) == \
+        ("failed", "timeout", True, False, "trigger_auto_replay", 0.85, 0.1, True)
+
+
+def test_ingest_summary_scopes(spark):
+    from conftest import SF0001
+    from deliverylens.sources.testdata import load_tables
+    t = load_tables(spark, SF0001)
+    inst, pats = A.endpoint_instability(t.attempts), A.retry_patterns(t.attempts)
+    allr = V.ingest_summary(t, inst, pats)
+    ten = V.ingest_summary(t, inst, pats, scope="tenant")
+    assert allr.where("user_id is null").count() == 3 + 4
+    per_user = ten.where("section <> 'ingest'").groupBy("user_id").count().collect()
+    assert per_user and all(r["count"] <= 7 for r in per_user)
+    # counts rows are identical in both scopes
+    assert allr.where("section = 'ingest'").exceptAll(ten.where("section = 'ingest'")).count() == 0
