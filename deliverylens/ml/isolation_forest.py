@@ -6,9 +6,10 @@ ceil(log2 psi); a row's anomaly score is 2^(-E[h(x)] / c(psi)), where h adds
 c(size) at a leaf that still holds ``size`` rows.
 
 Spark layout:
-* sampling: every row gets a hash of its key; the ``n_trees * psi`` rows with
-  the smallest hash form a uniform pool (a bounded take-ordered, the
-  sampling is the feature), and each tree draws its psi rows from the pool
+* sampling: a hash of each row's key, mapped to [0, 1), keeps about
+  ``n_trees * psi`` rows as a uniform pool (a Bernoulli sample: every task
+  filters on its own, nothing is ordered or merged in one task; the
+  sampling is the feature); each tree then draws its psi rows from the pool
   by a second, per-tree hash (``row_number() <= psi``, planned as a partial
   group limit).  No collect of the data, deterministic under re-execution.
 * building: ``groupBy("tree").applyInPandas`` -- one task per tree, each
@@ -85,10 +86,14 @@ def fit_isolation_forest(df: DataFrame, features: list[str], key: list[str], n_t
                          sample_size: int = 256, seed: int = 42) -> DataFrame:
     """ML3: the forest as a node table (tree, node, feature, threshold, left,
     right, size, depth).  ``key`` columns identify a row for hashing."""
-    hk = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
-    pool = (df.select(*key, *[F.col(c).cast("double").alias(c) for c in features])
-            .withColumn("_h", hk)
-            .orderBy("_h", *key).limit(n_trees * sample_size))
+    rows = df.select(*key, *[F.col(c).cast("double").alias(c) for c in features])
+    # pool: a uniform sample of about n_trees * psi rows, kept by a hash
+    # threshold in every task (no ordering, nothing merged in one task)
+    n = rows.count()
+    fraction = min(1.0, n_trees * sample_size / max(n, 1))
+    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
+    unit = h.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).cast("double") / F.lit(float(2 ** 63))
+    pool = rows.where(unit < F.lit(fraction)) if fraction < 1.0 else rows
     draw = F.xxhash64(*[F.col(k) for k in key], F.col("tree"), F.lit(seed + 1))
     w = Window.partitionBy("tree").orderBy("_h2", *key)
     samples = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
