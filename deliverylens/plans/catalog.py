@@ -12,10 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ml import intelligence as INTEL
+from ..ml import isolation_forest as IFOREST
+from ..ml import recovery as REC
 from ..ml import split as SPL
 from ..operators import analytics as A
+from ..operators import decisions as D
 from ..operators import features as FE
-from ..sources.testdata import load_tables
+from ..operators import ingest as M
+from ..operators import views as V
+from ..sources import raw as RAW
+from ..sources.testdata import STORED_BEFORE, load_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -151,11 +158,6 @@ def _a13(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # decisions (D1-D3, D5-D9), P11, A11
 # ---------------------------------------------------------------------------
-from ..operators import decisions as D  # noqa: E402
-from ..operators import ingest as M  # noqa: E402
-from ..operators import views as V  # noqa: E402
-from ..sources import raw as RAW  # noqa: E402
-from ..sources.testdata import STORED_BEFORE  # noqa: E402
 
 
 def _rules(spark, sf_dir):
@@ -446,9 +448,6 @@ def _q3(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # model-backed jobs (rows-only checks): ML2-ML6, A12, D4, R2
 # ---------------------------------------------------------------------------
-from ..ml import intelligence as INTEL  # noqa: E402
-from ..ml import isolation_forest as IFOREST  # noqa: E402
-from ..ml import recovery as REC  # noqa: E402
 
 # Boosting rounds used by the registered queries; the library default is the
 # original 150 (see ml.recovery), which only changes the fit time.
