@@ -39,11 +39,7 @@ COMMIT_SCHEMA = "version long, table_name string, committed_at timestamp"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 -- listing only
-        return True
-    except Exception:  # noqa: BLE001 -- absent or empty folder
-        return False
+    return FILES.path_exists(spark, path)
 
 
 def commits(spark: SparkSession, base: str) -> DataFrame:

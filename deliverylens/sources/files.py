@@ -19,6 +19,14 @@ from ..tables import Tables
 CORRUPT = "_corrupt_record"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, on any storage Spark can read
+    (asks the path's Hadoop file system; no local-disk assumption)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def require_columns(columns: list[str], required: list[str] | None = None) -> None:
     """Raise naming the first missing required column, in list order."""
     for c in required or S.REQUIRED_CSV_COLUMNS:
@@ -58,7 +66,7 @@ def load_parquet_tables(spark: SparkSession, base: str) -> Tables:
 
     def r(name):
         path = os.path.join(base, name)
-        if not os.path.exists(path) and "://" not in base:
+        if not path_exists(spark, path):
             return spark.createDataFrame([], schemas[name])
         return spark.read.parquet(path)
     return Tables(users=r("users"), events=r("webhook_events"), endpoints=r("endpoints"),
@@ -96,7 +104,7 @@ def bulk_load(spark: SparkSession, csv_dir: str, out: str) -> DataFrame:
     counts = []
     for table, fname, schema in BULK_FILES:
         path = os.path.join(csv_dir, fname)
-        if not os.path.exists(path):
+        if not path_exists(spark, path):
             continue
         header = spark.read.option("header", True).csv(path).columns
         ddl = ", ".join(f"`{c}` string" for c in header)
