@@ -37,7 +37,7 @@ def list_events(t: Tables, page: int = 1, limit: int = 10) -> DataFrame:
     lo, hi = (page - 1) * limit, page * limit
     w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.asc("event_id"))
     paged = (t.events.select("user_id", "event_id", "event_type", "created_at")
-             .withColumn("position", F.row_number().over(w))
+             .withColumn("position", F.row_number().over(w).cast("bigint"))
              .where((F.col("position") > lo) & (F.col("position") <= hi)))
     # endpoint of the first attempt, only for the events on the page
     att = t.attempts.join(paged.select("event_id"), "event_id", "left_semi")
@@ -68,7 +68,7 @@ def top_k(df: DataFrame, k: int, *order) -> DataFrame:
     """First k rows by ``order`` with a 1-based rank (take-ordered, bounded)."""
     top = df.orderBy(*order).limit(k)
     w = Window.orderBy(*order)  # over at most k rows
-    return top.withColumn("rank", F.row_number().over(w))
+    return top.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def top_unstable(instability: DataFrame, k: int = 5) -> DataFrame:

@@ -346,10 +346,11 @@ SQL["classification_report"] = q(f"""
 SELECT label, {r4('precision')} AS precision, {r4('recall')} AS recall, {r4('f1_score')} AS f1_score, support
 FROM (
   SELECT cast(c as varchar) AS label, precision, recall, f1_score, support FROM m
-  UNION ALL SELECT 'accuracy', NULL, NULL, cast(sum(tp) as double) / cast(sum(support) as double), sum(support) FROM m
-  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support) FROM m
+  UNION ALL SELECT 'accuracy', NULL, NULL, cast(sum(tp) as double) / cast(sum(support) as double),
+                   cast(sum(support) as bigint) FROM m
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), cast(sum(support) as bigint) FROM m
   UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-                   sum(f1_score * support) / sum(support), sum(support) FROM m) x""", FEATURES_WITH + f""",
+                   sum(f1_score * support) / sum(support), cast(sum(support) as bigint) FROM m) x""", FEATURES_WITH + f""",
 test AS (SELECT is_recovered AS y, coalesce(cast(endpoint_health_score >= 0.7 as integer), 0) AS p
          FROM features WHERE {SPLIT} = 'test'),
 conf AS (SELECT y, p, count(*) AS n FROM test GROUP BY y, p),

@@ -7,6 +7,8 @@ from conftest import SF0001
 from tools.oracle_check import digest, duck
 
 SQL = E.oracle_sql()
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 NAMES = sorted(SQL)
 
 
@@ -26,6 +28,9 @@ def test_matches_sql(spark, con, name):
     assert sorted(cols) == sorted(dcols)
     assert len(rows) == len(drows)
     assert digest(cols, rows)[0] == digest(dcols, drows)[0]
+    # column types agree too
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {SQL[name]}").fetchall()}
+    assert {c: TYPES.get(t, t) for c, t in df.dtypes} == duck_types
 
 
 def test_every_query_has_sql_or_is_model_backed():
