@@ -2,11 +2,11 @@
 
 ``exact_quantiles`` gives the linear-interpolation quantile (numpy's default,
 pandas ``describe``, SQL ``quantile_cont``) without pulling a column into one
-task: the values are range-partitioned and sorted across the cluster, each
-row's global rank is its partition offset plus its position in the
-partition, and only the (at most two per quantile) rows at the wanted ranks
-are kept.  Spark's own exact ``percentile`` merges a value->count map of the
-whole column in a single final task, which does not scale; use
+task: (value, count) pairs are range-partitioned across the cluster, each
+value's rank interval is its partition offset plus a running count inside
+the partition, and only the (at most two per quantile) values at the wanted
+ranks are kept.  Spark's own exact ``percentile`` merges a value->count map
+of the whole column in a single final task, which does not scale; use
 ``percentile_approx`` where an approximation is acceptable.
 """
 
@@ -15,81 +15,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
 
-_LOW_BITS = 1 << 33  # monotonically_increasing_id = partition << 33 | row index
-
-
-def ranked_values(df: DataFrame, columns: list[str], num_partitions: int | None = None,
-                  materialize: bool = True) -> DataFrame:
-    """Long form (column_name, value) of the non-null values, range-
-    partitioned and sorted, with each row's partition id and position.
-
-    A value that holds a large share of the rows is spread over several
-    range partitions by a hash tie-break, so a hot value never lands in a
-    single task.
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
+                    num_partitions: int | None = None) -> DataFrame:
+    """One row per (column_name, prob): the exact linear-interpolation
+    quantile of each column (nulls ignored), computed on (value, count) pairs.
+
+    Duplicates collapse in the map-side partial aggregation first (a value
+    holding a third of the rows becomes one row with its count), then the
+    distinct values are range-partitioned; a running count inside each
+    partition plus the partition offsets gives every value its rank
+    interval, and the wanted ranks (a bounded set) are matched by a join
+    keyed on the column name.  Nothing is checkpointed: the one heavy
+    upstream shuffle is reused by every consumer in the plan.
     """
     spark = df.sparkSession
     p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
-    long = (df.select(tie.alias("tb"),
-                      F.explode(F.array(*[
-                          F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
-                          for c in columns])).alias("kv"))
-            .select("kv.column_name", "kv.value", "tb")
-            .where(F.col("value").isNotNull()))
-    ranked = (long.repartitionByRange(p, "column_name", "value", "tb")
-              .sortWithinPartitions("column_name", "value", "tb")
-              .withColumn("pid", F.spark_partition_id())
-              .withColumn("local", F.monotonically_increasing_id()
-                          - F.spark_partition_id().cast("bigint") * F.lit(_LOW_BITS)))
-    if materialize:
-        # the ranked rows feed several consumers; written once to the shared
-        # checkpoint folder, the sort runs once and the row ids are frozen
-        checkpoint_dir(spark)
-        ranked = ranked.checkpoint(eager=True)
-    return ranked
-
-
-def quantiles_from_ranked(ranked: DataFrame, probs: list[float]) -> DataFrame:
-    """One row per (column_name, prob) with the interpolated ``value``."""
-    # per (column, partition): row count and first local index -- at most
-    # (#columns x #partitions) rows, so the broadcasts below are bounded.
-    w = Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    part = (ranked.groupBy("column_name", "pid")
-            .agg(F.count(F.lit(1)).alias("cnt"), F.min("local").alias("first_local"))
-            .withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0))))
-    n_per_col = part.groupBy("column_name").agg(F.sum("cnt").alias("n"))
-
-    # wanted ranks: floor and ceil of prob*(n-1) -- at most 2 per quantile.
+    long = (df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns]))
+        .alias("kv")).select("kv.*").where(F.col("value").isNotNull()))
+    vc = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    ranged = vc.repartitionByRange(p, "column_name", "value").withColumn("pid", F.spark_partition_id())
+    w_in = (Window.partitionBy("column_name", "pid").orderBy("value")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = ranged.withColumn("run", F.sum("cnt").over(w_in))
+    part = running.groupBy("column_name", "pid").agg(F.sum("cnt").alias("total"))
+    w_off = Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("before", F.coalesce(F.sum("total").over(w_off), F.lit(0)))
+    n_per_col = part.groupBy("column_name").agg(F.sum("total").alias("n"))
     targets = (n_per_col.withColumn("prob", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
                .withColumn("pos", F.col("prob") * (F.col("n") - 1).cast("double"))
                .withColumn("lo", F.floor("pos").cast("bigint"))
                .withColumn("hi", F.ceil("pos").cast("bigint"))
                .withColumn("frac", F.col("pos") - F.col("lo").cast("double")))
-    wanted = (targets.select("column_name", F.explode(F.array("lo", "hi")).alias("rank"))
-              .dropDuplicates())
-
-    picked = (ranked.join(F.broadcast(part.select("column_name", "pid", "before", "first_local")),
-                          ["column_name", "pid"])
-              .withColumn("rank", F.col("before") + F.col("local") - F.col("first_local"))
-              .join(F.broadcast(wanted), ["column_name", "rank"], "left_semi")
-              .select("column_name", "rank", "value"))
-
-    lo = picked.select("column_name", F.col("rank").alias("lo"), F.col("value").alias("v_lo"))
-    hi = picked.select("column_name", F.col("rank").alias("hi"), F.col("value").alias("v_hi"))
+    wanted = targets.select("column_name", F.explode(F.array("lo", "hi")).alias("rank")).dropDuplicates()
+    # rank interval of each distinct value: [end - cnt, end)
+    spans = (running.join(F.broadcast(part.select("column_name", "pid", "before")), ["column_name", "pid"])
+             .select("column_name", "value", (F.col("before") + F.col("run")).alias("end"), "cnt"))
+    w = F.broadcast(wanted.alias("w"))
+    hit = (spans.alias("s").join(w, (F.col("s.column_name") == F.col("w.column_name"))
+                                 & (F.col("w.rank") >= F.col("s.end") - F.col("s.cnt"))
+                                 & (F.col("w.rank") < F.col("s.end")))
+           .select(F.col("s.column_name").alias("column_name"), F.col("w.rank").alias("rank"), "s.value"))
+    lo = hit.select("column_name", F.col("rank").alias("lo"), F.col("value").alias("v_lo"))
+    hi = hit.select("column_name", F.col("rank").alias("hi"), F.col("value").alias("v_hi"))
     return (targets.join(lo, ["column_name", "lo"]).join(hi, ["column_name", "hi"])
             .select("column_name", "prob",
                     (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value")))
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
-    """One row per (column_name, prob): the exact linear-interpolation
-    quantile of each column (nulls ignored)."""
-    return quantiles_from_ranked(ranked_values(df, columns, num_partitions, materialize), probs)
-
-
 def exact_quantile_value(df: DataFrame, column: str, prob: float) -> DataFrame:
     """Single-row frame with column ``q`` = the exact quantile of ``column``."""
     return exact_quantiles(df.select(column), [column], [prob]).select(F.col("value").alias("q"))
