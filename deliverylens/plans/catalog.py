@@ -35,8 +35,17 @@ def register(name: str):
     return deco
 
 
+_TABLES: dict = {}
+
+
 def _t(spark, sf_dir):
-    return load_tables(spark, sf_dir)
+    """The domain tables for a data folder.  The lazy plans are built once
+    per session and folder (parsing and analysing the mapping expressions
+    is not free); every query still runs its whole plan."""
+    key = (id(spark), sf_dir)
+    if key not in _TABLES:  # the session is held too, so its id stays unique
+        _TABLES[key] = (spark, load_tables(spark, sf_dir))
+    return _TABLES[key][1]
 
 
 @register("load_tables")
@@ -457,9 +466,9 @@ _MODELS: dict = {}
 
 def models_for(spark, sf_dir):
     key = (id(spark), sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = INTEL.fit_models(_t(spark, sf_dir), max_iter=QUERY_BOOST_ROUNDS)
-    return _MODELS[key]
+    if key not in _MODELS:  # fitted once per session and folder; session held
+        _MODELS[key] = (spark, INTEL.fit_models(_t(spark, sf_dir), max_iter=QUERY_BOOST_ROUNDS))
+    return _MODELS[key][1]
 
 
 def _fpe_rows(t):

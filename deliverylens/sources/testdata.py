@@ -100,8 +100,18 @@ SOURCES = {
 SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
 
 
+_SPLITS: dict[str, int] = {}  # planned scan splits per source path, per process
+
+
+def _splits(df: DataFrame, path: str) -> int:
+    if path not in _SPLITS:
+        _SPLITS[path] = df.rdd.getNumPartitions()  # plans the scan, runs no job
+    return _SPLITS[path]
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
     key = SPREAD_KEYS.get(name)
     if key is not None:
         # A file written as one row group is one split, so everything up to
@@ -110,7 +120,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         # on retry).  Large inputs plan thousands of splits and get nothing
         # added.  Counting splits plans the scan; it runs no job.
         cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
+        if _splits(df, path) < cores:
             df = df.repartition(cores, key)
     return df
 
