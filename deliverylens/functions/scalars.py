@@ -83,3 +83,9 @@ def json_safe(df: DataFrame) -> DataFrame:
 def ceil_div(n, d) -> Column:
     """Integer ceiling division, ``(n + d - 1) div d`` (n, d >= 0)."""
     return F.floor((_c(n) + _c(d) - F.lit(1)) / _c(d)).cast("bigint")
+
+
+def with_surrogate_id(df: DataFrame, prefix: str, key_cols: list[str], name: str | None = None) -> DataFrame:
+    """S11 as a frame operation: adds ``<prefix>_id`` (or ``name``) derived
+    from the key columns."""
+    return df.withColumn(name or f"{prefix}_id", surrogate_id(prefix, *key_cols))

@@ -175,3 +175,21 @@ def flag_anomalies(scored: DataFrame, threshold: DataFrame, col: str = "anomaly_
     th = threshold.scalar()
     return (scored.withColumn("is_anomaly", F.coalesce(F.col(col) > th, F.lit(False)))
             .withColumn("anomaly_label", F.when(F.col("is_anomaly"), -1).otherwise(1)))
+
+
+def train_isolation_forest(df: DataFrame, features: list[str], key: list[str], n_trees: int = 100,
+                           sample_size: int = 256, contamination: float = 0.05, seed: int = 42
+                           ) -> tuple[DataFrame, float]:
+    """ML3: fit the forest and its anomaly threshold on the training rows;
+    returns (node table, threshold)."""
+    nodes = fit_isolation_forest(df, features, key, n_trees, sample_size, seed)
+    scored = score_isolation_forest(df, nodes, features, sample_size)
+    return nodes, float(anomaly_threshold(scored, contamination).first()["q"])
+
+
+def score_anomaly(df: DataFrame, nodes: DataFrame, threshold: float, features: list[str],
+                  sample_size: int = 256) -> DataFrame:
+    """ML4: anomaly score, ``is_anomaly`` and the -1/1 label per row."""
+    s = score_isolation_forest(df, nodes, features, sample_size)
+    return (s.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(threshold))
+            .withColumn("anomaly_label", F.when(F.col("is_anomaly"), -1).otherwise(1)))

@@ -112,3 +112,13 @@ def stream_ingest(spark: SparkSession, source: str, table_dir: str, fmt: str = "
          .option("checkpointLocation", _ckpt(spark, f"ingest_{fmt}", checkpoint)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def stream_ingest_csv(spark: SparkSession, source: str, table_dir: str, **kw) -> StreamingQuery:
+    """ST1 for flat CSV uploads."""
+    return stream_ingest(spark, source, table_dir, fmt="csv", **kw)
+
+
+def stream_ingest_json(spark: SparkSession, source: str, table_dir: str, **kw) -> StreamingQuery:
+    """ST1 for JSON log documents."""
+    return stream_ingest(spark, source, table_dir, fmt="json", **kw)

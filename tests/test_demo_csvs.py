@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import DATA
 from deliverylens.functions import predicates as P
-from deliverylens.functions.scalars import avg_exact, round_to, surrogate_id, truncated_health
+from deliverylens.functions.scalars import avg_exact, round_to, truncated_health, with_surrogate_id
 from deliverylens.operators import analytics as A
 from deliverylens.operators.ingest import coerce_attempts
 from deliverylens.sources.files import read_attempts_csv
@@ -25,7 +25,7 @@ GOLDEN = {
 
 def typed(spark, name):
     raw = read_attempts_csv(spark, os.path.join(DATA, name))
-    return coerce_attempts(raw).withColumn("attempt_id", surrogate_id("att", "event_id", "attempt_number", "ord"))
+    return with_surrogate_id(coerce_attempts(raw), "att", ["event_id", "attempt_number", "ord"], name="attempt_id")
 
 
 @pytest.mark.parametrize("name", sorted(GOLDEN))

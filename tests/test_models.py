@@ -19,9 +19,11 @@ def test_isolation_forest_ranks_planted_outliers(spark):
     scored = IF.score_isolation_forest(df, nodes, ["a", "b"], sample_size=128)
     top = [r.id for r in scored.orderBy(F.desc("anomaly_score")).limit(10).collect()]
     assert sum(t.startswith("o") for t in top) >= 9
-    th = IF.anomaly_threshold(scored, 0.05).first()["q"]
-    share = scored.agg(F.avg((F.col("anomaly_score") > th).cast("double"))).first()[0]
+    nodes2, th = IF.train_isolation_forest(df, ["a", "b"], key=["id"], n_trees=50, sample_size=128)
+    flagged = IF.score_anomaly(df, nodes2, th, ["a", "b"], sample_size=128)
+    share = flagged.agg(F.avg(F.col("is_anomaly").cast("double"))).first()[0]
     assert abs(share - 0.05) < 0.01
+    assert flagged.where("is_anomaly and anomaly_label <> -1").count() == 0
 
 
 def test_recovery_model_learns_planted_signal(spark, scratch):

@@ -51,7 +51,7 @@ def test_stream_ingest_equals_batch(spark, scratch):
         with open(os.path.join(DATA, name)) as f, open(os.path.join(src, name), "w") as g:
             g.write(f.read())
     streamed = os.path.join(scratch, "streamed")
-    q = ST.stream_ingest(spark, src, streamed, fmt="csv", checkpoint=os.path.join(scratch, "ck"))
+    q = ST.stream_ingest_csv(spark, src, streamed, checkpoint=os.path.join(scratch, "ck"))
     q.awaitTermination(300)
     batch = os.path.join(scratch, "batch")
     jobs.ingest_csv_job(spark, src, batch, None)
@@ -80,7 +80,7 @@ def test_stream_json_ingest_equals_batch(spark, scratch):
         with open(os.path.join(src, f"batch{i}.json"), "w") as f:
             json.dump(docs, f)
     streamed = os.path.join(scratch, "streamed")
-    ST.stream_ingest(spark, src, streamed, fmt="json", checkpoint=os.path.join(scratch, "ck")).awaitTermination(300)
+    ST.stream_ingest_json(spark, src, streamed, checkpoint=os.path.join(scratch, "ck")).awaitTermination(300)
     batch = os.path.join(scratch, "batch")
     jobs.ingest_json_job(spark, src, batch)
     a, b = jobs.read_tables(spark, streamed), jobs.read_tables(spark, batch)
