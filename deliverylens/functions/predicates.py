@@ -53,6 +53,13 @@ def mentions_failed_cs(col="event_type") -> Column:
     return _c(col).contains("failed")
 
 
+def tenant_events(events, user_id: str | None):
+    """The events of one tenant (all tenants when ``user_id`` is None).
+    Applied to the events before any join, so the attempts that survive the
+    join are only that tenant's (attempts follow their event's tenant)."""
+    return events if user_id is None else events.where(F.col("user_id") == F.lit(user_id))
+
+
 def count_if(pred: Column) -> Column:
     """Conditional count as a sum of 0/1 (bigint), the way the grouped SQL
     of the reference counts."""

@@ -57,20 +57,20 @@ def _attempts_per_event(attempts: DataFrame, *extra_keys: str) -> DataFrame:
                  P.count_if(P.is_http_failure()).alias("n_failed")))
 
 
-def tenant_overview(t: Tables) -> DataFrame:
+def tenant_overview(t: Tables, user_id: str | None = None) -> DataFrame:
     """A4: per tenant: health (truncated percent of attempts under 400, 100
     with no attempts), replays prevented (3 x events), active anomalies
     (events whose type mentions 'failed', capped at 15).  Attempts belong to
     the tenant of their *event*."""
     per_event = _attempts_per_event(t.attempts)
-    ev = t.events.select("event_id", "user_id", "event_type")
+    ev = P.tenant_events(t.events, user_id).select("event_id", "user_id", "event_type")
     att = (per_event.join(ev, "event_id")
            .groupBy("user_id")
            .agg(F.sum("n_attempts").alias("total"), F.sum("n_failed").alias("failed")))
     evs = (ev.groupBy("user_id")
            .agg(F.count(F.lit(1)).alias("n_events"),
                 P.count_if(P.mentions_failed_ci()).alias("n_failed_type")))
-    return (t.users.select("user_id")
+    return (P.tenant_events(t.users, user_id).select("user_id")
             .join(evs, "user_id", "left")
             .join(att, "user_id", "left")
             .select("user_id",
@@ -81,20 +81,20 @@ def tenant_overview(t: Tables) -> DataFrame:
                     .alias("active_anomalies")))
 
 
-def tenant_endpoints(t: Tables) -> DataFrame:
+def tenant_endpoints(t: Tables, user_id: str | None = None) -> DataFrame:
     """A5: per (tenant of the event, endpoint not null): requests, failures
     (>=400) and truncated health."""
     per = _attempts_per_event(t.attempts.where(F.col("endpoint_id").isNotNull()), "endpoint_id")
-    return (per.join(t.events.select("event_id", "user_id"), "event_id")
+    return (per.join(P.tenant_events(t.events, user_id).select("event_id", "user_id"), "event_id")
             .groupBy("user_id", "endpoint_id")
             .agg(F.sum("n_attempts").cast("bigint").alias("total_requests"),
                  F.sum("n_failed").cast("bigint").alias("failed_requests"))
             .withColumn("health_score", truncated_health("failed_requests", "total_requests")))
 
 
-def tenant_event_counts(events: DataFrame, limit: int = 10) -> DataFrame:
+def tenant_event_counts(events: DataFrame, limit: int = 10, user_id: str | None = None) -> DataFrame:
     """Events per tenant and the page count for a page size."""
-    return (events.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
+    return (P.tenant_events(events, user_id).groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
             .withColumn("page_limit", F.lit(limit).cast("bigint"))
             .withColumn("total_pages", ceil_div(F.col("total"), F.col("page_limit"))))
 

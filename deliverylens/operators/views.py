@@ -31,12 +31,12 @@ def event_lookup(events: DataFrame, requested_ids: DataFrame) -> DataFrame:
                     "event_type", "created_at"))
 
 
-def list_events(t: Tables, page: int = 1, limit: int = 10) -> DataFrame:
+def list_events(t: Tables, page: int = 1, limit: int = 10, user_id: str | None = None) -> DataFrame:
     """Each tenant's events, newest first (ties by event id), one page,
     with the endpoint of the event's first attempt and the UI badge."""
     lo, hi = (page - 1) * limit, page * limit
     w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.asc("event_id"))
-    paged = (t.events.select("user_id", "event_id", "event_type", "created_at")
+    paged = (P.tenant_events(t.events, user_id).select("user_id", "event_id", "event_type", "created_at")
              .withColumn("position", F.row_number().over(w).cast("bigint"))
              .where((F.col("position") > lo) & (F.col("position") <= hi)))
     # endpoint of the first attempt, only for the events on the page

@@ -177,3 +177,15 @@ def test_ingest_summary_scopes(spark):
     assert per_user and all(r["count"] <= 7 for r in per_user)
     # counts rows are identical in both scopes
     assert allr.where("section = 'ingest'").exceptAll(ten.where("section = 'ingest'")).count() == 0
+
+
+def test_tenant_filter_matches_full_result(spark):
+    from conftest import SF0001
+    from deliverylens.sources.testdata import load_tables
+    t = load_tables(spark, SF0001)
+    for fn in (A.tenant_overview, A.tenant_endpoints, lambda t, user_id=None: V.list_events(t, 1, 5, user_id),
+               lambda t, user_id=None: A.tenant_event_counts(t.events, 10, user_id)):
+        full = fn(t).where("user_id = 'user_3'")
+        one = fn(t, user_id="user_3")
+        assert one.count() == full.count() > 0
+        assert one.exceptAll(full).count() == 0
