@@ -43,10 +43,14 @@ def event_base(t: Tables) -> DataFrame:
             .join(ep, "event_id", "left"))
 
 
-def attempt_features(attempts: DataFrame) -> DataFrame:
-    """FE2: per event counts of attempts, timeouts, 5xx, 4xx, 2xx and latency."""
+def attempt_features(attempts: DataFrame, with_first_endpoint: bool = False) -> DataFrame:
+    """FE2: per event counts of attempts, timeouts, 5xx, 4xx, 2xx and latency
+    (optionally also the endpoint of the first attempt, in the same pass)."""
+    first = ([F.min_by("endpoint_id", F.struct("attempt_number", "attempt_id")).alias("first_endpoint_id")]
+             if with_first_endpoint else [])
     return (attempts.groupBy("event_id")
-            .agg(F.count("attempt_id").alias("total_attempts"),
+            .agg(*first,
+                 F.count("attempt_id").alias("total_attempts"),
                  P.count_if(P.is_timeout()).alias("timeout_count"),
                  P.count_if(P.is_server_error()).alias("server_error_count"),
                  P.count_if(P.is_client_error()).alias("client_error_count"),
@@ -74,7 +78,10 @@ def one_hot(df: DataFrame, column: str, domain: list[str], prefix: str | None =
 
 def _derive(base: DataFrame, att: DataFrame, rep: DataFrame) -> DataFrame:
     """FE3's derived columns over base + per-event aggregates."""
-    df = base.join(att, "event_id", "left").join(rep, "event_id", "left")
+    return _finish(base.join(att, "event_id", "left").join(rep, "event_id", "left"))
+
+
+def _finish(df: DataFrame) -> DataFrame:
     total = F.col("total_attempts")
     df = df.select(
         "event_id", "event_type", "priority", "payload_size_kb", "endpoint_id",
@@ -107,11 +114,20 @@ def first_endpoint(attempts: DataFrame) -> DataFrame:
 
 
 def features_per_event(t: Tables) -> DataFrame:
-    """FE5: one row per event, using the endpoint of its first attempt."""
-    ep = _with_endpoint(first_endpoint(t.attempts), t.endpoints)
-    base = (t.events.select("event_id", "event_type", "priority", "payload_size_kb")
-            .join(ep, "event_id", "left"))
-    return _derive(base, attempt_features(t.attempts), replay_features(t.replays))
+    """FE5: one row per event, using the endpoint of its first attempt.
+
+    The first endpoint and the counters come from one aggregation over the
+    attempts, and the rest is a single chain of joins: two consumers of that
+    aggregate would each get their own pruned copy, and so their own pass
+    over the fact table."""
+    agg = attempt_features(t.attempts, with_first_endpoint=True)
+    e = _endpoint_attrs(t.endpoints)
+    per_event = (agg.join(e, agg["first_endpoint_id"] == e["ep_id"], "left")
+                 .drop("first_endpoint_id").withColumnRenamed("ep_id", "endpoint_id"))
+    df = (t.events.select("event_id", "event_type", "priority", "payload_size_kb")
+          .join(per_event, "event_id", "left")
+          .join(replay_features(t.replays), "event_id", "left"))
+    return _finish(df)
 
 
 MODEL_FEATURES = [
