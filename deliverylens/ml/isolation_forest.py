@@ -170,13 +170,6 @@ def anomaly_threshold(train_scores: DataFrame, contamination: float = 0.05,
     return exact_quantile_value(train_scores.select(col), col, 1.0 - contamination)
 
 
-def flag_anomalies(scored: DataFrame, threshold: DataFrame, col: str = "anomaly_score") -> DataFrame:
-    """ML4: is_anomaly (and the -1/1 label) by the threshold, a scalar subquery."""
-    th = threshold.scalar()
-    return (scored.withColumn("is_anomaly", F.coalesce(F.col(col) > th, F.lit(False)))
-            .withColumn("anomaly_label", F.when(F.col("is_anomaly"), -1).otherwise(1)))
-
-
 def train_isolation_forest(df: DataFrame, features: list[str], key: list[str], n_trees: int = 100,
                            sample_size: int = 256, contamination: float = 0.05, seed: int = 42
                            ) -> tuple[DataFrame, float]:

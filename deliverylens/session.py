@@ -67,9 +67,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder (never machine-local
-    on a cluster)."""
-    return os.path.join(checkpoint_dir(spark), name)
