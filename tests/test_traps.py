@@ -189,3 +189,11 @@ def test_tenant_filter_matches_full_result(spark):
         one = fn(t, user_id="user_3")
         assert one.count() == full.count() > 0
         assert one.exceptAll(full).count() == 0
+
+
+def test_one_hot_seen_values(spark):
+    df = spark.createDataFrame([("a", "high"), ("b", None), ("c", "urgent")], "id string, priority string")
+    out = FE.one_hot(df, "priority")
+    assert out.columns == ["id", "priority_high", "priority_urgent"]
+    got = {r.id: (r.priority_high, r.priority_urgent) for r in out.collect()}
+    assert got == {"a": (True, False), "b": (False, False), "c": (False, True)}
