@@ -115,13 +115,19 @@ def duplicate_flags(events: DataFrame) -> DataFrame:
 
 def label_delivery_outcome(attempts: DataFrame, events: DataFrame) -> DataFrame:
     """Delivery state, failure reason, replay safety and action per
-    event, from its attempts in (attempt_number, attempt_id) order."""
+    event, from its attempts in (attempt_number, attempt_id) order.
+
+    The state follows the last attempt: a success is 'delivered' when it was
+    the only attempt and 'recovered' after earlier ones; a failing last
+    attempt is 'expired' when every attempt found no endpoint, else
+    'failed'; a later copy of an idempotency key is 'duplicate'.  Reason and
+    action come from the first failing attempt's category."""
     a = with_response_category(attempts)
     order = F.struct("attempt_number", "attempt_id")
     cat = F.col("response_category")
     per = (a.groupBy("event_id")
-           .agg(F.max((cat == "success").cast("int")).alias("has_success"),
-                F.min_by((cat == "success").cast("int"), order).alias("first_success"),
+           .agg(F.count(F.lit(1)).alias("n_attempts"),
+                F.max_by((cat == "success").cast("int"), order).alias("last_success"),
                 F.min(F.when(cat != "success", F.struct("attempt_number", "attempt_id", "response_category")))
                 .alias("first_fail"),
                 F.min((cat == "endpoint_not_found").cast("int")).alias("all_not_found")))
@@ -129,8 +135,8 @@ def label_delivery_outcome(attempts: DataFrame, events: DataFrame) -> DataFrame:
     df = per.join(dup, "event_id", "left")
     fc = F.col("first_fail.response_category")
     state = (F.when(F.coalesce("is_duplicate", F.lit(False)), "duplicate")
-             .when((F.col("has_success") == 1) & (F.col("first_success") == 1), "delivered")
-             .when(F.col("has_success") == 1, "recovered")
+             .when((F.col("last_success") == 1) & (F.col("n_attempts") == 1), "delivered")
+             .when(F.col("last_success") == 1, "recovered")
              .when(F.col("all_not_found") == 1, "expired")
              .otherwise("failed"))
     df = df.withColumn("delivery_state", state)

@@ -278,15 +278,15 @@ SELECT attempt_id, http_status, timeout, {CATEGORY} AS response_category FROM de
 
 OUTCOME_CTES = f"""
 cat AS (SELECT attempt_id, event_id, attempt_number, {CATEGORY} AS response_category FROM delivery_attempts),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY attempt_number, attempt_id) AS rn FROM cat),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY attempt_number DESC, attempt_id DESC) AS rl
+            FROM cat),
 first_fail AS (
   SELECT event_id, response_category AS fc FROM (
     SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY attempt_number, attempt_id) AS r2
     FROM cat WHERE response_category <> 'success') WHERE r2 = 1),
 per AS (
-  SELECT event_id,
-         max(case when response_category = 'success' then 1 else 0 end) AS has_success,
-         max(case when rn = 1 and response_category = 'success' then 1 else 0 end) AS first_success,
+  SELECT event_id, count(*) AS n_attempts,
+         max(case when rl = 1 and response_category = 'success' then 1 else 0 end) AS last_success,
          min(case when response_category = 'endpoint_not_found' then 1 else 0 end) AS all_not_found
   FROM ordered GROUP BY event_id),
 dup AS (
@@ -298,8 +298,8 @@ dup AS (
 st AS (
   SELECT p.event_id, f.fc,
          case when coalesce(d.is_duplicate, false) then 'duplicate'
-              when p.has_success = 1 and p.first_success = 1 then 'delivered'
-              when p.has_success = 1 then 'recovered'
+              when p.last_success = 1 and p.n_attempts = 1 then 'delivered'
+              when p.last_success = 1 then 'recovered'
               when p.all_not_found = 1 then 'expired'
               else 'failed' end AS delivery_state
   FROM per p LEFT JOIN first_fail f ON p.event_id = f.event_id LEFT JOIN dup d ON p.event_id = d.event_id),
