@@ -127,7 +127,10 @@ def label_delivery_outcome(attempts: DataFrame, events: DataFrame) -> DataFrame:
     cat = F.col("response_category")
     per = (a.groupBy("event_id")
            .agg(F.count(F.lit(1)).alias("n_attempts"),
-                F.max_by((cat == "success").cast("int"), order).alias("last_success"),
+                # ties on (attempt_number, attempt_id) count a success as later
+                F.max_by((cat == "success").cast("int"),
+                         F.struct("attempt_number", "attempt_id", (cat == "success").cast("int")))
+                .alias("last_success"),
                 F.min(F.when(cat != "success", F.struct("attempt_number", "attempt_id", "response_category")))
                 .alias("first_fail"),
                 F.min((cat == "endpoint_not_found").cast("int")).alias("all_not_found")))

@@ -164,6 +164,9 @@ def first_row_per_event(rows: DataFrame, order: Column) -> DataFrame:
             .select("*", "_f.endpoint_id", "_f.event_type", "_f.customer_id").drop("_f"))
 
 
+TIE_BREAK_COLUMNS = ["http_status", "response_time_ms", "timeout", "signature_valid"]
+
+
 def dedupe_attempts_in_batch(rows: DataFrame, order: Column, mode: str = "strict") -> DataFrame:
     """M5: ``strict`` keeps the first row per (event_id, attempt_number) in
     input order; ``reference`` keeps every row (the original session does
@@ -173,7 +176,11 @@ def dedupe_attempts_in_batch(rows: DataFrame, order: Column, mode: str = "strict
     if mode != "strict":
         raise ValueError(f"unknown mode {mode!r}")
     key = "__dedupe_order"
-    return _first_by(rows.withColumn(key, order), ["event_id", "attempt_number"], F.col(key),
+    # rows equal on the order key are told apart by their own fields, so the
+    # kept row never depends on arrival inside a task
+    ties = [c for c in TIE_BREAK_COLUMNS if c in rows.columns]
+    total = F.struct(order.alias("o"), *[F.col(c) for c in ties])
+    return _first_by(rows.withColumn(key, total), ["event_id", "attempt_number"], F.col(key),
                      list(rows.columns))
 
 

@@ -278,11 +278,12 @@ SELECT attempt_id, http_status, timeout, {CATEGORY} AS response_category FROM de
 
 OUTCOME_CTES = f"""
 cat AS (SELECT attempt_id, event_id, attempt_number, {CATEGORY} AS response_category FROM delivery_attempts),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY attempt_number DESC, attempt_id DESC) AS rl
+ordered AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY attempt_number DESC, attempt_id DESC,
+                                           response_category = 'success' DESC) AS rl
             FROM cat),
 first_fail AS (
   SELECT event_id, response_category AS fc FROM (
-    SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY attempt_number, attempt_id) AS r2
+    SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY attempt_number, attempt_id, response_category) AS r2
     FROM cat WHERE response_category <> 'success') WHERE r2 = 1),
 per AS (
   SELECT event_id, count(*) AS n_attempts,
@@ -508,7 +509,7 @@ stored_ev AS (SELECT * FROM webhook_events WHERE created_at < {CUT}),
 stored_eps AS (SELECT * FROM endpoints WHERE endpoint_id IN (SELECT endpoint_id FROM stored_att)),
 m4 AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY event_id, attempt_number ORDER BY attempted_at, attempt_id) AS rn
+    SELECT *, row_number() OVER (PARTITION BY event_id, attempt_number ORDER BY attempted_at, attempt_id, http_status, response_time_ms, timeout, signature_valid) AS rn
     FROM m6 WHERE NOT EXISTS (SELECT 1 FROM stored_att s
                               WHERE s.event_id = m6.event_id AND s.attempt_number = m6.attempt_number))
   WHERE rn = 1)"""
@@ -520,7 +521,7 @@ SELECT attempt_id, event_id, attempt_number, endpoint_id, event_type, customer_i
 
 SQL["dedupe_attempts_in_batch"] = q("""
 SELECT attempt_id, event_id, endpoint_id, attempt_number, http_status, response_time_ms, timeout, signature_valid
-FROM (SELECT *, row_number() OVER (PARTITION BY event_id, attempt_number ORDER BY attempted_at, attempt_id) AS rn
+FROM (SELECT *, row_number() OVER (PARTITION BY event_id, attempt_number ORDER BY attempted_at, attempt_id, http_status, response_time_ms, timeout, signature_valid) AS rn
       FROM m6) WHERE rn = 1""", CSV_CTES)
 
 SQL["insert_endpoints_if_absent"] = q("""
