@@ -45,7 +45,7 @@ def read_attempts_csv(spark: SparkSession, path: str) -> DataFrame:
     require_columns(header)
     ddl = ", ".join(f"`{c}` string" for c in header)
     df = spark.read.option("header", True).schema(ddl).csv(path)
-    return df.withColumn("ord", F.struct(F.input_file_name().alias("file"),
+    return df.withColumn("ord", F.struct(F.col("_metadata.file_path").alias("file"),
                                          F.monotonically_increasing_id().alias("pos")))
 
 
