@@ -258,12 +258,19 @@ def insert_events_if_absent(existing: DataFrame, rows: DataFrame, order: Column)
 
 
 def insert_attempts_if_absent(existing: DataFrame, rows: DataFrame, order: Column,
-                              mode: str = "strict") -> DataFrame:
+                              mode: str = "strict", prune_by_batch: bool = True) -> DataFrame:
     """M4: attempts whose (event_id, attempt_number) is not stored yet (the
     original has no unique constraint, it looks the pair up); in-batch
     repeats follow M5's ``mode``.  Returns the rows to insert."""
-    fresh = rows.join(existing.select("event_id", "attempt_number").dropDuplicates(),
-                      ["event_id", "attempt_number"], "left_anti")
+    # only stored keys of events in this batch can match: a semi join on the
+    # batch's event ids (broadcast by AQE when the batch is small) trims the
+    # stored side in its scan stage, before anything is shuffled
+    stored = existing.select("event_id", "attempt_number")
+    if prune_by_batch:  # pays off when the batch is small next to the store
+        batch_events = rows.select("event_id").where(F.col("event_id").isNotNull()).distinct()
+        stored = stored.join(batch_events, "event_id", "left_semi")
+    stored = stored.dropDuplicates()
+    fresh = rows.join(stored, ["event_id", "attempt_number"], "left_anti")
     return dedupe_attempts_in_batch(fresh, order, mode)
 
 
