@@ -88,3 +88,27 @@ def test_stream_json_ingest_equals_batch(spark, scratch):
     assert a.replays.count() == b.replays.count() == 9
     assert a.events.count() == 9
     assert a.replays.select("replay_id").exceptAll(b.replays.select("replay_id")).count() == 0
+
+
+def test_stream_health_drops_late_rows(spark, scratch):
+    import datetime as dt
+
+    from deliverylens import schemas as S
+
+    src, sink, ck = (os.path.join(scratch, x) for x in ("in", "out", "ck"))
+
+    def rows(day, n, status):
+        return [(f"a{day}-{i}", f"e{i}", "ep1", 1, status, 100.0, False, True, "u1",
+                 dt.datetime(2024, 1, day, 10, 30)) for i in range(n)]
+
+    def emit(batch_rows, name):
+        spark.createDataFrame(batch_rows, S.DELIVERY_ATTEMPTS).coalesce(1).write.parquet(os.path.join(src, name))
+
+    emit(rows(10, 3, 200) + rows(11, 2, 500), "b1")
+    ST.stream_endpoint_health(spark, os.path.join(src, "*"), sink, checkpoint=ck, delay="2 hours").awaitTermination(300)
+    emit(rows(1, 4, 500), "b2")       # nine days behind the watermark: late
+    emit(rows(12, 1, 200), "b3")      # moves the watermark past day 11
+    ST.stream_endpoint_health(spark, os.path.join(src, "*"), sink, checkpoint=ck, delay="2 hours").awaitTermination(300)
+    got = {(r.window_start.day, r.total_attempts, r.failure_count) for r in spark.read.parquet(sink).collect()}
+    assert (10, 3, 0) in got and (11, 2, 2) in got
+    assert not any(day == 1 for day, _, _ in got)
