@@ -112,3 +112,25 @@ def test_stream_health_drops_late_rows(spark, scratch):
     got = {(r.window_start.day, r.total_attempts, r.failure_count) for r in spark.read.parquet(sink).collect()}
     assert (10, 3, 0) in got and (11, 2, 2) in got
     assert not any(day == 1 for day, _, _ in got)
+
+
+def test_stream_dedupe_state_survives_restart(spark, scratch):
+    import datetime as dt
+
+    from deliverylens import schemas as S
+
+    src, sink, ck = (os.path.join(scratch, x) for x in ("in", "out", "ck"))
+
+    def emit(ids, status, name):
+        rows = [(f"a-{status}-{i}", f"e{i}", "ep1", 1, status, 100.0, False, True, "u1",
+                 dt.datetime(2024, 1, 10, 10, 0)) for i in ids]
+        spark.createDataFrame(rows, S.DELIVERY_ATTEMPTS).coalesce(1).write.parquet(os.path.join(src, name))
+
+    emit(range(5), 500, "b1")
+    ST.stream_dedupe_attempts(spark, os.path.join(src, "*"), sink, checkpoint=ck).awaitTermination(300)
+    emit(range(3, 8), 200, "b2")  # e3, e4 repeat (event_id, attempt_number) after the restart
+    ST.stream_dedupe_attempts(spark, os.path.join(src, "*"), sink, checkpoint=ck).awaitTermination(300)
+    out = spark.read.parquet(sink).collect()
+    got = {r.event_id: r.http_status for r in out}
+    assert len(out) == 8 and len(got) == 8
+    assert got["e3"] == 500 and got["e4"] == 500 and got["e7"] == 200
