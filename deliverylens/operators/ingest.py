@@ -238,13 +238,18 @@ def insert_endpoints_if_absent(existing: DataFrame, rows: DataFrame, uploader: C
     return existing.select(*cols, F.lit(False).alias("inserted")).unionByName(new)
 
 
-def insert_events_if_absent(existing: DataFrame, rows: DataFrame, order: Column) -> DataFrame:
+def insert_events_if_absent(existing: DataFrame, rows: DataFrame, order: Column,
+                            prune_by_batch: bool = True) -> DataFrame:
     """M3: a stored event is never changed; a new one takes type and
     customer from its first incoming row, payload 250.0, priority 'medium',
     an idempotency key derived from the id, and the uploader as tenant."""
     first = _first_by(rows.where(F.col("event_id").isNotNull()).withColumn("_ord", order), ["event_id"],
                       F.col("_ord"), ["event_type", "customer_id", "user_id"])
-    new = (first.join(existing.select("event_id"), "event_id", "left_anti")
+    stored_ids = existing.select("event_id")
+    if prune_by_batch:  # a left anti join cannot broadcast its left side:
+        # trim the stored ids to this batch's events first (see M4)
+        stored_ids = stored_ids.join(first.select("event_id"), "event_id", "left_semi")
+    new = (first.join(stored_ids, "event_id", "left_anti")
            .select("event_id", "event_type", "customer_id",
                    F.lit(None).cast("string").alias("invoice_id"),
                    F.lit(S.NEW_EVENT_PAYLOAD_KB).alias("payload_size_kb"),
