@@ -199,6 +199,7 @@ def upsert_endpoints(existing: DataFrame, docs: DataFrame, order: Column) -> Dat
                        F.col("user_id").alias("user_id"))
     latest = (docs.select(F.col("endpoint.endpoint_id").alias("endpoint_id"), payload.alias("p"),
                           order.alias("_ord"))
+              .where(F.col("endpoint_id").isNotNull())  # no id, nothing to upsert
               .groupBy("endpoint_id").agg(F.max_by("p", "_ord").alias("p")))
     e = existing.withColumn("_stored", F.lit(True)).alias("e")
     j = e.join(latest.alias("n"), "endpoint_id", "full_outer")
