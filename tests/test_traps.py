@@ -197,3 +197,29 @@ def test_one_hot_seen_values(spark):
     assert out.columns == ["id", "priority_high", "priority_urgent"]
     got = {r.id: (r.priority_high, r.priority_urgent) for r in out.collect()}
     assert got == {"a": (True, False), "b": (False, False), "c": (False, True)}
+
+
+def test_tenant_rankings_against_brute_force(spark):
+    """R1 with scope='tenant' (no SQL twin) against pandas on sf0.001."""
+    from conftest import SF0001
+    from deliverylens.sources.testdata import load_tables
+    t = load_tables(spark, SF0001)
+    a = t.attempts.select("event_id", "endpoint_id", "attempt_number", "http_status", "timeout").toPandas()
+    e = t.events.select("event_id", F.col("user_id").alias("owner")).toPandas()
+    m = a.merge(e, on="event_id")
+    m["fail"] = ((m["http_status"].fillna(0) >= 500) | m["timeout"].fillna(False)).astype(int)
+    m["ok"] = ((m["http_status"] >= 200) & (m["http_status"] < 300)).fillna(False).astype(int)
+    want = set()
+    for owner, g in m.groupby("owner"):
+        ep = g.groupby("endpoint_id").agg(n=("fail", "size"), f=("fail", "sum")).reset_index()
+        ep = ep[ep["n"] > 5]
+        ep["rate"] = ep["f"] / ep["n"]
+        ep = ep.sort_values(["rate", "endpoint_id"], ascending=[False, True]).head(3)
+        want |= {(owner, "unstable_endpoints", r.endpoint_id, round(r.rate * 100, 4)) for r in ep.itertuples()}
+        rp = g.groupby("attempt_number").agg(n=("ok", "size"), s=("ok", "sum")).reset_index()
+        rp = rp.sort_values("attempt_number").head(4)
+        want |= {(owner, "retry_effectiveness", f"attempt #{r.attempt_number}", round(r.s * 100 / r.n, 4))
+                 for r in rp.itertuples()}
+    out = V.ingest_summary(t, None, None, scope="tenant").where("section <> 'ingest'").collect()
+    got = {(r.user_id, r.section, r.label, round(r.value, 4)) for r in out}
+    assert got == want
