@@ -46,3 +46,25 @@ def test_recovery_model_learns_planted_signal(spark, scratch):
     auc = BinaryClassificationEvaluator(rawPredictionCol="p_recovered", labelCol="label").evaluate(
         scored.withColumn("label", F.col("is_recovered").cast("double")))
     assert auc > 0.8
+
+
+def test_forest_scores_match_naive_traversal(spark):
+    rng = np.random.default_rng(11)
+    pts = rng.normal(0, 1, size=(300, 3))
+    df = spark.createDataFrame([(f"r{i}", *map(float, p)) for i, p in enumerate(pts)], "id string, a double, b double, c double")
+    nodes = IF.fit_isolation_forest(df, ["a", "b", "c"], key=["id"], n_trees=7, sample_size=64)
+    got = {r.id: r.anomaly_score for r in IF.score_isolation_forest(df, nodes, ["a", "b", "c"], 64).collect()}
+    table = nodes.toPandas()
+    trees = {t: g.set_index("node") for t, g in table.groupby("tree")}
+
+    def path(tree, x, node=0):
+        n = tree.loc[node]
+        if n.feature < 0:
+            return n.depth + float(IF.c_factor(np.array([n["size"]]))[0])
+        nxt = n.left if x[int(n.feature)] < n.threshold else n.right
+        return path(tree, x, int(nxt))
+
+    c = float(IF.c_factor(np.array([64]))[0])
+    for i in range(0, 300, 37):
+        mean = np.mean([path(trees[t], pts[i]) for t in trees])
+        assert abs(got[f"r{i}"] - 2.0 ** (-mean / c)) < 1e-12
