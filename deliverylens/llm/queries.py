@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from deliverylens.llm import exact_dedup, sentencepieces, token_files
+from deliverylens.llm import exact_dedup, sentencepieces, token_files, toxicity
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op3_sentencepiece": sentencepieces.op3_sentencepiece,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
 }
 
 SQL = {**exact_dedup.SQL}
