@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from deliverylens.llm import exact_dedup, sentencepieces, token_files, toxicity
+from deliverylens.llm import exact_dedup, language_model, sentencepieces, token_files, toxicity
 
 QUERIES = {
+    "op1_lm_scoring": language_model.op1_lm_scoring,
     "op2_token_files": token_files.op2_token_files,
     "op3_sentencepiece": sentencepieces.op3_sentencepiece,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
