@@ -49,8 +49,8 @@ from deliverylens.llm.common import (ByteTexts, documents, id_text, partitions,
 
 FREQUENT, CLASSES, TAILS = 2000, 40, 36
 DIM = HIDDEN = 16
-#: Documents in the first fit; width of its batch (the parallel pass has twice that), steps between truncations.
-WARM_DOCS, LANES, STEPS, RATE = 3000, 64, 24, 0.01
+#: Documents in the first fit and its steps at least; width of its batch (the parallel pass has twice that), steps between truncations.
+WARM_DOCS, WARM_STEPS, LANES, STEPS, RATE = 3000, 1500, 64, 24, 0.01
 #: Entries of a bucket, about: keeps a bucket's arrays near 32 MB.
 BUCKET_ENTRIES = 2_000_000
 END = b"\n"  # no word holds white space
@@ -94,7 +94,7 @@ class Words:
 class Layout:
     """Classes of the codes: frequent words by equal mass, then one class a tail, the end with the first words."""
 
-    def __init__(self, counts: list[int]):
+    def __init__(self, counts: list[int], ends: int = 0, tail_n: np.ndarray | None = None):
         mass = np.cumsum(np.array(counts or [1], float))
         share = np.minimum(CLASSES - 1, (mass - np.array(counts or [1])) / mass[-1] * CLASSES).astype(int)
         cls = np.concatenate([[0], share[:len(counts)]]) if counts else np.zeros(1, int)
@@ -104,6 +104,12 @@ class Layout:
         self.n_codes = len(self.cls)
         self.first = np.searchsorted(cls, np.arange(self.heads))  # codes of a head class are a range
         self.stop = np.append(self.first[1:], len(cls))
+        # where training starts: the corpus shares of words and classes
+        seen = np.array([ends, *counts], float) + 1
+        self.word_ln = np.log(seen).astype(F32)
+        heads = np.bincount(cls, seen, self.heads)
+        self.class_ln = np.log(np.append(heads, np.zeros(TAILS) if tail_n is None else tail_n) + 1.0).astype(F32)
+        self.class_ln -= self.class_ln.max()
 
 
 def new_weights(layout: Layout, seed: int = 3) -> dict[str, np.ndarray]:
@@ -115,8 +121,8 @@ def new_weights(layout: Layout, seed: int = 3) -> dict[str, np.ndarray]:
     frequent = int(layout.stop[-1])
     return {"emb": normal(layout.n_codes, DIM, scale=0.3), "wx": normal(DIM, 3 * HIDDEN, scale=0.3),
             "bx": np.zeros(3 * HIDDEN, F32), "u": normal(HIDDEN, 3 * HIDDEN, scale=0.25), "bn": np.zeros(HIDDEN, F32),
-            "wc": normal(HIDDEN, layout.n_classes, scale=0.1), "bc": np.zeros(layout.n_classes, F32),
-            "ww": normal(HIDDEN, frequent, scale=0.1), "bw": np.zeros(frequent, F32)}
+            "wc": normal(HIDDEN, layout.n_classes, scale=0.1), "bc": layout.class_ln.copy(),
+            "ww": normal(HIDDEN, frequent, scale=0.1), "bw": layout.word_ln.copy()}
 
 
 def output(p: dict, layout: Layout, h: np.ndarray, code: np.ndarray, grads: dict | None = None):
@@ -368,8 +374,9 @@ def fit(train: DataFrame, frequent: list[int], layout: Layout) -> dict[str, np.n
         texts = sorted(t.encode() for pdf in batches for t in pdf["text"])
         opt = gru.Adam(p, RATE)
         docs = coded(words, texts)
-        for turn in range(2):
-            opt.rate = RATE * (1 - 0.4 * turn)
+        turns = max(2, -(-WARM_STEPS * LANES * STEPS // max(1, sum(map(len, docs)))))
+        for turn in range(min(turns, 12)):
+            opt.rate = RATE * (1 - 0.7 * turn / turns)
             for lo in range(0, len(docs), 1500):
                 learn(p, layout, docs[lo:lo + 1500], opt, LANES)
         yield pd.DataFrame({"weights": [pickle.dumps(p)]})
@@ -425,7 +432,7 @@ def score_documents(docs: DataFrame, held: int = 2, modulus: int = 7) -> DataFra
     buckets = max(2 * partitions(spark), int(bytes_in / 10 // BUCKET_ENTRIES) + 1)
     counts = staged(corpus_counts(train, buckets), "counts")
     n, v, frequent, freq_counts, end_count, tail_n, tail_v = corpus_summary(counts)
-    layout = Layout(freq_counts)
+    layout = Layout(freq_counts, end_count, tail_n)
     weights = fit(train, frequent, layout)
     model = spark.sparkContext.broadcast(pickle.dumps((weights, layout, frequent, freq_counts, end_count)))
     tail_ln = np.log10(tail_n + tail_v + 1.0)
