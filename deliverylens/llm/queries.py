@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deliverylens.llm import exact_dedup, language_model, sentencepieces, token_files, toxicity
+from deliverylens.llm import decontamination, exact_dedup, language_model, sentencepieces, token_files, toxicity
 
 QUERIES = {
     "op1_lm_scoring": language_model.op1_lm_scoring,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sentencepiece": sentencepieces.op3_sentencepiece,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_decontamination": decontamination.op6_decontamination,
 }
 
 SQL = {**exact_dedup.SQL}
