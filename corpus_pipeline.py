@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.85), that of the smallest doc_id."""
-    return ngram_join.one_of_each(docs, k=5)
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8), that of the smallest doc_id."""
+    return ngram_join.one_of_each(docs, k=5, share=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

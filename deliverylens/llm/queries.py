@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deliverylens.llm import decontamination, exact_dedup, language_model, ngram_join, sentencepieces, token_files, toxicity
+from deliverylens.llm import decontamination, exact_dedup, language_model, line_dedup, ngram_join, sentencepieces, token_files, toxicity
 
 QUERIES = {
     "op1_lm_scoring": language_model.op1_lm_scoring,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
 }
 
