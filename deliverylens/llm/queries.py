@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deliverylens.llm import decontamination, exact_dedup, language_model, line_dedup, ngram_join, sentencepieces, token_files, toxicity
+from deliverylens.llm import decontamination, exact_dedup, language_id, language_model, license_scan, line_dedup, ngram_join, sentencepieces, token_files, toxicity
 
 QUERIES = {
     "op1_lm_scoring": language_model.op1_lm_scoring,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
+    "op9_license_scan": license_scan.op9_license_scan,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 SQL = {**exact_dedup.SQL}
