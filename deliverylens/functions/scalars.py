@@ -38,10 +38,12 @@ def avg_exact(col) -> Column:
 
     A double sum depends on the order partitions are merged in, so a mean
     sitting on a rounding tie could round either way from run to run; the
-    decimal sum is order-free (6 decimals kept per value).
+    decimal sum is order-free (6 decimals kept per value).  Values must be
+    below 10^12 in size (``decimal(18,6)``, the compact form; beyond it the
+    cast raises); the sum has ten more digits, room for 10^10 such values.
     """
     c = _c(col)
-    s = F.sum(c.cast("decimal(38,6)")).cast("double")
+    s = F.sum(c.cast("decimal(18,6)")).cast("double")
     return F.try_divide(s, F.count(c).cast("double"))
 
 
@@ -56,13 +58,15 @@ def truncated_health(failed, total) -> Column:
 
 
 def surrogate_id(prefix: str, *keys) -> Column:
-    """``prefix_`` + 16 hex chars of md5 over the key columns.
+    """``prefix_`` + the md5 of the key columns, each written with its
+    length ('~' for null), so that different keys never encode alike.
 
     Derived from the key, so a re-run or a re-delivered batch produces the
     same id (idempotent merges); a random uuid would not.
     """
-    parts = [_c(k).cast("string") for k in keys]
-    return F.concat(F.lit(prefix + "_"), F.substring(F.md5(F.concat_ws("-", *parts)), 1, 16))
+    texts = [_c(k).cast("string") for k in keys]
+    parts = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("~")) for x in texts]
+    return F.concat(F.lit(prefix + "_"), F.md5(F.concat(*parts)))
 
 
 def json_safe(df: DataFrame) -> DataFrame:

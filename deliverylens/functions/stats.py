@@ -2,66 +2,78 @@
 
 ``exact_quantiles`` gives the linear-interpolation quantile (numpy's default,
 pandas ``describe``, SQL ``quantile_cont``) without pulling a column into one
-task: (value, count) pairs are range-partitioned across the cluster, each
-value's rank interval is its partition offset plus a running count inside
-the partition, and only the (at most two per quantile) values at the wanted
-ranks are kept.  Spark's own exact ``percentile`` merges a value->count map
-of the whole column in a single final task, which does not scale; use
+task.  (value, count) pairs are range-partitioned across the cluster and
+written once to the shared folder with the number of their partition; the
+partitions' totals (one row a column and partition) tell in which partition
+each wanted rank lies, and only those partitions are read again to find the
+values.  Spark's own exact ``percentile`` merges a value->count map of the
+whole column in a single final task, which does not scale; use
 ``percentile_approx`` where an approximation is acceptable.
 """
 
 from __future__ import annotations
 
+import math
+import os
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     num_partitions: int | None = None) -> DataFrame:
     """One row per (column_name, prob): the exact linear-interpolation
-    quantile of each column (nulls ignored), computed on (value, count) pairs.
+    quantile of each column (nulls ignored; a column without values has no row).
 
     Duplicates collapse in the map-side partial aggregation first (a value
-    holding a third of the rows becomes one row with its count), then the
-    distinct values are range-partitioned; a running count inside each
-    partition plus the partition offsets gives every value its rank
-    interval, and the wanted ranks (a bounded set) are matched by a join
-    keyed on the column name.  Nothing is checkpointed: the one heavy
-    upstream shuffle is reused by every consumer in the plan.
-    """
+    holding a third of the rows becomes one row with its count).  The pairs
+    are computed once; the partition number is a stored column, so nothing
+    depends on an exchange being reused."""
     spark = df.sparkSession
     p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     long = (df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns]))
+        F.struct(F.lit(i).alias("col"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)]))
         .alias("kv")).select("kv.*").where(F.col("value").isNotNull()))
-    vc = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    ranged = vc.repartitionByRange(p, "column_name", "value").withColumn("pid", F.spark_partition_id())
-    w_in = (Window.partitionBy("column_name", "pid").orderBy("value")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    running = ranged.withColumn("run", F.sum("cnt").over(w_in))
-    part = running.groupBy("column_name", "pid").agg(F.sum("cnt").alias("total"))
-    w_off = Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.withColumn("before", F.coalesce(F.sum("total").over(w_off), F.lit(0)))
-    n_per_col = part.groupBy("column_name").agg(F.sum("total").alias("n"))
-    targets = (n_per_col.withColumn("prob", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
-               .withColumn("pos", F.col("prob") * (F.col("n") - 1).cast("double"))
-               .withColumn("lo", F.floor("pos").cast("bigint"))
-               .withColumn("hi", F.ceil("pos").cast("bigint"))
-               .withColumn("frac", F.col("pos") - F.col("lo").cast("double")))
-    wanted = targets.select("column_name", F.explode(F.array("lo", "hi")).alias("rank")).dropDuplicates()
-    # rank interval of each distinct value: [end - cnt, end)
-    spans = (running.join(F.broadcast(part.select("column_name", "pid", "before")), ["column_name", "pid"])
-             .select("column_name", "value", (F.col("before") + F.col("run")).alias("end"), "cnt"))
-    w = F.broadcast(wanted.alias("w"))
-    hit = (spans.alias("s").join(w, (F.col("s.column_name") == F.col("w.column_name"))
-                                 & (F.col("w.rank") >= F.col("s.end") - F.col("s.cnt"))
-                                 & (F.col("w.rank") < F.col("s.end")))
-           .select(F.col("s.column_name").alias("column_name"), F.col("w.rank").alias("rank"), "s.value"))
-    lo = hit.select("column_name", F.col("rank").alias("lo"), F.col("value").alias("v_lo"))
-    hi = hit.select("column_name", F.col("rank").alias("hi"), F.col("value").alias("v_hi"))
-    return (targets.join(lo, ["column_name", "lo"]).join(hi, ["column_name", "hi"])
-            .select("column_name", "prob",
-                    (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value")))
+    pairs = (long.groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt"))
+             .repartitionByRange(p, "col", "value").withColumn("pid", F.spark_partition_id()))
+    path = os.path.join(checkpoint_dir(spark), "quantiles", uuid.uuid4().hex)
+    pairs.write.parquet(path)
+    pairs = spark.read.schema(pairs.schema).parquet(path)
+    totals = pairs.groupBy("col", "pid").agg(F.sum("cnt").alias("total")).collect()  # columns x partitions at most
+    n, spans, before = {}, {}, {}
+    for r in sorted(totals, key=lambda r: (r.col, r.pid)):
+        before[r.col, r.pid] = n.get(r.col, 0)
+        n[r.col] = before[r.col, r.pid] + r.total
+        spans.setdefault(r.col, []).append((before[r.col, r.pid], n[r.col], r.pid))
+    wanted: dict[tuple[int, int], set[int]] = {}  # (column, partition) -> ranks
+    for c, size in n.items():
+        for q in probs:
+            for rank in (math.floor(q * (size - 1)), math.ceil(q * (size - 1))):
+                pid = next(k for lo, hi, k in spans[c] if lo <= rank < hi)
+                wanted.setdefault((c, pid), set()).add(rank)
+    schema = "column_name string, prob double, value double"
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    # at most two partitions a column and quantile; a bounded number of rows comes back
+    asked = spark.createDataFrame([(c, k, before[c, k], sorted(ranks)) for (c, k), ranks in wanted.items()],
+                                  "col int, pid int, before long, ranks array<long>")
+    run = F.sum("cnt").over(Window.partitionBy("col", "pid").orderBy("value")
+                            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hits = (pairs.where(F.col("pid").isin(sorted({k for _, k in wanted}))).join(F.broadcast(asked), ["col", "pid"])
+            .withColumn("end", F.col("before") + run)
+            .select("col", "value", F.explode(F.filter("ranks", lambda x: (x < F.col("end")) & (x >= F.col("end") - F.col("cnt"))))
+                    .alias("rank")).collect())
+    at = {(r.col, r.rank): r.value for r in hits}
+    rows = []
+    for c, size in n.items():
+        for q in probs:
+            pos = float(q) * (size - 1)
+            lo, hi = at[c, math.floor(pos)], at[c, math.ceil(pos)]
+            rows.append((columns[c], float(q), lo + (hi - lo) * (pos - math.floor(pos))))
+    return spark.createDataFrame(rows, schema)
 
 
 def exact_quantile_value(df: DataFrame, column: str, prob: float) -> DataFrame:

@@ -13,7 +13,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -33,7 +33,21 @@ class Models:
     recovery: PipelineModel
     forest: DataFrame          # node table, read back from parquet
     threshold: float           # anomaly score cut (train quantile)
-    sample_size: int = 256
+
+    def save(self, path: str) -> None:
+        """The whole scorer -- classifier, forest and threshold -- under one folder."""
+        R.save_model(self.recovery, os.path.join(path, "recovery"))
+        self.forest.write.mode("overwrite").parquet(os.path.join(path, "forest"))
+        spark = self.forest.sparkSession
+        spark.createDataFrame([(self.threshold,)], "threshold double").write.mode("overwrite").parquet(
+            os.path.join(path, "threshold"))
+
+
+def load_models(spark: SparkSession, path: str) -> Models:
+    """A saved scorer, in any session."""
+    return Models(recovery=R.load_model(os.path.join(path, "recovery")),
+                  forest=spark.read.parquet(os.path.join(path, "forest")),
+                  threshold=float(spark.read.parquet(os.path.join(path, "threshold")).first().threshold))
 
 
 def model_rows(features: DataFrame) -> DataFrame:
@@ -43,20 +57,24 @@ def model_rows(features: DataFrame) -> DataFrame:
 
 def fit_models(t: Tables, max_iter: int = 150, n_trees: int = 100, contamination: float = 0.05,
                seed: int = 42, model_dir: str | None = None) -> Models:
-    """ML2 + ML3 on the training split of the (event, endpoint) feature table."""
-    rows = model_rows(FE.event_features(t))
-    train = rows.where(F.col("split") == "train")
+    """ML2 + ML3 on the training split of the (event, endpoint) feature table,
+    which is computed once and read by both fits."""
+    spark = t.events.sparkSession
+    folder = os.path.join(checkpoint_dir(spark), "models", uuid.uuid4().hex)
+    model_rows(FE.event_features(t)).where(F.col("split") == "train").write.parquet(os.path.join(folder, "train"))
+    train = spark.read.parquet(os.path.join(folder, "train"))
     recovery = R.train_recovery_model(train, max_iter=max_iter, seed=seed)
     x = R.impute(train)
     nodes = IF.fit_isolation_forest(x, FE.MODEL_FEATURES, key=["event_id", "endpoint_id"],
                                     n_trees=n_trees, seed=seed)
-    spark = t.events.sparkSession
-    path = model_dir or os.path.join(checkpoint_dir(spark), "models", f"forest-{uuid.uuid4().hex[:12]}")
-    nodes.write.mode("overwrite").parquet(path)
-    forest = spark.read.parquet(path)
+    nodes.write.parquet(os.path.join(folder, "forest"))
+    forest = spark.read.parquet(os.path.join(folder, "forest"))
     scored = IF.score_isolation_forest(x, forest, FE.MODEL_FEATURES)
     threshold = IF.anomaly_threshold(scored, contamination).first()["q"]  # one number
-    return Models(recovery=recovery, forest=forest, threshold=float(threshold))
+    models = Models(recovery=recovery, forest=forest, threshold=float(threshold))
+    if model_dir:
+        models.save(model_dir)
+    return models
 
 
 def score_events(features: DataFrame, models: Models) -> DataFrame:
@@ -66,7 +84,7 @@ def score_events(features: DataFrame, models: Models) -> DataFrame:
                            *[F.col(c).alias(f"raw_{c}") for c in RULE_INPUTS],
                            *FE.MODEL_FEATURES)
     rec = R.score_recovery(models.recovery, keep)
-    scored = IF.score_isolation_forest(rec, models.forest, FE.MODEL_FEATURES, models.sample_size)
+    scored = IF.score_isolation_forest(rec, models.forest, FE.MODEL_FEATURES)
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(models.threshold))
 
 
@@ -113,7 +131,7 @@ def event_analysis_report(t: Tables, decisions: DataFrame) -> DataFrame:
 def anomaly_rate(t: Tables, models: Models) -> DataFrame:
     """Anomalies flagged in the test split, count and percent."""
     rows = model_rows(FE.event_features(t)).where(F.col("split") == "test")
-    scored = IF.score_isolation_forest(R.impute(rows), models.forest, FE.MODEL_FEATURES, models.sample_size)
+    scored = IF.score_isolation_forest(R.impute(rows), models.forest, FE.MODEL_FEATURES)
     flagged = scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(models.threshold))
     return flagged.agg(F.count(F.lit(1)).alias("n_test"),
                        F.sum(F.col("is_anomaly").cast("bigint")).alias("n_anomalies")).withColumn(

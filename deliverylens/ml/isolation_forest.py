@@ -15,8 +15,8 @@ Spark layout:
 * building: ``groupBy("tree").applyInPandas`` -- one task per tree, each
   with at most psi rows.
 * scoring: the forest (at most n_trees x (2 psi - 1) nodes: a proven bound)
-  travels to the executors with the task closure and ``mapInPandas`` scores
-  Arrow batches with vectorised numpy traversal.
+  is broadcast and ``mapInPandas`` scores Arrow batches with vectorised numpy
+  traversal.
 * threshold: the exact (1 - contamination) quantile of the training scores,
   computed distributed (``functions.stats``).
 """
@@ -116,7 +116,7 @@ def fit_isolation_forest(df: DataFrame, features: list[str], key: list[str], n_t
 class Forest:
     """The node table as flat numpy arrays (bounded by trees x nodes)."""
 
-    def __init__(self, nodes: pd.DataFrame, sample_size: int):
+    def __init__(self, nodes: pd.DataFrame):
         nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
         self.n_trees = int(nodes["tree"].nunique())
         per_tree = nodes.groupby("tree").size().to_numpy()
@@ -128,7 +128,9 @@ class Forest:
         self.left = np.where(nodes["left"] >= 0, nodes["left"].to_numpy(np.int64) + base, -1)
         self.right = np.where(nodes["right"] >= 0, nodes["right"].to_numpy(np.int64) + base, -1)
         self.leaf_len = nodes["depth"].to_numpy(float) + c_factor(nodes["size"].to_numpy())
-        self.c_psi = float(c_factor(np.array([sample_size]))[0])
+        # psi: the rows that the trees were given, min(sample size, rows there were)
+        psi = int(nodes.loc[nodes["node"] == 0, "size"].max())
+        self.c_psi = max(float(c_factor(np.array([psi]))[0]), 1e-12)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -149,13 +151,15 @@ class Forest:
 
 
 def score_isolation_forest(df: DataFrame, nodes: DataFrame, features: list[str],
-                           sample_size: int = 256, out: str = "anomaly_score") -> DataFrame:
+                           out: str = "anomaly_score") -> DataFrame:
     """ML4 (scores): every row of ``df`` with its anomaly score."""
-    forest = Forest(nodes.toPandas(), sample_size)  # bounded model, not data
+    # a bounded model, not data: sent once to each executor
+    shared = df.sparkSession.sparkContext.broadcast(Forest(nodes.toPandas()))
     cols = list(features)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
 
     def run(batches):
+        forest = shared.value
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float)
             pdf[out] = forest.score(x) if len(pdf) else np.zeros(0)
@@ -176,13 +180,12 @@ def train_isolation_forest(df: DataFrame, features: list[str], key: list[str], n
     """ML3: fit the forest and its anomaly threshold on the training rows;
     returns (node table, threshold)."""
     nodes = fit_isolation_forest(df, features, key, n_trees, sample_size, seed)
-    scored = score_isolation_forest(df, nodes, features, sample_size)
+    scored = score_isolation_forest(df, nodes, features)
     return nodes, float(anomaly_threshold(scored, contamination).first()["q"])
 
 
-def score_anomaly(df: DataFrame, nodes: DataFrame, threshold: float, features: list[str],
-                  sample_size: int = 256) -> DataFrame:
+def score_anomaly(df: DataFrame, nodes: DataFrame, threshold: float, features: list[str]) -> DataFrame:
     """ML4: anomaly score, ``is_anomaly`` and the -1/1 label per row."""
-    s = score_isolation_forest(df, nodes, features, sample_size)
+    s = score_isolation_forest(df, nodes, features)
     return (s.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(threshold))
             .withColumn("anomaly_label", F.when(F.col("is_anomaly"), -1).otherwise(1)))

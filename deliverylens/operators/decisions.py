@@ -103,7 +103,8 @@ def duplicate_flags(events: DataFrame) -> DataFrame:
     """Per event: is it a later copy of an event with the same idempotency
     key?  A grouped min_by + join back (the hot key is partially aggregated;
     the join back is split by AQE's skew handling)."""
-    first = (events.groupBy("idempotency_key")
+    # null keys are no keys: they stay out of the grouping and match nothing in the join
+    first = (events.where(F.col("idempotency_key").isNotNull()).groupBy("idempotency_key")
              .agg(F.min_by("event_id", F.struct("created_at", "event_id")).alias("first_event_id"),
                   F.count(F.lit(1)).alias("group_size"),
                   F.min("created_at").alias("first_created_at")))
@@ -117,7 +118,8 @@ def label_delivery_outcome(attempts: DataFrame, events: DataFrame) -> DataFrame:
     """Delivery state, failure reason, replay safety and action per
     event, from its attempts in (attempt_number, attempt_id) order.
 
-    The state follows the last attempt: a success is 'delivered' when it was
+    The state of an event without attempts is 'retrying' (its delivery is
+    still due).  Otherwise it follows the last attempt: a success is 'delivered' when it was
     the only attempt and 'recovered' after earlier ones; a failing last
     attempt is 'expired' when every attempt found no endpoint, else
     'failed'; a later copy of an idempotency key is 'duplicate'.  Reason and
@@ -135,10 +137,11 @@ def label_delivery_outcome(attempts: DataFrame, events: DataFrame) -> DataFrame:
                 .alias("first_fail"),
                 F.min((cat == "endpoint_not_found").cast("int")).alias("all_not_found")))
     dup = duplicate_flags(events).select("event_id", "is_duplicate")
-    df = per.join(dup, "event_id", "left")
+    df = per.join(dup, "event_id", "full_outer")
     fc = F.col("first_fail.response_category")
     state = (F.when(F.coalesce("is_duplicate", F.lit(False)), "duplicate")
              .when((F.col("last_success") == 1) & (F.col("n_attempts") == 1), "delivered")
+             .when(F.col("n_attempts").isNull(), "retrying")
              .when(F.col("last_success") == 1, "recovered")
              .when(F.col("all_not_found") == 1, "expired")
              .otherwise("failed"))

@@ -66,25 +66,11 @@ def replay_features(replays: DataFrame) -> DataFrame:
                  P.count_if(F.coalesce(F.col("duplicate_detected"), F.lit(False))).alias("duplicate_count")))
 
 
-def seen_values(df: DataFrame, column: str) -> list[str]:
-    """The distinct non-null values of a categorical column, for a one-hot
-    domain discovered from the data.  A distinct aggregation; only the
-    (bounded) value list reaches the driver, and more values than
-    ``spark.sql.pivotMaxValues`` is an error, as for a pivot."""
-    cap = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    vals = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(cap + 1).collect()]
-    if len(vals) > cap:
-        raise ValueError(f"{column} has more than {cap} distinct values; pass a domain")
-    return sorted(str(v) for v in vals)
-
-
-def one_hot(df: DataFrame, column: str, domain: list[str] | None = None, prefix: str | None = None,
+def one_hot(df: DataFrame, column: str, domain: list[str], prefix: str | None = None,
             drop: bool = True) -> DataFrame:
     """FE4: one boolean column per domain value (sorted, like get_dummies);
-    null or unknown values give all-false.  Without a ``domain`` the values
-    seen in the data are used, one column each, as get_dummies does."""
-    if domain is None:
-        domain = seen_values(df, column)
+    null or unknown values give all-false.  The domain is declared, so the
+    schema never depends on the data."""
     pre = prefix if prefix is not None else column
     cols = [F.coalesce(F.col(column) == F.lit(v), F.lit(False)).alias(f"{pre}_{v}") for v in sorted(domain)]
     out = df.select("*", *cols)

@@ -10,7 +10,7 @@ payload" -- is an explicit ordering column, never the physical row order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -26,9 +26,9 @@ def _c(c) -> Column:
 # S3: typing of the all-string CSV rows
 # ---------------------------------------------------------------------------
 def _lenient_int(c) -> Column:
-    """Text -> int the way ``int(float)`` would: '3', '3.0', '3.7' -> 3."""
-    d = F.expr(f"try_cast({c} as double)") if isinstance(c, str) else c.try_cast("double")
-    return F.when(d.isNotNull() & ~F.isnan(d), F.floor(d).cast("int"))
+    """Text -> int the way ``int(float)`` would: '3', '3.0', '3.7' -> 3, '-1.5' -> -1;
+    null where the text is no number or does not fit an int."""
+    return _c(c).try_cast("double").try_cast("int")
 
 
 def _flag(c) -> Column:
@@ -54,6 +54,19 @@ def coerce_attempts(raw: DataFrame) -> DataFrame:
         *extra)
 
 
+def coerced_beside_text(raw: DataFrame) -> DataFrame:
+    """The upload's own text rows with S3's verdict (``is_valid``)."""
+    return raw.withColumn("is_valid", _lenient_int("attempt_number").isNotNull() & F.col("event_id").isNotNull())
+
+
+def with_attempt_ids(rows: DataFrame, order: Column) -> DataFrame:
+    """``attempt_id`` derived from (event_id, attempt_number) and, among rows
+    repeated under that key, their rank in input order."""
+    key = Window.partitionBy("event_id", "attempt_number").orderBy(order)
+    ranked = rows.withColumn("_rank", F.row_number().over(key))
+    return ranked.withColumn("attempt_id", surrogate_id("att", "event_id", "attempt_number", "_rank")).drop("_rank")
+
+
 # ---------------------------------------------------------------------------
 # Per-document validation of raw log documents
 # ---------------------------------------------------------------------------
@@ -127,20 +140,33 @@ def explode_attempts(docs: DataFrame) -> DataFrame:
         "doc_pos")
 
 
-def expand_replays(docs: DataFrame) -> DataFrame:
+REPLAY_CHUNK = 1000  # replays of one document that a single array holds
+
+
+def expand_replays(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """M7: ``previous_replays`` replay rows per document; the result is
     'failed' when the document's last attempt has status >= 400.  Ids come
-    from (event, i), so re-ingesting a document adds nothing."""
+    from (event, i), so re-ingesting a document adds nothing.  A document's
+    count is expanded chunk by chunk, so a huge one builds no huge array.
+    ``carry`` names further document columns to keep."""
+    carry = carry or []
     n = F.coalesce(F.col("replay_history.previous_replays"), F.lit(0))
     d = docs.where((n > 0) & (F.size("delivery_attempts") > 0))
     last_status = F.element_at("delivery_attempts", -1)["http_status"]
-    return (d.select("event_id", "user_id", "replay_history",
+    step = F.lit(REPLAY_CHUNK)
+    return (d.select("event_id", "user_id", "replay_history", *carry, n.alias("n"),
                      F.when(last_status >= 400, "failed").otherwise("success").alias("replay_result"),
-                     F.explode(F.sequence(F.lit(1), n)).alias("i"))
+                     F.explode(F.sequence(F.lit(1), n, step)).alias("first"))
+            .withColumn("i", F.explode(F.sequence("first", F.least(F.col("first") + (step - 1), "n"))))
             .select(surrogate_id("rep", "event_id", "i").alias("replay_id"), "event_id", "replay_result",
                     F.coalesce(F.col("replay_history.duplicate_detected"), F.lit(False)).alias("duplicate_detected"),
                     F.coalesce(F.col("replay_history.manually_triggered"), F.lit(False)).alias("manually_triggered"),
-                    "user_id"))
+                    "user_id", *carry))
+
+
+def dedupe_replays(replays: DataFrame, order: Column) -> DataFrame:
+    """One row per replay id: that of the first document in input order."""
+    return _first_by(replays, ["replay_id"], order, list(replays.columns))
 
 
 # ---------------------------------------------------------------------------
@@ -240,10 +266,11 @@ def insert_endpoints_if_absent(existing: DataFrame, rows: DataFrame, uploader: C
 
 
 def insert_events_if_absent(existing: DataFrame, rows: DataFrame, order: Column,
-                            prune_by_batch: bool = True) -> DataFrame:
+                            prune_by_batch: bool = True, load_ts: Column | None = None) -> DataFrame:
     """M3: a stored event is never changed; a new one takes type and
     customer from its first incoming row, payload 250.0, priority 'medium',
-    an idempotency key derived from the id, and the uploader as tenant."""
+    an idempotency key derived from the id, the uploader as tenant, and
+    ``load_ts`` (the ingest time) as creation time."""
     first = _first_by(rows.where(F.col("event_id").isNotNull()).withColumn("_ord", order), ["event_id"],
                       F.col("_ord"), ["event_type", "customer_id", "user_id"])
     stored_ids = existing.select("event_id")
@@ -254,10 +281,10 @@ def insert_events_if_absent(existing: DataFrame, rows: DataFrame, order: Column,
            .select("event_id", "event_type", "customer_id",
                    F.lit(None).cast("string").alias("invoice_id"),
                    F.lit(S.NEW_EVENT_PAYLOAD_KB).alias("payload_size_kb"),
-                   F.concat(F.lit("idem_"), F.substring(F.md5("event_id"), 1, 8)).alias("idempotency_key"),
+                   F.concat(F.lit("idem_"), F.md5("event_id")).alias("idempotency_key"),
                    F.lit(S.NEW_EVENT_PRIORITY).alias("priority"),
                    "user_id",
-                   F.lit(None).cast("timestamp_ntz").alias("created_at"),
+                   (F.lit(None) if load_ts is None else load_ts).cast("timestamp_ntz").alias("created_at"),
                    F.lit(True).alias("inserted")))
     cols = [f.name for f in S.WEBHOOK_EVENTS.fields]
     return existing.select(*cols, F.lit(False).alias("inserted")).unionByName(new)
@@ -300,16 +327,18 @@ def backfill_tenant(df: DataFrame, user_id: str = S.BACKFILL_USER) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Q1-Q3: keys, foreign keys, duplicate events
 # ---------------------------------------------------------------------------
+# (table, key columns, primary): a primary key may not be null, a unique key may
 KEYS = [
-    ("users", ["user_id"]),
-    ("users", ["email"]),
-    ("webhook_events", ["event_id"]),
-    ("webhook_events", ["idempotency_key"]),
-    ("endpoints", ["endpoint_id"]),
-    ("delivery_attempts", ["attempt_id"]),
-    ("delivery_attempts", ["event_id", "attempt_number"]),
-    ("replay_actions", ["replay_id"]),
+    ("users", ["user_id"], True),
+    ("users", ["email"], False),
+    ("webhook_events", ["event_id"], True),
+    ("webhook_events", ["idempotency_key"], False),
+    ("endpoints", ["endpoint_id"], True),
+    ("delivery_attempts", ["attempt_id"], True),
+    ("delivery_attempts", ["event_id", "attempt_number"], False),
+    ("replay_actions", ["replay_id"], True),
 ]
+NULL_KEY = "<null>"
 
 FOREIGN_KEYS = [
     ("delivery_attempts", "event_id", "webhook_events", "event_id"),
@@ -323,13 +352,20 @@ FOREIGN_KEYS = [
 
 
 def key_violations(t: Tables) -> DataFrame:
-    """Q1: every key value held by more than one row."""
+    """Q1: every key value held by more than one row, and nulls in a primary
+    key.  Rows with a null in a unique key hold no key value."""
     d = t.as_dict()
     out = None
-    for table, keys in KEYS:
-        v = (d[table].groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
+    for table, keys, primary in KEYS:
+        null_key = F.lit(False)
+        for k in keys:
+            null_key = null_key | F.col(k).isNull()
+        rows = d[table] if primary else d[table].where(~null_key)
+        v = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+             .where((F.col("n_rows") > 1) | null_key)
              .select(F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
-                     F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key_value"), "n_rows"))
+                     F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit(NULL_KEY)) for k in keys])
+                     .alias("key_value"), "n_rows"))
         out = v if out is None else out.unionByName(v)
     return out
 
@@ -351,6 +387,8 @@ def fk_orphans(t: Tables) -> DataFrame:
 def duplicate_events(events: DataFrame) -> DataFrame:
     """Q3: events sharing an idempotency key with at least one other, with
     the first event of the key and the delay to it in seconds."""
+    # a null key is no key: such events are copies of nothing
+    events = events.where(F.col("idempotency_key").isNotNull())
     first = (events.groupBy("idempotency_key")
              .agg(F.count(F.lit(1)).alias("group_size"),
                   F.min_by("event_id", F.struct("created_at", "event_id")).alias("first_event_id"),

@@ -46,21 +46,28 @@ def list_events(t: Tables, page: int = 1, limit: int = 10, user_id: str | None =
                     F.when(P.mentions_failed_cs(), "Failed").otherwise("OK").alias("badge")))
 
 
-def event_timeline(t: Tables) -> DataFrame:
+def event_timeline(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """Every event's attempts as ordered timeline rows with the success
-    flag and the display text.  Rows, not a collected array: a globally
-    sorted frame range-partitions a long timeline across tasks."""
+    flag and the display text; an event without attempts has one row without
+    attempt fields.  ``ids`` (column event_id) asks for some events only.
+    Rows, not a collected array: a globally sorted frame range-partitions a
+    long timeline across tasks."""
     a = t.attempts.select("event_id", "attempt_id", "attempt_number", "http_status",
-                          "response_time_ms", "timeout")
-    detail = (F.when(F.coalesce(F.col("timeout"), F.lit(False)), F.lit("Connection timed out"))
+                          "response_time_ms", "timeout").withColumn("_attempt", F.lit(True))
+    events = t.events.select("event_id", "event_type", "created_at")
+    if ids is not None:
+        wanted = ids.select("event_id").distinct()
+        events, a = events.join(wanted, "event_id", "left_semi"), a.join(wanted, "event_id", "left_semi")
+    detail = (F.when(F.col("_attempt").isNull(), F.lit(None).cast("string"))
+              .when(F.coalesce(F.col("timeout"), F.lit(False)), F.lit("Connection timed out"))
               .when(F.col("response_time_ms").isNull(), F.lit("Response time unknown"))
               .otherwise(F.concat(F.lit("Response in "),
                                   F.round(F.col("response_time_ms")).cast("bigint").cast("string"),
                                   F.lit("ms"))))
-    return (t.events.select("event_id", "event_type", "created_at")
-            .join(a, "event_id")
+    return (events.join(a, "event_id", "left")
             .select("event_id", "event_type", "created_at", "attempt_number", "attempt_id", "http_status",
-                    "response_time_ms", "timeout", P.is_success().alias("is_success"), detail.alias("detail"))
+                    "response_time_ms", "timeout", F.when(F.col("_attempt"), P.is_success()).alias("is_success"),
+                    detail.alias("detail"))
             .orderBy("event_id", "attempt_number", "attempt_id"))
 
 

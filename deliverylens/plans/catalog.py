@@ -458,16 +458,13 @@ def _q3(spark, sf_dir):
 # model-backed jobs (rows-only checks): ML2-ML6, A12, D4, R2
 # ---------------------------------------------------------------------------
 
-# Boosting rounds used by the registered queries; the library default is the
-# original 150 (see ml.recovery), which only changes the fit time.
-QUERY_BOOST_ROUNDS = 20
 _MODELS: dict = {}
 
 
 def models_for(spark, sf_dir):
     key = (id(spark), sf_dir)
     if key not in _MODELS:  # fitted once per session and folder; session held
-        _MODELS[key] = (spark, INTEL.fit_models(_t(spark, sf_dir), max_iter=QUERY_BOOST_ROUNDS))
+        _MODELS[key] = (spark, INTEL.fit_models(_t(spark, sf_dir)))
     return _MODELS[key][1]
 
 
@@ -509,6 +506,15 @@ def _d4(spark, sf_dir):
     return INTEL.event_intelligence(_t(spark, sf_dir), models_for(spark, sf_dir))
 
 
+@register("event_intelligence_for_ids")
+def _d4_ids(spark, sf_dir):
+    """D4 + J7 for the events that replays and customers ask about; ids without features get the fallback row."""
+    t = _t(spark, sf_dir)
+    ids = (t.replays.select("event_id")
+           .unionByName(t.users.select(F.concat(F.lit("evt_of_"), "user_id").alias("event_id"))))
+    return INTEL.event_intelligence(t, models_for(spark, sf_dir), ids)
+
+
 @register("event_analysis_report")
 def _r2(spark, sf_dir):
     t = _t(spark, sf_dir)

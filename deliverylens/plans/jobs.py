@@ -2,24 +2,29 @@
 
 Store layout under ``base`` (a folder in shared storage):
 
-* ``<table>/version=<n>/``: what batch ``n`` wrote to the table -- only
-  the new rows for the append-only tables (events, attempts, replays), a
-  full snapshot for ``endpoints`` (its rows are updated in place);
-* ``_commits/``: one row per committed batch (version, tables, time).
-
-A batch writes all its table versions first and then appends its commit
-row, so readers (who filter on committed versions, a partition-pruned scan)
-see a batch whole or not at all -- the original commits per event and can
-leave half an upload behind.  A crashed batch leaves uncommitted folders
-that the next batch overwrites.  Merges are idempotent (anti joins on keys,
-key-derived ids), so re-running a batch, or a streaming micro-batch
-replayed after a failure, adds nothing.
+* ``<table>/batch=<id>/``: what one batch wrote to the table -- only the
+  new rows for the append-only tables (events, attempts, replays, rejects),
+  a full snapshot for ``endpoints`` (its rows are updated in place);
+* ``_commits/<number>.json``: one file per committed version, a line for each
+  table with the batch that wrote it.
+
+A batch reads the store at some version, writes its tables under an id of
+its own, and then creates the next commit file.  Creating a file that exists
+fails, so of two writers that read the same version one commits and the
+other gets :class:`ConcurrentCommit`; it reruns its batch on the new state.
+Readers take only batches that a commit file names *for that table* (a
+partition-pruned scan): a batch is visible whole or not at all, and folders
+left by a crash are never read.  Merges are idempotent (anti joins on keys,
+key-derived ids), so re-running a batch, or a micro-batch replayed after a
+failure, adds nothing.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +35,16 @@ from ..operators import ingest as M
 from ..sources import files as FILES
 from ..tables import Tables
 
-APPEND_TABLES = ["webhook_events", "delivery_attempts", "replay_actions"]
+APPEND_TABLES = ["webhook_events", "delivery_attempts", "replay_actions", "rejects"]
 SNAPSHOT_TABLES = ["endpoints"]
 SCHEMAS = {"webhook_events": S.WEBHOOK_EVENTS, "delivery_attempts": S.DELIVERY_ATTEMPTS,
-           "replay_actions": S.REPLAY_ACTIONS, "endpoints": S.ENDPOINTS, "users": S.USERS}
+           "replay_actions": S.REPLAY_ACTIONS, "endpoints": S.ENDPOINTS, "users": S.USERS, "rejects": S.REJECTS}
 COMMITS = "_commits"
-COMMIT_SCHEMA = "version long, table_name string, committed_at timestamp"
+COMMIT_SCHEMA = "version long, table_name string, batch string, committed_at string"
+
+
+class ConcurrentCommit(RuntimeError):
+    """Another batch has committed since this one read the store."""
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -43,15 +52,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def commits(spark: SparkSession, base: str) -> DataFrame:
+    """One row per committed version and table."""
     p = os.path.join(base, COMMITS)
-    return spark.read.parquet(p) if _exists(spark, p) else spark.createDataFrame([], COMMIT_SCHEMA)
+    if not _exists(spark, p):
+        return spark.createDataFrame([], COMMIT_SCHEMA)
+    return spark.read.schema(COMMIT_SCHEMA).json(p)
 
 
-def _last_version(spark: SparkSession, base: str, table: str | None = None) -> int:
-    c = commits(spark, base)
-    if table:
-        c = c.where(F.col("table_name") == table)
-    v = c.agg(F.max("version")).first()[0]  # a single number from a tiny log
+def last_version(spark: SparkSession, base: str) -> int:
+    """The highest commit number taken, -1 in an empty store."""
+    p = os.path.join(base, COMMITS)
+    if not _exists(spark, p):
+        return -1
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(p).select("path")
+    v = names.agg(F.max(F.regexp_extract("path", r"(\d+)\.json$", 1).cast("long"))).first()[0]  # a single number
     return -1 if v is None else int(v)
 
 
@@ -59,14 +73,13 @@ def read_table(spark: SparkSession, base: str, table: str) -> DataFrame:
     """The committed state of a table (empty with its schema if none)."""
     schema = SCHEMAS[table]
     path = os.path.join(base, table)
-    committed = _last_version(spark, base, table)
-    if committed < 0 or not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    df = spark.read.parquet(path)
+    log = commits(spark, base).where(F.col("table_name") == table)
     if table in SNAPSHOT_TABLES:
-        df = df.where(F.col("version") == committed)
-    else:
-        df = df.where(F.col("version") <= committed)
+        log = log.orderBy(F.desc("version")).limit(1)
+    if not _exists(spark, path) or not log.limit(1).count():
+        return spark.createDataFrame([], schema)
+    df = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string"))
+    df = df.join(log.select("batch"), "batch", "left_semi")
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
@@ -78,25 +91,33 @@ def read_tables(spark: SparkSession, base: str, users: DataFrame | None = None)
                   replays=read_table(spark, base, "replay_actions"))
 
 
-def commit_batch(spark: SparkSession, base: str, writes: dict[str, DataFrame]) -> int:
-    """Write each table's new version, then append the commit rows."""
-    version = _last_version(spark, base) + 1
+def commit_batch(spark: SparkSession, base: str, writes: dict[str, DataFrame], seen: int | None = None) -> tuple[int, str]:
+    """Write each table's rows under a new batch id, then create the commit
+    file after ``seen`` (the version the batch read); returns (version, batch)."""
+    seen = last_version(spark, base) if seen is None else seen
+    batch = f"b{uuid.uuid4().hex}"
     for table, df in writes.items():
         schema = SCHEMAS[table]
         out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-        out.write.mode("overwrite").parquet(os.path.join(base, table, f"version={version}"))
-    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    log = spark.createDataFrame([(version, t, now) for t in writes], COMMIT_SCHEMA)
-    log.write.mode("append").parquet(os.path.join(base, COMMITS))
-    return version
+        out.write.mode("errorifexists").parquet(os.path.join(base, table, f"batch={batch}"))
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
+    lines = [json.dumps({"version": seen + 1, "table_name": t, "batch": batch, "committed_at": now}) for t in writes]
+    if not FILES.create_file(spark, os.path.join(base, COMMITS, f"{seen + 1:012d}.json"), "\n".join(lines) + "\n"):
+        raise ConcurrentCommit(f"version {seen + 1} was committed by another batch; run this one again")
+    return seen + 1, batch
 
 
 def _order(df: DataFrame) -> Column:
     if "ord" in df.columns:
         return F.col("ord")
-    if {"attempted_at", "attempt_id"} <= set(df.columns):
-        return F.struct("attempted_at", "attempt_id")
-    return F.monotonically_increasing_id()
+    # rows without a position: their own content orders them, so the result depends on nothing else
+    return F.struct(*[F.col(c).cast("string") for c in sorted(df.columns)])
+
+
+def _load_time(load_ts: dt.datetime | None) -> Column:
+    """The ingest time given to rows that carry none (one value for the whole batch)."""
+    at = load_ts or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def check_uploaders(uploaders: DataFrame, users: DataFrame | None) -> None:
@@ -110,81 +131,106 @@ def check_uploaders(uploaders: DataFrame, users: DataFrame | None) -> None:
         raise ValueError(f"unknown user_id in upload: {[r.user_id for r in unknown]}")
 
 
+def _rejected(rows: DataFrame, source: str, reason: Column, load_ts: Column) -> DataFrame:
+    """Rejected rows as data: reason and the row's own text."""
+    body = F.to_json(F.struct(*[F.col(c) for c in rows.columns if not c.startswith("_") and c not in ("ord", "reject_reason")]))
+    if FILES.CORRUPT in rows.columns:
+        body = F.coalesce(F.col(FILES.CORRUPT), body)
+    return rows.select(F.lit(source).alias("source"), reason.alias("reason"), body.alias("body"), "user_id",
+                       load_ts.alias("rejected_at"))
+
+
 def ingest_csv_batch(spark: SparkSession, raw: DataFrame, base: str, user_id: str | None = None,
-                     users: DataFrame | None = None) -> DataFrame:
+                     users: DataFrame | None = None, mode: str = "strict",
+                     load_ts: dt.datetime | None = None) -> DataFrame:
     """M11 (CSV path) on a frame of text rows: S3 -> M6 -> M2 -> M3 -> M4,
-    committed as one batch; returns the M9 report.  With ``users`` given,
-    an upload by an unknown tenant is rejected before anything is written."""
+    committed as one batch; returns the M9 report.  The uploading tenant is
+    ``user_id`` or, without it, the rows' own ``user_id`` column.  With
+    ``users`` given, an upload by an unknown tenant is rejected before
+    anything is written.  ``mode`` is M5's; ``load_ts`` dates rows without a
+    time.  Rejected rows go to the ``rejects`` table."""
+    if user_id is None and "user_id" not in raw.columns:
+        raise ValueError("an upload needs a user_id")
     rows = raw.withColumn("_ord", _order(raw))
-    if "user_id" not in rows.columns:
-        rows = rows.withColumn("user_id", F.lit(user_id))
-    elif user_id is not None:
+    if user_id is not None:
         rows = rows.withColumn("user_id", F.lit(user_id))
     check_uploaders(rows, users)
+    seen, now = last_version(spark, base), _load_time(load_ts)
     typed = M.coerce_attempts(rows)
     valid = typed.where(F.col("is_valid"))
     first = M.first_row_per_event(valid, F.col("_ord"))
     stored = read_tables(spark, base)
     endpoints = M.insert_endpoints_if_absent(stored.endpoints, first, F.col("user_id"))
-    events = M.insert_events_if_absent(stored.events, valid, F.col("_ord"))
-    att_rows = first.withColumn(
-        "attempt_id", surrogate_id("att", "event_id", "attempt_number", "_ord"))
-    new_attempts = M.insert_attempts_if_absent(stored.attempts, att_rows, F.col("_ord"))
-    new_attempts = new_attempts.withColumn("attempted_at", F.lit(None).cast("timestamp_ntz")) \
-        if "attempted_at" not in new_attempts.columns else \
-        new_attempts.withColumn("attempted_at", F.col("attempted_at").cast("timestamp_ntz"))
-    new_attempts = new_attempts.persist()
+    events = M.insert_events_if_absent(stored.events, valid, F.col("_ord"), load_ts=now)
+    given = F.col("attempted_at").try_cast("timestamp_ntz") if "attempted_at" in first.columns else F.lit(None).cast("timestamp_ntz")
+    att_rows = first.withColumn("attempted_at", F.coalesce(given, now))
+    new_attempts = M.insert_attempts_if_absent(stored.attempts, att_rows, F.col("_ord"), mode=mode)
+    # ids from the key and, among rows repeated under it (mode "reference"), their rank in input order
+    new_attempts = M.with_attempt_ids(new_attempts, F.col("_ord")).persist()
+    reason = F.when(F.col("event_id").isNull(), "missing:event_id").otherwise("bad:attempt_number")
+    rejects = _rejected(M.coerced_beside_text(rows).where(~F.col("is_valid")).drop("is_valid"), "csv", reason, now)
     try:
         report = M.ingest_report(typed, new_attempts).collect()  # one row
         commit_batch(spark, base, {
             "endpoints": endpoints,
             "webhook_events": events.where(F.col("inserted")),
             "delivery_attempts": new_attempts,
-        })
+            "rejects": rejects,
+        }, seen)
     finally:
         new_attempts.unpersist()
     return spark.createDataFrame(report)
 
 
-def ingest_json_batch(spark: SparkSession, docs: DataFrame, base: str,
-                      users: DataFrame | None = None) -> DataFrame:
+def ingest_json_batch(spark: SparkSession, docs: DataFrame, base: str, user_id: str,
+                      users: DataFrame | None = None, mode: str = "strict",
+                      load_ts: dt.datetime | None = None) -> DataFrame:
     """M11 (document path) on parsed documents: S5 -> M1 -> M3 -> M8 ->
     M4 -> M7, committed as one batch; returns per-table row counts plus
-    the number of rejected documents."""
-    check_uploaders(docs, users)
+    the number of rejected documents.  Every row gets the uploading tenant
+    ``user_id``; rejected documents go to the ``rejects`` table."""
+    if user_id is None:
+        raise ValueError("an upload needs a user_id")
+    docs = docs.withColumn("user_id", F.lit(user_id))
+    check_uploaders(spark.createDataFrame([(user_id,)], "user_id string"), users)
+    seen, now = last_version(spark, base), _load_time(load_ts)
     corrupt = FILES.CORRUPT if FILES.CORRUPT in docs.columns else None
     ok, rejects = M.validate_logs(docs, corrupt)
     first = F.element_at("delivery_attempts", 1)
+    # equal first attempts: the document's own text decides
     order = F.struct(first["attempted_at"].try_cast("timestamp_ntz"), first["attempt_id"],
-                     F.monotonically_increasing_id())
+                     F.to_json(F.struct("event_id", "event_type", "customer_id", "endpoint", "delivery_attempts", "replay_history")))
     ok = ok.withColumn("_ord", order)
     stored = read_tables(spark, base)
     endpoints = M.upsert_endpoints(stored.endpoints, ok, F.col("_ord")).drop("change")
     ev_rows = ok.select("event_id", "event_type", "customer_id", "user_id", "_ord")
-    events = M.insert_events_if_absent(stored.events, ev_rows, F.col("_ord"))
+    events = M.insert_events_if_absent(stored.events, ev_rows, F.col("_ord"), load_ts=now)
     att = M.explode_attempts(ok).withColumn("_ord", F.struct("attempted_at", "attempt_id", "doc_pos"))
-    new_attempts = M.insert_attempts_if_absent(stored.attempts, att, F.col("_ord"))
-    new_replays = (M.expand_replays(ok).withColumn("replayed_at", F.lit(None).cast("timestamp_ntz"))
+    new_attempts = M.insert_attempts_if_absent(stored.attempts, att, F.col("_ord"), mode=mode)
+    new_attempts = new_attempts.withColumn("attempted_at", F.coalesce("attempted_at", now))
+    new_replays = (M.dedupe_replays(M.expand_replays(ok, ["_ord"]), F.col("_ord"))
+                   .withColumn("replayed_at", now)
                    .join(stored.replays.select("replay_id"), "replay_id", "left_anti"))
-    version = commit_batch(spark, base, {
+    _, batch = commit_batch(spark, base, {
         "endpoints": endpoints,
         "webhook_events": events.where(F.col("inserted")),
         "delivery_attempts": new_attempts,
         "replay_actions": new_replays,
-    })
-    counts = [(t, spark.read.parquet(os.path.join(base, t, f"version={version}")).count())
-              for t in ["webhook_events", "delivery_attempts", "replay_actions"]]
-    counts.append(("rejected_documents", rejects.count()))
+        "rejects": _rejected(rejects, "json", F.col("reject_reason"), now),
+    }, seen)
+    counts = [(name, spark.read.parquet(os.path.join(base, t, f"batch={batch}")).count())
+              for t, name in [("webhook_events", "webhook_events"), ("delivery_attempts", "delivery_attempts"),
+                              ("replay_actions", "replay_actions"), ("rejects", "rejected_documents")]]
     return spark.createDataFrame(counts, "item string, n long")
 
 
-def ingest_csv_job(spark: SparkSession, path: str, base: str, user_id: str,
-                   users: DataFrame | None = None) -> DataFrame:
-    """S1 + S2 + M11: read an upload (file or folder) and ingest it."""
-    return ingest_csv_batch(spark, FILES.read_attempts_csv(spark, path), base, user_id, users)
+def ingest_csv_job(spark: SparkSession, path: str | list[str], base: str, user_id: str,
+                   users: DataFrame | None = None, **options) -> DataFrame:
+    """S1 + S2 + M11: read an upload (file, folder or list of files) and ingest it."""
+    return ingest_csv_batch(spark, FILES.read_attempts_csv(spark, path), base, user_id, users, **options)
 
 
-def ingest_json_job(spark: SparkSession, path: str, base: str, multiline: bool = True,
-                    users: DataFrame | None = None) -> DataFrame:
+def ingest_json_job(spark: SparkSession, path: str, base: str, user_id: str, multiline: bool = True,
+                    users: DataFrame | None = None, **options) -> DataFrame:
     """S4 + M11: read log documents and ingest them."""
-    return ingest_json_batch(spark, FILES.read_logs_json(spark, path, multiline), base, users)
+    return ingest_json_batch(spark, FILES.read_logs_json(spark, path, multiline), base, user_id, users, **options)

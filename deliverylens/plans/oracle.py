@@ -18,6 +18,12 @@ def avgx(x: str) -> str:
     return f"(cast(sum(cast({x} as decimal(38,6))) as double) / nullif(cast(count({x}) as double), 0))"
 
 
+def sid(prefix: str, *keys: str) -> str:
+    """Key-derived id: md5 over each key written as length:text, '~' for null."""
+    parts = " || ".join(f"coalesce(cast(length({k}) as varchar) || ':' || {k}, '~')" for k in keys)
+    return f"concat('{prefix}_', md5({parts}))"
+
+
 def r4(x: str) -> str:
     return f"round(({x}) * 10000.0) / cast(10000 as double)"
 
@@ -297,13 +303,14 @@ dup AS (
          AS is_duplicate
   FROM webhook_events),
 st AS (
-  SELECT p.event_id, f.fc,
+  SELECT coalesce(p.event_id, d.event_id) AS event_id, f.fc,
          case when coalesce(d.is_duplicate, false) then 'duplicate'
+              when p.event_id IS NULL then 'retrying'
               when p.last_success = 1 and p.n_attempts = 1 then 'delivered'
               when p.last_success = 1 then 'recovered'
               when p.all_not_found = 1 then 'expired'
               else 'failed' end AS delivery_state
-  FROM per p LEFT JOIN first_fail f ON p.event_id = f.event_id LEFT JOIN dup d ON p.event_id = d.event_id),
+  FROM per p FULL JOIN dup d ON p.event_id = d.event_id LEFT JOIN first_fail f ON p.event_id = f.event_id),
 outcome AS (
   SELECT event_id, delivery_state,
          case when delivery_state = 'duplicate' then 'duplicate_event'
@@ -392,12 +399,12 @@ WHERE p.position > 0 AND p.position <= 5""", FEATURE_CTES)
 
 SQL["event_timeline"] = q(f"""
 SELECT e.event_id, e.event_type, e.created_at, da.attempt_number, da.attempt_id, da.http_status,
-       da.response_time_ms, da.timeout, {SUCCESS} AS is_success,
-       case when coalesce(da.timeout, false) then 'Connection timed out'
+       da.response_time_ms, da.timeout, case when da.event_id IS NOT NULL then {SUCCESS} end AS is_success,
+       case when da.event_id IS NULL then NULL when coalesce(da.timeout, false) then 'Connection timed out'
             when da.response_time_ms IS NULL then 'Response time unknown'
             else concat('Response in ', cast(cast(round(da.response_time_ms) as bigint) as varchar), 'ms') end
          AS detail
-FROM webhook_events e JOIN delivery_attempts da ON e.event_id = da.event_id""")
+FROM webhook_events e LEFT JOIN delivery_attempts da ON e.event_id = da.event_id""")
 
 INSTABILITY_CTE = f"""
 inst AS ({SQL['endpoint_instability'].split(PRE, 1)[1]}),
@@ -487,8 +494,8 @@ csv_rows AS (
   FROM delivery_attempts da LEFT JOIN webhook_events e ON da.event_id = e.event_id),
 coerced AS (
   SELECT event_id, event_type, customer_id, endpoint_id,
-         cast(floor(try_cast(attempt_number as double)) as integer) AS attempt_number,
-         coalesce(cast(floor(try_cast(http_status as double)) as integer), 500) AS http_status,
+         cast(trunc(try_cast(attempt_number as double)) as integer) AS attempt_number,
+         coalesce(cast(trunc(try_cast(http_status as double)) as integer), 500) AS http_status,
          coalesce(try_cast(response_time_ms as double), 1000.0) AS response_time_ms,
          coalesce(lower(timeout) = 'true', false) AS timeout,
          coalesce(lower(signature_valid) = 'true', false) AS signature_valid,
@@ -536,7 +543,7 @@ SQL["insert_events_if_absent"] = q("""
 SELECT event_id, event_type, customer_id, invoice_id, payload_size_kb, idempotency_key, priority, user_id,
        created_at, false AS inserted FROM stored_ev
 UNION ALL
-SELECT f.event_id, f.event_type, f.customer_id, NULL, 250.0, concat('idem_', substr(md5(f.event_id), 1, 8)),
+SELECT f.event_id, f.event_type, f.customer_id, NULL, 250.0, concat('idem_', md5(f.event_id)),
        'medium', f.uploader, NULL, true
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY attempted_at, attempt_id) AS rn
                      FROM coerced WHERE event_id IS NOT NULL) WHERE rn = 1) f
@@ -556,10 +563,9 @@ FROM coerced""", CSV_CTES)
 
 SQL["backfill_tenant"] = q("SELECT attempt_id, coalesce(user_id, 'user_1') AS user_id FROM delivery_attempts")
 
-SQL["with_surrogate_id"] = q("""
+SQL["with_surrogate_id"] = q(f"""
 SELECT attempt_id,
-       concat('att_', substr(md5(concat_ws('-', event_id, cast(attempt_number as varchar), attempt_id)), 1, 16))
-         AS surrogate_id
+       {sid('att', 'event_id', 'cast(attempt_number as varchar)', 'attempt_id')} AS surrogate_id
 FROM delivery_attempts""")
 
 DOC_CTES = f"""
@@ -614,8 +620,8 @@ SELECT attempt_id, event_id, ep_endpoint_id AS endpoint_id, attempt_number, http
        cast(attempted_at as timestamp) AS attempted_at, 0 AS doc_pos
 FROM valid_docs""", DOC_CTES)
 
-SQL["expand_replays"] = q("""
-SELECT concat('rep_', substr(md5(concat_ws('-', d.event_id, cast(g.i as varchar))), 1, 16)) AS replay_id,
+SQL["expand_replays"] = q(f"""
+SELECT {sid('rep', 'd.event_id', 'cast(g.i as varchar)')} AS replay_id,
        d.event_id, case when d.http_status >= 400 then 'failed' else 'success' end AS replay_result,
        coalesce(d.duplicate_detected, false) AS duplicate_detected,
        coalesce(d.manually_triggered, false) AS manually_triggered, d.user_id
@@ -647,14 +653,21 @@ stored_eps AS (SELECT * FROM endpoints
 # ---------------------------------------------------------------------------
 # data quality
 # ---------------------------------------------------------------------------
-_KEYS = [("users", ["user_id"]), ("users", ["email"]), ("webhook_events", ["event_id"]),
-         ("webhook_events", ["idempotency_key"]), ("endpoints", ["endpoint_id"]),
-         ("delivery_attempts", ["attempt_id"]), ("delivery_attempts", ["event_id", "attempt_number"]),
-         ("replay_actions", ["replay_id"])]
-SQL["key_violations"] = q("\nUNION ALL\n".join(
-    f"SELECT '{tb}' AS table_name, '{','.join(ks)}' AS key_columns, "
-    f"concat_ws('|', {', '.join(f'cast({k} as varchar)' for k in ks)}) AS key_value, count(*) AS n_rows "
-    f"FROM {tb} GROUP BY {', '.join(ks)} HAVING count(*) > 1" for tb, ks in _KEYS))
+_KEYS = [("users", ["user_id"], True), ("users", ["email"], False), ("webhook_events", ["event_id"], True),
+         ("webhook_events", ["idempotency_key"], False), ("endpoints", ["endpoint_id"], True),
+         ("delivery_attempts", ["attempt_id"], True), ("delivery_attempts", ["event_id", "attempt_number"], False),
+         ("replay_actions", ["replay_id"], True)]
+
+
+def _key_sql(table: str, keys: list[str], primary: bool) -> str:
+    anynull = " OR ".join(f"{k} IS NULL" for k in keys)
+    value = ", ".join(f"coalesce(cast({k} as varchar), '<null>')" for k in keys)
+    where = "" if primary else f"WHERE NOT ({anynull}) "
+    return (f"SELECT '{table}' AS table_name, '{','.join(keys)}' AS key_columns, concat_ws('|', {value}) AS key_value, "
+            f"count(*) AS n_rows FROM {table} {where}GROUP BY {', '.join(keys)} HAVING count(*) > 1 OR {anynull}")
+
+
+SQL["key_violations"] = q("\nUNION ALL\n".join(_key_sql(*k) for k in _KEYS))
 
 _FKS = [("delivery_attempts", "event_id", "webhook_events", "event_id"),
         ("delivery_attempts", "endpoint_id", "endpoints", "endpoint_id"),
@@ -675,5 +688,5 @@ FROM (SELECT event_id, idempotency_key, created_at,
              count(*) OVER (PARTITION BY idempotency_key) AS group_size,
              first_value(event_id) OVER (PARTITION BY idempotency_key ORDER BY created_at, event_id) AS first_event_id,
              min(created_at) OVER (PARTITION BY idempotency_key) AS first_created_at
-      FROM webhook_events) t
+      FROM webhook_events WHERE idempotency_key IS NOT NULL) t
 WHERE group_size > 1""")

@@ -12,46 +12,7 @@ from pyspark.sql import types as T
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the behaviour being reproduced; natural order)
 # ---------------------------------------------------------------------------
-EVENT_TYPES = [
-    "invoice.created",
-    "invoice.validated",
-    "invoice.rejected",
-    "invoice.paid",
-    "compliance.submitted",
-    "compliance.failed",
-]
 PRIORITIES = ["low", "medium", "high", "critical"]
-RESPONSE_CATEGORIES = [
-    "success",
-    "invalid_signature",
-    "endpoint_not_found",
-    "rate_limited",
-    "server_error",
-    "timeout",
-    "payload_too_large",
-    "malformed_response",
-]
-DELIVERY_STATES = [
-    "delivered",
-    "retrying",
-    "failed",
-    "expired",
-    "duplicate",
-    "recovered",
-    "unsafe_to_replay",
-]
-FAILURE_REASONS = [
-    "none",
-    "customer_endpoint_down",
-    "invalid_signature",
-    "endpoint_deleted",
-    "rate_limited",
-    "payload_too_large",
-    "timeout",
-    "duplicate_event",
-    "replay_without_fix",
-    "malformed_response",
-]
 # response category -> HTTP status codes
 HTTP_STATUS_MAP = {
     "success": [200, 201],
@@ -63,9 +24,6 @@ HTTP_STATUS_MAP = {
     "payload_too_large": [413],
     "malformed_response": [520],
 }
-ENDPOINT_TYPES = ["production", "staging", "sandbox", "internal"]
-REPLAY_RESULTS = ["success", "failed", "recovered", "duplicate_processed", "unsafe"]
-
 # Columns an uploaded attempts CSV must carry, in the order they are checked.
 REQUIRED_CSV_COLUMNS = [
     "event_id",
@@ -157,6 +115,13 @@ DELIVERY_ATTEMPTS = T.StructType([
     T.StructField("attempted_at", T.TimestampNTZType()),
 ])
 
+# What the bulk files hold besides.
+BULK_ENDPOINTS = T.StructType(ENDPOINTS.fields + [T.StructField("last_config_change_at", T.TimestampNTZType())])
+BULK_DELIVERY_ATTEMPTS = T.StructType(DELIVERY_ATTEMPTS.fields + [
+    T.StructField("response_body_category", T.StringType()),
+    T.StructField("retry_scheduled", T.BooleanType()),
+])
+
 REPLAY_ACTIONS = T.StructType([
     T.StructField("replay_id", T.StringType()),
     T.StructField("event_id", T.StringType()),
@@ -167,6 +132,15 @@ REPLAY_ACTIONS = T.StructType([
     T.StructField("replayed_at", T.TimestampNTZType()),
 ])
 
+# Upload rows and documents that were not taken, with the reason and their text.
+REJECTS = T.StructType([
+    T.StructField("source", T.StringType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("body", T.StringType()),
+    T.StructField("user_id", T.StringType()),
+    T.StructField("rejected_at", T.TimestampNTZType()),
+])
+
 # Raw delivery-log document (one upload request).  ``attempt_id`` is an
 # optional client id we accept in addition; it fixes input order and makes
 # re-delivery of the same document idempotent.

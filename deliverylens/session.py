@@ -7,7 +7,7 @@ iterative jobs a shared checkpoint folder.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,9 +38,8 @@ def build_session(master: str = "local[8]", app: str = "deliverylens",
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", "16g")
-    # Local runs have no cluster-named shared folder: take a fresh one.
-    conf.setdefault("spark.checkpoint.dir",
-                    tempfile.mkdtemp(prefix="deliverylens-ckpt-", dir="/tmp"))
+    if master.startswith("local["):  # one JVM: no cluster names a shared folder, take a fresh one
+        conf.setdefault("spark.checkpoint.dir", tempfile.mkdtemp(prefix="deliverylens-ckpt-", dir="/tmp"))
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -55,11 +54,14 @@ _LOCAL_FALLBACK: list[str] = []
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is
-    unset (tests, a bare local session) do we take a fresh temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session
+    (driver and executors in one JVM, as in tests) without that setting gets
+    a fresh temporary folder; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         if not _LOCAL_FALLBACK:
             _LOCAL_FALLBACK.append(tempfile.mkdtemp(prefix="deliverylens-ckpt-", dir="/tmp"))

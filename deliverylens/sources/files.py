@@ -7,8 +7,10 @@ commit, so a failed task or executor leaves no partial output.
 
 from __future__ import annotations
 
+import csv
 import os
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,25 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file, on any storage Spark can write; False if it exists
+    (the file system's create-without-overwrite decides between two writers)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        return False
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError:
+        if fs.exists(p):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def require_columns(columns: list[str], required: list[str] | None = None) -> None:
     """Raise naming the first missing required column, in list order."""
     for c in required or S.REQUIRED_CSV_COLUMNS:
@@ -34,19 +55,40 @@ def require_columns(columns: list[str], required: list[str] | None = None) -> No
             raise ValueError(f"Missing required column: {c}")
 
 
-def read_attempts_csv(spark: SparkSession, path: str) -> DataFrame:
+def csv_headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Header line -> the files that start with it.  One row per file reaches
+    the driver; lines are reduced to each file's first in the map tasks."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("pos"))
+    out: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", "pos").alias("header")).collect():
+        out.setdefault(r.header, []).append(r.file)
+    return out
+
+
+def read_attempts_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """S1 + S2: flat attempt CSV(s) with a header, every column as text.
 
-    The header is checked first (only the header line is read); columns
-    beyond the required nine pass through.  ``ord`` is the row's input
-    position (file name, then position within the file split).
+    Every file's own header is checked and its columns are taken by name, so
+    files of one folder may order them differently or add some (null in the
+    other files).  ``ord`` is the row's input position (file, place of the
+    split in the file, place in the split).
     """
-    header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
-    require_columns(header)
-    ddl = ", ".join(f"`{c}` string" for c in header)
-    df = spark.read.option("header", True).schema(ddl).csv(path)
-    return df.withColumn("ord", F.struct(F.col("_metadata.file_path").alias("file"),
-                                         F.monotonically_increasing_id().alias("pos")))
+    headers = csv_headers(spark, path)
+    if not headers:
+        raise ValueError(f"no CSV lines under {path}")
+    out = None
+    for header, files in sorted(headers.items()):
+        columns = next(csv.reader([header]))
+        require_columns(columns)
+        ddl = ", ".join(f"`{c}` string" for c in columns)
+        df = spark.read.option("header", True).schema(ddl).csv(path if len(headers) == 1 else files)
+        df = df.withColumn("ord", F.struct(F.col("_metadata.file_path").alias("file"),
+                                           F.col("_metadata.file_block_start").alias("block"),
+                                           F.monotonically_increasing_id().alias("pos")))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def read_logs_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -89,9 +131,9 @@ def load_jdbc_table(spark: SparkSession, url: str, table: str, partition_column:
 
 # Bulk files, in foreign-key order (endpoints before events before attempts).
 BULK_FILES = [
-    ("endpoints", "endpoints.csv", S.ENDPOINTS),
+    ("endpoints", "endpoints.csv", S.BULK_ENDPOINTS),
     ("webhook_events", "webhook_events.csv", S.WEBHOOK_EVENTS),
-    ("delivery_attempts", "delivery_attempts.csv", S.DELIVERY_ATTEMPTS),
+    ("delivery_attempts", "delivery_attempts.csv", S.BULK_DELIVERY_ATTEMPTS),
     ("replay_actions", "replay_actions.csv", S.REPLAY_ACTIONS),
 ]
 
@@ -137,9 +179,10 @@ def write_features(df: DataFrame, path: str, fmt: str = "csv") -> None:
         w.parquet(path)
 
 
-def read_features(spark: SparkSession, path: str, fmt: str = "csv", schema=None) -> DataFrame:
-    """Read features back; booleans become 0/1 ints; leak and id columns
-    are dropped where present (missing ones are ignored)."""
+def read_features(spark: SparkSession, path: str, fmt: str = "csv", schema=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Read features back; booleans become 0/1 ints; the model's leak and
+    id columns are dropped where present (missing ones are ignored), except
+    those in ``keep`` (the label, or ids for a split)."""
     if fmt == "csv":
         r = spark.read.option("header", True)
         df = r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
@@ -148,7 +191,7 @@ def read_features(spark: SparkSession, path: str, fmt: str = "csv", schema=None)
     for f in df.schema.fields:
         if f.dataType.typeName() == "boolean":
             df = df.withColumn(f.name, F.col(f.name).cast("int"))
-    return df
+    return df.drop(*[c for c in S.MODEL_LEAK_COLUMNS + S.MODEL_ID_COLUMNS if c not in keep])
 
 
 def export_report(df: DataFrame, path: str) -> None:

@@ -96,38 +96,9 @@ SOURCES = {
 }
 
 
-# Key of each large source, used to spread a scan that plans too few splits.
-SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
-
-
-_SPLITS: dict[str, int] = {}  # planned scan splits per source path, per process
-
-
-def _splits(df: DataFrame, path: str) -> int:
-    if path not in _SPLITS:
-        _SPLITS[path] = df.rdd.getNumPartitions()  # plans the scan, runs no job
-    return _SPLITS[path]
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    key = SPREAD_KEYS.get(name)
-    if key is not None:
-        # A file written as one row group is one split, so everything up to
-        # the first shuffle would run in a single task.  Only then, hash-
-        # spread the scan by its key over the cluster's cores (deterministic
-        # on retry).  Large inputs plan thousands of splits and get nothing
-        # added.  Counting splits plans the scan; it runs no job.
-        cores = spark.sparkContext.defaultParallelism
-        if _splits(df, path) < cores:
-            df = df.repartition(cores, key)
-    return df
-
-
 def domain_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     src, exprs = SOURCES[table]
-    df = _read(spark, sf_dir, src).selectExpr(*exprs)
+    df = spark.read.parquet(os.path.join(sf_dir, f"{src}.parquet")).selectExpr(*exprs)
     if table == "users":
         # one row per tenant: a grouped distinct (partial aggregation first)
         df = df.dropDuplicates(["user_id", "name", "email"])

@@ -20,12 +20,14 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
 from ..functions import predicates as P
 from ..functions.scalars import avg_exact, round_to
 from ..session import checkpoint_dir
+from ..sources import files as FILES
 
 
 def endpoint_health_windows(attempts: DataFrame, window: str = "1 hour") -> DataFrame:
@@ -90,23 +92,29 @@ def stream_endpoint_health(spark: SparkSession, source: str, sink: str, checkpoi
     return w.start()
 
 
-def stream_ingest(spark: SparkSession, source: str, table_dir: str, fmt: str = "csv",
-                  checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """ST1: upload files (flat CSV or JSON documents) merged into the
-    parquet tables under ``table_dir`` one micro-batch at a time."""
+def stream_ingest(spark: SparkSession, source: str, table_dir: str, user_id: str, fmt: str = "csv",
+                  checkpoint: str | None = None, available_now: bool = True, mode: str = "strict") -> StreamingQuery:
+    """ST1: upload files (flat CSV or JSON documents) of the tenant
+    ``user_id`` merged into the parquet tables under ``table_dir`` one
+    micro-batch at a time.
+
+    CSV: the stream tells which files are new; the batch reader then checks
+    each file's header (S2) and takes its columns by name."""
     from ..plans import jobs
     if fmt == "csv":
-        reader = (spark.readStream.option("header", True)
-                  .schema(", ".join(f"`{c}` string" for c in S.REQUIRED_CSV_COLUMNS + ["attempted_at", "attempt_id"]))
-                  .csv(source))
+        reader = spark.readStream.text(source).select(F.col("_metadata.file_path").alias("file"))
     else:
-        reader = spark.readStream.schema(S.RAW_LOG).option("multiLine", True).json(source)
+        schema = T.StructType(S.RAW_LOG.fields + [T.StructField(FILES.CORRUPT, T.StringType())])
+        reader = (spark.readStream.schema(schema).option("multiLine", True)
+                  .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", FILES.CORRUPT).json(source))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         if fmt == "csv":
-            jobs.ingest_csv_batch(spark, batch, table_dir)
+            files = [r.file for r in batch.distinct().collect()]  # the micro-batch's files
+            if files:
+                jobs.ingest_csv_job(spark, sorted(files), table_dir, user_id, mode=mode)
         else:
-            jobs.ingest_json_batch(spark, batch, table_dir)
+            jobs.ingest_json_batch(spark, batch, table_dir, user_id, mode=mode)
 
     w = (reader.writeStream.foreachBatch(merge)
          .option("checkpointLocation", _ckpt(spark, f"ingest_{fmt}", checkpoint)))
@@ -114,11 +122,11 @@ def stream_ingest(spark: SparkSession, source: str, table_dir: str, fmt: str = "
     return w.start()
 
 
-def stream_ingest_csv(spark: SparkSession, source: str, table_dir: str, **kw) -> StreamingQuery:
+def stream_ingest_csv(spark: SparkSession, source: str, table_dir: str, user_id: str, **kw) -> StreamingQuery:
     """ST1 for flat CSV uploads."""
-    return stream_ingest(spark, source, table_dir, fmt="csv", **kw)
+    return stream_ingest(spark, source, table_dir, user_id, fmt="csv", **kw)
 
 
-def stream_ingest_json(spark: SparkSession, source: str, table_dir: str, **kw) -> StreamingQuery:
+def stream_ingest_json(spark: SparkSession, source: str, table_dir: str, user_id: str, **kw) -> StreamingQuery:
     """ST1 for JSON log documents."""
-    return stream_ingest(spark, source, table_dir, fmt="json", **kw)
+    return stream_ingest(spark, source, table_dir, user_id, fmt="json", **kw)

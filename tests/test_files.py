@@ -36,6 +36,8 @@ def test_bulk_load_in_fk_order(spark, scratch):
     t = FILES.load_parquet_tables(spark, out)
     a = t.attempts.orderBy("attempt_number").collect()
     assert (a[0].http_status, a[0].timeout, a[1].timeout) == (504, True, False)
+    assert (a[0].response_body_category, a[0].retry_scheduled, a[1].retry_scheduled) == ("timeout", True, False)
+    assert t.endpoints.first().last_config_change_at.year == 2024
     r = t.replays.first()
     assert r.replay_id.startswith("rep_") and r.manually_triggered is True
 
@@ -44,7 +46,8 @@ def test_features_roundtrip_and_report_export(spark, scratch):
     f = FE.select_model_columns(FE.event_features(load_tables(spark, SF0001)))
     path = os.path.join(scratch, "features")
     FILES.write_features(f, path)
-    back = FILES.read_features(spark, path, schema=f.schema)
+    assert "event_id" not in FILES.read_features(spark, path, schema=f.schema).columns
+    back = FILES.read_features(spark, path, schema=f.schema, keep=tuple(f.columns))
     assert back.count() == f.count()
     assert back.exceptAll(f).count() == 0
     ev = FE.event_features(load_tables(spark, SF0001))

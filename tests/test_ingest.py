@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DATA
+import uploads
 from deliverylens import schemas as S
 from deliverylens.functions.stats import exact_quantiles
 from deliverylens.operators import ingest as M
@@ -141,16 +141,16 @@ def test_quality_checks(spark):
 
 def test_csv_ingest_is_idempotent(spark, scratch):
     base = os.path.join(scratch, "store")
-    path = os.path.join(DATA, "sample.csv")
+    path = uploads.write(scratch, "many.csv")
     r1 = jobs.ingest_csv_job(spark, path, base, "user_1").first()
-    assert (r1.total_events, r1.events_processed, r1.attempts_inserted) == (74, 74, 130)
+    assert (r1.total_events, r1.events_processed, r1.attempts_inserted) == (48, 48, 120)
     r2 = jobs.ingest_csv_job(spark, path, base, "user_1").first()
     assert r2.attempts_inserted == 0
     t = jobs.read_tables(spark, base)
-    assert t.events.count() == 74 and t.attempts.count() == 130 and t.endpoints.count() == 6
+    assert t.events.count() == 48 and t.attempts.count() == 120 and t.endpoints.count() == 5
     ep = t.endpoints.first()
     assert (ep.avg_success_rate, ep.rate_limit_per_minute, ep.endpoint_url_type) == (0.9, 100, "custom")
-    ev = t.events.where("event_id = 'evt_bulk_d3ccd1bd'").first()
+    ev = t.events.where("event_id = 'w-b7'").first()
     assert (ev.payload_size_kb, ev.priority, ev.user_id) == (250.0, "medium", "user_1")
 
 
@@ -160,9 +160,9 @@ def test_json_ingest_is_idempotent(spark, scratch):
                 replays={"previous_replays": 2, "duplicate_detected": False, "manually_triggered": True}),
             doc("e2", [{"attempt_number": 1}])]
     p = write_docs(scratch, "docs.json", docs)
-    c1 = dict((r.item, r.n) for r in jobs.ingest_json_job(spark, p, base).collect())
+    c1 = dict((r.item, r.n) for r in jobs.ingest_json_job(spark, p, base, "u1").collect())
     assert c1 == {"webhook_events": 1, "delivery_attempts": 1, "replay_actions": 2, "rejected_documents": 1}
-    c2 = dict((r.item, r.n) for r in jobs.ingest_json_job(spark, p, base).collect())
+    c2 = dict((r.item, r.n) for r in jobs.ingest_json_job(spark, p, base, "u1").collect())
     assert c2["delivery_attempts"] == 0 and c2["replay_actions"] == 0 and c2["webhook_events"] == 0
 
 
@@ -177,9 +177,146 @@ def test_exact_quantiles_match_numpy(spark):
 
 def test_upload_by_unknown_user_is_rejected(spark, scratch):
     base = os.path.join(scratch, "store")
+    path = uploads.write(scratch, "steady.csv")
     users = spark.createDataFrame([("user_1", "A", "a@x")], S.USERS)
     with pytest.raises(ValueError, match="unknown user_id"):
-        jobs.ingest_csv_job(spark, os.path.join(DATA, "sample_upload.csv"), base, "user_404", users=users)
+        jobs.ingest_csv_job(spark, path, base, "user_404", users=users)
     assert jobs.read_tables(spark, base).attempts.count() == 0  # nothing written
-    r = jobs.ingest_csv_job(spark, os.path.join(DATA, "sample_upload.csv"), base, "user_1", users=users).first()
-    assert r.attempts_inserted == 5
+    r = jobs.ingest_csv_job(spark, path, base, "user_1", users=users).first()
+    assert r.attempts_inserted == 12
+
+
+def test_out_of_range_and_fractions(spark):
+    raw = spark.createDataFrame([("e", "t", "c", "ep", "-1.5", "99999999999", "5", "false", "true"),
+                                 ("e", "t", "c", "ep", "1e12", "nan", "5", "false", "true")], S.RAW_CSV)
+    a, b = M.coerce_attempts(raw).collect()
+    assert (a.attempt_number, a.http_status, a.is_valid) == (-1, 500, True)
+    assert (b.attempt_number, b.http_status, b.is_valid) == (None, 500, False)
+
+
+def test_columns_by_name_across_files(spark, scratch):
+    src = os.path.join(scratch, "in")
+    uploads.write(src, "steady.csv")
+    uploads.write(src, "bad_keys.csv", columns=uploads.HEADER[::-1] + ["note"])
+    df = FILES.read_attempts_csv(spark, src)
+    assert df.where("event_id like 'w-%'").count() == df.count() == 22
+    uploads.write(src, "slow.csv", columns=uploads.HEADER[:-1])
+    with pytest.raises(ValueError, match="signature_valid"):
+        FILES.read_attempts_csv(spark, src)
+
+
+def test_only_committed_batches_are_read(spark, scratch):
+    base = os.path.join(scratch, "store")
+    left = spark.createDataFrame([("r0", "e0", "success", False, False, "u", None)], S.REPLAY_ACTIONS)
+    left.write.parquet(os.path.join(base, "replay_actions", "batch=bcrashed"))  # a batch that never committed
+    jobs.ingest_csv_job(spark, uploads.write(scratch, "steady.csv"), base, "u1")
+    docs = [doc("e1", [{"attempt_number": 1, "http_status": 500}],
+                replays={"previous_replays": 1, "duplicate_detected": False, "manually_triggered": True})]
+    jobs.ingest_json_job(spark, write_docs(scratch, "d.json", docs), base, "u1")
+    t = jobs.read_tables(spark, base)
+    assert [r.event_id for r in t.replays.collect()] == ["e1"]
+    assert t.events.count() == 13 and t.endpoints.count() == 4
+
+
+def test_two_writers(spark, scratch):
+    base = os.path.join(scratch, "store")
+    ev = spark.createDataFrame([("e1",)], "event_id string").select(
+        *[(F.col("event_id") if f.name == "event_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in S.WEBHOOK_EVENTS.fields])
+    seen = jobs.last_version(spark, base)
+    jobs.commit_batch(spark, base, {"webhook_events": ev}, seen)
+    with pytest.raises(jobs.ConcurrentCommit):
+        jobs.commit_batch(spark, base, {"webhook_events": ev.withColumn("event_id", F.lit("e2"))}, seen)
+    assert [r.event_id for r in jobs.read_table(spark, base, "webhook_events").collect()] == ["e1"]
+
+
+def test_documents_take_the_uploader(spark, scratch):
+    base = os.path.join(scratch, "store")
+    d = doc("e1", [{"attempt_number": 1, "http_status": 200}])
+    del d["user_id"]
+    path = write_docs(scratch, "d.json", [d])
+    jobs.ingest_json_job(spark, path, base, "u7")
+    jobs.ingest_json_job(spark, path, base, "u7")
+    t = jobs.read_tables(spark, base)
+    assert {r.user_id for df in (t.events, t.attempts, t.endpoints) for r in df.collect()} == {"u7"}
+
+
+def test_replay_ids_stay_unique(spark, scratch):
+    base = os.path.join(scratch, "store")
+    h = {"previous_replays": 2, "duplicate_detected": False, "manually_triggered": True}
+    docs = [doc("e1", [{"attempt_number": k, "http_status": 500}], replays=h) for k in (1, 2)]
+    jobs.ingest_json_job(spark, write_docs(scratch, "d.json", docs), base, "u1")
+    rows = jobs.read_tables(spark, base).replays.collect()
+    assert len(rows) == len({r.replay_id for r in rows}) == 2
+
+
+def test_huge_replay_count_is_expanded_in_chunks(spark):
+    d = doc("e1", [{"attempt_number": 1, "http_status": 500}],
+            replays={"previous_replays": 2500, "duplicate_detected": False, "manually_triggered": True})
+    out = M.expand_replays(spark.createDataFrame([d], S.RAW_LOG))
+    assert out.select("replay_id").distinct().count() == out.count() == 2500
+
+
+def test_ids_do_not_depend_on_the_file(spark, scratch):
+    ids = []
+    for name, rows in (("many.csv", uploads.many()), ("other.csv", uploads.many()[::-1])):
+        base = os.path.join(scratch, name + "-store")
+        jobs.ingest_csv_job(spark, uploads.write(scratch, name, rows=rows), base, "u1")
+        ids.append({r.attempt_id for r in jobs.read_tables(spark, base).attempts.collect()})
+    assert ids[0] == ids[1] and len(ids[0]) == 120
+
+
+def test_rows_without_a_time_get_the_load_time(spark, scratch):
+    import datetime as dt
+    base, at = os.path.join(scratch, "store"), dt.datetime(2025, 5, 4, 3, 2, 1)
+    jobs.ingest_csv_job(spark, uploads.write(scratch, "steady.csv"), base, "u1", load_ts=at)
+    h = {"previous_replays": 1, "duplicate_detected": False, "manually_triggered": True}
+    jobs.ingest_json_job(spark, write_docs(scratch, "d.json", [doc("e1", [{"attempt_number": 1, "http_status": 500}], replays=h)]),
+                         base, "u1", load_ts=at)
+    t = jobs.read_tables(spark, base)
+    assert {r.created_at for r in t.events.collect()} == {at}
+    assert {r.attempted_at for r in t.attempts.collect()} == {at, dt.datetime(2024, 1, 1)}
+    assert {r.replayed_at for r in t.replays.collect()} == {at}
+
+
+def test_rejects_are_kept(spark, scratch):
+    base = os.path.join(scratch, "store")
+    rows = uploads.steady() + [["", "t", "c", "ep", "1", "200", "5", "False", "True"],
+                               ["w-x", "t", "c", "ep", "one", "200", "5", "False", "True"]]
+    jobs.ingest_csv_job(spark, uploads.write(scratch, "bad.csv", rows=rows), base, "u1")
+    jobs.ingest_json_job(spark, write_docs(scratch, "d.json", [doc("e2", [{"attempt_number": 1}])]), base, "u2")
+    got = {(r.source, r.reason, r.user_id) for r in jobs.read_table(spark, base, "rejects").collect()}
+    assert got == {("csv", "missing:event_id", "u1"), ("csv", "bad:attempt_number", "u1"),
+                   ("json", "missing:delivery_attempts.http_status", "u2")}
+
+
+def test_reference_mode_keeps_repeats_with_ids_of_their_own(spark, scratch):
+    base = os.path.join(scratch, "store")
+    jobs.ingest_csv_job(spark, uploads.write(scratch, "mixed.csv"), base, "u1", mode="reference")
+    rows = jobs.read_tables(spark, base).attempts.collect()
+    assert len(rows) == len({r.attempt_id for r in rows}) == 10
+
+
+def test_null_keys(spark):
+    from deliverylens.tables import Tables
+    empty = lambda s: spark.createDataFrame([], s)
+    ev = spark.createDataFrame([("e1", None), ("e2", None), (None, "k")], "event_id string, idempotency_key string")
+    users = spark.createDataFrame([("u1", "A", None), ("u2", "B", None)], S.USERS)
+    t = Tables(users=users, events=ev, endpoints=empty(S.ENDPOINTS), attempts=empty(S.DELIVERY_ATTEMPTS),
+               replays=empty(S.REPLAY_ACTIONS))
+    assert [(r.table_name, r.key_columns, r.key_value, r.n_rows) for r in M.key_violations(t).collect()] == \
+        [("webhook_events", "event_id", "<null>", 1)]
+    dup = M.duplicate_events(ev.withColumn("created_at", F.lit(None).cast("timestamp_ntz")))
+    assert dup.count() == 0
+
+
+def test_timeline_of_chosen_events_and_of_events_without_attempts(spark):
+    from conftest import SF0001
+    from deliverylens.operators import views as V
+    from deliverylens.sources.testdata import load_tables
+    t = load_tables(spark, SF0001)
+    whole = V.event_timeline(t)
+    assert whole.select("event_id").distinct().count() == t.events.count()
+    ids = t.events.select("event_id").orderBy("event_id").limit(5)
+    some = V.event_timeline(t, ids)
+    assert some.select("event_id").distinct().count() == 5
+    assert some.exceptAll(whole).count() == 0

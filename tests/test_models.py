@@ -16,11 +16,11 @@ def test_isolation_forest_ranks_planted_outliers(spark):
            [(f"o{i}", float(x), float(y)) for i, (x, y) in enumerate(outliers)]
     df = spark.createDataFrame(rows, "id string, a double, b double")
     nodes = IF.fit_isolation_forest(df, ["a", "b"], key=["id"], n_trees=50, sample_size=128)
-    scored = IF.score_isolation_forest(df, nodes, ["a", "b"], sample_size=128)
+    scored = IF.score_isolation_forest(df, nodes, ["a", "b"])
     top = [r.id for r in scored.orderBy(F.desc("anomaly_score")).limit(10).collect()]
     assert sum(t.startswith("o") for t in top) >= 9
     nodes2, th = IF.train_isolation_forest(df, ["a", "b"], key=["id"], n_trees=50, sample_size=128)
-    flagged = IF.score_anomaly(df, nodes2, th, ["a", "b"], sample_size=128)
+    flagged = IF.score_anomaly(df, nodes2, th, ["a", "b"])
     share = flagged.agg(F.avg(F.col("is_anomaly").cast("double"))).first()[0]
     assert abs(share - 0.05) < 0.01
     assert flagged.where("is_anomaly and anomaly_label <> -1").count() == 0
@@ -53,7 +53,7 @@ def test_forest_scores_match_naive_traversal(spark):
     pts = rng.normal(0, 1, size=(300, 3))
     df = spark.createDataFrame([(f"r{i}", *map(float, p)) for i, p in enumerate(pts)], "id string, a double, b double, c double")
     nodes = IF.fit_isolation_forest(df, ["a", "b", "c"], key=["id"], n_trees=7, sample_size=64)
-    got = {r.id: r.anomaly_score for r in IF.score_isolation_forest(df, nodes, ["a", "b", "c"], 64).collect()}
+    got = {r.id: r.anomaly_score for r in IF.score_isolation_forest(df, nodes, ["a", "b", "c"]).collect()}
     table = nodes.toPandas()
     trees = {t: g.set_index("node") for t, g in table.groupby("tree")}
 
@@ -68,3 +68,33 @@ def test_forest_scores_match_naive_traversal(spark):
     for i in range(0, 300, 37):
         mean = np.mean([path(trees[t], pts[i]) for t in trees])
         assert abs(got[f"r{i}"] - 2.0 ** (-mean / c)) < 1e-12
+
+
+def test_small_samples_are_normalised_by_their_own_size(spark):
+    df = spark.createDataFrame([(f"r{i}", float(i)) for i in range(20)], "id string, a double")
+    nodes = IF.fit_isolation_forest(df, ["a"], key=["id"], n_trees=5)
+    assert IF.Forest(nodes.toPandas()).c_psi == float(IF.c_factor(np.array([20]))[0])
+
+
+def test_whole_scorer_survives_save_and_load(spark, scratch):
+    from conftest import SF0001
+    from deliverylens.ml import intelligence as INTEL
+    from deliverylens.sources.testdata import load_tables
+    t = load_tables(spark, SF0001)
+    models = INTEL.fit_models(t, max_iter=2, n_trees=5, model_dir=f"{scratch}/scorer")
+    again = INTEL.load_models(spark.newSession(), f"{scratch}/scorer")
+    cols = ["event_id", "risk_score", "anomaly_score", "is_anomaly"]
+    rows = INTEL.FE.select_model_columns(INTEL.FE.features_per_event(t))
+    a = INTEL.score_events(rows, models).select(*cols)
+    b = INTEL.score_events(rows, again).select(*cols)
+    assert a.count() > 0 and a.exceptAll(b).count() == 0
+
+
+def test_unknown_ids_get_the_fallback_row(spark):
+    from deliverylens.ml.intelligence import with_fallback
+    decided = spark.createDataFrame([("e1", "delivered", "none", True, False, "none", 0.9, 0.0)],
+                                    "event_id string, delivery_state string, failure_reason string, safe_to_replay boolean, "
+                                    "is_anomaly boolean, recommended_action string, endpoint_health double, timeout_ratio double")
+    ids = spark.createDataFrame([("e1",), ("e9",), ("e9",)], "event_id string")
+    got = {r.event_id: (r.delivery_state, r.is_fallback) for r in with_fallback(ids, decided).collect()}
+    assert got == {"e1": ("delivered", False), "e9": ("failed", True)}

@@ -191,9 +191,9 @@ def test_tenant_filter_matches_full_result(spark):
         assert one.exceptAll(full).count() == 0
 
 
-def test_one_hot_seen_values(spark):
+def test_one_hot_declared_values(spark):
     df = spark.createDataFrame([("a", "high"), ("b", None), ("c", "urgent")], "id string, priority string")
-    out = FE.one_hot(df, "priority")
+    out = FE.one_hot(df, "priority", ["urgent", "high"])
     assert out.columns == ["id", "priority_high", "priority_urgent"]
     got = {r.id: (r.priority_high, r.priority_urgent) for r in out.collect()}
     assert got == {"a": (True, False), "b": (False, False), "c": (False, True)}
