@@ -7,6 +7,8 @@ every deterministic one.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +23,12 @@ from ..operators import decisions as D
 from ..operators import features as FE
 from ..operators import ingest as M
 from ..operators import views as V
+from ..session import checkpoint_dir
 from ..sources import raw as RAW
 from ..sources.testdata import STORED_BEFORE, load_tables
 
+from . import jobs as JOBS
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -399,17 +404,15 @@ def _s11(spark, sf_dir):
 @register("read_logs_json")
 def _s4(spark, sf_dir):
     d = _docs(_t(spark, sf_dir))
-    a = F.element_at("delivery_attempts", 1)
+    fields = ["attempt_number", "http_status", "response_time_ms", "timeout", "signature_valid", "attempted_at", "attempt_id"]
+    text = F.transform("delivery_attempts", lambda a: F.concat_ws(
+        ":", *[F.coalesce(a[f].cast("string"), F.lit("-")) for f in fields]))
     return d.select(
         "event_id", "event_type", "customer_id", "user_id",
         F.col("endpoint.endpoint_id").alias("endpoint_id"), F.col("endpoint.avg_success_rate").alias("avg_success_rate"),
         F.col("endpoint.active").alias("active"),
         F.col("endpoint.rate_limit_per_minute").alias("rate_limit_per_minute"),
-        F.size("delivery_attempts").alias("n_attempts"),
-        a["attempt_number"].alias("attempt_number"), a["http_status"].alias("http_status"),
-        a["response_time_ms"].alias("response_time_ms"), a["timeout"].alias("timeout"),
-        a["signature_valid"].alias("signature_valid"), a["attempted_at"].alias("attempted_at"),
-        a["attempt_id"].alias("attempt_id"),
+        F.size("delivery_attempts").alias("n_attempts"), F.array_join(text, ",").alias("attempts"),
         F.col("replay_history.previous_replays").alias("previous_replays"),
         F.col("replay_history.duplicate_detected").alias("duplicate_detected"),
         F.col("replay_history.manually_triggered").alias("manually_triggered"))
@@ -439,6 +442,36 @@ def _m1(spark, sf_dir):
     return M.upsert_endpoints(eps, _valid_docs(t), RAW.document_order())
 
 
+def _store(spark) -> str:
+    return os.path.join(checkpoint_dir(spark), "stores", uuid.uuid4().hex)
+
+
+@register("ingest_csv_store")
+def _m11_csv(spark, sf_dir):
+    """M11 end to end: the rows before the cut as one upload, then all rows as another; the stored attempts."""
+    rows = (RAW.attempts_csv_rows(_t(spark, sf_dir)).withColumn("ord", RAW.input_order())
+            .withColumnRenamed("uploader", "user_id"))
+    base = _store(spark)
+    JOBS.ingest_csv_batch(spark, rows.where(F.col("attempted_at") < F.lit(STORED_BEFORE).cast("timestamp_ntz")), base)
+    JOBS.ingest_csv_batch(spark, rows, base)
+    return JOBS.read_table(spark, base, "delivery_attempts")
+
+
+@register("ingest_json_store")
+def _m11_json(spark, sf_dir):
+    """M11 end to end for documents, uploaded twice by one tenant; the stored attempts and replays."""
+    docs, base = _docs(_t(spark, sf_dir)), _store(spark)
+    for _ in range(2):  # the second upload adds nothing
+        JOBS.ingest_json_batch(spark, docs, base, "user_1")
+    a = JOBS.read_table(spark, base, "delivery_attempts").select(
+        F.lit("attempt").alias("kind"), F.col("attempt_id").alias("id"), "event_id", "attempt_number",
+        F.col("http_status").cast("string").alias("result"), "user_id")
+    r = JOBS.read_table(spark, base, "replay_actions").select(
+        F.lit("replay").alias("kind"), F.col("replay_id").alias("id"), "event_id",
+        F.lit(None).cast("int").alias("attempt_number"), F.col("replay_result").alias("result"), "user_id")
+    return a.unionByName(r)
+
+
 @register("key_violations")
 def _q1(spark, sf_dir):
     return M.key_violations(_t(spark, sf_dir))

@@ -568,65 +568,98 @@ SELECT attempt_id,
        {sid('att', 'event_id', 'cast(attempt_number as varchar)', 'attempt_id')} AS surrogate_id
 FROM delivery_attempts""")
 
+_DOC_ORDER = ("attempt_number NULLS FIRST, attempt_id NULLS FIRST, attempted_at NULLS FIRST, http_status NULLS FIRST, "
+              "response_int NULLS FIRST, timeout NULLS FIRST, signature_valid NULLS FIRST, endpoint_id NULLS FIRST")
+_DOC = "PARTITION BY event_id, chunk"
 DOC_CTES = f"""
-last_att AS (
-  SELECT event_id, attempt_id FROM (
-    SELECT event_id, attempt_id,
-           row_number() OVER (PARTITION BY event_id ORDER BY attempt_number DESC, attempt_id DESC) AS rn
-    FROM delivery_attempts) WHERE rn = 1),
+raw_entries AS (
+  SELECT event_id, endpoint_id, attempt_number, attempt_id, attempted_at, http_status, timeout, signature_valid,
+         cast(trunc(response_time_ms) as integer) AS response_int,
+         cast(floor((attempt_number - 1) / cast(4 as double)) as integer) AS chunk
+  FROM delivery_attempts),
+entries AS (
+  SELECT *, row_number() OVER ({_DOC} ORDER BY {_DOC_ORDER}) AS pos, count(*) OVER ({_DOC}) AS n_attempts,
+         max(chunk) OVER (PARTITION BY event_id) AS last_chunk
+  FROM raw_entries),
+faults AS (
+  SELECT event_id, chunk, bool_or(attempt_number IS NULL) AS no_number, bool_or(http_status IS NULL) AS no_status,
+         bool_or(response_int IS NULL) AS no_time, bool_or(timeout IS NULL) AS no_timeout,
+         bool_or(signature_valid IS NULL) AS no_signature, bool_or(attempted_at IS NULL) AS no_at,
+         max(case when pos = n_attempts then http_status end) AS last_status,
+         string_agg(concat_ws(':', coalesce(cast(attempt_number as varchar), '-'), coalesce(cast(http_status as varchar), '-'),
+                              coalesce(cast(response_int as varchar), '-'), coalesce(cast(timeout as varchar), '-'),
+                              coalesce(cast(signature_valid as varchar), '-'), coalesce(cast(attempted_at as varchar), '-'),
+                              coalesce(attempt_id, '-')), ',' ORDER BY pos) AS attempts
+  FROM entries GROUP BY event_id, chunk),
 hist AS (
-  SELECT l.attempt_id, cast(count(*) as integer) AS previous_replays,
-         bool_or(r.duplicate_detected) AS duplicate_detected, bool_or(r.manually_triggered) AS manually_triggered
-  FROM replay_actions r JOIN last_att l ON r.event_id = l.event_id GROUP BY l.attempt_id),
+  SELECT event_id, cast(count(*) as integer) AS previous_replays,
+         bool_or(duplicate_detected) AS duplicate_detected, bool_or(manually_triggered) AS manually_triggered
+  FROM replay_actions GROUP BY event_id),
 docs AS (
-  SELECT da.event_id, e.event_type, e.customer_id, e.user_id,
+  SELECT a.event_id, a.chunk, e.event_type, e.customer_id, e.user_id,
          ep.endpoint_id AS ep_endpoint_id, ep.avg_success_rate, ep.active, ep.rate_limit_per_minute,
-         1 AS n_attempts, da.attempt_number, da.http_status,
-         cast(trunc(da.response_time_ms) as integer) AS response_time_ms,
-         da.timeout, da.signature_valid, cast(da.attempted_at as varchar) AS attempted_at, da.attempt_id,
+         cast(a.n_attempts as integer) AS n_attempts, f.attempts, f.last_status, a.attempt_id,
+         cast(a.attempted_at as varchar) AS attempted_at,
          h.previous_replays, h.duplicate_detected, h.manually_triggered,
-         case when da.event_id IS NULL then 'missing:event_id'
+         case when a.event_id IS NULL then 'missing:event_id'
               when e.event_type IS NULL then 'missing:event_type'
               when e.customer_id IS NULL then 'missing:customer_id'
               when ep.avg_success_rate IS NULL then 'missing:endpoint'
               when ep.endpoint_id IS NULL then 'missing:endpoint.endpoint_id'
               when ep.active IS NULL then 'missing:endpoint.active'
               when ep.rate_limit_per_minute IS NULL then 'missing:endpoint.rate_limit_per_minute'
-              when da.attempt_number IS NULL then 'missing:delivery_attempts.attempt_number'
-              when da.http_status IS NULL then 'missing:delivery_attempts.http_status'
-              when da.response_time_ms IS NULL then 'missing:delivery_attempts.response_time_ms'
-              when da.timeout IS NULL then 'missing:delivery_attempts.timeout'
-              when da.signature_valid IS NULL then 'missing:delivery_attempts.signature_valid'
-              when da.attempted_at IS NULL then 'missing:delivery_attempts.attempted_at'
+              when f.no_number then 'missing:delivery_attempts.attempt_number'
+              when f.no_status then 'missing:delivery_attempts.http_status'
+              when f.no_time then 'missing:delivery_attempts.response_time_ms'
+              when f.no_timeout then 'missing:delivery_attempts.timeout'
+              when f.no_signature then 'missing:delivery_attempts.signature_valid'
+              when f.no_at then 'missing:delivery_attempts.attempted_at'
               end AS reject_reason
-  FROM delivery_attempts da
-  LEFT JOIN webhook_events e ON da.event_id = e.event_id
-  LEFT JOIN endpoints ep ON da.endpoint_id = ep.endpoint_id
-  LEFT JOIN hist h ON da.attempt_id = h.attempt_id),
-valid_docs AS (SELECT * FROM docs WHERE reject_reason IS NULL)"""
+  FROM entries a JOIN faults f ON a.event_id = f.event_id AND a.chunk = f.chunk
+  LEFT JOIN webhook_events e ON a.event_id = e.event_id
+  LEFT JOIN endpoints ep ON a.endpoint_id = ep.endpoint_id
+  LEFT JOIN hist h ON a.event_id = h.event_id AND a.chunk = a.last_chunk
+  WHERE a.pos = 1),
+valid_docs AS (SELECT * FROM docs WHERE reject_reason IS NULL),
+doc_attempts AS (
+  SELECT a.attempt_id, a.event_id, d.ep_endpoint_id AS endpoint_id, a.attempt_number, a.http_status,
+         cast(a.response_int as double) AS response_time_ms, a.timeout, a.signature_valid, d.user_id,
+         a.attempted_at, cast(a.pos - 1 as integer) AS doc_pos
+  FROM entries a JOIN valid_docs d ON a.event_id = d.event_id AND a.chunk = d.chunk),
+doc_replays AS (
+  SELECT {sid('rep', 'd.event_id', 'cast(g.i as varchar)')} AS replay_id,
+         d.event_id, case when d.last_status >= 400 then 'failed' else 'success' end AS replay_result,
+         coalesce(d.duplicate_detected, false) AS duplicate_detected,
+         coalesce(d.manually_triggered, false) AS manually_triggered, d.user_id
+  FROM valid_docs d CROSS JOIN LATERAL generate_series(1, d.previous_replays) AS g(i)
+  WHERE d.previous_replays > 0)"""
 
 SQL["read_logs_json"] = q("""
 SELECT event_id, event_type, customer_id, user_id, case when avg_success_rate IS NOT NULL then ep_endpoint_id end
-       AS endpoint_id, avg_success_rate, active, rate_limit_per_minute, n_attempts, attempt_number, http_status,
-       response_time_ms, timeout, signature_valid, attempted_at, attempt_id, previous_replays,
+       AS endpoint_id, avg_success_rate, active, rate_limit_per_minute, n_attempts, attempts, previous_replays,
        duplicate_detected, manually_triggered
 FROM docs""", DOC_CTES)
 
 SQL["validate_logs"] = q("SELECT event_id, attempt_id, reject_reason FROM docs", DOC_CTES)
 
-SQL["explode_attempts"] = q("""
-SELECT attempt_id, event_id, ep_endpoint_id AS endpoint_id, attempt_number, http_status,
-       cast(response_time_ms as double) AS response_time_ms, timeout, signature_valid, user_id,
-       cast(attempted_at as timestamp) AS attempted_at, 0 AS doc_pos
-FROM valid_docs""", DOC_CTES)
-
-SQL["expand_replays"] = q(f"""
-SELECT {sid('rep', 'd.event_id', 'cast(g.i as varchar)')} AS replay_id,
-       d.event_id, case when d.http_status >= 400 then 'failed' else 'success' end AS replay_result,
-       coalesce(d.duplicate_detected, false) AS duplicate_detected,
-       coalesce(d.manually_triggered, false) AS manually_triggered, d.user_id
-FROM valid_docs d CROSS JOIN LATERAL generate_series(1, d.previous_replays) AS g(i)
-WHERE d.previous_replays > 0""", DOC_CTES)
+SQL["explode_attempts"] = q("SELECT * FROM doc_attempts", DOC_CTES)
+
+SQL["expand_replays"] = q("SELECT * FROM doc_replays", DOC_CTES)
+
+SQL["ingest_csv_store"] = q(f"""
+SELECT {sid('att', 'event_id', 'cast(attempt_number as varchar)', "'1'")} AS attempt_id, event_id, endpoint_id, attempt_number,
+       http_status, response_time_ms, timeout, signature_valid, uploader AS user_id, attempted_at
+FROM (SELECT *, row_number() OVER (PARTITION BY event_id, attempt_number
+                                   ORDER BY attempted_at, attempt_id, http_status, response_time_ms, timeout, signature_valid) AS rn
+      FROM m6 WHERE is_valid) WHERE rn = 1""", CSV_CTES)
+
+SQL["ingest_json_store"] = q("""
+SELECT 'attempt' AS kind, attempt_id AS id, event_id, attempt_number, cast(http_status as varchar) AS result, 'user_1' AS user_id
+FROM (SELECT *, row_number() OVER (PARTITION BY event_id, attempt_number
+                                   ORDER BY attempted_at, attempt_id, doc_pos, http_status, response_time_ms, timeout, signature_valid) AS rn
+      FROM doc_attempts) WHERE rn = 1
+UNION ALL
+SELECT 'replay', replay_id, event_id, NULL, replay_result, 'user_1' FROM doc_replays""", DOC_CTES)
 
 SQL["upsert_endpoints"] = q("""
 SELECT coalesce(s.endpoint_id, n.endpoint_id) AS endpoint_id,

@@ -77,7 +77,8 @@ REPLAYS_EXPRS = [
     "when 'purchase' then 'duplicate_processed' when 'error' then 'unsafe' end AS replay_result",
     "event_type = 'purchase' and value > 10 AS duplicate_detected",
     "user_id % 2 = 1 AS manually_triggered",
-    "concat('user_', cast(user_id % 10 as string)) AS user_id",
+    # one tenant in eleven is not in the users table: orphans for the foreign-key check
+    "concat('user_', cast(user_id % 11 as string)) AS user_id",
     "ts AS replayed_at",
 ]
 

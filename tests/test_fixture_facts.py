@@ -31,4 +31,4 @@ def test_rule_distributions(spark):
     reasons = Counter({r[0]: r[1] for r in rules.groupBy("failure_reason").count().collect()})
     assert reasons == Counter({"server_error": 6499, "timeout": 6148, "endpoint_offline": 1527, "unknown": 569 + 257})
     outcome = {r[0]: r[1] for r in q["label_delivery_outcome"](spark, SF001).groupBy("delivery_state").count().collect()}
-    assert sum(outcome.values()) == 14743
+    assert sum(outcome.values()) == 15000 and outcome["retrying"] <= 257
