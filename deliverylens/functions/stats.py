@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,15 +24,16 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    num_partitions: int | None = None) -> DataFrame:
-    """One row per (column_name, prob): the exact linear-interpolation
-    quantile of each column (nulls ignored; a column without values has no row).
+def order_statistics(df: DataFrame, columns: list[str], ranks_of: Callable[[int], list[int]],
+                     num_partitions: int | None = None) -> tuple[dict[str, int], dict[tuple[str, int], float]]:
+    """(number of values of each column, value at each asked rank).
 
-    Duplicates collapse in the map-side partial aggregation first (a value
-    holding a third of the rows becomes one row with its count).  The pairs
-    are computed once; the partition number is a stored column, so nothing
-    depends on an exchange being reused."""
+    ``ranks_of(n)`` gives the wanted 0-based ranks of a column with n values
+    (nulls are ignored); they are few, whatever n is.  Duplicates collapse in
+    the map-side partial aggregation first (a value holding a third of the
+    rows becomes one row with its count).  The pairs are computed once; the
+    partition number is a stored column, so nothing depends on an exchange
+    being reused."""
     spark = df.sparkSession
     p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     long = (df.select(F.explode(F.array(*[
@@ -43,37 +45,45 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     pairs.write.parquet(path)
     pairs = spark.read.schema(pairs.schema).parquet(path)
     totals = pairs.groupBy("col", "pid").agg(F.sum("cnt").alias("total")).collect()  # columns x partitions at most
-    n, spans, before = {}, {}, {}
+    n: dict[int, int] = {}
+    spans: dict[int, list[tuple[int, int, int]]] = {}
     for r in sorted(totals, key=lambda r: (r.col, r.pid)):
-        before[r.col, r.pid] = n.get(r.col, 0)
-        n[r.col] = before[r.col, r.pid] + r.total
-        spans.setdefault(r.col, []).append((before[r.col, r.pid], n[r.col], r.pid))
-    wanted: dict[tuple[int, int], set[int]] = {}  # (column, partition) -> ranks
+        before = n.get(r.col, 0)
+        n[r.col] = before + r.total
+        spans.setdefault(r.col, []).append((before, n[r.col], r.pid))
+    wanted: dict[tuple[int, int, int], set[int]] = {}  # (column, partition, rank of its first value) -> ranks
     for c, size in n.items():
-        for q in probs:
-            for rank in (math.floor(q * (size - 1)), math.ceil(q * (size - 1))):
-                pid = next(k for lo, hi, k in spans[c] if lo <= rank < hi)
-                wanted.setdefault((c, pid), set()).add(rank)
-    schema = "column_name string, prob double, value double"
+        for rank in ranks_of(size):
+            lo, _, pid = next(x for x in spans[c] if x[0] <= rank < x[1])
+            wanted.setdefault((c, pid, lo), set()).add(rank)
+    sizes = {columns[c]: size for c, size in n.items()}
     if not wanted:
-        return spark.createDataFrame([], schema)
-    # at most two partitions a column and quantile; a bounded number of rows comes back
-    asked = spark.createDataFrame([(c, k, before[c, k], sorted(ranks)) for (c, k), ranks in wanted.items()],
+        return sizes, {}
+    # few partitions are read again, and a row for each wanted rank comes back
+    asked = spark.createDataFrame([(*k, sorted(ranks)) for k, ranks in wanted.items()],
                                   "col int, pid int, before long, ranks array<long>")
     run = F.sum("cnt").over(Window.partitionBy("col", "pid").orderBy("value")
                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hits = (pairs.where(F.col("pid").isin(sorted({k for _, k in wanted}))).join(F.broadcast(asked), ["col", "pid"])
+    hits = (pairs.where(F.col("pid").isin(sorted({k for _, k, _ in wanted}))).join(F.broadcast(asked), ["col", "pid"])
             .withColumn("end", F.col("before") + run)
             .select("col", "value", F.explode(F.filter("ranks", lambda x: (x < F.col("end")) & (x >= F.col("end") - F.col("cnt"))))
                     .alias("rank")).collect())
-    at = {(r.col, r.rank): r.value for r in hits}
+    return sizes, {(columns[r.col], r.rank): r.value for r in hits}
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
+                    num_partitions: int | None = None) -> DataFrame:
+    """One row per (column_name, prob): the exact linear-interpolation
+    quantile of each column (nulls ignored; a column without values has no row)."""
+    n, at = order_statistics(
+        df, columns, lambda n: [f(q * (n - 1)) for q in probs for f in (math.floor, math.ceil)], num_partitions)
     rows = []
     for c, size in n.items():
         for q in probs:
             pos = float(q) * (size - 1)
             lo, hi = at[c, math.floor(pos)], at[c, math.ceil(pos)]
-            rows.append((columns[c], float(q), lo + (hi - lo) * (pos - math.floor(pos))))
-    return spark.createDataFrame(rows, schema)
+            rows.append((c, float(q), lo + (hi - lo) * (pos - math.floor(pos))))
+    return df.sparkSession.createDataFrame(rows, "column_name string, prob double, value double")
 
 
 def exact_quantile_value(df: DataFrame, column: str, prob: float) -> DataFrame:

@@ -61,8 +61,8 @@ def fit_models(t: Tables, max_iter: int = 150, n_trees: int = 100, contamination
     which is computed once and read by both fits."""
     spark = t.events.sparkSession
     folder = os.path.join(checkpoint_dir(spark), "models", uuid.uuid4().hex)
-    model_rows(FE.event_features(t)).where(F.col("split") == "train").write.parquet(os.path.join(folder, "train"))
-    train = spark.read.parquet(os.path.join(folder, "train"))
+    FE.select_model_columns(FE.event_features(t)).write.parquet(os.path.join(folder, "rows"))
+    train = stratified_split(spark.read.parquet(os.path.join(folder, "rows"))).where(F.col("split") == "train")
     recovery = R.train_recovery_model(train, max_iter=max_iter, seed=seed)
     x = R.impute(train)
     nodes = IF.fit_isolation_forest(x, FE.MODEL_FEATURES, key=["event_id", "endpoint_id"],

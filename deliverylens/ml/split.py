@@ -2,35 +2,53 @@
 
 Membership comes from an md5 of the event id, so it is the same on every
 run, in every engine and after any executor loss; all rows of one event
-land on the same side.  The hash is independent of the label, so each
-label keeps its share in both sides (stratified in expectation).
+land on the same side.  The label split (ML1) gives each label its exact
+share; it salts the hash, so the two splits are independent.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# 0x33333333 / 2^32 = 0.2: hashes below this go to the test side.
-TEST_CUT_20 = "33333333"
-
+from ..functions.stats import order_statistics
 
-def hash_key(col: str = "event_id", salt: str = "") -> Column:
-    c = F.col(col) if not salt else F.concat(F.lit(salt), F.col(col))
-    return F.substring(F.md5(c), 1, 8)
+SALT = "label:"
 
 
 def test_cut(fraction: float) -> str:
+    """Hex bound below which a share ``fraction`` of 32-bit hashes lies."""
     return f"{int(fraction * (1 << 32)):08x}"
 
 
-def stratified_split(features: DataFrame, test_fraction: float = 0.2) -> DataFrame:
-    """ML1: adds ``split`` ('train' / 'test') to the labelled rows."""
-    cut = TEST_CUT_20 if abs(test_fraction - 0.2) < 1e-12 else test_cut(test_fraction)
-    return features.withColumn(
-        "split", F.when(hash_key() < F.lit(cut), F.lit("test")).otherwise(F.lit("train")))
+def label_hash(col: str = "event_id") -> Column:
+    """48 bits of a salted md5 (exact as a double)."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(SALT), F.col(col))), 1, 12), 16, 10).cast("long")
+
+
+def stratified_split(features: DataFrame, test_fraction: float = 0.2, label: str = "is_recovered",
+                     labels: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """ML1: adds ``split`` ('train' / 'test').  Of each label the rows with the
+    smallest hashes, ``floor(n * test_fraction + 0.5)`` of them (and the rest
+    of the last event's), are for test; rows with another label are for
+    training.  The hash at that rank is found by an exact distributed rank
+    search when the split is made."""
+    per_label = features.select(*[F.when(F.col(label) == y, label_hash()).alias(f"h{y}") for y in labels])
+
+    def last(n: int) -> list[int]:
+        k = math.floor(n * test_fraction + 0.5)
+        return [k - 1] if k else []
+
+    _, cuts = order_statistics(per_label, per_label.columns, last)
+    test = F.lit(False)
+    for (name, _), cut in cuts.items():
+        test = test | ((F.col(label) == int(name[1:])) & (label_hash() <= F.lit(int(cut))))
+    return features.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def shuffle_split(events: DataFrame, test_fraction: float = 0.2) -> DataFrame:
     """ML7: the event-level 80/20 split (no label involved)."""
-    return stratified_split(events, test_fraction)
+    test = F.substring(F.md5("event_id"), 1, 8) < F.lit(test_cut(test_fraction))
+    return events.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..functions.scalars import round_to
+from ..functions.scalars import json_safe, round_to
 from ..tables import Tables
 from .features import first_endpoint
 
@@ -33,7 +33,8 @@ def event_lookup(events: DataFrame, requested_ids: DataFrame) -> DataFrame:
 
 def list_events(t: Tables, page: int = 1, limit: int = 10, user_id: str | None = None) -> DataFrame:
     """Each tenant's events, newest first (ties by event id), one page,
-    with the endpoint of the event's first attempt and the UI badge."""
+    with the time of day as shown (HH:mm), the endpoint of the event's first
+    attempt and the UI badge."""
     lo, hi = (page - 1) * limit, page * limit
     w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.asc("event_id"))
     paged = (P.tenant_events(t.events, user_id).select("user_id", "event_id", "event_type", "created_at")
@@ -42,7 +43,8 @@ def list_events(t: Tables, page: int = 1, limit: int = 10, user_id: str | None =
     # endpoint of the first attempt, only for the events on the page
     att = t.attempts.join(paged.select("event_id"), "event_id", "left_semi")
     return (paged.join(first_endpoint(att), "event_id", "left")
-            .select("user_id", "position", "event_id", "event_type", "created_at", "endpoint_id",
+            .select("user_id", "position", "event_id", "event_type", "created_at",
+                    F.date_format("created_at", "HH:mm").alias("shown_at"), "endpoint_id",
                     F.when(P.mentions_failed_cs(), "Failed").otherwise("OK").alias("badge")))
 
 
@@ -90,7 +92,7 @@ def first_attempt_patterns(patterns: DataFrame, k: int = 4) -> DataFrame:
 
 def instability_view(instability: DataFrame) -> DataFrame:
     """Failure percent (1 dp), latency (0 dp), red above 50% else amber."""
-    return instability.select(
+    return json_safe(instability).select(
         "endpoint_id", "timeout_count",
         round_to(F.col("failure_rate") * 100.0, 1).alias("fail_pct"),
         round_to("avg_response_time", 0).alias("latency_ms"),
@@ -100,7 +102,7 @@ def instability_view(instability: DataFrame) -> DataFrame:
 def retry_view(patterns: DataFrame) -> DataFrame:
     """Success percent (1 dp) with green > 70 > amber > 30 > red."""
     s = F.col("success_rate_percent")
-    return patterns.select(
+    return json_safe(patterns).select(
         "attempt_number", "count",
         round_to(s, 1).alias("success_pct"),
         round_to("avg_response_time", 0).alias("latency_ms"),
@@ -119,7 +121,7 @@ def endpoint_view(tenant_eps: DataFrame) -> DataFrame:
 
 def replay_view(freq: DataFrame) -> DataFrame:
     """Replay cards; a null or empty result shows as 'Unknown'."""
-    return freq.select(
+    return json_safe(freq).select(
         F.coalesce(F.nullif(F.col("replay_result"), F.lit("")), F.lit("Unknown")).alias("label"),
         "count", "duplicates_detected")
 

@@ -209,8 +209,18 @@ FROM features""" for c in _DESC), FEATURES_WITH)
 
 SPLIT = "case when substr(md5(event_id), 1, 8) < '33333333' then 'test' else 'train' end"
 
-SQL["stratified_split"] = q(f"SELECT event_id, endpoint_id, is_recovered, {SPLIT} AS split FROM features",
-                            FEATURES_WITH)
+LABEL_SPLIT = FEATURES_WITH + """,
+label_hash AS (SELECT *, substr(md5(concat('label:', event_id)), 1, 12) AS lh FROM features),
+label_cut AS (
+  SELECT is_recovered, max(lh) AS cut FROM (
+    SELECT is_recovered, lh, row_number() OVER (PARTITION BY is_recovered ORDER BY lh) AS rn,
+           count(*) OVER (PARTITION BY is_recovered) AS n FROM label_hash)
+  WHERE rn <= floor(n * cast(0.2 as double) + 0.5) GROUP BY is_recovered),
+split_rows AS (
+  SELECT f.*, case when f.lh <= c.cut then 'test' else 'train' end AS split
+  FROM label_hash f LEFT JOIN label_cut c ON f.is_recovered = c.is_recovered)"""
+
+SQL["stratified_split"] = q("SELECT event_id, endpoint_id, is_recovered, split FROM split_rows", LABEL_SPLIT)
 
 SQL["shuffle_split"] = q(f"SELECT event_id, {SPLIT} AS split FROM webhook_events")
 
@@ -218,7 +228,7 @@ SQL["class_weight"] = q(f"""
 SELECT {cnt('is_recovered = 0')} AS n_negative, {cnt('is_recovered = 1')} AS n_positive,
        cast({cnt('is_recovered = 0')} as double) / nullif(cast({cnt('is_recovered = 1')} as double), 0)
          AS scale_pos_weight
-FROM features WHERE {SPLIT} = 'train'""", FEATURES_WITH)
+FROM split_rows WHERE split = 'train'""", LABEL_SPLIT)
 
 SQL["select_model_columns"] = q("""
 SELECT event_id, endpoint_id, is_recovered, payload_size_kb, endpoint_health_score, rate_limit_per_minute,
@@ -358,9 +368,9 @@ FROM (
                    cast(sum(support) as bigint) FROM m
   UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), cast(sum(support) as bigint) FROM m
   UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-                   sum(f1_score * support) / sum(support), cast(sum(support) as bigint) FROM m) x""", FEATURES_WITH + f""",
+                   sum(f1_score * support) / sum(support), cast(sum(support) as bigint) FROM m) x""", LABEL_SPLIT + f""",
 test AS (SELECT is_recovered AS y, coalesce(cast(endpoint_health_score >= 0.7 as integer), 0) AS p
-         FROM features WHERE {SPLIT} = 'test'),
+         FROM split_rows WHERE split = 'test'),
 conf AS (SELECT y, p, count(*) AS n FROM test GROUP BY y, p),
 cls AS (SELECT y AS c FROM conf UNION SELECT p FROM conf),
 pc AS (
@@ -389,7 +399,7 @@ FROM (SELECT DISTINCT event_id AS requested_id FROM
 LEFT JOIN webhook_events e ON r.requested_id = e.event_id""")
 
 SQL["list_events"] = q("""
-SELECT p.user_id, p.position, p.event_id, p.event_type, p.created_at, f.endpoint_id,
+SELECT p.user_id, p.position, p.event_id, p.event_type, p.created_at, strftime(p.created_at, '%H:%M') AS shown_at, f.endpoint_id,
        case when contains(p.event_type, 'failed') then 'Failed' else 'OK' end AS badge
 FROM (SELECT user_id, event_id, event_type, created_at,
              row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id) AS position

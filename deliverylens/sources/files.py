@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..functions.scalars import json_safe
 from ..tables import Tables
 
 CORRUPT = "_corrupt_record"
@@ -195,5 +196,6 @@ def read_features(spark: SparkSession, path: str, fmt: str = "csv", schema=None,
 
 
 def export_report(df: DataFrame, path: str) -> None:
-    """Write a report frame as JSON lines (replaces the mail body)."""
-    df.write.mode("overwrite").json(path)
+    """Write a report frame as JSON lines (replaces the mail body);
+    numbers that JSON lacks are made safe first."""
+    json_safe(df).write.mode("overwrite").json(path)

@@ -33,3 +33,14 @@ def test_truncated_health_property(spark, pairs):
     got = [r[0] for r in df.select(truncated_health("f", "t")).collect()]
     want = [int((1 - f / t) * 100) if t > 0 else 100 for f, t in pairs]
     assert got == want
+
+
+def test_label_split_gives_each_label_its_share(spark):
+    from pyspark.sql import functions as F
+
+    from deliverylens.ml.split import shuffle_split, stratified_split
+    df = spark.range(1000).select(F.concat(F.lit("e"), "id").alias("event_id"), (F.col("id") % 7 == 0).cast("int").alias("is_recovered"))
+    got = {(r.is_recovered, r.split): r["count"] for r in stratified_split(df).groupBy("is_recovered", "split").count().collect()}
+    assert got == {(1, "test"): 29, (1, "train"): 114, (0, "test"): 171, (0, "train"): 686}
+    both = stratified_split(df).withColumnRenamed("split", "s1").join(shuffle_split(df.select("event_id")), "event_id")
+    assert both.where("s1 = 'test' and split = 'test'").count() < 80  # independent splits overlap in about 40 rows
