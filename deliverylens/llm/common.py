@@ -195,8 +195,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pointers and relabels the edges.  State is written to the shared folder
     once a round; the number of rounds is logarithmic."""
     spark = session_of(edges)
-    small = edges.where("a <> b").mapInPandas(local_forest, "a long, b long")
-    live = staged(small.repartition(F.col("b")).mapInPandas(local_forest, "a long, b long"), "edges")
+    live = staged(edges.where("a <> b").mapInPandas(local_forest, "a long, b long").distinct(), "edges")
     parents: DataFrame | None = None
     for _ in range(max_rounds):
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))

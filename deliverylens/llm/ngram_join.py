@@ -88,23 +88,18 @@ def described(docs: DataFrame, k: int) -> DataFrame:
 
 
 def deal(docs: DataFrame, k: int, buckets: int, clashes: frozenset, space: int) -> DataFrame:
-    """(bucket, shingles, nodes): the shingles of each set in one of ``space`` parts of the hash space, by bucket."""
+    """(bucket, shingles, nodes, sizes): the shingles of each set in one of ``space`` parts of the hash space,
+    by bucket, each with its node and the size of the node's whole set."""
 
     def run(batches):
-        hashes, seen, sets, nodes, held = WordHash(), set(), [], [], 0
+        hashes, seen, sets, nodes, sizes, held = WordHash(), set(), [], [], [], 0
 
         def flush():
-            s = np.concatenate(sets)
-            who = np.repeat(np.array(nodes, np.int64), [len(x) for x in sets])
+            s, n = np.concatenate(sets), [len(x) for x in sets]
             order = np.argsort(s, kind="stable")
-            s, who = s[order], who[order]
-            b = bucket_of(s, buckets)
-            first = np.flatnonzero(np.diff(b, prepend=-1))
-            stop = np.append(first[1:], len(b))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(b[first], pa.int32()), pa.array([s[x:y].tobytes() for x, y in zip(first, stop)], pa.binary()),
-                 pa.array([who[x:y].tobytes() for x, y in zip(first, stop)], pa.binary())],
-                names=["bucket", "shingles", "nodes"])
+            s, who = s[order], np.repeat(np.array(nodes, np.int64), n)[order]
+            whole = np.repeat(np.array(sizes, np.uint32), n)[order]
+            return blobs(bucket_of(s, buckets), [s, who, whole], ["shingles", "nodes", "sizes"])
 
         for batch in batches:
             raw = ByteTexts(batch.column(0))
@@ -117,101 +112,122 @@ def deal(docs: DataFrame, k: int, buckets: int, clashes: frozenset, space: int)
                 if node in seen:
                     continue
                 seen.add(node)
+                sizes.append(len(s))
                 s = s[s % np.uint64(space) == 0] if space > 1 else s
-                if len(s):
-                    sets.append(s)
-                    nodes.append(node)
-                    held += len(s)
+                sets.append(s)
+                nodes.append(node)
+                held += len(s)
                 if held > 600_000:
                     yield flush()
-                    sets, nodes, held = [], [], 0
+                    sets, nodes, sizes, held = [], [], [], 0
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, shingles binary, nodes binary")
+    return docs.select("text").mapInArrow(run, "bucket int, shingles binary, nodes binary, sizes binary")
 
 
-def by_bucket(blobs: DataFrame, buckets: int, each, schema: str) -> DataFrame:
-    """``each(shingles, nodes)`` on every bucket's distinct (shingle, node) entries whose shingle has several nodes."""
+def blobs(bucket: np.ndarray, arrays: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A row for each bucket (sorted) with its slices of the arrays."""
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    stop = np.append(first[1:], len(bucket))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[first], pa.int32()), *(pa.array([x[lo:hi].tobytes() for lo, hi in zip(first, stop)], pa.binary()) for x in arrays)],
+        names=["bucket", *names])
+
+
+def in_buckets(rows: DataFrame, buckets: int, kinds: dict[str, type], each, schema: str) -> DataFrame:
+    """``each`` on every bucket's arrays, joined from its rows; it returns a frame or None."""
 
     def run(batches):
-        at, s, who = None, [], []
+        at, held = None, []
 
         def done():
-            a, b = np.concatenate(s), np.concatenate(who)
-            order = np.argsort(a, kind="stable")
-            a, b = a[order], b[order]
-            same = np.flatnonzero(np.diff(a, prepend=~a[:1]) != 0)
-            many = np.repeat(np.diff(np.append(same, len(a))) > 1, np.diff(np.append(same, len(a))))
-            a, b = a[many], b[many]
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            a, b = a[new], b[new]
-            first = np.flatnonzero(np.diff(a, prepend=~a[:1]) != 0) if len(a) else np.zeros(0, np.int64)
-            size = np.diff(np.append(first, len(a)))
-            df = np.repeat(size, size)
-            return each(a[df > 1], b[df > 1], df[df > 1])
+            return each(*(np.concatenate([np.frombuffer(r[i], kind) for r in held]) for i, kind in enumerate(kinds.values())))
 
         for pdf in batches:
-            for b, x, y in zip(pdf["bucket"], pdf["shingles"], pdf["nodes"]):
+            for b, *x in zip(pdf["bucket"], *(pdf[c] for c in kinds)):
                 if at is not None and b != at:
-                    yield done()
-                    s, who = [], []
+                    if (out := done()) is not None:
+                        yield out
+                    held = []
                 at = b
-                s.append(np.frombuffer(x, np.uint64))
-                who.append(np.frombuffer(y, np.int64))
-        if at is not None:
-            yield done()
+                held.append(x)
+        if at is not None and (out := done()) is not None:
+            yield out
 
-    parts = min(buckets, max(partitions(blobs.sparkSession), buckets // 4))
-    return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(run, schema)
+    parts = min(buckets, max(partitions(rows.sparkSession), buckets // 4))
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(run, schema)
 
 
-def shared_counts(a, b, df) -> pd.DataFrame:
-    node, n = np.unique(b, return_counts=True)
-    return pd.DataFrame({"node": node, "shared": n.astype(np.int64)})
+DEALT = {"shingles": np.uint64, "nodes": np.int64, "sizes": np.uint32}
 
 
-def shared_sets(a, b, df) -> pd.DataFrame:
-    order = np.argsort(b, kind="stable")
-    a, b, df = a[order], b[order], df[order].astype(np.uint32)
-    first = np.flatnonzero(np.diff(b, prepend=~b[:1]) != 0) if len(b) else np.zeros(0, np.int64)
-    stop = np.append(first[1:], len(b))
-    return pd.DataFrame({"node": b[first], "shingles": [a[x:y].tobytes() for x, y in zip(first, stop)],
-                         "df": [df[x:y].tobytes() for x, y in zip(first, stop)]})
+def shared_entries(a: np.ndarray, b: np.ndarray, n: np.ndarray):
+    """Distinct (shingle, node, size) entries whose shingle has several nodes, and the number of these."""
+    order = np.argsort(a, kind="stable")
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.diff(a, prepend=~a[:1]) != 0)
+    times = np.diff(np.append(first, len(a)))
+    many = np.repeat(times > 1, times)
+    a, b, n = a[many], b[many], n[many]
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b, n = a[new], b[new], n[new]
+    if not len(a):
+        return a, b, n, np.zeros(0, np.uint32)
+    first = np.flatnonzero(np.diff(a, prepend=~a[:1]) != 0)
+    times = np.diff(np.append(first, len(a)))
+    df = np.repeat(times, times)
+    return a[df > 1], b[df > 1], n[df > 1], df[df > 1].astype(np.uint32)
 
 
-def active_nodes(rows: DataFrame, share: int) -> DataFrame:
-    """(node, n, shingles, prefix) of the nodes whose prefix holds a shingle of another node.
+def dealt_back(node: np.ndarray, arrays: list[np.ndarray], names: list[str], buckets: int) -> pd.DataFrame | None:
+    """Rows of the nodes' own buckets."""
+    if not len(node):
+        return None
+    to = bucket_of(mix64(node.view(np.uint64)), buckets)
+    order = np.argsort(to, kind="stable")
+    return blobs(to[order], [x[order] for x in (node, *arrays)], ["nodes", *names]).to_pandas()
 
-    ``rows`` (node, n, shingles, df): several rows a node, one from each bucket."""
 
-    def run(batches):
-        at, n, s, d = None, 0, [], []
+def shared_counts(dealt: DataFrame, buckets: int) -> DataFrame:
+    """(node, shared): how many of its dealt shingles each node shares with another."""
 
-        def done():
-            a, df = np.concatenate(s), np.concatenate(d)
-            take = int(miss_of(n, share)) + 1 - (n - len(a))
-            if take <= 0:
-                return None
-            return at, n, np.sort(a).tobytes(), a[np.lexsort((a, df))[:take]].tobytes()
+    def count(a, b, n):
+        _, node, _, _ = shared_entries(a, b, n)
+        node, times = np.unique(node, return_counts=True)
+        return dealt_back(node, [times.astype(np.int64)], ["times"], buckets)
 
-        for pdf in batches:
-            out = []
-            for node, m, x, y in zip(pdf["node"], pdf["n"], pdf["shingles"], pdf["df"]):
-                if at is not None and node != at:
-                    out.append(done())
-                    s, d = [], []
-                at, n = node, m
-                s.append(np.frombuffer(x, np.uint64))
-                d.append(np.frombuffer(y, np.uint32))
-            yield pd.DataFrame([x for x in out if x], columns=["node", "n", "shingles", "prefix"])
-        if at is not None and (last := done()):
-            yield pd.DataFrame([last], columns=["node", "n", "shingles", "prefix"])
+    def add(node, times):
+        names, inv = np.unique(node, return_inverse=True)
+        return pd.DataFrame({"node": names, "shared": np.bincount(inv, times).astype(np.int64)})
+
+    back = in_buckets(dealt, buckets, DEALT, count, "bucket int, nodes binary, times binary")
+    return in_buckets(back, buckets, {"nodes": np.int64, "times": np.int64}, add, "node long, shared long")
+
+
+def active_nodes(dealt: DataFrame, buckets: int, share: int) -> DataFrame:
+    """(node, n, shingles, prefix) of the nodes whose prefix holds a shingle of another node; shingles: those shared."""
+
+    def shared(a, b, n):
+        a, b, n, df = shared_entries(a, b, n)
+        return dealt_back(b, [a, df, n], ["shingles", "df", "sizes"], buckets)
+
+    def choose(node, a, df, n):
+        order = np.lexsort((a, df, node))  # rarest first
+        node, a, n = node[order], a[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.diff(node, prepend=~node[:1]) != 0)
+        stop = np.append(first[1:], len(node))
+        take = miss_of(n[first], share) + 1 - (n[first] - (stop - first))  # shingles of one node come first
+        rows = [(node[lo], n[lo], np.sort(a[lo:hi]).tobytes(), a[lo:lo + t].tobytes())
+                for lo, hi, t in zip(first, stop, take) if t > 0]
+        return pd.DataFrame(rows, columns=["node", "n", "shingles", "prefix"]) if rows else None
 
-    return rows.mapInPandas(run, "node long, n long, shingles binary, prefix binary")
+    back = in_buckets(dealt, buckets, DEALT, shared, "bucket int, nodes binary, shingles binary, df binary, sizes binary")
+    return in_buckets(back, buckets, {"nodes": np.int64, "shingles": np.uint64, "df": np.uint32, "sizes": np.uint32}, choose,
+                      "node long, n long, shingles binary, prefix binary")
 
 
 def links_in(n: np.ndarray, shingles: list[np.ndarray], prefix: list[np.ndarray], group: np.ndarray,
@@ -363,18 +379,15 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, share: int = SHARE) -> DataFr
     total = nodes.agg(F.sum("n_sub")).first()[0] or 0
     buckets = max(2 * partitions(spark), int(total // BUCKET_ENTRIES) + 1)
     base = id_text(docs)
-    shared = by_bucket(deal(base, k, buckets, clashes, SPACE), buckets, shared_counts, "node long, shared long")
-    shared = shared.groupBy("node").agg(F.sum("shared").alias("shared"))
+    shared = shared_counts(deal(base, k, buckets, clashes, SPACE), buckets)
     miss = F.col("n") - F.floor((F.lit(share) * F.col("n") + 99) / 100)
     alive = staged(nodes.join(shared, "node", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("n_sub") - miss)
                    .select("node", "n", F.col("rep").alias("rep_id")), "alive")
     total = alive.agg(F.sum("n")).first()[0] or 0
     buckets = max(2 * partitions(spark), int(total // BUCKET_ENTRIES) + 1)
-    kept = base.join(alive.select("rep_id"), F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
-    sets = by_bucket(deal(kept, k, buckets, clashes, 1), buckets, shared_sets, "node long, shingles binary, df binary")
-    rows = sets.join(alive.select("node", "n"), "node").select("node", "n", "shingles", "df")
-    rows = rows.repartition("node").sortWithinPartitions("node")
-    active = staged(active_nodes(rows, share), "active")
+    # by a shuffle at every size: the list of what is left grows with the documents
+    kept = base.join(alive.select("rep_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
+    active = staged(active_nodes(deal(kept, k, buckets, clashes, 1), buckets, share), "active")
     joined = components(all_links(active, share))
     named = nodes.select("node", "rep", "copies").join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
     ids = named.where("component is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
