@@ -22,7 +22,6 @@ import re
 import uuid
 import zlib
 from itertools import chain
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from deliverylens.llm.common import ByteTexts, documents, id_text, slices, stage
 from deliverylens.session import checkpoint_dir
 
 #: Words whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 600_000
 #: ORC layout: stripe bytes, rows per index entry, false positives of the Bloom filter.
 STRIPE_BYTES, INDEX_ROWS, BLOOM_FPP = 16 << 20, 1000, 0.01
 #: Bytes of text per file, about.
@@ -48,60 +47,71 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, tuple[int, ...]] = {}
-        self.cores: dict[str, tuple[int, ...]] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.cache: dict[bytes, bytes] = {}  # word -> ids as little-endian 32-bit integers
 
     def encode(self, text: str) -> list[int]:
         """Same ids as encoding the text whole: white space parts all tokens, special ones hold none."""
-        return list(chain.from_iterable(self.words([text.encode()])[0]))
+        return np.frombuffer(self.packed([text.encode()])[0], "<u4").tolist()
 
-    def words(self, texts: list[bytes]) -> list[list[tuple[int, ...]]]:
-        """Ids of each word (cut at ASCII white space) of each text; new words are encoded in one call."""
+    def packed(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text; words are cut at ASCII white space, new ones are encoded together."""
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-            self.cores.clear()
         split = [t.split() for t in texts]
         new = set(chain.from_iterable(split)).difference(cache)
         if new:
             self._learn(new)
-        return [list(map(cache.__getitem__, words)) for words in split]
+        return [b"".join(map(cache.__getitem__, words)) for words in split]
 
     def _learn(self, new: set[bytes]) -> None:
         """Encode new words: their closing marks, which the vocabulary always parts from a letter, apart."""
-        cut: dict[bytes, tuple[str, str]] = {}
+        cache = self.cache
+        cut: list[tuple[bytes, bytes, bytes]] = []
+        letters, others = set(), set()
         for w in new:
-            word = w.decode()
-            core = word.rstrip(".,;:!?")
-            if core != word and _PLAIN_END.search(core):
-                cut[w] = (core.lower() if core.isascii() and "<" not in core else core, word[len(core):])
+            core = w.rstrip(_CLOSING)
+            if core.isalpha():  # ASCII letters
+                core = core.lower()
+                if core not in cache:
+                    letters.add(core)
+            elif core and not core.isascii() and _PLAIN_LETTERS.fullmatch(text := core.decode()):
+                core = text.lower().encode()
+                if core not in cache:
+                    letters.add(core)
             else:
-                cut[w] = (word.lower() if word.isascii() and "<" not in word else word, "")
-        cores = self.cores
-        unknown = {x for two in cut.values() for x in two if x}.difference(cores)
-        single = [x for x in unknown if x.isalpha() and x.lower().isalpha() and is_normalized("NFC", x)]
-        if single:
+                others.add(w)
+                continue
+            tail = w[len(core):]
+            if tail and tail not in cache:
+                others.add(tail)
+            cut.append((w, core, tail))
+        if letters:
             # runs of letters are one unit each, closed by one unit-ending token: one call encodes them all
-            ids = np.array(self.tokenizer.encode(" ".join(single), add_special_tokens=False).ids)
-            stops = np.flatnonzero(self.closes[ids]) + 1
-            if len(stops) == len(single):
-                flat, lo = ids.tolist(), 0
-                for x, hi in zip(single, stops.tolist()):
-                    cores[x] = tuple(flat[lo:hi])
-                    lo = hi
-        rest = [x for x in unknown if x not in cores]
-        if rest:
-            coded = self.tokenizer.encode_batch(rest, add_special_tokens=False)
-            cores.update(zip(rest, [tuple(e.ids) for e in coded]))
-        for w, (core, tail) in cut.items():
-            self.cache[w] = cores[core] + cores[tail] if tail else cores[core]
-
-
-#: A last letter that normalisation leaves one letter.
-_PLAIN_END = re.compile("[A-Za-z\u00e0-\u00f6\u00f8-\u00ff]$")
+            names = list(letters)
+            ids = np.array(self._ids([b" ".join(names)])[0], "<u4")
+            stops = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(stops) == len(names):
+                flat = ids.tobytes()
+                cache.update(zip(names, [flat[4 * x:4 * y] for x, y in zip([0, *stops], stops)]))
+            else:
+                others |= letters
+        if others:
+            names = list(others)
+            cache.update(zip(names, [np.array(x, "<u4").tobytes() for x in self._ids(names)]))
+        cache.update([(w, cache[core] + cache[tail] if tail else cache[core]) for w, core, tail in cut])
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        coded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [e.ids for e in coded]
+
+
+_CLOSING = b".,;:!?"
+#: Letters that normalisation leaves one letter.
+_PLAIN_LETTERS = re.compile("[A-Za-z\u00df-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00de]+")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -117,17 +127,15 @@ def with_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, ids) of each row, ``end_id`` appended; keeps partitions and order."""
 
     def run(batches):
-        enc = encoder(path)
+        enc, end = encoder(path), end_id.to_bytes(4, "little")
         for batch in batches:
             ids_col, texts = batch.column("doc_id"), batch.column("text")
             for lo, hi in slices(texts):
-                sizes, flat = [0], []
                 raw = ByteTexts(texts)
-                for words in enc.words([raw[i] for i in range(lo, hi)]):
-                    flat.extend(chain.from_iterable(words))
-                    flat.append(end_id)
-                    sizes.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), pa.array(np.array(flat, np.int32)))
+                coded = enc.packed([raw[i] for i in range(lo, hi)])
+                ends = np.cumsum([0, *(len(c) // 4 + 1 for c in coded)], dtype=np.int32)
+                flat = np.frombuffer(end.join([*coded, b""]), np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([ids_col.slice(lo, hi - lo), ids], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
