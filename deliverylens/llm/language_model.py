@@ -35,6 +35,7 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -44,13 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deliverylens.llm import gru
-from deliverylens.llm.common import (ByteTexts, documents, id_text, partitions, remainder, slices, staged,
+from deliverylens.llm.common import (ByteTexts, documents, id_text, mix64, partitions, remainder, slices, staged,
                                      words_of)
 
-FREQUENT, CLASSES, TAILS = 2000, 40, 36
+FREQUENT, CLASSES, TAILS = 1000, 24, 12
 DIM = HIDDEN = 16
-#: Documents in the first fit and its steps at least; width of its batch (the parallel pass has twice that), steps between truncations.
+#: Documents in the first fit and its steps at least, width of its batch, steps between truncations, rate;
+#: width of the parallel pass.
 WARM_DOCS, WARM_STEPS, LANES, STEPS, RATE = 3000, 1500, 64, 24, 0.01
+WIDE = 256
 #: Entries of a bucket, about: keeps a bucket's arrays near 32 MB.
 BUCKET_ENTRIES = 2_000_000
 END = b"\n"  # no word holds white space
@@ -60,35 +63,42 @@ LOG10 = F32(1 / np.log(10))
 
 def tail_class(word: bytes) -> int:
     """0..TAILS-1 by length, last mark and script."""
-    n = len(word)
-    size = 0 if n <= 4 else 1 if n <= 8 else 2 if n <= 13 else 3
-    last = word[-1:]
-    mark = 1 if last == b"," else 2 if not last.isalnum() and last < b"\x80" else 0
-    script = 0 if word.isascii() else 1 if word[0] < 0x80 else 2
-    return (size * 3 + mark) * 3 + script
+    n, last = len(word), word[-1:]
+    size = 0 if n <= 5 else 1 if n <= 10 else 2
+    mark = not last.isalnum() and last < b"\x80"
+    return (size * 2 + mark) * 2 + (not word.isascii())
 
 
 class Words:
     """Codes of words: 0 the end, 1..F frequent by rank, then tail classes; remembers what it has seen."""
 
-    def __init__(self, frequent: list[int]):
-        self.hash = xxhash.xxh3_64_intdigest
+    def __init__(self, frequent: list[int], limit: int = 400_000):
         self.rank = {h: i + 1 for i, h in enumerate(frequent)}
-        self.base = len(frequent) + 1
-        self.known: dict[bytes, tuple[int, int]] = {}
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, hashes) of a list of words."""
-        known = self.known
-        if len(known) > 300_000:
-            known.clear()
-        for w in set(words).difference(known):
-            h = self.hash(w)
-            known[w] = (self.rank.get(h) or self.base + tail_class(w), h)
-        if not words:
-            return np.zeros(0, np.int32), np.zeros(0, np.uint64)
-        code, h = zip(*map(known.__getitem__, words))
-        return np.array(code, np.int32), np.array(h, np.uint64)
+        self.base, self.limit = len(frequent) + 1, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.code, self.hash = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, hashes) of the words of all texts in a row, and how many each text has."""
+        if len(self.place) > self.limit:
+            self._clear()
+        split = [words_of(t) for t in texts]
+        size = np.array([len(x) for x in split], np.int64)
+        flat, place = list(chain.from_iterable(split)), self.place
+        at = np.fromiter(map(place.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list(dict.fromkeys(map(flat.__getitem__, missing.tolist())))
+            h = list(map(xxhash.xxh3_64_intdigest, new))
+            code = [self.rank.get(x) or self.base + tail_class(w) for x, w in zip(h, new)]
+            place.update(zip(new, range(len(place), len(place) + len(new))))
+            self.code = np.concatenate([self.code, np.array(code, np.int32)])
+            self.hash = np.concatenate([self.hash, np.array(h, np.uint64)])
+            at[missing] = [place[flat[i]] for i in missing.tolist()]
+        return self.code[at], self.hash[at], size
 
 
 class Layout:
@@ -98,6 +108,7 @@ class Layout:
         mass = np.cumsum(np.array(counts or [1], float))
         share = np.minimum(CLASSES - 1, (mass - np.array(counts or [1])) / mass[-1] * CLASSES).astype(int)
         cls = np.concatenate([[0], share[:len(counts)]]) if counts else np.zeros(1, int)
+        cls = np.unique(cls, return_inverse=True)[1]  # no class is left without words
         self.heads = cls.max() + 1
         self.cls = np.concatenate([cls, self.heads + np.arange(TAILS)]).astype(np.int32)
         self.n_classes = self.heads + TAILS
@@ -130,16 +141,16 @@ def output(p: dict, layout: Layout, h: np.ndarray, code: np.ndarray, grads: dict
     the gradient of the mean loss on h, adding the weights' own to ``grads``."""
     rows = np.arange(len(code))
     cls = layout.cls[code]
-    logit = h @ p["wc"] + p["bc"]
-    logit -= logit.max(1, keepdims=True)
+    # weights keep logits small; the bound only guards against overflow
+    logit = np.minimum(h @ p["wc"] + p["bc"], F32(60))
     e = np.exp(logit)
-    total = e.sum(1, keepdims=True)
-    ln = logit[rows, cls] - np.log(total[:, 0])
+    total = e @ np.ones(e.shape[1], F32)
+    ln = logit[rows, cls] - np.log(total)
     d_h = None
     if grads is not None:
-        d = e / total
-        d[rows, cls] -= 1
-        d /= F32(len(code))
+        share = F32(1 / len(code))
+        d = e * (share / total)[:, None]
+        d[rows, cls] -= share
         grads["wc"] = h.T @ d
         grads["bc"] = d.sum(0)
         d_h = d @ p["wc"].T
@@ -152,16 +163,14 @@ def output(p: dict, layout: Layout, h: np.ndarray, code: np.ndarray, grads: dict
         if b - a < 2 or not len(at):
             continue
         hk = h[at]
-        lg = hk @ p["ww"][:, a:b] + p["bw"][a:b]
-        lg -= lg.max(1, keepdims=True)
+        lg = np.minimum(hk @ p["ww"][:, a:b] + p["bw"][a:b], F32(60))
         ek = np.exp(lg)
-        tk = ek.sum(1, keepdims=True)
+        tk = ek @ np.ones(b - a, F32)
         own = (np.arange(len(at)), code[at] - a)
-        ln[at] += lg[own] - np.log(tk[:, 0])
+        ln[at] += lg[own] - np.log(tk)
         if grads is not None:
-            dk = ek / tk
-            dk[own] -= 1
-            dk /= F32(len(code))
+            dk = ek * (share / tk)[:, None]
+            dk[own] -= share
             grads["ww"][:, a:b] = hk.T @ dk
             grads["bw"][a:b] = dk.sum(0)
             d_h[at] += dk @ p["ww"][:, a:b].T
@@ -197,14 +206,15 @@ def learn(p: dict, layout: Layout, docs: list[np.ndarray], opt: gru.Adam, lanes:
     """One pass of truncated backpropagation; the state is carried across truncations."""
     target, before, start, _ = lanes_of(docs, lanes)
     h = np.zeros((target.shape[1], HIDDEN), F32)
+    active = np.arange(target.shape[1])
     for lo in range(0, len(target), STEPS):
-        t, b = target[lo:lo + STEPS], before[lo:lo + STEPS]
-        keep = (~start[lo:lo + STEPS]).astype(F32)[..., None]
+        on = (target[lo:lo + STEPS, active] >= 0).any(0)
+        active, h = active[on], h[on]
+        t, b = target[lo:lo + STEPS, active], before[lo:lo + STEPS, active]
+        keep = (~start[lo:lo + STEPS, active]).astype(F32)[..., None]
         x = (p["emb"] @ p["wx"] + p["bx"])[b]
         states, saved = gru.forward(x, p["u"], p["bn"], h, keep)
         live = t >= 0
-        if not live.any():
-            break
         grads: dict[str, np.ndarray] = {}
         _, d_live = output(p, layout, states[1:][live], t[live], grads)
         d_states = np.zeros(states[1:].shape, F32)
@@ -268,6 +278,16 @@ def blobs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
                                       names=["bucket", *names])
 
 
+def by_document(d: np.ndarray, c: np.ndarray, known: np.ndarray, logs: np.ndarray):
+    """Sums of each (doc_id, text_crc)."""
+    order = np.lexsort((c, d))
+    d, c = d[order], c[order]
+    first = np.flatnonzero((np.diff(d, prepend=d[:1] - 1) != 0) | (np.diff(c, prepend=c[:1] - 1) != 0)) if len(d) else np.zeros(0, int)
+    if not len(first):
+        return d, c, known, logs
+    return d[first], c[first], np.add.reduceat(known[order], first), np.add.reduceat(logs[order], first)
+
+
 def added(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, their summed counts, and an index of one place of each."""
     order = np.argsort(hashes, kind="stable")
@@ -333,14 +353,19 @@ def corpus_summary(counts: DataFrame):
     """(N, V, frequent hashes, their counts, per tail class N and V without the frequent words)."""
 
     def top(batches):
+        """A task's most frequent words, and its totals by class."""
+        n, v = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        best = np.zeros((0, 3), np.int64)
         for pdf in batches:
-            for b, x, y, z in zip(pdf["bucket"], pdf["hashes"], pdf["counts"], pdf["tails"]):
-                h, c, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.int64), np.frombuffer(z, np.uint8)
-                n, v = np.bincount(t, c, 256), np.bincount(t, minlength=256)
-                best = np.argsort(-c, kind="stable")[:FREQUENT + 1]
-                yield pd.DataFrame({"h": h[best].astype(np.int64), "c": c[best], "t": t[best].astype(np.int32), "kind": 0})
-                k = np.flatnonzero(v)
-                yield pd.DataFrame({"h": v[k].astype(np.int64), "c": n[k].astype(np.int64), "t": k.astype(np.int32), "kind": 1})
+            for x, y, z in zip(pdf["hashes"], pdf["counts"], pdf["tails"]):
+                h, c, t = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), np.frombuffer(z, np.uint8)
+                np.add.at(n, t, c)
+                v += np.bincount(t, minlength=256)
+                best = np.concatenate([best, np.stack([h, c, t.astype(np.int64)], 1)])
+                best = best[np.lexsort((best[:, 0], -best[:, 1]))[:FREQUENT + 1]]
+        yield pd.DataFrame({"h": best[:, 0], "c": best[:, 1], "t": best[:, 2].astype(np.int32), "kind": 0})
+        k = np.flatnonzero(v)
+        yield pd.DataFrame({"h": v[k], "c": n[k], "t": k.astype(np.int32), "kind": 1})
 
     rows = staged(counts.mapInPandas(top, "h long, c long, t int, kind int"), "count_tops")
     totals = {r.t: (int(r.n), int(r.v)) for r in
@@ -358,11 +383,10 @@ def corpus_summary(counts: DataFrame):
 # --- training ------------------------------------------------------------------------------------
 
 def coded(words: Words, texts: list[bytes]) -> list[np.ndarray]:
-    out = []
-    for t in texts:
-        code, _ = words.of(words_of(t))
-        out.append(np.append(code, 0).astype(np.int32))
-    return out
+    code, _, size = words.of(texts)
+    stop = np.cumsum(size)
+    flat = np.insert(code, stop, 0)  # each document's end
+    return np.split(flat, (stop + np.arange(1, len(size) + 1))[:-1])
 
 
 def fit(train: DataFrame, frequent: list[int], layout: Layout) -> dict[str, np.ndarray]:
@@ -393,10 +417,10 @@ def fit(train: DataFrame, frequent: list[int], layout: Layout) -> dict[str, np.n
         for batch in batches:
             texts = batch.column(0)
             raw = ByteTexts(texts)
-            for lo, hi in slices(texts, 4 << 20):
+            for lo, hi in slices(texts, 12 << 20):
                 docs = coded(words, [raw[i] for i in range(lo, hi)])
                 tokens += sum(map(len, docs))
-                learn(p, layout, docs, opt, 2 * LANES)
+                learn(p, layout, docs, opt, WIDE)
         if tokens:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([float(tokens)]), pa.array([pickle.dumps({k: x * F32(tokens) for k, x in p.items()})], pa.binary())],
@@ -448,7 +472,7 @@ def score_documents(docs: DataFrame, held: int = 2, modulus: int = 7) -> DataFra
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             raw = ByteTexts(texts)
-            for lo, hi in slices(texts, 8 << 20):
+            for lo, hi in slices(texts, 12 << 20):
                 part = [raw[i] for i in range(lo, hi)]
                 docs = coded(words, part)
                 ln = log10_of(p, layout, docs)
@@ -480,16 +504,19 @@ def score_documents(docs: DataFrame, held: int = 2, modulus: int = 7) -> DataFra
         for batch in batches:
             ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
             raw = ByteTexts(batch.column(1))
-            for i in range(batch.num_rows):
-                text = raw[i]
-                code, h = words.of(words_of(text))
-                h, times = np.unique(h[code >= tails], return_counts=True)
-                if len(h):
-                    hs.append(h)
-                    ts.append(times.astype(np.uint32))
-                    ds.append(np.full(len(h), ids[i], np.int64))
-                    cs.append(np.full(len(h), zlib.crc32(text), np.uint32))
-                    held_n += len(h)
+            for lo, hi in slices(batch.column(1)):
+                texts = [raw[i] for i in range(lo, hi)]
+                code, h, size = words.of(texts)
+                doc = np.repeat(np.arange(hi - lo), size)[code >= tails]
+                h = h[code >= tails]
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(h, prepend=~h[:1]) != 0)) if len(h) else np.zeros(0, int)
+                hs.append(h[first])
+                ts.append(np.diff(np.append(first, len(h))).astype(np.uint32))
+                ds.append(ids[lo:hi][doc[first]])
+                cs.append(np.array([zlib.crc32(t) for t in texts], np.uint32)[doc[first]])
+                held_n += len(first)
                 if held_n > 800_000:
                     yield flush()
                     hs, ds, cs, ts, held_n = [], [], [], [], 0
@@ -499,27 +526,51 @@ def score_documents(docs: DataFrame, held: int = 2, modulus: int = 7) -> DataFra
     def look_up(key, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         names = np.frombuffer(known["hashes"].iloc[0], np.uint64) if len(known) else np.zeros(0, np.uint64)
         count = np.frombuffer(known["counts"].iloc[0], np.int64) if len(known) else np.zeros(0, np.int64)
-        out = []
+        ds, cs, ks, ls = [], [], [], []
         for x, d, c, t in zip(asked["hashes"], asked["docs"], asked["crcs"], asked["times"]):
             h, t = np.frombuffer(x, np.uint64), np.frombuffer(t, np.uint32).astype(np.int64)
-            d, c = np.frombuffer(d, np.int64), np.frombuffer(c, np.uint32).astype(np.int64)
-            at = np.searchsorted(names, h)
-            hit = np.zeros(len(h), bool)
+            got = np.zeros(len(h), np.int64)
             if len(names):
-                at = np.minimum(at, len(names) - 1)
-                hit = names[at] == h
-            got = np.where(hit, count[at], 0) if len(names) else np.zeros(len(h), np.int64)
-            first = np.flatnonzero((np.diff(d, prepend=d[0] - 1) != 0) | (np.diff(c, prepend=c[0] - 1) != 0))
-            out.append(pd.DataFrame({"doc_id": d[first], "text_crc": c[first],
-                                     "tail_known": np.add.reduceat(t * hit, first),
-                                     "tail_log": np.add.reduceat(t * np.log10(got + 1.0), first)}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "text_crc": [], "tail_known": [], "tail_log": []})
+                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                got = np.where(names[at] == h, count[at], 0)
+            ds.append(np.frombuffer(d, np.int64))
+            cs.append(np.frombuffer(c, np.uint32).astype(np.int64))
+            ks.append(t * (got > 0))
+            ls.append(t * np.log10(got + 1.0))
+        if not ds:
+            return pd.DataFrame(columns=["bucket", "docs", "crcs", "known", "logs"])
+        d, c, k, lg = by_document(*map(np.concatenate, (ds, cs, ks, ls)))
+        to = mix64(d.view(np.uint64))  # dealt back by document
+        order = np.argsort(to, kind="stable")
+        d, c, k, lg, to = d[order], c[order], k[order], lg[order], to[order]
+        rows = [(b, *(x[s].tobytes() for x in (d, c, k, lg))) for b, s in dealt(to, buckets)]
+        return pd.DataFrame(rows, columns=["bucket", "docs", "crcs", "known", "logs"])
+
+    def gather(batches):
+        """One bucket's rows follow each other: sums of each document."""
+        at, parts = None, []
+
+        def done():
+            cols = [np.concatenate([np.frombuffer(x[i], kind) for x in parts])
+                    for i, kind in enumerate((np.int64, np.int64, np.int64, np.float64))]
+            return pd.DataFrame(dict(zip(("doc_id", "text_crc", "tail_known", "tail_log"), by_document(*cols))))
+
+        for pdf in batches:
+            for b, *x in zip(pdf["bucket"], pdf["docs"], pdf["crcs"], pdf["known"], pdf["logs"]):
+                if at is not None and b != at:
+                    yield done()
+                    parts = []
+                at = b
+                parts.append(x)
+        if at is not None:
+            yield done()
 
     asked = base.mapInArrow(spread, "bucket int, hashes binary, docs binary, crcs binary, times binary")
     tail_rows = (asked.groupBy("bucket").cogroup(counts.groupBy("bucket"))
-                 .applyInPandas(look_up, "doc_id long, text_crc long, tail_known long, tail_log double"))
+                 .applyInPandas(look_up, "bucket int, docs binary, crcs binary, known binary, logs binary"))
+    sums = (tail_rows.repartition(max(partitions(spark), buckets // 4), "bucket").sortWithinPartitions("bucket")
+            .mapInPandas(gather, "doc_id long, text_crc long, tail_known long, tail_log double"))
     # a repeated (doc_id, text) sums its copies; dividing by their number gives each its own
-    sums = tail_rows.groupBy("doc_id", "text_crc").agg(F.sum("tail_known").alias("tail_known"), F.sum("tail_log").alias("tail_log"))
     low = F.lit(np.iinfo(np.int64).min).cast("long")
     heads = staged(heads, "heads")
     copies = heads.groupBy("doc_id", "text_crc").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
