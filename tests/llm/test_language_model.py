@@ -89,3 +89,13 @@ def test_model_beats_the_base_on_held_out_rows(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = score_documents(docs).where("held_out").collect()
     assert sum(r.score for r in rows) > 0.97 * sum(r.base_score for r in rows)  # both negative
+
+
+SIZES = (lm.FREQUENT, lm.CLASSES, lm.TAILS, lm.WIDE)  # before the fixture makes them small
+
+
+def test_model_has_its_full_size():
+    assert SIZES == (2000, 40, 36, 128)
+    assert len({lm.tail_class(b"ab" + m) for m in (b"", b",", b".")}) == 3
+    assert len({lm.tail_class(b"a" * n) for n in (4, 8, 13, 14)}) == 4
+    assert len({lm.tail_class(w.encode()) for w in ("abc", "aé", "éa")}) == 3
