@@ -79,3 +79,21 @@ def test_no_labels_or_pages(spark, no_docs):
     none = lid.identify(pages, no_docs).collect()
     assert len(none) == 243 and {r.lang for r in none} == {None}
     assert lid.identify(pages.limit(0), docs).count() == 0
+
+
+def test_more_than_64_languages(spark):
+    rnd = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    parts = {f"l{i:02}": ["".join(rnd.choices(letters, k=4)) for _ in range(4)] for i in range(70)}
+
+    def text(lang, n):
+        return " ".join(rnd.choice(parts[lang]) for _ in range(n))
+
+    # l69 has the fewest documents: the first to go under a cap by frequency
+    docs = [(100 * i + j, text(x, 30), x) for i, x in enumerate(sorted(parts)) for j in range(2 if i == 69 else 3)]
+    docs += [(9000, None, "l00"), (9001, "no label", None)]
+    pages = [(i, f"https://h{i}.example.org/", f"<p>{text(x, 40)}</p>") for i, x in enumerate(sorted(parts))]
+    got = {r.page_id: r.lang for r in lid.identify(
+        spark.createDataFrame(pages, "page_id long, url string, html string"),
+        spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: x for i, x in enumerate(sorted(parts))}
