@@ -6,8 +6,10 @@ bigrams.  From Dice >= t follow the size bounds ``t m / (2 - t) <= |A| <=
 (2 - t) m / t`` for a template of m bigrams, and |A & B| >= t m / (2 - t): a
 document with fewer of a template's bigrams never meets it, and a passage longer
 than the bound is not extended.  A best passage starts and ends at a shared
-bigram, so only those places are tried; this loses nothing.  Templates are a
-fixed list; documents are scanned where they are, without a shuffle.
+bigram, so only those places are tried; this loses nothing.  Nor does ending when
+the shared bigrams left cannot give a higher score.  Templates are an argument;
+documents are scanned where they are, without a shuffle.  Near templates (BSD-2
+and BSD-3, versions of a notice) may both match; the higher score tells which.
 
 Defined results: a null, empty or licence-free text gives no row; of passages
 equal in score the earliest, then shortest counts; repeated rows are scanned
@@ -26,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deliverylens.llm.common import ByteTexts, documents, shingle_hashes, slices
+from deliverylens.llm.license_texts import ISC_END, MIT_END, all_texts
 
 DICE = 0.85
 MARKS = b".,;:!?#$%&*|\"'()[]<>/-_`"
-# Short forms and notices of public licences.
+# Whole texts, short forms and notices of public licences.
 TEMPLATES = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
@@ -43,7 +46,7 @@ TEMPLATES = {
         limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
         Software, and to permit persons to whom the Software is furnished to do so, subject to the following
         conditions: The above copyright notice and this permission notice shall be included in all copies or
-        substantial portions of the Software.""",
+        substantial portions of the Software. """ + MIT_END,
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
         General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
@@ -59,10 +62,10 @@ TEMPLATES = {
     "BSD": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
         that the following conditions are met""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        hereby granted, provided that the above copyright notice and this permission notice appear in all copies. """ + ISC_END,
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
+TEMPLATES = {**TEMPLATES, **all_texts()}
 _COPYRIGHT = re.compile(rb"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|\xc2\xa9)[^\n]*(?:\n|$)")
 
 
@@ -136,7 +139,11 @@ class Scanner:
     def _best(self, g: np.ndarray, places: np.ndarray, end: int, t: int):
         """Best (dice, start, words) among passages from one shared bigram to another within the size bound."""
         m, best = len(self.sets[t]), None
+        # distinct shared bigrams from each place on
+        left = np.cumsum(np.isin(np.arange(len(places)), len(places) - 1 - np.unique(g[places][::-1], return_index=True)[1])[::-1])[::-1]
         for i, a in enumerate(places):
+            if left[i] < self.low[t] or (best is not None and 2 * left[i] / (left[i] + m) <= best[0]):
+                break
             seen, common = set(), set()
             at = a
             for b in places[i:]:
@@ -151,11 +158,11 @@ class Scanner:
         return best
 
 
-def scan_licenses(docs: DataFrame, dice: float = DICE) -> DataFrame:
-    """(doc_id, license, dice, start_word, n_words): each document and template that a passage of it matches."""
+def scan_licenses(docs: DataFrame, dice: float = DICE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """(doc_id, license, dice, start_word, n_words): each document and template (name: text) that a passage of it matches."""
 
     def run(batches):
-        scanner = Scanner(dice=dice)
+        scanner = Scanner(templates, dice)
         for batch in batches:
             raw = ByteTexts(batch.column(1))
             for lo, hi in slices(batch.column(1)):

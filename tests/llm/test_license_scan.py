@@ -55,3 +55,29 @@ def test_table(spark, docs, no_docs):
                                "doc_id long, text string")
     assert sorted((r.doc_id, r.license, r.dice) for r in scan_licenses(df).collect()) == [(1, "MIT", 1.0)] * 2
     assert scan_licenses(docs).count() == 0 and scan_licenses(no_docs).count() == 0
+
+
+def best(text, scanner=Scanner()):
+    found = [x for x in scanner([text.encode()]) if x[1] != "BSD"]  # the opening of the whole family
+    return max(found, key=lambda x: x[2], default=(0, None, 0))[1:3]
+
+
+def test_common_families():
+    """Every template finds itself, and near ones are told apart by score."""
+    scanner = Scanner()
+    for name, text in TEMPLATES.items():
+        got = {x[1]: x[2] for x in scanner([("before it " + text + " after it").encode()])}
+        assert got[name] == 1.0, name
+    assert best("Licensed under CC BY-SA 4.0.") == ("CC-BY-SA-4.0-line", 1.0)
+    notice = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."
+    assert best(notice) == ("CC-BY-SA-4.0", 1.0)
+    assert best(TEMPLATES["BSD-2-Clause"])[0] == "BSD-2-Clause" and best(TEMPLATES["BSD-3-Clause"])[0] == "BSD-3-Clause"
+    assert "NONINFRINGEMENT" in TEMPLATES["MIT"]
+    for name in ("CC0-1.0", "CC-BY-ND-4.0", "AGPL-3.0", "LGPL-3.0", "EPL-2.0", "Unlicense", "GPL-3.0-text", "Apache-2.0-text"):
+        assert name in TEMPLATES
+
+
+def test_templates_as_argument(spark):
+    df = spark.createDataFrame([(1, "ours: you may use this thing freely on Sundays only")], "doc_id long, text string")
+    got = scan_licenses(df, templates={"own": "You may use this thing freely on Sundays only."}).collect()
+    assert [(r.license, r.dice) for r in got] == [("own", 1.0)]
