@@ -81,8 +81,10 @@ def exact_groups(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxh
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were."""
     found = exact_groups(docs)
-    gone = staged(found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = staged(found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct(), "gone")
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+    # by id and text: an id may be null or stand for several texts
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha == gone["gone_sha"]), "left_anti")
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -70,8 +70,9 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def described(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, n_sub, sig, sig2) of each row."""
+def described(docs: DataFrame, k: int, hashed: bool = False) -> DataFrame:
+    """(doc_id, n, n_sub, sig, sig2) of each row; with ``hashed`` the text's hash too."""
+    extra = ["text_hash"] if hashed else []
 
     def run(batches):
         hashes = WordHash()
@@ -81,10 +82,12 @@ def described(docs: DataFrame, k: int) -> DataFrame:
                 s = set_of(hashes, raw[i], k)
                 rows.append((len(s), int((s % np.uint64(SPACE) == 0).sum()), *signatures(s)))
             cols = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)],
-                                             names=["doc_id", "n", "n_sub", "sig", "sig2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols),
+                                              *(batch.column(2 + i) for i in range(len(extra)))],
+                                             names=["doc_id", "n", "n_sub", "sig", "sig2", *extra])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n long, n_sub long, sig long, sig2 long")
+    rows = id_text(docs).select("doc_id", "text", *[F.xxhash64("text").alias(x) for x in extra])
+    return rows.mapInArrow(run, "doc_id long, n long, n_sub long, sig long, sig2 long" + "".join(f", {x} long" for x in extra))
 
 
 def deal(docs: DataFrame, k: int, buckets: int, clashes: frozenset, space: int) -> DataFrame:
@@ -363,17 +366,18 @@ def all_links(active: DataFrame, share: int) -> DataFrame:
     return staged(links.unionByName(linked(others.unionByName(everyone), share)), "all_links")
 
 
-def near_groups(docs: DataFrame, k: int = SHINGLE, share: int = SHARE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+def near_groups(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, hashed: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id; with ``hashed`` text_hash too."""
+    extra = ["text_hash"] if hashed else []
     spark = docs.sparkSession
-    desc = staged(described(docs, k), "described")
+    desc = staged(described(docs, k, hashed), "described")
     clash = (desc.groupBy("sig").agg(F.min("sig2").alias("lo"), F.max("sig2").alias("hi")).where("lo <> hi")
              .select("sig").limit(MAX_CLASHES + 1).collect())
     if len(clash) > MAX_CLASHES:
         raise ValueError("the signature gives too many clashes")
     clashes = frozenset(r.sig for r in clash)
     node = F.when(F.col("sig").isin(list(clashes)), F.col("sig2")).otherwise(F.col("sig")) if clashes else F.col("sig")
-    desc = desc.select("doc_id", "n", "n_sub", node.alias("node"))
+    desc = desc.select("doc_id", "n", "n_sub", node.alias("node"), *extra)
     nodes = staged(desc.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"),
                                                           F.max("n_sub").alias("n_sub"), F.count(F.lit(1)).alias("copies")), "nodes")
     total = nodes.agg(F.sum("n_sub")).first()[0] or 0
@@ -395,13 +399,16 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, share: int = SHARE) -> DataFr
     answer = staged(named.join(ids, "label", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), "copies", "component")
                     .where("copies > 1 or component is not null").select("node", "component_id"), "answers")
     return (desc.join(answer, (desc["node"] == answer["node"]) & (desc["n"] > 0), "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *extra))
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """The documents with the smallest doc_id of their group, columns as they were."""
-    gone = staged(near_groups(docs, k, share).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    # by id and text: an id may be null or stand for several texts
+    gone = staged(near_groups(docs, k, share, hashed=True).where(~F.col("component_id").eqNullSafe(F.col("doc_id")))
+                  .select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (own == gone["gone_hash"]), "left_anti")
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
