@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF0001
+from paths import SF0001
 from tools.oracle_check import digest
 
 ORDER_SENSITIVE = ["label_delivery_outcome", "dedupe_attempts_in_batch", "insert_attempts_if_absent",

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from paths import SF0001
 from deliverylens.operators import features as FE
 from deliverylens.sources import files as FILES
 from deliverylens.sources.testdata import load_tables

@@ -310,7 +310,7 @@ def test_null_keys(spark):
 
 
 def test_timeline_of_chosen_events_and_of_events_without_attempts(spark):
-    from conftest import SF0001
+    from paths import SF0001
     from deliverylens.operators import views as V
     from deliverylens.sources.testdata import load_tables
     t = load_tables(spark, SF0001)

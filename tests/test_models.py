@@ -77,7 +77,7 @@ def test_small_samples_are_normalised_by_their_own_size(spark):
 
 
 def test_whole_scorer_survives_save_and_load(spark, scratch):
-    from conftest import SF0001
+    from paths import SF0001
     from deliverylens.ml import intelligence as INTEL
     from deliverylens.sources.testdata import load_tables
     t = load_tables(spark, SF0001)

@@ -3,7 +3,7 @@ entry point runs; rows-only queries run."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF0001
+from paths import SF0001
 from tools.oracle_check import digest, duck
 
 SQL = E.oracle_sql()

@@ -4,7 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 import uploads
-from conftest import SF0001
+from paths import SF0001
 from deliverylens.plans import jobs
 from deliverylens.sources.testdata import load_tables
 from deliverylens.streaming import jobs as ST

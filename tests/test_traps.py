@@ -166,7 +166,7 @@ def test_fallback_for_unknown_ids(spark):
 
 
 def test_ingest_summary_scopes(spark):
-    from conftest import SF0001
+    from paths import SF0001
     from deliverylens.sources.testdata import load_tables
     t = load_tables(spark, SF0001)
     inst, pats = A.endpoint_instability(t.attempts), A.retry_patterns(t.attempts)
@@ -180,7 +180,7 @@ def test_ingest_summary_scopes(spark):
 
 
 def test_tenant_filter_matches_full_result(spark):
-    from conftest import SF0001
+    from paths import SF0001
     from deliverylens.sources.testdata import load_tables
     t = load_tables(spark, SF0001)
     for fn in (A.tenant_overview, A.tenant_endpoints, lambda t, user_id=None: V.list_events(t, 1, 5, user_id),
@@ -201,7 +201,7 @@ def test_one_hot_declared_values(spark):
 
 def test_tenant_rankings_against_brute_force(spark):
     """R1 with scope='tenant' (no SQL twin) against pandas on sf0.001."""
-    from conftest import SF0001
+    from paths import SF0001
     from deliverylens.sources.testdata import load_tables
     t = load_tables(spark, SF0001)
     a = t.attempts.select("event_id", "endpoint_id", "attempt_number", "http_status", "timeout").toPandas()
