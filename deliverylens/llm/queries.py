@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deliverylens.llm import decontamination, exact_dedup, hard_negatives, language_id, language_model, license_scan, line_dedup, ngram_join, sentencepieces, token_files, toxicity
+from deliverylens.llm import decontamination, exact_dedup, hard_negatives, language_id, language_model, license_scan, line_dedup, ngram_join, sentencepieces, spelling_variants, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_lm_scoring": language_model.op1_lm_scoring,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_language_id": language_id.op10_language_id,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op12_spelling_variants": spelling_variants.op12_spelling_variants,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
