@@ -12,7 +12,6 @@ import os
 import uuid
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from ..session import checkpoint_dir
 from ..tables import Tables
 from . import isolation_forest as IF
 from . import recovery as R
+from .boosting import BoostedTrees
 from .split import stratified_split
 
 RULE_INPUTS = ["endpoint_health_score", "timeout_ratio", "error_ratio"]
@@ -30,22 +30,22 @@ RULE_INPUTS = ["endpoint_health_score", "timeout_ratio", "error_ratio"]
 
 @dataclass
 class Models:
-    recovery: PipelineModel
+    recovery: BoostedTrees
     forest: DataFrame          # node table, read back from parquet
     threshold: float           # anomaly score cut (train quantile)
 
     def save(self, path: str) -> None:
         """The whole scorer -- classifier, forest and threshold -- under one folder."""
-        R.save_model(self.recovery, os.path.join(path, "recovery"))
-        self.forest.write.mode("overwrite").parquet(os.path.join(path, "forest"))
         spark = self.forest.sparkSession
+        R.save_model(spark, self.recovery, os.path.join(path, "recovery"))
+        self.forest.write.mode("overwrite").parquet(os.path.join(path, "forest"))
         spark.createDataFrame([(self.threshold,)], "threshold double").write.mode("overwrite").parquet(
             os.path.join(path, "threshold"))
 
 
 def load_models(spark: SparkSession, path: str) -> Models:
     """A saved scorer, in any session."""
-    return Models(recovery=R.load_model(os.path.join(path, "recovery")),
+    return Models(recovery=R.load_model(spark, os.path.join(path, "recovery")),
                   forest=spark.read.parquet(os.path.join(path, "forest")),
                   threshold=float(spark.read.parquet(os.path.join(path, "threshold")).first().threshold))
 
@@ -63,7 +63,7 @@ def fit_models(t: Tables, max_iter: int = 150, n_trees: int = 100, contamination
     folder = os.path.join(checkpoint_dir(spark), "models", uuid.uuid4().hex)
     FE.select_model_columns(FE.event_features(t)).write.parquet(os.path.join(folder, "rows"))
     train = stratified_split(spark.read.parquet(os.path.join(folder, "rows"))).where(F.col("split") == "train")
-    recovery = R.train_recovery_model(train, max_iter=max_iter, seed=seed)
+    recovery = R.train_recovery_model(train, max_iter=max_iter)
     x = R.impute(train)
     nodes = IF.fit_isolation_forest(x, FE.MODEL_FEATURES, key=["event_id", "endpoint_id"],
                                     n_trees=n_trees, seed=seed)
@@ -84,7 +84,7 @@ def score_events(features: DataFrame, models: Models) -> DataFrame:
                            *[F.col(c).alias(f"raw_{c}") for c in RULE_INPUTS],
                            *FE.MODEL_FEATURES)
     rec = R.score_recovery(models.recovery, keep)
-    scored = IF.score_isolation_forest(rec, models.forest, FE.MODEL_FEATURES)
+    scored = IF.score_isolation_forest(R.impute(rec), models.forest, FE.MODEL_FEATURES)
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(models.threshold))
 
 

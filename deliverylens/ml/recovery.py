@@ -1,77 +1,54 @@
-"""Recovery classifier (ML2, ML5, ML6) with Spark MLlib.
+"""Recovery classifier (ML2, ML5, ML6): second-order boosted trees.
 
 Boosted trees predicting ``is_recovered`` from the FE6 columns: 150 rounds
 of depth 6 and step 0.1 by default, with the positive class weighted by
-negatives/positives of the training rows (as ``scale_pos_weight`` does).
-Missing inputs (no attempts, no endpoint) are given a sentinel of -1, since
-MLlib trees take no nulls.  Training data is persisted (recomputable from
-lineage if an executor is lost) and the boosting lineage is checkpointed to
-the shared checkpoint folder every ``checkpoint_interval`` rounds.
+negatives/positives of the training rows (as ``scale_pos_weight`` does) in
+both the gradient and the hessian sums.  Missing inputs (no attempts, no
+endpoint) take each cut's default side; see :mod:`.boosting`.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import MODEL_FEATURES
-from ..session import checkpoint_dir
+from . import boosting
+from .boosting import BoostedTrees
 
 MISSING = -1.0
 
 
 def impute(df: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """Missing inputs as a sentinel, for the isolation forest, which has no side for them."""
     cols = features or MODEL_FEATURES
     return df.select(*[c for c in df.columns if c not in cols],
                      *[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c) for c in cols])
 
 
 def train_recovery_model(train: DataFrame, features: list[str] | None = None, label: str = "is_recovered",
-                         max_iter: int = 150, max_depth: int = 6, step_size: float = 0.1, seed: int = 42,
-                         checkpoint_interval: int = 10) -> PipelineModel:
-    """ML2: fit the classifier on labelled FE6 rows."""
+                         max_iter: int = 150, max_depth: int = 6, step_size: float = 0.1, **options) -> BoostedTrees:
+    """ML2: fit the classifier on labelled FE6 rows; ``options`` are those of :func:`.boosting.fit`."""
     cols = features or MODEL_FEATURES
-    spark = train.sparkSession
-    checkpoint_dir(spark)  # boosting checkpoints go to the shared folder
-    data = impute(train, cols).select(*cols, F.col(label).cast("double").alias("label"))
-    counts = data.agg(F.sum((F.col("label") == 0).cast("double")).alias("neg"),
-                      F.sum((F.col("label") == 1).cast("double")).alias("pos")).first()
+    counts = train.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
     scale = (counts["neg"] / counts["pos"]) if counts["pos"] else 1.0
-    data = data.withColumn("weight", F.when(F.col("label") == 1, F.lit(scale)).otherwise(F.lit(1.0)))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        pipe = Pipeline(stages=[
-            VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep"),
-            GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter,
-                          maxDepth=max_depth, stepSize=step_size, seed=seed,
-                          checkpointInterval=checkpoint_interval),
-        ])
-        return pipe.fit(data)
-    finally:
-        data.unpersist()
+    weighted = train.withColumn("_weight", F.when(F.col(label) == 1, F.lit(float(scale))).otherwise(F.lit(1.0)))
+    return boosting.fit(weighted, cols, label, "_weight", rounds=max_iter, max_depth=max_depth, step_size=step_size, **options)
 
 
-def score_recovery(model: PipelineModel, df: DataFrame, features: list[str] | None = None) -> DataFrame:
+def score_recovery(model: BoostedTrees, df: DataFrame) -> DataFrame:
     """ML5 + ML6: predicted class at 0.5, P(recovered) and risk = 1 - P."""
-    cols = features or MODEL_FEATURES
-    out = model.transform(impute(df, cols))
-    p = vector_to_array(F.col("probability"))[1]
-    return (out.withColumn("p_recovered", p)
+    return (df.withColumn("p_recovered", model.probability(df.sparkSession))
+            .withColumn("prediction", (F.col("p_recovered") > 0.5).cast("double"))
             .withColumn("safe_to_replay", F.col("prediction") == 1.0)
-            .withColumn("risk_score", F.lit(1.0) - F.col("p_recovered"))
-            .drop("features", "rawPrediction", "probability"))
+            .withColumn("risk_score", F.lit(1.0) - F.col("p_recovered")))
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Persist the fitted pipeline."""
-    model.write().overwrite().save(path)
+def save_model(spark: SparkSession, model: BoostedTrees, path: str) -> None:
+    """Persist the fitted trees."""
+    model.save(spark, path)
 
 
-def load_model(path: str) -> PipelineModel:
-    """Reload a fitted pipeline."""
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> BoostedTrees:
+    """Reload fitted trees."""
+    return BoostedTrees.load(spark, path)

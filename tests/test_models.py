@@ -40,8 +40,8 @@ def test_recovery_model_learns_planted_signal(spark, scratch):
     df = spark.createDataFrame(rows, ["event_id", "endpoint_id", "is_recovered"] + MODEL_FEATURES)
     model = R.train_recovery_model(df, max_iter=5, max_depth=3)
     path = f"{scratch}/model"
-    R.save_model(model, path)
-    scored = R.score_recovery(R.load_model(path), df)
+    R.save_model(spark, model, path)
+    scored = R.score_recovery(R.load_model(spark, path), df)
     assert scored.where((F.col("risk_score") - (1 - F.col("p_recovered"))) != 0).count() == 0
     auc = BinaryClassificationEvaluator(rawPredictionCol="p_recovered", labelCol="label").evaluate(
         scored.withColumn("label", F.col("is_recovered").cast("double")))
