@@ -40,6 +40,11 @@ def register(name: str):
     return deco
 
 
+def _scratch(spark, kind: str) -> str:
+    """A new folder in the shared storage."""
+    return os.path.join(checkpoint_dir(spark), kind, uuid.uuid4().hex)
+
+
 _TABLES: dict = {}
 
 
@@ -307,6 +312,96 @@ def _st3_twin(spark, sf_dir):
     return endpoint_health_windows(_t(spark, sf_dir).attempts, "1 hour")
 
 
+# ---------------------------------------------------------------------------
+# streams run to their end (ST1-ST3), and the batch form of bursts and spikes
+# ---------------------------------------------------------------------------
+def _arrivals(df: DataFrame, time: str, cuts: list[str]) -> list[DataFrame]:
+    """The rows of each span of time between ``cuts``, in order; rows without a time arrive first."""
+    at = F.lit(0)
+    for c in cuts:
+        at = at + F.coalesce((F.col(time) >= F.lit(c).cast("timestamp_ntz")).cast("int"), F.lit(0))
+    return [df.where(at == i) for i in range(len(cuts) + 1)]
+
+
+ATTEMPT_CUTS, REPLAY_CUTS = ["1997-06-01", "1999-06-01"], ["2024-01-11", "2024-01-21"]
+
+
+def _streamed(spark, arrivals, plan) -> DataFrame:
+    """What a stream over ``arrivals`` has appended to its sink at its end; ``plan(rows)`` is the stream."""
+    from ..streaming import bursts as B
+    from ..streaming import jobs as ST
+    folder, session = _scratch(spark, "streams"), B.stream_session(spark)
+    sink = os.path.join(folder, "out")
+    ST.in_arrivals(session, arrivals, folder, lambda rows, checkpoint: B.append_stream(plan(rows), sink, checkpoint))
+    return spark.read.parquet(sink)
+
+
+@register("retry_bursts")
+def _bursts(spark, sf_dir):
+    from ..streaming import bursts as B
+    return B.retry_bursts(B.retries_of(_t(spark, sf_dir).attempts))
+
+
+@register("replay_spikes")
+def _spikes(spark, sf_dir):
+    from ..streaming import bursts as B
+    return B.replay_spikes(_t(spark, sf_dir).replays)
+
+
+@register("stream_endpoint_health")
+def _st3(spark, sf_dir):
+    """ST3 as a stream over three arrivals: the hourly windows that are over at its end."""
+    from ..streaming import jobs as ST
+    arrivals = _arrivals(_t(spark, sf_dir).attempts, "attempted_at", ATTEMPT_CUTS)
+    out = _streamed(spark, arrivals, ST.live_endpoint_health)
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register("stream_dedupe_attempts")
+def _st2(spark, sf_dir):
+    """ST2 as a stream: a third of the rows arrive twice at once, and a fifth again with the next arrival.
+    The watermark's delay spans the table, so each key is kept once; returns the keys with the rows kept."""
+    from ..streaming import jobs as ST
+    parts = _arrivals(_t(spark, sf_dir).attempts, "attempted_at", ATTEMPT_CUTS)
+    arrivals = []
+    for i, part in enumerate(parts):
+        twice = part.unionByName(part.where(F.col("attempt_number") % 3 == 0))
+        arrivals.append(twice if i == 0 else twice.unionByName(parts[i - 1].where(F.col("attempt_number") % 5 == 0)))
+    kept = _streamed(spark, arrivals, lambda rows: ST.deduped_attempts(rows, delay="3650 days"))
+    return kept.groupBy("event_id", "attempt_number").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@register("stream_retry_bursts")
+def _st3_bursts(spark, sf_dir):
+    """Retry bursts as a stream: each is emitted once, when the watermark has passed it."""
+    from ..streaming import bursts as B
+    arrivals = _arrivals(_t(spark, sf_dir).attempts, "attempted_at", ATTEMPT_CUTS)
+    return _streamed(spark, arrivals, B.live_retry_bursts)
+
+
+@register("stream_replay_spikes")
+def _st3_spikes(spark, sf_dir):
+    """Replay spikes as a stream: each tenant's baseline and open days are keyed state, timers close the days."""
+    from ..streaming import bursts as B
+    arrivals = _arrivals(_t(spark, sf_dir).replays, "replayed_at", REPLAY_CUTS)
+    out = _streamed(spark, arrivals, B.live_replay_spikes)
+    return out.withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@register("stream_ingest_store")
+def _st1(spark, sf_dir):
+    """ST1 as a stream of upload rows: half of the events, then the other half with the first sent once more;
+    the stored attempts."""
+    from ..streaming import jobs as ST
+    rows = (RAW.attempts_csv_rows(_t(spark, sf_dir)).withColumn("ord", RAW.input_order())
+            .withColumnRenamed("uploader", "user_id"))
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    base = _store(spark)
+    ST.in_arrivals(spark, [rows.where(half), rows], _scratch(spark, "streams"),
+                   lambda stream, checkpoint: ST.stream_ingest_rows(spark, stream, base, checkpoint))
+    return JOBS.read_table(spark, base, "delivery_attempts")
+
+
 # ---------------------------------------------------------------------------
 # ingest (S3-S5, S11, M1-M10) and data quality (Q1-Q3)
 # ---------------------------------------------------------------------------
@@ -443,7 +538,7 @@ def _m1(spark, sf_dir):
 
 
 def _store(spark) -> str:
-    return os.path.join(checkpoint_dir(spark), "stores", uuid.uuid4().hex)
+    return _scratch(spark, "stores")
 
 
 @register("ingest_csv_store")

@@ -487,6 +487,53 @@ SELECT date_trunc('hour', attempted_at) AS window_start, endpoint_id, count(atte
        {r4(avgx('response_time_ms'))} AS avg_response_time
 FROM delivery_attempts WHERE attempted_at IS NOT NULL GROUP BY 1, 2""")
 
+SQL["stream_endpoint_health"] = q(f"""
+SELECT date_trunc('hour', attempted_at) AS window_start, endpoint_id, count(attempt_id) AS total_attempts,
+       {cnt(FAIL500)} AS failure_count, {cnt('coalesce(timeout, false)')} AS timeout_count,
+       {r4(avgx('response_time_ms'))} AS avg_response_time
+FROM delivery_attempts WHERE attempted_at IS NOT NULL GROUP BY 1, 2
+HAVING date_trunc('hour', attempted_at) + INTERVAL 1 HOUR
+       <= (SELECT max(attempted_at) - INTERVAL 2 HOUR FROM delivery_attempts)""")
+
+SQL["stream_dedupe_attempts"] = q("""
+SELECT event_id, attempt_number, cast(1 AS bigint) AS kept FROM delivery_attempts GROUP BY 1, 2""")
+
+BURST_CTES = f"""
+retries AS (
+  SELECT *, {FAIL500} AS failed,
+         coalesce(attempted_at - lag(attempted_at) OVER (PARTITION BY endpoint_id ORDER BY attempted_at) <= INTERVAL 2 DAY, false) AS goes_on
+  FROM delivery_attempts WHERE attempt_number > 1 AND attempted_at IS NOT NULL AND endpoint_id IS NOT NULL),
+runs AS (
+  SELECT *, sum(case when goes_on then 0 else 1 end) OVER (PARTITION BY endpoint_id ORDER BY attempted_at) AS run FROM retries),
+bursts AS (
+  SELECT endpoint_id, min(attempted_at) AS first_retry, max(attempted_at) AS last_retry, count(*) AS retries,
+         {cnt('failed')} AS failures, max(attempt_number) AS max_attempt_number
+  FROM runs GROUP BY endpoint_id, run HAVING count(*) >= 3)"""
+
+SQL["retry_bursts"] = q("SELECT * FROM bursts", BURST_CTES)
+
+SQL["stream_retry_bursts"] = q("""
+SELECT * FROM bursts
+WHERE last_retry + INTERVAL 2 DAY <= (SELECT max(attempted_at) - INTERVAL 2 HOUR FROM retries)""", BURST_CTES)
+
+SPIKE_CTES = """
+days AS (
+  SELECT user_id, date_trunc('day', replayed_at) AS day, count(*) AS replays
+  FROM replay_actions WHERE replayed_at IS NOT NULL AND user_id IS NOT NULL GROUP BY 1, 2),
+running AS (
+  SELECT *, count(*) OVER w AS earlier_days, cast(coalesce(sum(replays) OVER w, 0) AS bigint) AS earlier_replays
+  FROM days WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+spikes AS (
+  SELECT user_id, day, replays, earlier_days, earlier_replays FROM running
+  WHERE earlier_days >= 3 AND 100 * replays * earlier_days >= 120 * earlier_replays)"""
+
+SQL["replay_spikes"] = q("SELECT * FROM spikes", SPIKE_CTES)
+
+SQL["stream_replay_spikes"] = q("""
+SELECT * FROM spikes
+WHERE day + INTERVAL 1 DAY <= (SELECT max(replayed_at) - INTERVAL 2 HOUR FROM replay_actions
+                               WHERE user_id IS NOT NULL)""", SPIKE_CTES)
+
 # ---------------------------------------------------------------------------
 # ingest
 # ---------------------------------------------------------------------------
@@ -663,6 +710,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY event_id, attempt_number
                                    ORDER BY attempted_at, attempt_id, http_status, response_time_ms, timeout, signature_valid) AS rn
       FROM m6 WHERE is_valid) WHERE rn = 1""", CSV_CTES)
 
+SQL["stream_ingest_store"] = SQL["ingest_csv_store"]
+
 SQL["ingest_json_store"] = q("""
 SELECT 'attempt' AS kind, attempt_id AS id, event_id, attempt_number, cast(http_status as varchar) AS result, 'user_1' AS user_id
 FROM (SELECT *, row_number() OVER (PARTITION BY event_id, attempt_number

@@ -17,6 +17,7 @@ shared checkpoint directory, so a restarted query resumes where it stopped.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,16 +63,25 @@ def _event_time(df: DataFrame) -> DataFrame:
     return df.withColumn("attempted_at_ts", F.col("attempted_at").cast("timestamp"))
 
 
+def deduped_attempts(attempts: DataFrame, delay: str = "1 day") -> DataFrame:
+    """ST2's plan: the first arrival per (event_id, attempt_number) within the watermark."""
+    return (_event_time(attempts).withWatermark("attempted_at_ts", delay)
+            .dropDuplicatesWithinWatermark(["event_id", "attempt_number"]).drop("attempted_at_ts"))
+
+
+def live_endpoint_health(attempts: DataFrame, window: str = "1 hour", delay: str = "2 hours") -> DataFrame:
+    """ST3's plan: endpoint health of the windows that the watermark has passed."""
+    timed = _event_time(attempts).withWatermark("attempted_at_ts", delay)
+    return endpoint_health_windows(timed.drop("attempted_at").withColumnRenamed("attempted_at_ts", "attempted_at"), window)
+
+
 def stream_dedupe_attempts(spark: SparkSession, source: str, sink: str, checkpoint: str | None = None,
                            delay: str = "1 day", fmt: str = "parquet", available_now: bool = True
                            ) -> StreamingQuery:
     """ST2: first arrival per (event_id, attempt_number) within the
     watermark; late copies are dropped, state older than ``delay`` is
     purged.  Appends to a parquet sink."""
-    df = _event_time(read_attempt_stream(spark, source, fmt))
-    out = (df.withWatermark("attempted_at_ts", delay)
-           .dropDuplicatesWithinWatermark(["event_id", "attempt_number"])
-           .drop("attempted_at_ts"))
+    out = deduped_attempts(read_attempt_stream(spark, source, fmt), delay)
     w = (out.writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", _ckpt(spark, "dedupe", checkpoint)).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -82,10 +92,7 @@ def stream_endpoint_health(spark: SparkSession, source: str, sink: str, checkpoi
                            window: str = "1 hour", delay: str = "2 hours", fmt: str = "parquet",
                            available_now: bool = True) -> StreamingQuery:
     """ST3: hourly endpoint health, appended once each window is final."""
-    df = _event_time(read_attempt_stream(spark, source, fmt))
-    agg = endpoint_health_windows(
-        df.withWatermark("attempted_at_ts", delay).drop("attempted_at").withColumnRenamed(
-            "attempted_at_ts", "attempted_at"), window)
+    agg = live_endpoint_health(read_attempt_stream(spark, source, fmt), window, delay)
     w = (agg.writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", _ckpt(spark, "health", checkpoint)).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -122,6 +129,38 @@ def stream_ingest(spark: SparkSession, source: str, table_dir: str, user_id: str
     return w.start()
 
 
+def stream_ingest_rows(spark: SparkSession, rows: DataFrame, table_dir: str, checkpoint: str, user_id: str | None = None,
+                       mode: str = "strict", available_now: bool = True) -> StreamingQuery:
+    """ST1 on a stream of upload rows (all text, as a CSV reader gives them;
+    ``ord`` is their input order): each micro-batch is merged and committed
+    as one batch of the store.  Without ``user_id`` the rows name their tenant."""
+    from ..plans import jobs
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        if batch.limit(1).count():
+            jobs.ingest_csv_batch(spark, batch, table_dir, user_id, mode=mode)
+
+    w = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
+def in_arrivals(spark: SparkSession, arrivals: list[DataFrame], folder: str, start: Callable[[DataFrame, str], StreamingQuery]) -> None:
+    """Run a stream over a table that arrives in parts.
+
+    Each part is written to a folder that the stream watches, and the stream
+    is started on what has arrived, runs to its end and stops; so every start
+    but the first goes on from the checkpoint, with the state and the
+    watermark of the one before.  ``start(stream of rows, checkpoint)`` starts it."""
+    for i, part in enumerate(arrivals):
+        part.write.parquet(os.path.join(folder, "in", f"arrival={i}"))
+        rows = spark.readStream.schema(part.schema).parquet(os.path.join(folder, "in", "arrival=*"))
+        query = start(rows, os.path.join(folder, "checkpoint"))
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise query.exception()
+
+
 def stream_ingest_csv(spark: SparkSession, source: str, table_dir: str, user_id: str, **kw) -> StreamingQuery:
     """ST1 for flat CSV uploads."""
     return stream_ingest(spark, source, table_dir, user_id, fmt="csv", **kw)
