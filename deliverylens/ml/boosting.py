@@ -4,9 +4,8 @@ Each round fits one tree to the gradients g = w (p - y) and hessians
 h = w p (1 - p) of the logistic loss, level by level:
 
 1. every task walks its rows down the part of the tree that exists and sums g
-   and h by (node, feature, quantile bin); the partial sums are added by a
-   grouped aggregation, so what leaves it has at most
-   nodes x features x bins rows whatever the table's size,
+   and h by (node, feature, quantile bin); the tasks' sums, at most
+   nodes x features x bins numbers whatever the table's size, are added in a tree,
 2. for each node the cut with the largest gain
    GL^2/(HL+l) + GR^2/(HR+l) - G^2/(H+l) is taken; rows whose value is missing
    have a bin of their own and are tried on either side, and the better side
@@ -34,6 +33,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,27 +69,41 @@ class Tree:
         return tuple(np.array(x) for x in (self.feature, self.cut, self.threshold, self.missing_left, self.left, self.right, self.value))
 
 
-def walk(tree: tuple[np.ndarray, ...], columns: np.ndarray, by_bin: bool) -> np.ndarray:
-    """The node each row ends in.  ``columns`` is features x rows: bins (the last bin number is
-    'missing') or values (NaN is missing)."""
-    feature, cut, threshold, missing_left, left, right, _ = tree
-    n = columns.shape[1]
-    node = np.zeros(n, np.int32)
-    live = np.arange(n) if feature[0] >= 0 else np.zeros(0, np.int64)
+def walk(tree: tuple[np.ndarray, ...], columns: np.ndarray) -> np.ndarray:
+    """The node each row ends in, by its values (features x rows; NaN is missing)."""
+    feature, _, threshold, missing_left, left, right, _ = tree
+    node = np.zeros(columns.shape[1], np.int64)
+    live = np.arange(columns.shape[1]) if feature[0] >= 0 else np.zeros(0, np.int64)
     while len(live):
         at = node[live]
-        f = feature[at]
-        x = columns[f, live]
-        if by_bin:
-            go = np.where(x == MISSING_BIN, missing_left[at], x <= cut[at])
-        else:
-            go = np.where(np.isnan(x), missing_left[at], x < threshold[at])
-        at = np.where(go, left[at], right[at])
+        x = columns[feature[at], live]
+        at = np.where(np.where(np.isnan(x), missing_left[at], x < threshold[at]), left[at], right[at])
         node[live] = at
         live = live[feature[at] >= 0]
     return node
 
 
+def walk_bins(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
+    """The same by the rows' bins (rows x features): a table gives each node's next one for every bin."""
+    feature, cut, _, missing_left, left, right, _ = tree
+    nodes, n = len(feature), len(bins)
+    if nodes == 1:
+        return np.zeros(n, np.int64)
+    inner = feature >= 0
+    step = np.where(np.arange(256)[None, :] <= cut[:, None], left[:, None], right[:, None])
+    step[:, MISSING_BIN] = np.where(missing_left, left, right)
+    step = np.where(inner[:, None], step, np.arange(nodes)[:, None]).astype(np.int64).ravel()
+    asked = np.where(inner, feature, 0)
+    flat, start = bins.ravel(), np.arange(n) * bins.shape[1]
+    depth = np.zeros(nodes, np.int64)
+    for i in np.flatnonzero(inner):  # children follow their parent
+        depth[left[i]] = depth[right[i]] = depth[i] + 1
+    node = np.zeros(n, np.int64)
+    for _ in range(int(depth.max())):
+        node = step[(node << 8) + flat[start + asked[node]]]
+    return node
+
+
 #: Bins are bytes, and the last one is for missing values, so a feature has at most 255 bins (254 cuts).
 MISSING_BIN = 255
 
@@ -106,64 +120,80 @@ def cut_points(rows: DataFrame, features: list[str], bins: int) -> list[np.ndarr
 
 
 def as_blocks(rows: DataFrame, features: list[str], label: str, weight: str, cuts: list[np.ndarray], base_margin: float) -> DataFrame:
-    """Rows with a label, packed: n, bins (features x n bytes), labels, weights and margins (float64)."""
+    """Rows with a label, packed: n, bins (n x features bytes), labels, weights and margins (float64)."""
+
+    def pack(table: pa.Table) -> pa.RecordBatch:
+        n = table.num_rows
+        bins = np.empty((n, len(features)), np.uint8)
+        for i, c in enumerate(features):
+            x = table.column(c).to_numpy().astype(np.float64)
+            bins[:, i] = np.where(np.isnan(x), MISSING_BIN, np.searchsorted(cuts[i], x, side="right"))
+        y, w = (table.column(c).to_numpy().astype(np.float64) for c in ("label", "weight"))
+        return pa.RecordBatch.from_pydict({"n": [n], "bins": [bins.tobytes()], "y": [y.tobytes()], "w": [w.tobytes()],
+                                           "margin": [np.full(n, base_margin).tobytes()]})
 
     def run(batches):
+        held, n = [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(lo, BLOCK_ROWS)
-                n = part.num_rows
-                out = np.empty((len(features), n), np.uint8)
-                for i, c in enumerate(features):
-                    x = part.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
-                    out[i] = np.where(np.isnan(x), MISSING_BIN, np.searchsorted(cuts[i], x, side="right"))
-                y = part.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
-                w = part.column("weight").to_numpy(zero_copy_only=False).astype(np.float64)
-                yield pa.RecordBatch.from_pydict({"n": [n], "bins": [out.tobytes()], "y": [y.tobytes()], "w": [w.tobytes()],
-                                                  "margin": [np.full(n, base_margin).tobytes()]})
+            held.append(batch)
+            n += batch.num_rows
+            while n >= BLOCK_ROWS:
+                table = pa.Table.from_batches(held)
+                yield pack(table.slice(0, BLOCK_ROWS))
+                held, n = table.slice(BLOCK_ROWS).to_batches(), n - BLOCK_ROWS
+        if n:
+            yield pack(pa.Table.from_batches(held))
 
     plain = rows.where(F.col(label).isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in features],
                                                         F.col(label).cast("double").alias("label"), F.col(weight).cast("double").alias("weight"))
     return plain.mapInArrow(run, "n long, bins binary, y binary, w binary, margin binary")
 
 
-def _margins(batch, i: int, trees: list[tuple[np.ndarray, ...]], n_features: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bins, margins after ``trees``) of block ``i``."""
-    bins = np.frombuffer(batch.column("bins")[i].as_buffer(), np.uint8).reshape(n_features, -1)
-    margin = np.frombuffer(batch.column("margin")[i].as_buffer(), np.float64).copy()
-    for tree in trees:
-        margin += tree[-1][walk(tree, bins, by_bin=True)]
-    return bins, margin
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # bins (rows x features), labels, weights, margins
 
 
-def histograms(blocks: DataFrame, trees: list, growing: tuple[np.ndarray, ...], wanted: list[int], n_features: int, scale: float) -> DataFrame:
-    """(cell, g, h) with cell = (place of the node in ``wanted`` * features + feature) * 256 + bin."""
-    size = len(wanted) * n_features * 256
-    lookup = np.full(len(growing[0]), -1, np.int64)
-    lookup[wanted] = np.arange(len(wanted))
+def unpacked(blocks: DataFrame, n_features: int) -> RDD:
+    """The stored blocks as arrays, one element each."""
+    def arrays(r) -> Block:
+        return (np.frombuffer(r.bins, np.uint8).reshape(-1, n_features), *(np.frombuffer(x, np.float64) for x in (r.y, r.w, r.margin)))
+
+    return blocks.select("bins", "y", "w", "margin").rdd.map(arrays)
+
+
+def with_tree(rows: RDD, tree: tuple[np.ndarray, ...]) -> RDD:
+    """The blocks with their margins moved by ``tree``."""
+    return rows.map(lambda b: (b[0], b[1], b[2], b[3] + tree[-1][walk_bins(tree, b[0])]))
 
-    def run(batches):
-        g_sum, h_sum = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                bins, margin = _margins(batch, i, trees, n_features)
-                y, w = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64) for c in ("y", "w"))
-                p = 1.0 / (1.0 + np.exp(-margin))
-                place = lookup[walk(growing, bins, by_bin=True)]
-                use = np.flatnonzero(place >= 0)
-                g = np.rint(w[use] * (p[use] - y[use]) * scale)
-                h = np.rint(w[use] * p[use] * (1.0 - p[use]) * scale)
-                first = place[use] * (n_features * 256)
-                for f in range(n_features):
-                    cell = first + f * 256 + bins[f, use]
-                    # whole numbers below 2^53 add up exactly
-                    g_sum += np.bincount(cell, g, size).astype(np.int64)
-                    h_sum += np.bincount(cell, h, size).astype(np.int64)
-        at = np.flatnonzero((g_sum != 0) | (h_sum != 0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(g_sum[at]), pa.array(h_sum[at])], names=["cell", "g", "h"])
-
-    partial = blocks.mapInArrow(run, "cell long, g long, h long")
-    return partial.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+
+def histograms(rows: RDD, growing: tuple[np.ndarray, ...], wanted: list[int], n_features: int, scale: float) -> np.ndarray:
+    """(2, features, nodes, 256) sums of g and h as whole numbers.
+
+    A task adds up its blocks; the tasks' sums are added in a tree, so that the
+    driver gets the sums of the square root of their number at most."""
+    nodes = len(wanted)
+    lookup = np.full(len(growing[0]), -1, np.int64)
+    lookup[wanted] = np.arange(nodes)
+
+    def summed(blocks):
+        out = np.zeros((2, n_features, nodes * 256), np.int64)
+        for bins, y, w, margin in blocks:
+            place = lookup[walk_bins(growing, bins)]
+            use = np.flatnonzero(place >= 0)
+            yu, wu, columns = y[use], w[use], np.ascontiguousarray(bins[use].T)
+            p = 1.0 / (1.0 + np.exp(-margin[use]))
+            g, h = np.rint(wu * (p - yu) * scale), np.rint(wu * p * (1.0 - p) * scale)
+            first = place[use] * 256
+            for f in range(n_features):
+                cell = first + columns[f]
+                # whole numbers below 2^53 add up exactly
+                out[0, f] += np.bincount(cell, g, nodes * 256).astype(np.int64)
+                out[1, f] += np.bincount(cell, h, nodes * 256).astype(np.int64)
+        yield out
+
+    parts = rows.getNumPartitions()
+    if not parts:
+        return np.zeros((2, n_features, nodes, 256), np.int64)
+    return rows.mapPartitions(summed).treeReduce(np.add, 1 if parts <= 16 else 2).reshape(2, n_features, nodes, 256)
 
 
 def best_cut(g: np.ndarray, h: np.ndarray, n_cuts: list[int], reg_lambda: float, min_child_weight: float):
@@ -200,7 +230,7 @@ class BoostedTrees:
         """Log-odds of rows given as features x rows values, NaN for missing."""
         out = np.full(columns.shape[1], self.base_margin)
         for tree in self.trees:
-            out += tree[-1][walk(tree, columns, by_bin=False)]
+            out += tree[-1][walk(tree, columns)]
         return out
 
     def probability(self, spark: SparkSession) -> Column:
@@ -243,56 +273,52 @@ def fit(rows: DataFrame, features: list[str], label: str, weight: str, rounds: i
     cuts = cut_points(rows, features, bins - 1)
     n_cuts = [len(c) for c in cuts]
     base_margin = float(np.log(base_score / (1.0 - base_score)))
-    # a session of its own for the many short jobs: their one exchange is bounded, so re-planning it gains nothing
     spark = rows.sparkSession
-    short = spark.newSession()
-    short.conf.set("spark.sql.adaptive.enabled", "false")
-    short.conf.set("spark.sql.shuffle.partitions", "4")
-    folder = os.path.join(checkpoint_dir(spark), "boosting", uuid.uuid4().hex)
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(os.path.join(folder, name))
-        return short.read.schema(df.schema).parquet(os.path.join(folder, name))
-
-    blocks = stored(as_blocks(rows, features, label, weight, cuts, base_margin), "rows-0")
-    facts = blocks.agg(F.sum("n").alias("n")).first()
+    folder = os.path.join(checkpoint_dir(spark), "boosting", uuid.uuid4().hex)  # sets the context's checkpoint folder as well
+    packed = as_blocks(rows, features, label, weight, cuts, base_margin)
+    packed.write.parquet(folder)
+    packed = spark.read.schema(packed.schema).parquet(folder)
+    n = packed.agg(F.sum("n").alias("n")).first()["n"] or 0
     most = rows.agg(F.max(F.col(weight).cast("double")).alias("w")).first()["w"] or 1.0
     # the finest power of two at which neither a block's sums (float64) nor the table's (long) can overflow
-    room = min(52 - int(np.ceil(np.log2(BLOCK_ROWS))), 61 - int(np.ceil(np.log2((facts["n"] or 0) + 2))))
+    room = min(52 - int(np.ceil(np.log2(BLOCK_ROWS))), 61 - int(np.ceil(np.log2(n + 2))))
     scale = 2.0 ** (room - int(np.ceil(np.log2(max(most, 1.0)))))
 
     k = len(features)
     done: list[tuple[np.ndarray, ...]] = []
-    recent: list[tuple[np.ndarray, ...]] = []
+    blocks = unpacked(packed, len(features)).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [blocks]
 
     def sums_of(tree: Tree, wanted: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        found = histograms(blocks, recent, tree.packed(), wanted, k, scale).toArrow()
-        g, h = np.zeros(len(wanted) * k * 256, np.int64), np.zeros(len(wanted) * k * 256, np.int64)
-        cell = found.column("cell").to_numpy()
-        g[cell], h[cell] = found.column("g").to_numpy(), found.column("h").to_numpy()
-        return g.reshape(-1, k, 256), h.reshape(-1, k, 256)
+        """(nodes, features, 256) whole numbers of g and h."""
+        g, h = histograms(blocks, tree.packed(), wanted, k, scale)
+        return g.swapaxes(0, 1), h.swapaxes(0, 1)
+
+    def leaf(g: int, h: int) -> float:
+        total = h / scale + reg_lambda
+        return -step_size * (g / scale) / total if total > 0 else 0.0
 
     for r in range(rounds):
         tree = Tree()
         root = tree.add()
         g, h = sums_of(tree, [root])
         level = {root: (g[0], h[0])}
-        for depth in range(max_depth + 1):
+        tree.value[root] = leaf(g[0, 0].sum(), h[0, 0].sum())
+        for depth in range(max_depth):
             split: list[tuple[int, int, int]] = []
             for node, (g, h) in level.items():
-                g, h = g / scale, h / scale
-                cut = best_cut(g, h, n_cuts, reg_lambda, min_child_weight) if depth < max_depth else None
+                cut = best_cut(g / scale, h / scale, n_cuts, reg_lambda, min_child_weight)
                 if cut is None:
-                    total_h = h[0].sum() + reg_lambda
-                    tree.value[node] = float(-step_size * g[0].sum() / total_h) if total_h > 0 else 0.0
                     continue
                 _, f, at, missing_left = cut
                 left, right = tree.add(), tree.add()
                 tree.feature[node], tree.cut[node], tree.threshold[node] = f, at, float(cuts[f][at])
                 tree.missing_left[node], tree.left[node], tree.right[node] = missing_left, left, right
-                left_h = h[f, :at + 1].sum() + (h[f, MISSING_BIN] if missing_left else 0.0)
-                split.append((node, *((left, right) if left_h <= h[f].sum() - left_h else (right, left))))
-            if not split:
+                left_g, left_h = (int(x[f, :at + 1].sum() + (x[f, MISSING_BIN] if missing_left else 0)) for x in (g, h))
+                right_g, right_h = int(g[f].sum()) - left_g, int(h[f].sum()) - left_h
+                tree.value[left], tree.value[right] = leaf(left_g, left_h), leaf(right_g, right_h)
+                split.append((node, *((left, right) if left_h <= right_h else (right, left))))
+            if not split or depth + 1 == max_depth:
                 break
             g, h = sums_of(tree, [small for _, small, _ in split])
             children = {}
@@ -301,15 +327,14 @@ def fit(rows: DataFrame, features: list[str], label: str, weight: str, rounds: i
                 children[large] = (level[node][0] - g[i], level[node][1] - h[i])
             level = children
         done.append(tree.packed())
-        recent.append(done[-1])
-        if len(recent) >= rewrite_every and r + 1 < rounds:
-            trees = list(recent)
-
-            def moved(batches):
-                for batch in batches:
-                    margin = [_margins(batch, i, trees, k)[1].tobytes() for i in range(batch.num_rows)]
-                    yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margin, pa.binary()))
-
-            blocks = stored(blocks.mapInArrow(moved, blocks.schema), f"rows-{r + 1}")
-            recent = []
+        if r + 1 < rounds:
+            # computed by the next round's first job; an executor that is lost recomputes a few rounds at most
+            blocks = with_tree(blocks, done[-1]).persist(StorageLevel.MEMORY_AND_DISK)
+            if (r + 1) % rewrite_every == 0:
+                blocks.checkpoint()
+            kept.append(blocks)
+            if len(kept) > 2:
+                kept.pop(0).unpersist()
+    for b in kept:
+        b.unpersist()
     return BoostedTrees(list(features), base_margin, done)

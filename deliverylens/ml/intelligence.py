@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..operators import decisions as D
 from ..operators import features as FE
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, staged
 from ..tables import Tables
 from . import isolation_forest as IF
 from . import recovery as R
@@ -51,8 +51,8 @@ def load_models(spark: SparkSession, path: str) -> Models:
 
 
 def model_rows(features: DataFrame) -> DataFrame:
-    """FE6 rows with the split column."""
-    return stratified_split(FE.select_model_columns(features))
+    """FE6 rows with the split column; computed once for the split's rank search and the reader."""
+    return stratified_split(staged(FE.select_model_columns(features), "rows"))
 
 
 def fit_models(t: Tables, max_iter: int = 150, n_trees: int = 100, contamination: float = 0.05,
@@ -61,8 +61,7 @@ def fit_models(t: Tables, max_iter: int = 150, n_trees: int = 100, contamination
     which is computed once and read by both fits."""
     spark = t.events.sparkSession
     folder = os.path.join(checkpoint_dir(spark), "models", uuid.uuid4().hex)
-    FE.select_model_columns(FE.event_features(t)).write.parquet(os.path.join(folder, "rows"))
-    train = stratified_split(spark.read.parquet(os.path.join(folder, "rows"))).where(F.col("split") == "train")
+    train = model_rows(FE.event_features(t)).where(F.col("split") == "train")
     recovery = R.train_recovery_model(train, max_iter=max_iter)
     x = R.impute(train)
     nodes = IF.fit_isolation_forest(x, FE.MODEL_FEATURES, key=["event_id", "endpoint_id"],

@@ -2,8 +2,9 @@
 
 Membership comes from an md5 of the event id, so it is the same on every
 run, in every engine and after any executor loss; all rows of one event
-land on the same side.  The label split (ML1) gives each label its exact
-share; it salts the hash, so the two splits are independent.
+land on the same side.  Both splits have exact shares, found by a distributed
+rank search over the hashes: the label split (ML1) for each label (it salts
+the hash, so the two are independent), the event split (ML7) for all rows.
 """
 
 from __future__ import annotations
@@ -18,14 +19,13 @@ from ..functions.stats import order_statistics
 SALT = "label:"
 
 
-def test_cut(fraction: float) -> str:
-    """Hex bound below which a share ``fraction`` of 32-bit hashes lies."""
-    return f"{int(fraction * (1 << 32)):08x}"
+def event_hash(col: str = "event_id", salt: str = "") -> Column:
+    """48 bits of a salted md5 (exact as a double)."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col(col))), 1, 12), 16, 10).cast("long")
 
 
 def label_hash(col: str = "event_id") -> Column:
-    """48 bits of a salted md5 (exact as a double)."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(SALT), F.col(col))), 1, 12), 16, 10).cast("long")
+    return event_hash(col, SALT)
 
 
 def stratified_split(features: DataFrame, test_fraction: float = 0.2, label: str = "is_recovered",
@@ -48,7 +48,13 @@ def stratified_split(features: DataFrame, test_fraction: float = 0.2, label: str
     return features.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
 
 
-def shuffle_split(events: DataFrame, test_fraction: float = 0.2) -> DataFrame:
-    """ML7: the event-level 80/20 split (no label involved)."""
-    test = F.substring(F.md5("event_id"), 1, 8) < F.lit(test_cut(test_fraction))
+def shuffle_split(events: DataFrame, train_fraction: float = 0.8) -> DataFrame:
+    """ML7: the event-level 80/20 split (no label involved): ``floor(n *
+    train_fraction)`` rows are for training, those with the largest hashes;
+    rows with the hash of the last test row are for test too."""
+    _, cuts = order_statistics(events.select(event_hash().alias("h")), ["h"],
+                               lambda n: [n - math.floor(n * train_fraction) - 1] if n > math.floor(n * train_fraction) else [])
+    test = F.lit(False)
+    for cut in cuts.values():  # one number
+        test = event_hash() <= F.lit(int(cut))
     return events.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))

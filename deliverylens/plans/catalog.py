@@ -23,7 +23,7 @@ from ..operators import decisions as D
 from ..operators import features as FE
 from ..operators import ingest as M
 from ..operators import views as V
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, staged
 from ..sources import raw as RAW
 from ..sources.testdata import STORED_BEFORE, load_tables
 
@@ -160,7 +160,7 @@ def _a10(spark, sf_dir):
 @register("stratified_split")
 def _ml1(spark, sf_dir):
     f = FE.event_features(_t(spark, sf_dir)).select("event_id", "endpoint_id", "is_recovered")
-    return SPL.stratified_split(f)
+    return SPL.stratified_split(staged(f, "features"))  # the rank search and the result read it
 
 
 @register("shuffle_split")
@@ -170,7 +170,7 @@ def _ml7(spark, sf_dir):
 
 @register("class_weight")
 def _a13(spark, sf_dir):
-    f = SPL.stratified_split(FE.event_features(_t(spark, sf_dir)))
+    f = SPL.stratified_split(staged(FE.event_features(_t(spark, sf_dir)).select("event_id", "is_recovered"), "features"))
     return A.class_weight(f.where(F.col("split") == "train"))
 
 
@@ -241,8 +241,9 @@ def baseline_prediction(features: DataFrame) -> DataFrame:
 
 @register("classification_report")
 def _a11(spark, sf_dir):
-    f = SPL.stratified_split(FE.event_features(_t(spark, sf_dir))).where(F.col("split") == "test")
-    return A.classification_report(baseline_prediction(f), label="is_recovered", pred="prediction")
+    rows = staged(baseline_prediction(FE.event_features(_t(spark, sf_dir))).select("event_id", "is_recovered", "prediction"), "features")
+    f = SPL.stratified_split(rows).where(F.col("split") == "test")
+    return A.classification_report(f, label="is_recovered", pred="prediction")
 
 
 # ---------------------------------------------------------------------------

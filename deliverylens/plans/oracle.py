@@ -207,7 +207,12 @@ SELECT '{c}' AS column_name, count({c}) AS count, {r4(f'avg({c})')} AS mean,
        {r4(f'quantile_cont({c}, 0.75)')} AS q75, {r4(f'max({c})')} AS max
 FROM features""" for c in _DESC), FEATURES_WITH)
 
-SPLIT = "case when substr(md5(event_id), 1, 8) < '33333333' then 'test' else 'train' end"
+EVENT_SPLIT = """,
+event_split AS (
+  SELECT event_id, case when row_number() OVER (ORDER BY substr(md5(event_id), 1, 12))
+                             <= count(*) OVER () - floor(count(*) OVER () * cast(0.8 as double))
+                        then 'test' else 'train' end AS split
+  FROM webhook_events)"""
 
 LABEL_SPLIT = FEATURES_WITH + """,
 label_hash AS (SELECT *, substr(md5(concat('label:', event_id)), 1, 12) AS lh FROM features),
@@ -222,7 +227,7 @@ split_rows AS (
 
 SQL["stratified_split"] = q("SELECT event_id, endpoint_id, is_recovered, split FROM split_rows", LABEL_SPLIT)
 
-SQL["shuffle_split"] = q(f"SELECT event_id, {SPLIT} AS split FROM webhook_events")
+SQL["shuffle_split"] = q("SELECT event_id, split FROM event_split", EVENT_SPLIT)
 
 SQL["class_weight"] = q(f"""
 SELECT {cnt('is_recovered = 0')} AS n_negative, {cnt('is_recovered = 1')} AS n_positive,
@@ -351,9 +356,8 @@ outcome AS (
 
 SQL["label_delivery_outcome"] = q("SELECT * FROM outcome", OUTCOME_CTES)
 
-SQL["labels_for_split"] = q(f"""
-SELECT o.* FROM outcome o JOIN webhook_events e ON o.event_id = e.event_id
-WHERE ({SPLIT.replace('event_id', 'e.event_id')}) = 'train'""", OUTCOME_CTES)
+SQL["labels_for_split"] = q("""
+SELECT o.* FROM outcome o JOIN event_split e ON o.event_id = e.event_id WHERE e.split = 'train'""", OUTCOME_CTES + EVENT_SPLIT)
 
 SQL["retry_scheduled"] = q(f"""
 SELECT attempt_id, event_id, attempt_number,

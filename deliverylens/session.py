@@ -7,10 +7,12 @@ iterative jobs a shared checkpoint folder.
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session should carry.  AQE re-plans at runtime: it turns a
 # sort-merge join into a broadcast join only when the measured side is under
@@ -69,3 +71,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: what several jobs
+    read is computed once, and a lost executor costs one stage."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "staged", uuid.uuid4().hex, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -79,9 +79,9 @@ def test_bins_and_values_lead_to_the_same_leaf(spark):
     x, y, w = data(300, 2)
     model = B.fit(frame(spark, x, y, w), ["a", "b", "c"], "label", "w", rounds=3, max_depth=4)
     cuts = B.cut_points(frame(spark, x, y, w), ["a", "b", "c"], 254)
-    bins = np.stack([np.where(np.isnan(v), B.MISSING_BIN, np.searchsorted(c, v, side="right")) for v, c in zip(x.T, cuts)])
+    bins = np.stack([np.where(np.isnan(v), B.MISSING_BIN, np.searchsorted(c, v, side="right")) for v, c in zip(x.T, cuts)], axis=1).astype(np.uint8)
     for tree in model.trees:
-        assert (B.walk(tree, bins, by_bin=True) == B.walk(tree, x.T, by_bin=False)).all()
+        assert (B.walk_bins(tree, bins) == B.walk(tree, x.T)).all()
 
 
 def test_edges(spark):

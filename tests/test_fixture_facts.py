@@ -19,7 +19,7 @@ def test_mapping_facts(spark):
     assert t.attempts.select("event_id", "attempt_number").distinct().count() == 45832
     q = E.queries()
     assert q["duplicate_events"](spark, SF001).select("idempotency_key").distinct().count() == 1555
-    assert q["shuffle_split"](spark, SF001).where("split = 'test'").count() == 3005
+    assert q["shuffle_split"](spark, SF001).where("split = 'test'").count() == 3000
     assert q["event_features"](spark, SF001).count() == 59042
 
 
