@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from deliverylens.llm.common import (ByteTexts, WordHash, components, documents, id_text, mix64, partitions,
                                      shingle_hashes, staged, words_of)
+from deliverylens.llm.exact_dedup import one_row_each
 
 SHINGLE, SHARE = 4, 85
 #: Shingle space that the first count looks at: one in SPACE.
@@ -367,7 +368,8 @@ def all_links(active: DataFrame, share: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, hashed: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id; with ``hashed`` text_hash too."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id; with ``hashed`` also text_hash and
+    ``grp``, which tells groups apart even where all their ids are null (null: no shingles)."""
     extra = ["text_hash"] if hashed else []
     spark = docs.sparkSession
     desc = staged(described(docs, k, hashed), "described")
@@ -396,19 +398,33 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, hashed: b
     named = nodes.select("node", "rep", "copies").join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
     ids = named.where("component is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
     # only nodes of several documents need an answer other than their own id
-    answer = staged(named.join(ids, "label", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), "copies", "component")
-                    .where("copies > 1 or component is not null").select("node", "component_id"), "answers")
+    answer = staged(named.join(ids, "label", "left").select("node", "label", F.coalesce("component_id", "rep").alias("component_id"), "copies", "component")
+                    .where("copies > 1 or component is not null").select("node", "label", "component_id"), "answers")
+    grp = [F.when(desc["n"] > 0, F.coalesce(answer["label"], desc["node"])).alias("grp")] if hashed else []
     return (desc.join(answer, (desc["node"] == answer["node"]) & (desc["n"] > 0), "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *extra))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *extra, *grp))
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, share: int = SHARE) -> DataFrame:
-    """The documents with the smallest doc_id of their group, columns as they were."""
+    """One document of each group, that with the smallest doc_id, columns as they were.
+
+    Of rows that share this id, that of the smallest text hash stays and, where the text is the same too, one row
+    of them; a null id comes last.  A document without shingles is a group of its own."""
     # by id and text: an id may be null or stand for several texts
-    gone = staged(near_groups(docs, k, share, hashed=True).where(~F.col("component_id").eqNullSafe(F.col("doc_id")))
-                  .select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
-    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (own == gone["gone_hash"]), "left_anti")
+    pairs = staged(near_groups(docs, k, share, hashed=True).where("grp is not null")
+                   .groupBy("grp", F.col("doc_id").alias("p0"), F.col("text_hash").alias("p1")).agg(F.count(F.lit(1)).alias("n")), "pairs")
+    first = staged(pairs.groupBy(F.col("grp").alias("g"))
+                   .agg(F.min(F.struct(F.col("p0").isNull().alias("no_id"), "p0", "p1")).alias("stays"), F.sum("n").alias("rows"))
+                   .where("rows > 1").select("g", F.col("stays.p0").alias("s0"), F.col("stays.p1").alias("s1")), "first")
+    judged = staged(pairs.join(first, F.col("grp") == F.col("g"))
+                    .select("p0", "p1", "n", (F.col("p0").eqNullSafe(F.col("s0")) & (F.col("p1") == F.col("s1"))).alias("kept")), "judged")
+    key = [docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))]
+    gone = judged.where("not kept")
+    left = docs.join(gone, key[0].eqNullSafe(gone["p0"]) & (key[1] == gone["p1"]), "left_anti")
+    ties = judged.where("kept and n > 1").select("p0", "p1")
+    if not ties.limit(1).count():
+        return left
+    return one_row_each(left, [left["doc_id"].cast("long"), F.xxhash64(F.coalesce(left["text"], F.lit("")))], ties)
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -7,14 +7,15 @@ from deliverylens.llm.exact_dedup import chunks_of, drop_copies, exact_groups
 
 
 def expected(texts):
+    """Of each group one row stays: the last one with the largest id (a null id is the least)."""
     groups = defaultdict(list)
-    for i, t in texts:
-        groups[t or ""].append(i)
+    for n, (i, t) in enumerate(texts):
+        groups[t or ""].append((i is not None, i or 0, n))
     out = []
-    for i, t in texts:
+    for n, (i, t) in enumerate(texts):
         g = groups[t or ""]
-        keep = max((x for x in g if x is not None), default=None)
-        out.append((i, keep, len(g), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
+        known, keep, row = max(g)
+        out.append((i, keep if known else None, len(g), n == row, hashlib.sha256((t or "").encode()).hexdigest()))
     return sorted(out, key=str)
 
 
@@ -44,9 +45,19 @@ def test_one_character_apart(spark):
 def test_drop_copies_keeps_columns(docs, texts):
     left = drop_copies(docs)
     assert left.columns == docs.columns
-    want = [(i, t) for i, t in texts if i is None or (i, t) in {(k, t) for k, t in texts}
-            and i == max(x for x, y in texts if (y or "") == (t or "") and x is not None)]
-    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(want, key=str)
+    last = {t or "": max(((i is not None, i or 0), i) for i, u in texts if (u or "") == (t or ""))[1] for _, t in texts}
+    got = [(r.doc_id, r.text or "") for r in left.collect()]
+    assert sorted(got, key=str) == sorted(((i, t) for t, i in last.items()), key=str)
+
+
+def test_one_row_of_each_group_whatever_its_ids(spark):
+    rows = [(5, "A", 1), (5, "A", 2), (None, "Z", 1), (None, "Z", 2), (None, "Z", 2), (5, "B", 1), (None, "A", 1), (3, None, 1), (3, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other int").repartition(4)
+    found = [(r.doc_id, r.group_size, r.kept) for r in exact_groups(df).collect()]
+    assert sorted(found, key=str) == sorted([(5, 3, False), (5, 3, True), (None, 3, False), (None, 3, False), (None, 3, True), (5, 1, True),
+                                             (None, 3, False), (3, 2, False), (3, 2, True)], key=str)
+    left = drop_copies(df).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in left), key=str) == sorted([(5, "A"), (None, "Z"), (5, "B"), (3, "")], key=str)
 
 
 def test_empty(no_docs):
