@@ -9,15 +9,19 @@ same length.  Pairs that meet are verified by exact alignment, so a reported
 pair is always right.  ``tables_for`` sets the number of repetitions from the
 target recall.
 
-Windows are placed only where they can match: k edits spoil at most 3k of an
-item's 3-word runs (q-gram lemma), so a document sharing fewer than
-``m - 2 - 3k`` runs with an item is out, and a window starts where a shared run
-says the item would start.  The items are the stated query side: they are
+Windows are placed only where they can match: k edits spoil at most g*k of an
+item's g-word runs (q-gram lemma), so a document sharing fewer than
+``m - g + 1 - g*k`` runs with an item is out, and a window starts where a shared
+run says the item would start.  Runs have the most words, three at most, for which
+that number is at least one: two for items of two or five words, one for items of
+one word, three for all others.  Items of fewer than five words allow no edit and
+are searched for equality; ``min_words`` leaves out items that are too short to
+tell (by default none).  The items are the stated query side: they are
 broadcast in blocks of ``BLOCK_BYTES`` of text, each block searched against all
 rows; documents are never shuffled.
 
-Defined results: a null or empty text leaks nothing; an item of fewer than
-``MIN_WORDS`` words (or null) is too short to tell and matches nothing; repeated
+Defined results: a null or empty text leaks nothing; an item without words (or
+null) matches nothing; repeated
 rows are each searched; an empty table on either side gives an empty result;
 extra columns pass through :func:`drop_leaks`.
 """
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from deliverylens.llm.common import ByteTexts, documents, mix64, shingle_hashes, slices, words_of
 
-EDIT_SHARE, MIN_WORDS, GRAM = 0.2, 5, 3
+EDIT_SHARE, MIN_WORDS, GRAM = 0.2, 1, 3
 #: Walks, sampled positions a key, and the recall aimed at when the embedded words differ in DIFFER of the positions.
 WALKS, POSITIONS, RECALL, DIFFER = 6, 3, 0.99, 0.5
 #: Item text that one pass over the documents takes.
@@ -113,29 +117,43 @@ class Words:
         return out[out != 0]
 
 
+def gram_of(m: int) -> int:
+    """Words of the runs by which windows are placed for an item of m words."""
+    return next(g for g in range(GRAM, 0, -1) if m - g + 1 - g * edits_of(m) >= 1)
+
+
+class Runs:
+    """The sorted runs of ``words`` words of some items, with the item and the place of each."""
+
+    def __init__(self, words: int, who: np.ndarray, seqs: list[np.ndarray]):
+        self.words = words
+        grams = [shingle_hashes(seqs[i], words) for i in who]
+        flat = np.concatenate(grams)
+        order = np.argsort(flat, kind="stable")
+        self.gram = flat[order]
+        self.owner = np.repeat(who, [len(g) for g in grams])[order]
+        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.gram >> np.uint64(44)).astype(np.int64)] = True
+
+
 class Finder:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], min_words: int = MIN_WORDS):
         self.words = Words()
         self.items, seqs = [], []
         for item_id, text in items:
             seq = self.words(words_of((text or "").encode()))
-            if len(seq) >= MIN_WORDS:
+            if len(seq) >= max(min_words, 1):
                 self.items.append(item_id)
                 seqs.append(seq)
         self.seqs = seqs
         self.size = np.array([len(s) for s in seqs], np.int64)
-        self.need = np.array([max(1, m - GRAM + 1 - GRAM * edits_of(m)) for m in self.size], np.int64)
+        grams = np.array([gram_of(m) for m in self.size], np.int64)
+        self.need = np.array([m - g + 1 - g * edits_of(m) for m, g in zip(self.size, grams)], np.int64)
         self.tables = tables_for(RECALL, DIFFER, POSITIONS)
-        grams = [shingle_hashes(s, GRAM) for s in seqs]
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(seqs)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.gram, self.owner, self.place = flat[order], owner[order], place[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.gram >> np.uint64(44)).astype(np.int64)] = True
+        self.runs = [Runs(g, np.flatnonzero(grams == g), seqs) for g in np.unique(grams).tolist()]
         # keys of the items, by length
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for m in np.unique(self.size):
@@ -144,35 +162,37 @@ class Finder:
 
     def candidates(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray):
         """(doc, m, start) of the windows that share enough runs with an item of m words."""
-        empty = np.zeros(0, np.int64)
-        if len(flat) < GRAM or not len(self.gram):
-            return empty, empty, empty
-        g = shingle_hashes(flat, GRAM)
-        at = np.flatnonzero(self.maybe[(g >> np.uint64(44)).astype(np.int64)])
-        lo = np.searchsorted(self.gram, g[at], "left")
-        hi = np.searchsorted(self.gram, g[at], "right")
+        found = [self._candidates(runs, flat, begin, size) for runs in self.runs]
+        found = [f for f in found if f is not None]
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(np.unique(np.concatenate(found), axis=0).T)
+
+    def _candidates(self, runs: "Runs", flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray | None:
+        if len(flat) < runs.words:
+            return None
+        g = shingle_hashes(flat, runs.words)
+        at = np.flatnonzero(runs.maybe[(g >> np.uint64(44)).astype(np.int64)])
+        lo = np.searchsorted(runs.gram, g[at], "left")
+        hi = np.searchsorted(runs.gram, g[at], "right")
         at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
         if not len(at):
-            return empty, empty, empty
+            return None
         doc = np.searchsorted(begin, at, "right") - 1
-        doc = np.where(at + GRAM <= (begin + size)[doc], doc, -1)  # a run may not cross two documents
-        ok = doc >= 0
+        ok = at + runs.words <= (begin + size)[doc]  # a run may not cross two documents
         at, lo, hi, doc = at[ok], lo[ok], hi[ok], doc[ok]
         n = hi - lo
         rep = np.repeat(np.arange(len(at)), n)
         post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[rep]
-        item, off = self.owner[post], self.place[post]
+        item, off = runs.owner[post], runs.place[post]
         d, start = doc[rep], at[rep] - begin[doc[rep]] - off
         # distinct item runs that the document shares
         pair = d * len(self.seqs) + item
-        runs = np.unique(np.stack([pair, off], 1), axis=0)[:, 0]
-        names, shared = np.unique(runs, return_counts=True)
+        distinct = np.unique(np.stack([pair, off], 1), axis=0)[:, 0]
+        names, shared = np.unique(distinct, return_counts=True)
         enough = names[shared >= self.need[names % len(self.seqs)]]
         ok = np.isin(pair, enough)
-        if not ok.any():
-            return empty, empty, empty
-        got = np.unique(np.stack([d[ok], self.size[item[ok]], start[ok]], 1), axis=0)
-        return got[:, 0], got[:, 1], got[:, 2]
+        return np.stack([d[ok], self.size[item[ok]], start[ok]], 1) if ok.any() else None
 
     def __call__(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item_id, edits, start word, number of words, item words), the best match of each text and item."""
@@ -240,21 +260,21 @@ def _finders(benchmark: DataFrame):
 _FINDERS: dict[int, Finder] = {}
 
 
-def _finder(shared) -> Finder:
-    key = hash(tuple(shared.value))
+def _finder(shared, min_words: int) -> Finder:
+    key = hash((min_words, *shared.value))
     if key not in _FINDERS:
         _FINDERS.clear()
-        _FINDERS[key] = Finder(shared.value)
+        _FINDERS[key] = Finder(shared.value, min_words)
     return _FINDERS[key]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, edits, start_word, n_words, item_words): each document and item that it leaks, its best match."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for shared in _finders(benchmark):
         def run(batches, shared=shared):
-            find = _finder(shared)
+            find = _finder(shared, min_words)
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1)
                 raw = ByteTexts(texts)
@@ -271,12 +291,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents that leak no item, columns as they were."""
     field = docs.schema.names.index("text")
     for shared in _finders(benchmark):
         def run(batches, shared=shared):
-            find = _finder(shared)
+            find = _finder(shared, min_words)
             for batch in batches:
                 raw = ByteTexts(batch.column(field))
                 for lo, hi in slices(batch.column(field)):

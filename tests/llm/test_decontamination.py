@@ -71,6 +71,24 @@ def test_recall_and_exactness(words):
     assert found <= brute and len(found) >= 0.98 * len(brute)
 
 
+def test_recall_of_each_length(words):
+    """Items of every length from one word, each with as many edits as it allows, all found where brute force finds them."""
+    rnd = random.Random(12)
+    for m in range(1, 17):
+        items = [(k, " ".join(rnd.sample(words, m))) for k in range(40)]
+        planted = edited(rnd, items, [w + "x" for w in words], 150)
+        found = {(d, i) for d, i, *_ in Finder(items)([t.encode() for _, t in planted])}
+        due = {(k, i) for k, (_, t) in enumerate(planted) for i, x in items if distance(plain(x), plain(t)) <= edits_of(m)}
+        assert len(due) >= 150 and found <= due and len(found) >= 0.98 * len(due), m
+
+
+def test_short_items_may_be_left_out(words):
+    items = [(1, "one"), (2, "two words"), (3, "three words here")]
+    text = b"one, two words and three words here"
+    assert [i for _, i, *_ in Finder(items)([text])] == [1, 2, 3]
+    assert [i for _, i, *_ in Finder(items, min_words=3)([text])] == [3]
+
+
 def test_equal_sequences_have_equal_keys():
     w = np.random.default_rng(1).integers(1, 99, (5, 12)).astype(np.uint64)
     a, b = embed_keys(w, 3, 8, 3), embed_keys(w[::-1], 3, 8, 3)
@@ -80,7 +98,7 @@ def test_equal_sequences_have_equal_keys():
 def test_table(spark, docs, no_docs, texts, words):
     rnd = random.Random(9)
     long = next(t for i, t in texts if i == 300).split()
-    items = items_of(rnd, words)[:5] + [(100, " ".join(long[500:530]).upper()), (101, "too short"), (102, None), (None, "")]
+    items = items_of(rnd, words)[:5] + [(100, " ".join(long[500:530]).upper()), (101, "not there"), (102, None), (None, "")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumnRenamed("text", "text")
     got = find_leaks(docs, bench).collect()
     assert [(r.doc_id, r.item_id, r.edits, r.start_word) for r in got if r.item_id == 100] == [(300, 100, 0, 500)]
