@@ -10,11 +10,15 @@ payload" -- is an explicit ordering column, never the physical row order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.scalars import surrogate_id
+from ..session import staged
 from ..tables import Tables
 
 
@@ -105,11 +109,20 @@ def reject_reason(corrupt_col: str | None = None) -> Column:
     return expr.otherwise(F.lit(None).cast("string"))
 
 
+def judge_logs(docs: DataFrame, corrupt_col: str | None = None) -> DataFrame:
+    """S5's verdict beside each document: ``reject_reason`` (null: valid)."""
+    return docs.withColumn("reject_reason", reject_reason(corrupt_col))
+
+
+def split_logs(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Judged documents as (valid, rejected); rejects keep the reason."""
+    return (judged.where(F.col("reject_reason").isNull()).drop("reject_reason"),
+            judged.where(F.col("reject_reason").isNotNull()))
+
+
 def validate_logs(docs: DataFrame, corrupt_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Split documents into (valid, rejected); rejects keep the reason."""
-    tagged = docs.withColumn("reject_reason", reject_reason(corrupt_col))
-    return (tagged.where(F.col("reject_reason").isNull()).drop("reject_reason"),
-            tagged.where(F.col("reject_reason").isNotNull()))
+    """Split documents into (valid, rejected)."""
+    return split_logs(judge_logs(docs, corrupt_col))
 
 
 # ---------------------------------------------------------------------------
@@ -307,16 +320,38 @@ def insert_attempts_if_absent(existing: DataFrame, rows: DataFrame, order: Colum
     return dedupe_attempts_in_batch(fresh, order, mode)
 
 
-def ingest_report(rows: DataFrame, inserted: DataFrame) -> DataFrame:
+def observed(metrics: Observation, name: str = "n") -> int:
+    """An observed count.  Where the adaptive plan found the observed rows to
+    be none it leaves the observation out, and an empty row comes back, which
+    Spark's Python side answers with a failed assertion: the count is 0."""
+    try:
+        return metrics.get.get(name) or 0
+    except Py4JJavaError as e:
+        if "AssertionError" not in str(e.java_exception.getClass()):
+            raise
+        return 0
+
+
+def observed_report(rows: DataFrame, inserted: int, rejected: int) -> DataFrame:
     """M9: distinct events in the upload, events processed (rows with an
-    id), rows rejected, attempts inserted, status."""
-    r = rows.agg(F.count_distinct("event_id").alias("total_events"),
-                 F.count_distinct(F.when(F.col("is_valid"), F.col("event_id"))).alias("events_processed"),
-                 F.sum((~F.col("is_valid")).cast("bigint")).alias("rejected_rows"))
-    n_inserted = inserted.agg(F.count(F.lit(1))).scalar()  # scalar subquery
-    return r.select(F.col("total_events").cast("bigint"), F.col("events_processed").cast("bigint"),
-                    F.coalesce("rejected_rows", F.lit(0)).cast("bigint").alias("rejected_rows"),
-                    n_inserted.cast("bigint").alias("attempts_inserted"), F.lit("complete").alias("status"))
+    id), rows rejected, attempts inserted, status.  The counts of rows are
+    those observed while the merge wrote them; only the distinct events are
+    counted here, from the staged rows."""
+    return (rows.agg(F.count_distinct("event_id").alias("total_events"),
+                     F.count_distinct(F.when(F.col("is_valid"), F.col("event_id"))).alias("events_processed"))
+            .select(F.col("total_events").cast("bigint"), F.col("events_processed").cast("bigint"),
+                    F.lit(rejected).cast("bigint").alias("rejected_rows"),
+                    F.lit(inserted).cast("bigint").alias("attempts_inserted"), F.lit("complete").alias("status")))
+
+
+def merge_with_report(rows: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(inserted rows, M9 report) of one merge: the upload's typed rows are
+    computed once, and the merge's counts are observed while its result is
+    written, so nothing is read again to be counted."""
+    read, written = Observation(), Observation()
+    typed = staged(rows.observe(read, F.count_if(~F.col("is_valid")).alias("rejected")), "typed")
+    inserted = staged(merge(typed).observe(written, F.count(F.lit(1)).alias("n")), "inserted")
+    return inserted, observed_report(typed, observed(written), observed(read, "rejected"))
 
 
 def backfill_tenant(df: DataFrame, user_id: str = S.BACKFILL_USER) -> DataFrame:

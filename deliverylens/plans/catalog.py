@@ -481,7 +481,13 @@ def _m4(spark, sf_dir):
 @register("ingest_report")
 def _m9(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return M.ingest_report(_coerced(t), _inserted_attempts(t))
+    _, _, stored = _stored(t)
+
+    def merge(typed):
+        rows = M.first_row_per_event(typed, RAW.input_order()).withColumnRenamed("uploader", "user_id")
+        return M.insert_attempts_if_absent(stored, rows, RAW.input_order(), mode="strict")
+
+    return M.merge_with_report(_coerced(t), merge)[1]
 
 
 @register("backfill_tenant")
@@ -568,6 +574,17 @@ def _m11_json(spark, sf_dir):
     return a.unionByName(r)
 
 
+@register("stored_events_lookup")
+def _p1_store(spark, sf_dir):
+    """P1 on the table store: the events come in four batches, then those that a tenant's replays ask for are
+    looked up through the key index."""
+    t, base = _t(spark, sf_dir), _store(spark)
+    for part in _arrivals(t.events, "created_at", ["1996-01-01", "1997-06-01", "1999-01-01"]):
+        JOBS.commit_batch(spark, base, {"webhook_events": part})
+    asked = t.replays.where(F.col("user_id") == "user_3").select(F.col("event_id").alias("key"))
+    return JOBS.lookup(spark, base, "webhook_events", asked).select("event_id", "event_type", "customer_id", "user_id", "created_at")
+
+
 @register("key_violations")
 def _q1(spark, sf_dir):
     return M.key_violations(_t(spark, sf_dir))

@@ -5,6 +5,8 @@ Store layout under ``base`` (a folder in shared storage):
 * ``<table>/batch=<id>/``: what one batch wrote to the table -- only the
   new rows for the append-only tables (events, attempts, replays, rejects),
   a full snapshot for ``endpoints`` (its rows are updated in place);
+* ``<table>/batch=<id>/bucket=<n>/`` for the keyed ones (events, attempts,
+  replays), with ``_index/<table>/batch=<id>``: see :mod:`.key_index`;
 * ``_commits/<number>.json``: one file per committed version, a line for each
   table with the batch that wrote it.
 
@@ -26,14 +28,16 @@ import json
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.scalars import surrogate_id
 from ..operators import ingest as M
+from ..session import staged
 from ..sources import files as FILES
 from ..tables import Tables
+from . import key_index as KEYS
 
 APPEND_TABLES = ["webhook_events", "delivery_attempts", "replay_actions", "rejects"]
 SNAPSHOT_TABLES = ["endpoints"]
@@ -51,6 +55,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return FILES.path_exists(spark, path)
 
 
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a table written by bucket has any folder of rows."""
+    return FILES.path_exists(spark, path) and FILES.any_match(spark, os.path.join(path, "bucket=*"))
+
+
 def commits(spark: SparkSession, base: str) -> DataFrame:
     """One row per committed version and table."""
     p = os.path.join(base, COMMITS)
@@ -76,13 +85,41 @@ def read_table(spark: SparkSession, base: str, table: str) -> DataFrame:
     log = commits(spark, base).where(F.col("table_name") == table)
     if table in SNAPSHOT_TABLES:
         log = log.orderBy(F.desc("version")).limit(1)
-    if not _exists(spark, path) or not log.limit(1).count():
+    # the committed batches' own folders, one row each: what a crash has left behind is not even listed
+    folders = [os.path.join(path, f"batch={r.batch}") for r in log.select("batch").distinct().collect()]
+    if not folders:
         return spark.createDataFrame([], schema)
-    df = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string"))
-    df = df.join(log.select("batch"), "batch", "left_semi")
+    df = spark.read.schema(schema).option("basePath", path).parquet(*sorted(folders))
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
+def pruned_folders(spark: SparkSession, base: str, table: str, keys: DataFrame) -> tuple[list[str], int]:
+    """(folders of committed files that may hold a row with one of ``keys`` (column key), folders in all)."""
+    log = [r.batch for r in commits(spark, base).where(F.col("table_name") == table).select("batch").distinct().collect()]
+    indexed = [b for b in log if _exists(spark, KEYS.index_path(base, table, b))]
+    sidecar = KEYS.read_index(spark, base, table, indexed)
+    hits = [(r.batch, r.bucket) for r in KEYS.folders_with(sidecar, keys).collect()]  # names of folders
+    whole = [b for b in log if b not in set(indexed)]
+    found = [os.path.join(base, table, f"batch={b}", f"bucket={n}") for b, n in sorted(hits)]
+    return found + [os.path.join(base, table, f"batch={b}") for b in sorted(whole)], sidecar.count() + len(whole)
+
+
+def read_keys(spark: SparkSession, base: str, table: str, keys: DataFrame) -> DataFrame:
+    """The committed rows of the files that may hold one of ``keys`` (column
+    key): all rows with such a key, and few others."""
+    folders, _ = pruned_folders(spark, base, table, keys)
+    schema = SCHEMAS[table]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", os.path.join(base, table)).parquet(*folders)
+
+
+def lookup(spark: SparkSession, base: str, table: str, keys: DataFrame) -> DataFrame:
+    """P1 on the store: the committed rows with one of ``keys`` (column key)."""
+    column = KEYS.KEY_COLUMNS[table]
+    return read_keys(spark, base, table, keys).join(keys.select(F.col("key").alias(column)).distinct(), column, "left_semi")
+
+
 def read_tables(spark: SparkSession, base: str, users: DataFrame | None = None) -> Tables:
     return Tables(users=users if users is not None else spark.createDataFrame([], S.USERS),
                   events=read_table(spark, base, "webhook_events"),
@@ -99,7 +136,17 @@ def commit_batch(spark: SparkSession, base: str, writes: dict[str, DataFrame], s
     for table, df in writes.items():
         schema = SCHEMAS[table]
         out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-        out.write.mode("errorifexists").parquet(os.path.join(base, table, f"batch={batch}"))
+        path = os.path.join(base, table, f"batch={batch}")
+        key = KEYS.KEY_COLUMNS.get(table)
+        if key is None:
+            out.write.mode("errorifexists").parquet(path)
+            continue
+        # a bucket's rows go to few tasks; one that is too large for a task is split, small ones share one
+        dealt = out.withColumn("bucket", KEYS.bucket_of(F.col(key))).hint("rebalance", "bucket")
+        dealt.write.mode("errorifexists").partitionBy("bucket").parquet(path)
+        sidecar = (KEYS.sidecar_of(spark.read.schema(f"{key} string, bucket int").parquet(path), key) if _has_rows(spark, path)
+                   else spark.createDataFrame([], KEYS.SIDECAR))
+        sidecar.write.mode("errorifexists").parquet(KEYS.index_path(base, table, batch))
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
     lines = [json.dumps({"version": seen + 1, "table_name": t, "batch": batch, "committed_at": now}) for t in writes]
     if not FILES.create_file(spark, os.path.join(base, COMMITS, f"{seen + 1:012d}.json"), "\n".join(lines) + "\n"):
@@ -156,30 +203,31 @@ def ingest_csv_batch(spark: SparkSession, raw: DataFrame, base: str, user_id: st
         rows = rows.withColumn("user_id", F.lit(user_id))
     check_uploaders(rows, users)
     seen, now = last_version(spark, base), _load_time(load_ts)
-    typed = M.coerce_attempts(rows)
+    # the upload is read once: all tables, the rejects and the report come from this copy
+    upload = staged(M.coerced_beside_text(rows), "upload")
+    typed = M.coerce_attempts(upload.drop("is_valid"))
     valid = typed.where(F.col("is_valid"))
     first = M.first_row_per_event(valid, F.col("_ord"))
-    stored = read_tables(spark, base)
-    endpoints = M.insert_endpoints_if_absent(stored.endpoints, first, F.col("user_id"))
-    events = M.insert_events_if_absent(stored.events, valid, F.col("_ord"), load_ts=now)
+    # of the stored events and attempts only files that may hold this upload's keys are read
+    keys = valid.select(F.col("event_id").alias("key"))
+    endpoints = M.insert_endpoints_if_absent(read_table(spark, base, "endpoints"), first, F.col("user_id"))
+    events = M.insert_events_if_absent(read_keys(spark, base, "webhook_events", keys), valid, F.col("_ord"), load_ts=now)
     given = F.col("attempted_at").try_cast("timestamp_ntz") if "attempted_at" in first.columns else F.lit(None).cast("timestamp_ntz")
     att_rows = first.withColumn("attempted_at", F.coalesce(given, now))
-    new_attempts = M.insert_attempts_if_absent(stored.attempts, att_rows, F.col("_ord"), mode=mode)
+    stored = read_keys(spark, base, "delivery_attempts", keys)
+    new_attempts = M.insert_attempts_if_absent(stored, att_rows, F.col("_ord"), mode=mode)
     # ids from the key and, among rows repeated under it (mode "reference"), their rank in input order
-    new_attempts = M.with_attempt_ids(new_attempts, F.col("_ord")).persist()
+    new_attempts = M.with_attempt_ids(new_attempts, F.col("_ord"))
     reason = F.when(F.col("event_id").isNull(), "missing:event_id").otherwise("bad:attempt_number")
-    rejects = _rejected(M.coerced_beside_text(rows).where(~F.col("is_valid")).drop("is_valid"), "csv", reason, now)
-    try:
-        report = M.ingest_report(typed, new_attempts).collect()  # one row
-        commit_batch(spark, base, {
-            "endpoints": endpoints,
-            "webhook_events": events.where(F.col("inserted")),
-            "delivery_attempts": new_attempts,
-            "rejects": rejects,
-        }, seen)
-    finally:
-        new_attempts.unpersist()
-    return spark.createDataFrame(report)
+    rejects = _rejected(upload.where(~F.col("is_valid")).drop("is_valid"), "csv", reason, now)
+    inserted, rejected = Observation(), Observation()
+    commit_batch(spark, base, {
+        "endpoints": endpoints,
+        "webhook_events": events.where(F.col("inserted")),
+        "delivery_attempts": new_attempts.observe(inserted, F.count(F.lit(1)).alias("n")),
+        "rejects": rejects.observe(rejected, F.count(F.lit(1)).alias("n")),
+    }, seen)
+    return M.observed_report(typed, M.observed(inserted), M.observed(rejected))
 
 
 def ingest_json_batch(spark: SparkSession, docs: DataFrame, base: str, user_id: str,
@@ -195,32 +243,34 @@ def ingest_json_batch(spark: SparkSession, docs: DataFrame, base: str, user_id:
     check_uploaders(spark.createDataFrame([(user_id,)], "user_id string"), users)
     seen, now = last_version(spark, base), _load_time(load_ts)
     corrupt = FILES.CORRUPT if FILES.CORRUPT in docs.columns else None
-    ok, rejects = M.validate_logs(docs, corrupt)
+    # the documents are parsed once: what passes and what doesn't are written before the tables are
+    judged = staged(M.judge_logs(docs, corrupt), "documents")
+    ok, rejects = M.split_logs(judged)
     first = F.element_at("delivery_attempts", 1)
     # equal first attempts: the document's own text decides
     order = F.struct(first["attempted_at"].try_cast("timestamp_ntz"), first["attempt_id"],
                      F.to_json(F.struct("event_id", "event_type", "customer_id", "endpoint", "delivery_attempts", "replay_history")))
     ok = ok.withColumn("_ord", order)
-    stored = read_tables(spark, base)
-    endpoints = M.upsert_endpoints(stored.endpoints, ok, F.col("_ord")).drop("change")
+    keys = ok.select(F.col("event_id").alias("key"))
+    endpoints = M.upsert_endpoints(read_table(spark, base, "endpoints"), ok, F.col("_ord")).drop("change")
     ev_rows = ok.select("event_id", "event_type", "customer_id", "user_id", "_ord")
-    events = M.insert_events_if_absent(stored.events, ev_rows, F.col("_ord"), load_ts=now)
+    events = M.insert_events_if_absent(read_keys(spark, base, "webhook_events", keys), ev_rows, F.col("_ord"), load_ts=now)
     att = M.explode_attempts(ok).withColumn("_ord", F.struct("attempted_at", "attempt_id", "doc_pos"))
-    new_attempts = M.insert_attempts_if_absent(stored.attempts, att, F.col("_ord"), mode=mode)
+    new_attempts = M.insert_attempts_if_absent(read_keys(spark, base, "delivery_attempts", keys), att, F.col("_ord"), mode=mode)
     new_attempts = new_attempts.withColumn("attempted_at", F.coalesce("attempted_at", now))
-    new_replays = (M.dedupe_replays(M.expand_replays(ok, ["_ord"]), F.col("_ord"))
-                   .withColumn("replayed_at", now)
-                   .join(stored.replays.select("replay_id"), "replay_id", "left_anti"))
-    _, batch = commit_batch(spark, base, {
+    replays = staged(M.dedupe_replays(M.expand_replays(ok, ["_ord"]), F.col("_ord")).withColumn("replayed_at", now), "replays")
+    known = read_keys(spark, base, "replay_actions", replays.select(F.col("replay_id").alias("key")))
+    writes = {
         "endpoints": endpoints,
         "webhook_events": events.where(F.col("inserted")),
         "delivery_attempts": new_attempts,
-        "replay_actions": new_replays,
+        "replay_actions": replays.join(known.select("replay_id"), "replay_id", "left_anti"),
         "rejects": _rejected(rejects, "json", F.col("reject_reason"), now),
-    }, seen)
-    counts = [(name, spark.read.parquet(os.path.join(base, t, f"batch={batch}")).count())
-              for t, name in [("webhook_events", "webhook_events"), ("delivery_attempts", "delivery_attempts"),
-                              ("replay_actions", "replay_actions"), ("rejects", "rejected_documents")]]
+    }
+    counted = {t: Observation() for t in writes}
+    commit_batch(spark, base, {t: df.observe(counted[t], F.count(F.lit(1)).alias("n")) for t, df in writes.items()}, seen)
+    counts = [(name, M.observed(counted[t])) for t, name in [("webhook_events", "webhook_events"), ("delivery_attempts", "delivery_attempts"),
+                                                          ("replay_actions", "replay_actions"), ("rejects", "rejected_documents")]]
     return spark.createDataFrame(counts, "item string, n long")
 
 

@@ -714,6 +714,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY event_id, attempt_number
                                    ORDER BY attempted_at, attempt_id, http_status, response_time_ms, timeout, signature_valid) AS rn
       FROM m6 WHERE is_valid) WHERE rn = 1""", CSV_CTES)
 
+SQL["stored_events_lookup"] = q("""
+SELECT event_id, event_type, customer_id, user_id, created_at FROM webhook_events
+WHERE event_id IN (SELECT event_id FROM replay_actions WHERE user_id = 'user_3')""")
+
 SQL["stream_ingest_store"] = SQL["ingest_csv_store"]
 
 SQL["ingest_json_store"] = q("""

@@ -30,6 +30,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def any_match(spark: SparkSession, pattern: str) -> bool:
+    """Whether any file or folder matches a glob pattern, on any storage Spark can read."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def create_file(spark: SparkSession, path: str, text: str) -> bool:
     """Create a small file, on any storage Spark can write; False if it exists
     (the file system's create-without-overwrite decides between two writers)."""
