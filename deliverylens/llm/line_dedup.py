@@ -19,9 +19,9 @@ one (by doc_id, then place), kept or not, has Jaccard similarity of at least
 5. Candidates are verified by the exact intersection of the token sets.
 
 Defined results: a null text has no line; lines without words match nothing and
-stay; a text's lines are cut at newline alone; with several rows of one doc_id,
-equal lines at the same place of both are one line and get one answer; an empty
-table gives an empty result; extra columns are ignored.
+stay; a text's lines are cut at newline alone; rows repeated with id and text are
+one document and are cut alike, rows of one id (or none) with different texts are
+documents of their own; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +38,11 @@ SHARE, NEAR, LEVELS = 80, 2, 65_536
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line), line_no from 0."""
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")))
+    """(doc_id, text_hash, line_no, line) of the lines with a word, line_no from 0.  A document is told by its id
+    and its text, as an id may be null or stand for several texts."""
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
+                        F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.where(F.col("line").rlike(r"\S"))
 
 
 def word_hashes(line: Column) -> Column:
@@ -89,13 +92,13 @@ def may_match(x: str, y: str, share: int) -> Column:
 
 
 def similar_pairs(pairs: DataFrame, docs: DataFrame, levels: bytes, share: int) -> DataFrame:
-    """The pairs (x, y: structs doc_id, line_no) whose token sets are similar."""
+    """The pairs (x, y: structs doc_id, text_hash, line_no) whose token sets are similar."""
     wanted = pairs.select(F.col("x").alias("pos")).unionByName(pairs.select(F.col("y").alias("pos"))).distinct()
-    wanted = staged(wanted.select(F.col("pos.doc_id").alias("d"), F.col("pos.line_no").alias("l")), "wanted")
-    some = docs.join(wanted.select("d").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("d")), "left_semi")
+    wanted = staged(wanted.select(F.col("pos.doc_id").alias("d"), F.col("pos.text_hash").alias("h"), F.col("pos.line_no").alias("l")), "wanted")
+    some = docs.join(wanted.select("d", "h").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), "left_semi")
     lines = lines_of(some)
-    sets = (lines.join(wanted, lines["doc_id"].eqNullSafe(wanted["d"]) & (lines["line_no"] == wanted["l"]))
-            .select(F.struct("doc_id", "line_no").alias("pos"), ordered_tokens(F.col("line"), levels).alias("toks")))
+    sets = (lines.join(wanted, lines["doc_id"].eqNullSafe(wanted["d"]) & (lines["text_hash"] == wanted["h"]) & (lines["line_no"] == wanted["l"]))
+            .select(F.struct("doc_id", "text_hash", "line_no").alias("pos"), ordered_tokens(F.col("line"), levels).alias("toks")))
     sets = staged(sets.dropDuplicates(["pos"]), "verify_sets")
     left = pairs.join(sets.withColumnRenamed("pos", "x").withColumnRenamed("toks", "a"), "x")
     both = left.join(sets.withColumnRenamed("pos", "y").withColumnRenamed("toks", "b"), "y")
@@ -104,12 +107,14 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, levels: bytes, share: int)
 
 
 def later_matches(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """(doc_id, line_no, equal): the lines to remove; equal: whether an earlier line has the same tokens."""
+    """(doc_id, text_hash, line_no, equal): the lines to remove, of each document once; equal: whether an earlier
+    line has the same tokens.  Documents are ordered by id and, where they share it, by their text's hash."""
     docs = docs.select("doc_id", "text")
     levels = rarity_levels(lines_of(docs))
     prefix = F.expr(f"transform(slice(toks, 1, n - cast(ceil({share} * n / 100D) as int) + 1), x -> cast((x & 4294967295L) - 2147483648L as int))")
-    keys = (described(lines_of(docs), levels).where("n > 0")
-            .select(F.struct("doc_id", "line_no").alias("pos"), F.xxhash64("toks").alias("sid"), "n", "parity", prefix.alias("prefix")))
+    # no filter on what is made from the tokens: it would be pushed below them and make them twice
+    keys = (described(lines_of(docs), levels)
+            .select(F.struct("doc_id", "text_hash", "line_no").alias("pos"), F.xxhash64("toks").alias("sid"), "n", "parity", prefix.alias("prefix")))
     keys = staged(keys, "line_keys")
     # sid and parity tell a set by 128 bits
     firsts = staged(keys.groupBy("sid", "parity", "n").agg(F.min("pos").alias("pos"), F.min("prefix").alias("prefix"),
@@ -148,17 +153,17 @@ def later_matches(docs: DataFrame, share: int = SHARE) -> DataFrame:
     gone = staged(firsts.join(good.withColumnRenamed("x", "pos").withColumn("near", F.lit(True)), "pos", "left")
                   .where("copies > 1 or near").select("sid", "parity", "n", F.col("pos").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "gone")
     return (keys.join(gone, ["sid", "parity", "n"]).where((F.col("pos") != F.col("first")) | F.col("near"))
-            .select(F.col("pos.doc_id").alias("doc_id"), F.col("pos.line_no").alias("line_no"), (F.col("pos") != F.col("first")).alias("equal")))
+            .select("pos.doc_id", "pos.text_hash", "pos.line_no", (F.col("pos") != F.col("first")).alias("equal")).distinct())
 
 
 def without_later_matches(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """``docs`` with those lines taken out of ``text``; all columns stay."""
-    cut = staged(later_matches(docs, share).groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_set("line_no").alias("cut_lines")), "cut")
+    cut = staged(later_matches(docs, share).groupBy(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash")).agg(F.collect_set("line_no").alias("cut_lines")), "cut")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("cut_lines", i)), "\n")
     text = F.when(F.col("cut_lines").isNull(), F.col("text")).otherwise(kept)
-    return (docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("cut_id")), "left")
+    return (docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("cut_id")) & (F.xxhash64("text") == F.col("cut_hash")), "left")
             .select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns]))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return later_matches(documents(spark, sf_dir)).distinct()
+    return later_matches(documents(spark, sf_dir)).select("doc_id", "line_no", "equal").distinct()

@@ -31,6 +31,25 @@ def test_texts_without_them(docs, texts):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
 
 
+def test_reused_and_null_ids_keep_their_unique_lines(spark):
+    common = "a line that several documents hold as it is"
+    rows = [(5, f"unique first line here now\n{common}"), (5, f"{common}\nprecious content which occurs only once"),
+            (None, f"nobody else has this one\n{common}"), (None, f"{common}\nnor does anyone have that other one"), (9, common)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = sorted(r.text for r in without_later_matches(df).collect())
+    lines = [x for t in left for x in t.split("\n") if x]
+    assert lines.count(common) == 1
+    assert {x for x in lines if x != common} == {"unique first line here now", "precious content which occurs only once",
+                                                "nobody else has this one", "nor does anyone have that other one"}
+    assert len(left) == 5
+
+
+def test_repeated_rows_are_cut_alike(spark):
+    text = "the very same line of words\nsome other content here\nthe very same line of words"
+    df = spark.createDataFrame([(3, text), (3, text)], "doc_id long, text string")
+    assert [r.text for r in without_later_matches(df).collect()] == ["the very same line of words\nsome other content here"] * 2
+
+
 def test_empty(no_docs):
     assert later_matches(no_docs).count() == 0
     assert without_later_matches(no_docs).count() == 0
