@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.scalars import json_safe, round_to
+from ..session import staged
 from ..tables import Tables
 from .features import first_endpoint
 
@@ -73,6 +74,37 @@ def event_timeline(t: Tables, ids: DataFrame | None = None) -> DataFrame:
             .orderBy("event_id", "attempt_number", "attempt_id"))
 
 
+def timeline_pages(t: Tables, ids: DataFrame | None = None, page_size: int = 100) -> DataFrame:
+    """J6 / E2 nested: each event with its attempts as sorted arrays, in pages
+    of at most ``page_size``; an event without attempts has one empty page.
+
+    No event is collected whole.  The flat timeline is range-partitioned by
+    (event, attempt number, attempt id), so a long event lies in several
+    partitions; its position in the event is its place in the partition plus
+    the event's rows in the partitions before, which only the few events that
+    cross a border have."""
+    flat = event_timeline(t, ids)
+    dealt = (flat.repartitionByRange("event_id", "attempt_number", "attempt_id")
+             .withColumn("_part", F.spark_partition_id()))
+    flat = staged(dealt, "timeline")  # the partition number is a stored column from here on
+    counts = flat.groupBy("event_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    # an event in one partition has no rows before; a window over an event's partitions, not over its rows
+    before = Window.partitionBy("event_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+              .where(F.col("_before") > 0).select("event_id", "_part", "_before"))
+    inside = Window.partitionBy("event_id", "_part").orderBy(F.asc_nulls_first("attempt_number"), F.asc_nulls_first("attempt_id"))
+    placed = (flat.withColumn("_row", F.row_number().over(inside)).join(starts, ["event_id", "_part"], "left")
+              .withColumn("_at", F.col("_row") + F.coalesce("_before", F.lit(0)) - 1)
+              .withColumn("page", F.floor(F.col("_at") / page_size).cast("int")))
+    attempt = F.struct("attempt_number", "attempt_id", "http_status", "response_time_ms", "timeout", "is_success", "detail")
+    has = F.col("is_success").isNotNull()
+    return (placed.groupBy("event_id", "page")
+            .agg(F.first("event_type").alias("event_type"), F.first("created_at").alias("created_at"),
+                 F.sort_array(F.collect_list(F.when(has, F.struct("_at", attempt.alias("a"))))).alias("_rows"))
+            .select("event_id", "event_type", "created_at", "page", F.size("_rows").cast("bigint").alias("n_attempts"),
+                    F.transform("_rows", lambda r: r["a"]).alias("attempts")))
+
+
 def top_k(df: DataFrame, k: int, *order) -> DataFrame:
     """First k rows by ``order`` with a 1-based rank (take-ordered, bounded)."""
     top = df.orderBy(*order).limit(k)

@@ -266,6 +266,14 @@ def _e2(spark, sf_dir):
     return V.event_timeline(_t(spark, sf_dir))
 
 
+@register("timeline_pages")
+def _j6(spark, sf_dir):
+    """The nested pages, two attempts each; the arrays joined to text, which both engines write alike."""
+    pages = V.timeline_pages(_t(spark, sf_dir), page_size=2)
+    names = F.transform("attempts", lambda a: F.concat_ws(":", a["attempt_number"].cast("string"), a["attempt_id"], a["detail"]))
+    return pages.select("event_id", "event_type", "page", "n_attempts", F.concat_ws("|", names).alias("attempts"))
+
+
 @register("top_unstable")
 def _e3(spark, sf_dir):
     return V.top_unstable(A.endpoint_instability(_t(spark, sf_dir).attempts), k=5)

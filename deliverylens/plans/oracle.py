@@ -420,6 +420,13 @@ SELECT e.event_id, e.event_type, e.created_at, da.attempt_number, da.attempt_id,
          AS detail
 FROM webhook_events e LEFT JOIN delivery_attempts da ON e.event_id = da.event_id""")
 
+SQL["timeline_pages"] = q("""
+SELECT event_id, event_type, cast(floor(place / 2) AS integer) AS page, count(is_success) AS n_attempts,
+       coalesce(string_agg(concat_ws(':', cast(attempt_number AS varchar), attempt_id, detail), '|' ORDER BY place)
+                FILTER (WHERE is_success IS NOT NULL), '') AS attempts
+FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY attempt_number, attempt_id) - 1 AS place FROM timeline)
+GROUP BY 1, 2, 3""", f"timeline AS ({SQL['event_timeline'].split(PRE, 1)[1]})")
+
 INSTABILITY_CTE = f"""
 inst AS ({SQL['endpoint_instability'].split(PRE, 1)[1]}),
 pat AS ({SQL['retry_patterns'].split(PRE, 1)[1]})"""

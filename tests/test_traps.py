@@ -223,3 +223,28 @@ def test_tenant_rankings_against_brute_force(spark):
     out = V.ingest_summary(t, None, None, scope="tenant").where("section <> 'ingest'").collect()
     got = {(r.user_id, r.section, r.label, round(r.value, 4)) for r in out}
     assert got == want
+
+
+def test_timeline_pages_of_a_hot_event(spark):
+    """An event that spans several partitions is paged in order; one without attempts has one empty page."""
+    import datetime as dt
+
+    from deliverylens import schemas as S
+    from deliverylens.operators import views as V
+    from deliverylens.tables import Tables
+
+    at = dt.datetime(2024, 1, 1)
+    events = spark.createDataFrame([(e, "invoice.paid", "c", None, 1.0, e, "high", "u1", at) for e in ("hot", "few", "none")], S.WEBHOOK_EVENTS)
+    rows = [(f"h{i:05d}", "hot", "ep", i, 200 if i % 2 else 500, 1.0, False, True, "u1", at) for i in range(1, 2001)]
+    rows += [("f2", "few", "ep", 2, 200, None, False, True, "u1", at), ("f1", "few", "ep", None, 200, 1.6, False, True, "u1", at)]
+    attempts = spark.createDataFrame(rows, S.DELIVERY_ATTEMPTS).repartition(5)
+    t = Tables(users=None, events=events, endpoints=None, attempts=attempts, replays=None)
+    pages = {(r.event_id, r.page): r for r in V.timeline_pages(t, page_size=300).collect()}
+    hot = [pages["hot", p] for p in range(7)]
+    assert [p.n_attempts for p in hot] == [300] * 6 + [200] and ("hot", 7) not in pages
+    assert [a.attempt_number for p in hot for a in p.attempts] == list(range(1, 2001))
+    assert hot[0].attempts[0].is_success and hot[0].attempts[0].detail == "Response in 1ms" and not hot[0].attempts[1].is_success
+    assert [a.attempt_id for a in pages["few", 0].attempts] == ["f1", "f2"]
+    assert pages["none", 0].n_attempts == 0 and pages["none", 0].attempts == [] and len(pages) == 9
+    few = V.timeline_pages(t, spark.createDataFrame([("few",)], "event_id string"), page_size=1).collect()
+    assert sorted((r.event_id, r.page, r.n_attempts) for r in few) == [("few", 0, 1), ("few", 1, 1)]
