@@ -582,6 +582,25 @@ def _m11_json(spark, sf_dir):
     return a.unionByName(r)
 
 
+@register("bulk_load_store")
+def _s7(spark, sf_dir):
+    """S7 end to end: the tables as CSV files, loaded twice; the stored attempts with what each load has added."""
+    from . import bulk
+    t, folder = _t(spark, sf_dir), _scratch(spark, "bulk")
+    for table, name, schema in bulk.FILES.BULK_FILES:
+        df = t.as_dict()[table]
+        df.select(*[c for c in schema.fieldNames() if c in df.columns]).write.option("header", True).csv(os.path.join(folder, "csv", name))
+    base = os.path.join(folder, "store")
+    first, second = (bulk.bulk_load(spark, os.path.join(folder, "csv"), base) for _ in range(2))
+    stored = bulk.read_bulk_tables(spark, base).as_dict()
+    n = None
+    for table, df in stored.items():
+        one = df.agg(F.count(F.lit(1)).alias("rows_stored")).select(F.lit(table).alias("table_name"), "rows_stored")
+        n = one if n is None else n.unionByName(one)
+    return (n.join(first, "table_name").withColumnRenamed("rows_added", "first_load")
+            .join(second.withColumnRenamed("rows_added", "second_load"), "table_name"))
+
+
 @register("stored_events_lookup")
 def _p1_store(spark, sf_dir):
     """P1 on the table store: the events come in four batches, then those that a tenant's replays ask for are

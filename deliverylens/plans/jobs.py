@@ -78,9 +78,9 @@ def last_version(spark: SparkSession, base: str) -> int:
     return -1 if v is None else int(v)
 
 
-def read_table(spark: SparkSession, base: str, table: str) -> DataFrame:
+def read_table(spark: SparkSession, base: str, table: str, schemas: dict | None = None) -> DataFrame:
     """The committed state of a table (empty with its schema if none)."""
-    schema = SCHEMAS[table]
+    schema = (schemas or SCHEMAS)[table]
     path = os.path.join(base, table)
     log = commits(spark, base).where(F.col("table_name") == table)
     if table in SNAPSHOT_TABLES:
@@ -104,11 +104,11 @@ def pruned_folders(spark: SparkSession, base: str, table: str, keys: DataFrame)
     return found + [os.path.join(base, table, f"batch={b}") for b in sorted(whole)], sidecar.count() + len(whole)
 
 
-def read_keys(spark: SparkSession, base: str, table: str, keys: DataFrame) -> DataFrame:
+def read_keys(spark: SparkSession, base: str, table: str, keys: DataFrame, schemas: dict | None = None) -> DataFrame:
     """The committed rows of the files that may hold one of ``keys`` (column
     key): all rows with such a key, and few others."""
     folders, _ = pruned_folders(spark, base, table, keys)
-    schema = SCHEMAS[table]
+    schema = (schemas or SCHEMAS)[table]
     if not folders:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", os.path.join(base, table)).parquet(*folders)
@@ -128,13 +128,14 @@ def read_tables(spark: SparkSession, base: str, users: DataFrame | None = None)
                   replays=read_table(spark, base, "replay_actions"))
 
 
-def commit_batch(spark: SparkSession, base: str, writes: dict[str, DataFrame], seen: int | None = None) -> tuple[int, str]:
+def commit_batch(spark: SparkSession, base: str, writes: dict[str, DataFrame], seen: int | None = None,
+                 schemas: dict | None = None) -> tuple[int, str]:
     """Write each table's rows under a new batch id, then create the commit
     file after ``seen`` (the version the batch read); returns (version, batch)."""
     seen = last_version(spark, base) if seen is None else seen
     batch = f"b{uuid.uuid4().hex}"
     for table, df in writes.items():
-        schema = SCHEMAS[table]
+        schema = (schemas or SCHEMAS)[table]
         out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
         path = os.path.join(base, table, f"batch={batch}")
         key = KEYS.KEY_COLUMNS.get(table)

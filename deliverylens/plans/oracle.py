@@ -721,6 +721,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY event_id, attempt_number
                                    ORDER BY attempted_at, attempt_id, http_status, response_time_ms, timeout, signature_valid) AS rn
       FROM m6 WHERE is_valid) WHERE rn = 1""", CSV_CTES)
 
+SQL["bulk_load_store"] = q("""
+SELECT table_name, n AS rows_stored, n AS first_load, cast(0 AS bigint) AS second_load FROM (
+  SELECT 'endpoints' AS table_name, count(DISTINCT endpoint_id) AS n FROM endpoints
+  UNION ALL SELECT 'webhook_events', count(DISTINCT event_id) FROM webhook_events
+  UNION ALL SELECT 'delivery_attempts', count(DISTINCT attempt_id) FROM delivery_attempts
+  UNION ALL SELECT 'replay_actions', count(DISTINCT replay_id) FROM replay_actions)""")
+
 SQL["stored_events_lookup"] = q("""
 SELECT event_id, event_type, customer_id, user_id, created_at FROM webhook_events
 WHERE event_id IN (SELECT event_id FROM replay_actions WHERE user_id = 'user_3')""")

@@ -147,36 +147,35 @@ BULK_FILES = [
 ]
 
 
-def bulk_load(spark: SparkSession, csv_dir: str, out: str) -> DataFrame:
-    """Append each CSV of the dataset to its parquet table, in FK order;
-    returns (table_name, rows_loaded).  Columns missing from a file (the
-    replay file has no id, no tenant) are derived or left null."""
+def bulk_rows(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """S7's reading of one bulk file: (typed rows, rejected rows).
+
+    Columns are taken by the file's header; those that it lacks (the replay
+    file has no id, no tenant) are derived or left null.  A row with a text
+    that its column's type can't hold is rejected with the first such column
+    as ``reason`` and its text as ``body``, instead of losing the value."""
     from ..functions.scalars import surrogate_id
-    counts = []
-    for table, fname, schema in BULK_FILES:
-        path = os.path.join(csv_dir, fname)
-        if not path_exists(spark, path):
-            continue
-        header = spark.read.option("header", True).csv(path).columns
-        ddl = ", ".join(f"`{c}` string" for c in header)
-        raw = spark.read.option("header", True).schema(ddl).csv(path)
-        cols = []
-        for f in schema.fields:
-            if f.name in header:
-                c = F.col(f.name)
-                if f.dataType.typeName() == "boolean":
-                    c = F.lower(c) == "true"
-                else:
-                    c = c.try_cast(f.dataType)
-                cols.append(c.alias(f.name))
-            elif f.name == "replay_id":
-                cols.append(surrogate_id("rep", "event_id", "replayed_at").alias("replay_id"))
+    header = spark.read.option("header", True).csv(path).columns
+    raw = spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in header)).csv(path)
+    cols, reason = [], F.lit(None).cast("string")
+    for f in reversed(schema.fields):
+        if f.name in header:
+            c = F.col(f.name)
+            if f.dataType.typeName() == "boolean":
+                typed, bad = F.lower(c) == "true", F.lit(False)
             else:
-                cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-        df = raw.select(*cols)
-        df.write.mode("append").parquet(os.path.join(out, table))
-        counts.append((table, spark.read.parquet(os.path.join(out, table)).count()))
-    return spark.createDataFrame(counts, "table_name string, rows_in_table long")
+                typed = c.try_cast(f.dataType)
+                bad = c.isNotNull() & typed.isNull()
+            reason = F.when(bad, F.lit(f"bad:{f.name}")).otherwise(reason)
+            cols.append(typed.alias(f.name))
+        elif f.name == "replay_id":
+            cols.append(surrogate_id("rep", "event_id", "replayed_at").alias("replay_id"))
+        else:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+    judged = raw.withColumn("reason", reason)
+    body = F.to_json(F.struct(*[F.col(c) for c in header]))
+    return (judged.where(F.col("reason").isNull()).select(*cols[::-1]),
+            judged.where(F.col("reason").isNotNull()).select("reason", body.alias("body")))
 
 
 def write_features(df: DataFrame, path: str, fmt: str = "csv") -> None:

@@ -4,7 +4,9 @@ import os
 
 from pyspark.sql import functions as F
 
+import pytest
 from paths import SF0001
+from deliverylens.plans import bulk, jobs
 from deliverylens.operators import features as FE
 from deliverylens.sources import files as FILES
 from deliverylens.sources.testdata import load_tables
@@ -31,15 +33,41 @@ def test_bulk_load_in_fk_order(spark, scratch):
         with open(os.path.join(src, name), "w") as f:
             f.write(text)
     out = os.path.join(scratch, "tables")
-    counts = {r.table_name: r.rows_in_table for r in FILES.bulk_load(spark, src, out).collect()}
+    counts = {r.table_name: r.rows_added for r in bulk.bulk_load(spark, src, out).collect()}
     assert counts == {"endpoints": 1, "webhook_events": 1, "delivery_attempts": 2, "replay_actions": 1}
-    t = FILES.load_parquet_tables(spark, out)
+    t = bulk.read_bulk_tables(spark, out)
     a = t.attempts.orderBy("attempt_number").collect()
     assert (a[0].http_status, a[0].timeout, a[1].timeout) == (504, True, False)
     assert (a[0].response_body_category, a[0].retry_scheduled, a[1].retry_scheduled) == ("timeout", True, False)
     assert t.endpoints.first().last_config_change_at.year == 2024
     r = t.replays.first()
     assert r.replay_id.startswith("rep_") and r.manually_triggered is True
+    # a rerun finds all files in the ledger
+    assert {r.rows_added for r in bulk.bulk_load(spark, src, out).collect()} == {0}
+    assert bulk.ledger(spark, out).count() == 4 and jobs.last_version(spark, out) == 0
+    # a load that crashes before its commit has changed nothing; the next one loads all that is new
+    with open(os.path.join(src, "delivery_attempts.csv"), "a") as f:
+        f.write("att_00000002,evt_000001,ep_00001,2,2024-01-01 00:05:00,200,300,success,False,True,False\n"
+                "att_00000003,evt_000001,ep_00001,three,2024-01-01 00:09:00,200,300,success,False,True,False\n"
+                "att_00000004,evt_000001,ep_00001,4,2024-01-01 00:09:00,,,success,False,True,False\n")
+    create, FILES.create_file = FILES.create_file, None
+    try:
+        with pytest.raises(TypeError):
+            bulk.bulk_load(spark, src, out)
+    finally:
+        FILES.create_file = create
+    assert bulk.read_bulk_tables(spark, out).attempts.count() == 2 and bulk.ledger(spark, out).count() == 4
+    # of two writers that read one version, the second is refused and finds the file loaded when it runs again
+    version = jobs.last_version(spark, out)
+    assert {r.rows_added for r in bulk.bulk_load(spark, src, out).where("rows_added > 0").collect()} == {1}
+    with pytest.raises(jobs.ConcurrentCommit):
+        jobs.commit_batch(spark, out, {"loads": bulk.ledger(spark, out)}, version, bulk.SCHEMAS)
+    assert {r.rows_added for r in bulk.bulk_load(spark, src, out).collect()} == {0}
+    rejects = jobs.read_table(spark, out, "rejects", bulk.SCHEMAS).collect()
+    assert [(r.source, r.reason) for r in rejects] == [("delivery_attempts.csv", "bad:attempt_number")] and "att_00000003" in rejects[0].body
+    t = bulk.read_bulk_tables(spark, out)
+    assert sorted(r.attempt_id for r in t.attempts.collect()) == ["att_00000001", "att_00000002", "att_00000004"]
+    assert t.endpoints.count() == 1
 
 
 def test_features_roundtrip_and_report_export(spark, scratch):
