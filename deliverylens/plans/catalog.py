@@ -104,6 +104,17 @@ def _a7(spark, sf_dir):
     return A.distinct_events(_t(spark, sf_dir).attempts)
 
 
+@register("sketch_bounds")
+def _sketches(spark, sf_dir):
+    """A7 and A10 by sketches: states for each tenant and day, merged by month and then by tenant; the exact counts
+    beside whether each estimate keeps its bound."""
+    from ..operators import sketches as SK
+    rows = _t(spark, sf_dir).attempts.where(F.col("user_id").isNotNull())
+    days = SK.daily_states(rows)
+    months = SK.merged(days, "user_id", F.trunc("day", "month").alias("month"))
+    return SK.against_exact(rows, SK.estimates(SK.merged(months, "user_id")))
+
+
 @register("event_base")
 def _fe1(spark, sf_dir):
     return FE.event_base(_t(spark, sf_dir))

