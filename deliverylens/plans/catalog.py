@@ -593,6 +593,33 @@ def _m11_json(spark, sf_dir):
     return a.unionByName(r)
 
 
+def _live_views(spark, sf_dir) -> str:
+    """A store that the tables reach in three commits, with the views brought up to date after each; the views' folder."""
+    from . import live_views as LV
+    t, base, views = _t(spark, sf_dir), _store(spark), _store(spark)
+    events = _arrivals(t.events, "created_at", ATTEMPT_CUTS)
+    attempts = _arrivals(t.attempts, "attempted_at", ATTEMPT_CUTS)  # many come before or after their event's commit
+    replays = _arrivals(t.replays, "replayed_at", REPLAY_CUTS)
+    for e, a, r in zip(events, attempts, replays):
+        JOBS.commit_batch(spark, base, {"webhook_events": e, "delivery_attempts": a, "replay_actions": r})
+        LV.refresh(spark, base, views)
+    return views
+
+
+@register("live_endpoint_instability")
+def _a1_live(spark, sf_dir):
+    """A1 from states that were refreshed commit by commit."""
+    from . import live_views as LV
+    return LV.endpoint_instability(spark, _live_views(spark, sf_dir))
+
+
+@register("live_tenant_overview")
+def _a4_live(spark, sf_dir):
+    """A4 from states that were refreshed commit by commit."""
+    from . import live_views as LV
+    return LV.tenant_overview(spark, _live_views(spark, sf_dir), _t(spark, sf_dir).users)
+
+
 @register("bulk_load_store")
 def _s7(spark, sf_dir):
     """S7 end to end: the tables as CSV files, loaded twice; the stored attempts with what each load has added."""

@@ -726,6 +726,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY event_id, attempt_number
                                    ORDER BY attempted_at, attempt_id, http_status, response_time_ms, timeout, signature_valid) AS rn
       FROM m6 WHERE is_valid) WHERE rn = 1""", CSV_CTES)
 
+SQL["live_endpoint_instability"] = SQL["endpoint_instability"]
+SQL["live_tenant_overview"] = SQL["tenant_overview"]
+
 SQL["bulk_load_store"] = q("""
 SELECT table_name, n AS rows_stored, n AS first_load, cast(0 AS bigint) AS second_load FROM (
   SELECT 'endpoints' AS table_name, count(DISTINCT endpoint_id) AS n FROM endpoints
