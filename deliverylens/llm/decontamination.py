@@ -108,7 +108,7 @@ class Words:
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > 150_000:
             known.clear()
         for w in set(words).difference(known):
             p = w.strip(MARKS)

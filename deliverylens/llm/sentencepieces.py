@@ -35,7 +35,7 @@ from deliverylens.llm.common import documents, id_text, slices
 
 SPACE = "▁"
 #: Parts whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class PieceEncoder:
