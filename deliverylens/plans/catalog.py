@@ -593,9 +593,16 @@ def _m11_json(spark, sf_dir):
     return a.unionByName(r)
 
 
+_LIVE: dict = {}
+
+
 def _live_views(spark, sf_dir) -> str:
-    """A store that the tables reach in three commits, with the views brought up to date after each; the views' folder."""
+    """A store that the tables reach in three commits, with the views brought up to date after each; the views'
+    folder.  Built once per session and data folder."""
     from . import live_views as LV
+    key = (id(spark), sf_dir)
+    if key in _LIVE:
+        return _LIVE[key][1]
     t, base, views = _t(spark, sf_dir), _store(spark), _store(spark)
     events = _arrivals(t.events, "created_at", ATTEMPT_CUTS)
     attempts = _arrivals(t.attempts, "attempted_at", ATTEMPT_CUTS)  # many come before or after their event's commit
@@ -603,6 +610,7 @@ def _live_views(spark, sf_dir) -> str:
     for e, a, r in zip(events, attempts, replays):
         JOBS.commit_batch(spark, base, {"webhook_events": e, "delivery_attempts": a, "replay_actions": r})
         LV.refresh(spark, base, views)
+    _LIVE[key] = (spark, views)  # the session is held, so its id stays unique
     return views
 
 
