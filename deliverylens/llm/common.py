@@ -18,6 +18,20 @@ from deliverylens.session import checkpoint_dir
 CHUNK_BYTES = 2 << 20
 
 
+_KEPT: list[dict] = []
+
+
+def kept_alone(table: dict) -> dict:
+    """``table``, what an operator keeps in a worker process between tasks; what other operators kept there goes,
+    so that a worker that has run several of them holds the tables of one."""
+    if not any(t is table for t in _KEPT):
+        _KEPT.append(table)
+    for other in _KEPT:
+        if other is not table:
+            other.clear()
+    return table
+
+
 def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deliverylens.llm.common import ByteTexts, documents, mix64, shingle_hashes, slices, words_of
+from deliverylens.llm.common import ByteTexts, documents, kept_alone, mix64, shingle_hashes, slices, words_of
 
 EDIT_SHARE, MIN_WORDS, GRAM = 0.2, 1, 3
 #: Walks, sampled positions a key, and the recall aimed at when the embedded words differ in DIFFER of the positions.
@@ -262,7 +262,7 @@ _FINDERS: dict[int, Finder] = {}
 
 def _finder(shared, min_words: int) -> Finder:
     key = hash((min_words, *shared.value))
-    if key not in _FINDERS:
+    if key not in kept_alone(_FINDERS):
         _FINDERS.clear()
         _FINDERS[key] = Finder(shared.value, min_words)
     return _FINDERS[key]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deliverylens.llm.common import documents, id_text, slices
+from deliverylens.llm.common import documents, id_text, kept_alone, slices
 
 SPACE = "▁"
 #: Parts whose ids a worker remembers.
@@ -206,7 +206,7 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 def encoder(path: str) -> PieceEncoder:
     """One encoder a worker process; Spark reuses the processes between tasks."""
-    if path not in _ENCODERS:
+    if path not in kept_alone(_ENCODERS):
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
 

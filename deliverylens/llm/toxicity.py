@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deliverylens.llm import gru
-from deliverylens.llm.common import ByteTexts, documents, remainder, slices
+from deliverylens.llm.common import ByteTexts, documents, kept_alone, remainder, slices
 
 WINDOW, STRIDE = 48, 24
 #: Bound of the training sample: documents a class, windows a document.
@@ -302,7 +302,7 @@ _SCORERS: dict[int, Scorer] = {}
 
 def scorer(model: bytes) -> Scorer:
     key = zlib.crc32(model)
-    if key not in _SCORERS:
+    if key not in kept_alone(_SCORERS):
         _SCORERS.clear()
         _SCORERS[key] = Scorer(model)
     return _SCORERS[key]
