@@ -64,10 +64,10 @@ def with_deletions(doc_id, runs: list[bytes], every: int) -> Counter:
     counts = Counter(runs)
     seed = zlib.crc32(b"%s:" % (b"" if doc_id is None else str(doc_id).encode()))
     crc = zlib.crc32
-    for run in [r for r in counts if crc(r, seed) % every == 0]:
+    # all are taken out first: a result that is itself such a run has had its deletion
+    for run, n in [(r, counts.pop(r)) for r in [r for r in counts if crc(r, seed) % every == 0]]:
         letters = run.decode()
         at = crc(run, seed) % len(letters)
-        n = counts.pop(run)
         counts[(letters[:at] + letters[at + 1:]).encode()] += n
     return counts
 

@@ -139,3 +139,30 @@ def test_query_schema(spark):
     assert out.dtypes == [("word", "string"), ("form", "string"), ("root", "string"), ("n", "bigint"), ("n_near", "bigint"), ("form_n", "bigint")]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     assert got(out) == brute(brute_counts([tuple(r) for r in docs]))
+
+
+def twice_asked(doc_id):
+    """A run whose result after its deletion would have one as well."""
+    rnd = random.Random(7)
+    while True:
+        a = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+        h = zlib.crc32(f"{doc_id}:{a}".encode())
+        b = a[:h % 8] + a[h % 8 + 1:]
+        if h % 97 == 0 and zlib.crc32(f"{doc_id}:{b}".encode()) % 97 == 0:
+            return a, b
+
+
+def test_a_run_loses_one_letter_only():
+    a, b = twice_asked(5)
+    for text in (f"{a} {b} {a}", f"{b} {a} {b}", f"{a} {a}"):
+        want = Counter()
+        for w in text.split():
+            at = zlib.crc32(f"5:{w}".encode()) % len(w)
+            want[(w[:at] + w[at + 1:]).encode()] += 1
+        assert S.with_deletions(5, S.runs_of(text.encode()), 97) == want
+
+
+def test_counts_of_runs_whose_result_is_deleted_from_too(spark):
+    a, b = twice_asked(5)
+    rows = [(5, f"{a} {b} {a} {b} {a}"), (5, f"{b} {a} {b} {a} {b}"), (6, f"{a} {b}")]
+    assert {r.word: r.n for r in S.word_counts(table(spark, rows)).collect()} == brute_counts(rows)
