@@ -4,8 +4,10 @@ Each round fits one tree to the gradients g = w (p - y) and hessians
 h = w p (1 - p) of the logistic loss, level by level:
 
 1. every task walks its rows down the part of the tree that exists and sums g
-   and h by (node, feature, quantile bin); the tasks' sums, at most
-   nodes x features x bins numbers whatever the table's size, are added in a tree,
+   and h by (node, feature, quantile bin); features with few bins share one sum
+   over their combinations.  The tasks' sums, at most nodes x features x bins
+   numbers whatever the table's size, are added by an executor, and the driver
+   gets one total of the bins that exist,
 2. for each node the cut with the largest gain
    GL^2/(HL+l) + GR^2/(HR+l) - G^2/(H+l) is taken; rows whose value is missing
    have a bin of their own and are tried on either side, and the better side
@@ -69,20 +71,36 @@ class Tree:
         return tuple(np.array(x) for x in (self.feature, self.cut, self.threshold, self.missing_left, self.left, self.right, self.value))
 
 
+#: Rows that are walked down all trees before the next ones, so that a step's arrays stay in the processor's cache.
+WALK_ROWS = 8192
+
+
 def walk(tree: tuple[np.ndarray, ...], columns: np.ndarray) -> np.ndarray:
     """The node each row ends in, by its values (features x rows; NaN is missing)."""
     feature, _, threshold, missing_left, left, right, _ = tree
-    node = np.zeros(columns.shape[1], np.int64)
-    live = np.arange(columns.shape[1]) if feature[0] >= 0 else np.zeros(0, np.int64)
-    while len(live):
-        at = node[live]
-        x = columns[feature[at], live]
-        at = np.where(np.where(np.isnan(x), missing_left[at], x < threshold[at]), left[at], right[at])
-        node[live] = at
-        live = live[feature[at] >= 0]
+    n, inner = columns.shape[1], feature >= 0
+    if not inner[0]:
+        return np.zeros(n, np.int64)
+    own = np.arange(len(feature))
+    # a node's next one when its value is not below the threshold, below it, or missing; a leaf stays
+    step = np.where(inner, np.stack([right, left, np.where(missing_left, left, right)]), own).T.astype(np.int64).ravel()
+    flat, rows, start = np.ascontiguousarray(columns).ravel(), np.arange(n), np.where(inner, feature, 0) * n
+    node = np.zeros(n, np.int64)
+    for _ in range(height(tree)):
+        x = flat[start[node] + rows]
+        node = step[node * 3 + (x < threshold[node]) + 2 * np.isnan(x)]
     return node
 
 
+def height(tree: tuple[np.ndarray, ...]) -> int:
+    """Steps from the root to the deepest node."""
+    feature, left, right = tree[0], tree[4], tree[5]
+    depth = np.zeros(len(feature), np.int64)
+    for i in np.flatnonzero(feature >= 0):  # children follow their parent
+        depth[left[i]] = depth[right[i]] = depth[i] + 1
+    return int(depth.max())
+
+
 def walk_bins(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
     """The same by the rows' bins (rows x features): a table gives each node's next one for every bin."""
     feature, cut, _, missing_left, left, right, _ = tree
@@ -93,14 +111,11 @@ def walk_bins(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
     step = np.where(np.arange(256)[None, :] <= cut[:, None], left[:, None], right[:, None])
     step[:, MISSING_BIN] = np.where(missing_left, left, right)
     step = np.where(inner[:, None], step, np.arange(nodes)[:, None]).astype(np.int64).ravel()
-    asked = np.where(inner, feature, 0)
-    flat, start = bins.ravel(), np.arange(n) * bins.shape[1]
-    depth = np.zeros(nodes, np.int64)
-    for i in np.flatnonzero(inner):  # children follow their parent
-        depth[left[i]] = depth[right[i]] = depth[i] + 1
-    node = np.zeros(n, np.int64)
-    for _ in range(int(depth.max())):
-        node = step[(node << 8) + flat[start + asked[node]]]
+    columns = np.ascontiguousarray(bins.T)  # blocks keep their bins by feature
+    flat, rows, start = columns.ravel(), np.arange(n), np.where(inner, feature, 0) * n
+    node = step[columns[feature[0]]]
+    for _ in range(height(tree) - 1):
+        node = step[(node << 8) + flat[start[node] + rows]]
     return node
 
 
@@ -119,15 +134,37 @@ def cut_points(rows: DataFrame, features: list[str], bins: int) -> list[np.ndarr
     return [np.unique([v for (name, _), v in found.items() if name == c]) for c in features]
 
 
+def shared_columns(n_cuts: list[int]) -> list[list[int]]:
+    """Features that are summed together: as many as have at most 256 combinations of bins (and missing)."""
+    groups, room = [], 0
+    for f in sorted(range(len(n_cuts)), key=lambda f: (n_cuts[f], f)):
+        codes = n_cuts[f] + 2
+        if groups and codes <= room:
+            groups[-1].append(f)
+            room //= codes
+        else:
+            groups.append([f])
+            room = 256 // codes
+    return groups
+
+
 def as_blocks(rows: DataFrame, features: list[str], label: str, weight: str, cuts: list[np.ndarray], base_margin: float) -> DataFrame:
-    """Rows with a label, packed: n, bins (n x features bytes), labels, weights and margins (float64)."""
+    """Rows with a label, packed: n, bins (features x n bytes, then a row for each group of :func:`shared_columns`
+    with several features), labels, weights and margins (float64)."""
+    n_cuts = [len(c) for c in cuts]
+    joint = [g for g in shared_columns(n_cuts) if len(g) > 1]
 
     def pack(table: pa.Table) -> pa.RecordBatch:
         n = table.num_rows
-        bins = np.empty((n, len(features)), np.uint8)
+        bins = np.empty((len(features) + len(joint), n), np.uint8)
         for i, c in enumerate(features):
             x = table.column(c).to_numpy().astype(np.float64)
-            bins[:, i] = np.where(np.isnan(x), MISSING_BIN, np.searchsorted(cuts[i], x, side="right"))
+            bins[i] = np.where(np.isnan(x), MISSING_BIN, np.searchsorted(cuts[i], x, side="right"))
+        for i, group in enumerate(joint, len(features)):
+            code = np.zeros(n, np.int64)
+            for f in group:
+                code = code * (n_cuts[f] + 2) + np.where(bins[f] == MISSING_BIN, n_cuts[f] + 1, bins[f])
+            bins[i] = code
         y, w = (table.column(c).to_numpy().astype(np.float64) for c in ("label", "weight"))
         return pa.RecordBatch.from_pydict({"n": [n], "bins": [bins.tobytes()], "y": [y.tobytes()], "w": [w.tobytes()],
                                            "margin": [np.full(n, base_margin).tobytes()]})
@@ -149,73 +186,98 @@ def as_blocks(rows: DataFrame, features: list[str], label: str, weight: str, cut
     return plain.mapInArrow(run, "n long, bins binary, y binary, w binary, margin binary")
 
 
-Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # bins (rows x features), labels, weights, margins
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # bins (features and groups x rows), labels, weights, margins
 
 
-def unpacked(blocks: DataFrame, n_features: int) -> RDD:
+def unpacked(blocks: DataFrame) -> RDD:
     """The stored blocks as arrays, one element each."""
     def arrays(r) -> Block:
-        return (np.frombuffer(r.bins, np.uint8).reshape(-1, n_features), *(np.frombuffer(x, np.float64) for x in (r.y, r.w, r.margin)))
+        y, w, margin = (np.frombuffer(x, np.float64) for x in (r.y, r.w, r.margin))
+        return np.frombuffer(r.bins, np.uint8).reshape(-1, len(y)), y, w, margin
 
     return blocks.select("bins", "y", "w", "margin").rdd.map(arrays)
 
 
 def with_tree(rows: RDD, tree: tuple[np.ndarray, ...]) -> RDD:
     """The blocks with their margins moved by ``tree``."""
-    return rows.map(lambda b: (b[0], b[1], b[2], b[3] + tree[-1][walk_bins(tree, b[0])]))
+    return rows.map(lambda b: (b[0], b[1], b[2], b[3] + tree[-1][walk_bins(tree, b[0].T)]))
 
 
-def histograms(rows: RDD, growing: tuple[np.ndarray, ...], wanted: list[int], n_features: int, scale: float) -> np.ndarray:
+def histograms(rows: RDD, growing: tuple[np.ndarray, ...], wanted: list[int], n_cuts: list[int], scale: float) -> np.ndarray:
     """(2, features, nodes, 256) sums of g and h as whole numbers.
 
-    A task adds up its blocks; the tasks' sums are added in a tree, so that the
-    driver gets the sums of the square root of their number at most."""
-    nodes = len(wanted)
+    A task adds up its blocks and keeps the bins that exist; one task adds those
+    few numbers of all tasks, so that the driver gets one total whatever their number."""
+    nodes, k = len(wanted), len(n_cuts)
     lookup = np.full(len(growing[0]), -1, np.int64)
     lookup[wanted] = np.arange(nodes)
+    groups = shared_columns(n_cuts)
+    joint = [g for g in groups if len(g) > 1]
+    at_row = [g[0] if len(g) == 1 else k + joint.index(g) for g in groups]
 
     def summed(blocks):
-        out = np.zeros((2, n_features, nodes * 256), np.int64)
+        out = np.zeros((2, len(groups), nodes * 256), np.int64)
         for bins, y, w, margin in blocks:
-            place = lookup[walk_bins(growing, bins)]
-            use = np.flatnonzero(place >= 0)
-            yu, wu, columns = y[use], w[use], np.ascontiguousarray(bins[use].T)
-            p = 1.0 / (1.0 + np.exp(-margin[use]))
-            g, h = np.rint(wu * (p - yu) * scale), np.rint(wu * p * (1.0 - p) * scale)
-            first = place[use] * 256
-            for f in range(n_features):
-                cell = first + columns[f]
+            if len(growing[0]) == 1:  # the root holds all rows
+                columns, first = bins, 0
+            else:
+                place = lookup[walk_bins(growing, bins[:k].T)]
+                use = np.flatnonzero(place >= 0)
+                columns, y, w, margin, first = None, y[use], w[use], margin[use], place[use] * 256
+            p = 1.0 / (1.0 + np.exp(-margin))
+            g, h = np.rint(w * (p - y) * scale), np.rint(w * p * (1.0 - p) * scale)
+            for i, r in enumerate(at_row):
+                cell = first + (bins[r][use] if columns is None else columns[r].astype(np.int64))
                 # whole numbers below 2^53 add up exactly
-                out[0, f] += np.bincount(cell, g, nodes * 256).astype(np.int64)
-                out[1, f] += np.bincount(cell, h, nodes * 256).astype(np.int64)
-        yield out
-
-    parts = rows.getNumPartitions()
-    if not parts:
-        return np.zeros((2, n_features, nodes, 256), np.int64)
-    return rows.mapPartitions(summed).treeReduce(np.add, 1 if parts <= 16 else 2).reshape(2, n_features, nodes, 256)
-
-
-def best_cut(g: np.ndarray, h: np.ndarray, n_cuts: list[int], reg_lambda: float, min_child_weight: float):
-    """The best cut of one node from its (features, 256) sums: (gain, feature, bin, missing_left), or None.
+                out[0, i] += np.bincount(cell, g, nodes * 256).astype(np.int64)
+                out[1, i] += np.bincount(cell, h, nodes * 256).astype(np.int64)
+        yield 0, per_feature(out.reshape(2, len(groups), nodes, 256))
+
+    def per_feature(sums: np.ndarray) -> np.ndarray:
+        """(2, nodes, bins of all features): each feature's bins 0 to its number of cuts, then missing."""
+        parts = {}
+        for i, group in enumerate(groups):
+            codes = [n_cuts[f] + 2 for f in group]
+            if len(group) == 1:
+                f = group[0]
+                parts[f] = np.concatenate([sums[:, i, :, :n_cuts[f] + 1], sums[:, i, :, MISSING_BIN:]], axis=2)
+                continue
+            cube = sums[:, i, :, :int(np.prod(codes))].reshape(2, nodes, *codes)
+            for j, f in enumerate(group):
+                parts[f] = cube.sum(axis=tuple(2 + other for other in range(len(group)) if other != j))
+        return np.concatenate([parts[f] for f in range(k)], axis=2)
+
+    out = np.zeros((2, k, nodes, 256), np.int64)
+    total = rows.mapPartitions(summed).reduceByKey(np.add, 1).values().collect()  # one element, none of an empty table
+    at = 0
+    for f, cuts in enumerate(n_cuts if total else ()):
+        out[:, f, :, :cuts + 1] = total[0][:, :, at:at + cuts + 1]
+        out[:, f, :, MISSING_BIN] = total[0][:, :, at + cuts + 1]
+        at += cuts + 2
+    return out
+
+
+def best_cuts(g: np.ndarray, h: np.ndarray, n_cuts: list[int], reg_lambda: float, min_child_weight: float):
+    """The best cut of each node from (nodes, features, 256) sums: (gain, feature, bin, missing_left), or None.
 
     Rows of bins up to ``bin`` go left.  Ties go to the first feature, then the lowest bin, then missing right."""
-    total_g, total_h = g[0].sum(), h[0].sum()
+    total_g, total_h = (np.array([x[0].sum() for x in sums])[:, None, None, None] for sums in (g, h))
     score = lambda a, b: a * a / (b + reg_lambda)
-    best = None
+    most = max(n_cuts, default=0)  # the last bin is never the left part's end
+    if not most:
+        return [None] * len(g)
+    # nodes x features x missing right or left x bins
+    left_g, left_h = (np.stack([x, x + sums[:, :, MISSING_BIN:]], axis=2) for sums in (g, h) for x in [np.cumsum(sums[:, :, :most], axis=2)])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = score(left_g, left_h) + score(total_g - left_g, total_h - left_h) - score(total_g, total_h)
+    gain[~((left_h >= min_child_weight) & (total_h - left_h >= min_child_weight))] = -np.inf
     for f, cuts in enumerate(n_cuts):
-        if not cuts:
-            continue
-        gl, hl = np.cumsum(g[f, :cuts]), np.cumsum(h[f, :cuts])  # the last bin is never the left part's end
-        for missing_left in (False, True):
-            a, b = (gl + g[f, MISSING_BIN], hl + h[f, MISSING_BIN]) if missing_left else (gl, hl)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = score(a, b) + score(total_g - a, total_h - b) - score(total_g, total_h)
-            gain[~((b >= min_child_weight) & (total_h - b >= min_child_weight))] = -np.inf
-            at = int(np.argmax(gain))
-            if gain[at] > NO_GAIN and (best is None or gain[at] > best[0]):
-                best = (float(gain[at]), f, at, missing_left)
-    return best
+        gain[:, f, :, cuts:] = -np.inf
+    at = gain.argmax(axis=3)
+    high = np.take_along_axis(gain, at[..., None], axis=3)[..., 0]
+    high = np.where(high > NO_GAIN, high, -np.inf).reshape(len(g), -1)  # features, then missing right and left
+    first = high.argmax(axis=1)
+    return [(float(high[i, j]), int(j) // 2, int(at[i].flat[j]), bool(j % 2)) if high[i, j] > NO_GAIN else None for i, j in enumerate(first)]
 
 
 @dataclass
@@ -229,8 +291,10 @@ class BoostedTrees:
     def margins(self, columns: np.ndarray) -> np.ndarray:
         """Log-odds of rows given as features x rows values, NaN for missing."""
         out = np.full(columns.shape[1], self.base_margin)
-        for tree in self.trees:
-            out += tree[-1][walk(tree, columns)]
+        for start in range(0, columns.shape[1], WALK_ROWS):
+            part = np.ascontiguousarray(columns[:, start:start + WALK_ROWS])
+            for tree in self.trees:
+                out[start:start + WALK_ROWS] += tree[-1][walk(tree, part)]
         return out
 
     def probability(self, spark: SparkSession) -> Column:
@@ -284,14 +348,13 @@ def fit(rows: DataFrame, features: list[str], label: str, weight: str, rounds: i
     room = min(52 - int(np.ceil(np.log2(BLOCK_ROWS))), 61 - int(np.ceil(np.log2(n + 2))))
     scale = 2.0 ** (room - int(np.ceil(np.log2(max(most, 1.0)))))
 
-    k = len(features)
     done: list[tuple[np.ndarray, ...]] = []
-    blocks = unpacked(packed, len(features)).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = unpacked(packed).persist(StorageLevel.MEMORY_AND_DISK)
     kept = [blocks]
 
     def sums_of(tree: Tree, wanted: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, features, 256) whole numbers of g and h."""
-        g, h = histograms(blocks, tree.packed(), wanted, k, scale)
+        g, h = histograms(blocks, tree.packed(), wanted, n_cuts, scale)
         return g.swapaxes(0, 1), h.swapaxes(0, 1)
 
     def leaf(g: int, h: int) -> float:
@@ -306,8 +369,8 @@ def fit(rows: DataFrame, features: list[str], label: str, weight: str, rounds: i
         tree.value[root] = leaf(g[0, 0].sum(), h[0, 0].sum())
         for depth in range(max_depth):
             split: list[tuple[int, int, int]] = []
-            for node, (g, h) in level.items():
-                cut = best_cut(g / scale, h / scale, n_cuts, reg_lambda, min_child_weight)
+            cuts_of = best_cuts(*(np.stack(x) / scale for x in zip(*level.values())), n_cuts, reg_lambda, min_child_weight)
+            for (node, (g, h)), cut in zip(level.items(), cuts_of):
                 if cut is None:
                     continue
                 _, f, at, missing_left = cut

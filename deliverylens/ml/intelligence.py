@@ -56,12 +56,13 @@ def model_rows(features: DataFrame) -> DataFrame:
 
 
 def fit_models(t: Tables, max_iter: int = 150, n_trees: int = 100, contamination: float = 0.05,
-               seed: int = 42, model_dir: str | None = None) -> Models:
+               seed: int = 42, model_dir: str | None = None, rows: DataFrame | None = None) -> Models:
     """ML2 + ML3 on the training split of the (event, endpoint) feature table,
-    which is computed once and read by both fits."""
+    which is computed once and read by both fits; ``rows`` are :func:`model_rows` of ``t``, if the caller has them."""
     spark = t.events.sparkSession
     folder = os.path.join(checkpoint_dir(spark), "models", uuid.uuid4().hex)
-    train = model_rows(FE.event_features(t)).where(F.col("split") == "train")
+    rows = model_rows(FE.event_features(t)) if rows is None else rows
+    train = rows.where(F.col("split") == "train")
     recovery = R.train_recovery_model(train, max_iter=max_iter)
     x = R.impute(train)
     nodes = IF.fit_isolation_forest(x, FE.MODEL_FEATURES, key=["event_id", "endpoint_id"],
@@ -127,10 +128,10 @@ def event_analysis_report(t: Tables, decisions: DataFrame) -> DataFrame:
                     "recommended_action", "endpoint_health"))
 
 
-def anomaly_rate(t: Tables, models: Models) -> DataFrame:
-    """Anomalies flagged in the test split, count and percent."""
-    rows = model_rows(FE.event_features(t)).where(F.col("split") == "test")
-    scored = IF.score_isolation_forest(R.impute(rows), models.forest, FE.MODEL_FEATURES)
+def anomaly_rate(t: Tables, models: Models, rows: DataFrame | None = None) -> DataFrame:
+    """Anomalies flagged in the test split, count and percent; ``rows`` as for :func:`fit_models`."""
+    rows = model_rows(FE.event_features(t)) if rows is None else rows
+    scored = IF.score_isolation_forest(R.impute(rows.where(F.col("split") == "test")), models.forest, FE.MODEL_FEATURES)
     flagged = scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(models.threshold))
     return flagged.agg(F.count(F.lit(1)).alias("n_test"),
                        F.sum(F.col("is_anomaly").cast("bigint")).alias("n_anomalies")).withColumn(

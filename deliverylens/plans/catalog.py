@@ -680,11 +680,17 @@ def _q3(spark, sf_dir):
 _MODELS: dict = {}
 
 
-def models_for(spark, sf_dir):
+def _fitted(spark, sf_dir):
     key = (id(spark), sf_dir)
     if key not in _MODELS:  # fitted once per session and folder; session held
-        _MODELS[key] = (spark, INTEL.fit_models(_t(spark, sf_dir)))
-    return _MODELS[key][1]
+        t = _t(spark, sf_dir)
+        rows = INTEL.model_rows(FE.event_features(t))  # both splits; in the shared folder
+        _MODELS[key] = (spark, INTEL.fit_models(t, rows=rows), rows)
+    return _MODELS[key]
+
+
+def models_for(spark, sf_dir):
+    return _fitted(spark, sf_dir)[1]
 
 
 def _fpe_rows(t):
@@ -717,7 +723,8 @@ def _ml4(spark, sf_dir):
 
 @register("anomaly_rate")
 def _a12(spark, sf_dir):
-    return INTEL.anomaly_rate(_t(spark, sf_dir), models_for(spark, sf_dir))
+    _, models, rows = _fitted(spark, sf_dir)
+    return INTEL.anomaly_rate(_t(spark, sf_dir), models, rows)
 
 
 @register("event_intelligence")

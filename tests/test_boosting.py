@@ -103,3 +103,41 @@ def test_saved_trees_score_alike(spark, scratch):
     model.save(spark, f"{scratch}/trees")
     again = B.BoostedTrees.load(spark, f"{scratch}/trees")
     assert again.features == ["a", "b", "c"] and (again.margins(x.T) == model.margins(x.T)).all()
+
+
+def test_the_driver_gets_one_total_of_all_tasks(spark, monkeypatch):
+    """Whatever the number of partitions, and with only the bins that exist."""
+    from pyspark.core.rdd import RDD
+    x, y, w = data(400)
+    got, collect = [], RDD.collect
+
+    def spied(self):
+        out = collect(self)
+        got.append((len(out), sum(v.size for v in out if isinstance(v, np.ndarray))))
+        return out
+
+    monkeypatch.setattr(RDD, "collect", spied)
+    cuts = [np.array([0.0, 1.0]), np.array([0.0, 1.0, 2.0, 3.0]), np.array([0.5])]
+    blocks = B.unpacked(B.as_blocks(frame(spark, x, y, w, 24), ["a", "b", "c"], "label", "w", cuts, 0.0))
+    assert blocks.getNumPartitions() == 24
+    sums = B.histograms(blocks, (np.array([-1]),) * 7, [0], [2, 4, 1], 1024.0)
+    assert got == [(1, 2 * (4 + 6 + 3))]
+    g = np.rint(w * (0.5 - y) * 1024)
+    for f, c in enumerate(cuts):
+        at = np.where(np.isnan(x[:, f]), B.MISSING_BIN, np.searchsorted(c, x[:, f], side="right"))
+        assert (sums[0, f, 0] == np.bincount(at, g, 256)).all()
+
+
+def test_features_that_share_a_sum():
+    assert B.shared_columns([254, 2, 2, 2, 2, 5, 7]) == [[1, 2, 3, 4], [5, 6], [0]]
+    assert B.shared_columns([]) == []
+
+
+def test_best_cuts_of_several_nodes_are_those_of_each():
+    rng = np.random.default_rng(3)
+    g, h = rng.integers(-50, 50, (6, 3, 256)).astype(float), rng.integers(0, 9, (6, 3, 256)).astype(float)
+    g[:, 1], h[:, 1] = g[:, 0], h[:, 0]  # a tie of two features
+    g[5], h[5] = 0, 0
+    every = B.best_cuts(g, h, [254, 254, 0], 1.0, 1.0)
+    assert every == [B.best_cuts(g[i:i + 1], h[i:i + 1], [254, 254, 0], 1.0, 1.0)[0] for i in range(6)]
+    assert every[5] is None and all(c[1] == 0 for c in every[:5])
