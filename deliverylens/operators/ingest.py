@@ -407,14 +407,16 @@ def key_violations(t: Tables) -> DataFrame:
 
 def fk_orphans(t: Tables) -> DataFrame:
     """Q2: child values (not null) with no parent row, with their row counts.
-    The child side is reduced to distinct values before the anti join."""
+    Children and parents are counted together by value, so that a task holds
+    one row for each value and needs no sorted copy of either side."""
     d = t.as_dict()
     out = None
     for child, col, parent, pcol in FOREIGN_KEYS:
-        vals = (d[child].where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n_rows")))
-        v = (vals.join(d[parent].select(F.col(pcol).alias(col)).dropDuplicates(), col, "left_anti")
-             .select(F.lit(child).alias("table_name"), F.lit(col).alias("column_name"),
-                     F.col(col).alias("fk_value"), "n_rows"))
+        both = (d[child].where(F.col(col).isNotNull()).select(F.col(col).alias("fk_value"), F.lit(1).alias("child"), F.lit(None).cast("int").alias("parent"))
+                .unionByName(d[parent].where(F.col(pcol).isNotNull()).select(F.col(pcol).alias("fk_value"), F.lit(None).cast("int").alias("child"), F.lit(1).alias("parent"))))
+        v = (both.groupBy("fk_value").agg(F.count("child").alias("n_rows"), F.count("parent").alias("n_parents"))
+             .where((F.col("n_parents") == 0) & (F.col("n_rows") > 0))
+             .select(F.lit(child).alias("table_name"), F.lit(col).alias("column_name"), "fk_value", "n_rows"))
         out = v if out is None else out.unionByName(v)
     return out
 

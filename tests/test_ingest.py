@@ -320,3 +320,20 @@ def test_timeline_of_chosen_events_and_of_events_without_attempts(spark):
     some = V.event_timeline(t, ids)
     assert some.select("event_id").distinct().count() == 5
     assert some.exceptAll(whole).count() == 0
+
+
+def test_orphans_are_counted_without_sorting_either_side(spark, capsys):
+    """Null and repeated keys on both sides; one grouping a key column, no join that sorts or holds a side."""
+    from deliverylens.tables import Tables
+    users = spark.createDataFrame([("u1", None, None), (None, None, None), ("u1", "x", None)], "user_id string, name string, email string")
+    events = spark.createDataFrame([("e1", "u1"), ("e1", "u9"), (None, None), ("e2", "u9")], "event_id string, user_id string")
+    endpoints = spark.createDataFrame([("p1", None), ("p1", "u1")], "endpoint_id string, user_id string")
+    attempts = spark.createDataFrame([("e1", "p1", "u1"), ("e7", "p7", None), ("e7", None, "u1"), (None, "p1", "u7")],
+                                     "event_id string, endpoint_id string, user_id string")
+    replays = spark.createDataFrame([("e2", "u1"), ("e8", "u1"), (None, None)], "event_id string, user_id string")
+    found = M.fk_orphans(Tables(users=users, events=events, endpoints=endpoints, attempts=attempts, replays=replays))
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("delivery_attempts", "endpoint_id", "p7", 1), ("delivery_attempts", "event_id", "e7", 2), ("delivery_attempts", "user_id", "u7", 1),
+        ("replay_actions", "event_id", "e8", 1), ("webhook_events", "user_id", "u9", 2)]
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
