@@ -7,7 +7,7 @@ h = w p (1 - p) of the logistic loss, level by level:
    and h by (node, feature, quantile bin); features with few bins share one sum
    over their combinations.  The tasks' sums, at most nodes x features x bins
    numbers whatever the table's size, are added by an executor, and the driver
-   gets one total of the bins that exist,
+   gets one total of the bins that exist (few, of a small table),
 2. for each node the cut with the largest gain
    GL^2/(HL+l) + GR^2/(HR+l) - G^2/(H+l) is taken; rows whose value is missing
    have a bin of their own and are tried on either side, and the better side
@@ -44,6 +44,8 @@ from ..session import checkpoint_dir
 
 #: Rows of a block; sums of rounded gradients over one stay exact in a float64.
 BLOCK_ROWS = 65_536
+#: Tasks whose sums the driver adds itself; those of more are added by an executor.
+FEW = 3
 #: Gains up to here are rounding noise.
 NO_GAIN = 1e-6
 NODES = "tree int, node int, feature int, threshold double, missing_left boolean, left int, right int, value double"
@@ -203,11 +205,20 @@ def with_tree(rows: RDD, tree: tuple[np.ndarray, ...]) -> RDD:
     return rows.map(lambda b: (b[0], b[1], b[2], b[3] + tree[-1][walk_bins(tree, b[0].T)]))
 
 
+def added(parts):
+    """The sum of (0, array) pairs, as one."""
+    total = None
+    for _, v in parts:
+        total = v if total is None else total + v
+    if total is not None:
+        yield 0, total
+
+
 def histograms(rows: RDD, growing: tuple[np.ndarray, ...], wanted: list[int], n_cuts: list[int], scale: float) -> np.ndarray:
     """(2, features, nodes, 256) sums of g and h as whole numbers.
 
     A task adds up its blocks and keeps the bins that exist; one task adds those
-    few numbers of all tasks, so that the driver gets one total whatever their number."""
+    few numbers of all tasks, so that the driver gets one total, or FEW at most."""
     nodes, k = len(wanted), len(n_cuts)
     lookup = np.full(len(growing[0]), -1, np.int64)
     lookup[wanted] = np.arange(nodes)
@@ -248,7 +259,10 @@ def histograms(rows: RDD, growing: tuple[np.ndarray, ...], wanted: list[int], n_
         return np.concatenate([parts[f] for f in range(k)], axis=2)
 
     out = np.zeros((2, k, nodes, 256), np.int64)
-    total = rows.mapPartitions(summed).reduceByKey(np.add, 1).values().collect()  # one element, none of an empty table
+    parts = rows.mapPartitions(summed)
+    if rows.getNumPartitions() > FEW:
+        parts = parts.partitionBy(1).mapPartitions(added)
+    total = [sum(v for _, v in found)] if (found := parts.collect()) else []  # none of an empty table
     at = 0
     for f, cuts in enumerate(n_cuts if total else ()):
         out[:, f, :, :cuts + 1] = total[0][:, :, at:at + cuts + 1]
