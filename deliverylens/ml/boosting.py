@@ -19,8 +19,16 @@ Only the smaller child of each node is aggregated, its sibling is the parent
 less that.  Gradients are rounded to multiples of a power of two, so sums are
 exact integers: the model depends neither on the partitioning nor on a lost
 executor's rerun.  Rows live as blocks (bins, label, weight, margin) in the
-shared folder; their margins are written anew every ``rewrite_every`` rounds,
-which bounds both the lineage and the trees a task has to walk.
+shared folder.
+
+Where all cores can run one barrier stage and the shared folder is a mounted
+one, that stage grows all trees (:func:`fit_together`): each task reads its
+blocks once, follows its rows' nodes, and writes its sums to the shared folder;
+each feature's sums are added by one of the tasks, which tells the others its
+best cuts in the same way, so that the driver gets the trees and nothing else.  Elsewhere (a folder that only Spark's readers can open, dynamic
+allocation) each level is a job; margins are then written anew every
+``rewrite_every`` rounds, which bounds both the lineage and the trees a task has
+to walk.  Both ways give the same trees.
 
 Defined results: a null or NaN value is missing; rows with a null label take no
 part; one label only, or an empty table, gives trees of one leaf.
@@ -28,14 +36,18 @@ part; one label only, or an empty table, gives trees of one leaf.
 
 from __future__ import annotations
 
+import json
 import os
+import shutil
+import tempfile
+import time
 import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import RDD, BarrierTaskContext, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,16 +115,21 @@ def height(tree: tuple[np.ndarray, ...]) -> int:
     return int(depth.max())
 
 
-def walk_bins(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
-    """The same by the rows' bins (rows x features): a table gives each node's next one for every bin."""
+def steps_by_bin(tree: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Each node's next one for every bin (nodes x 256, flat); a leaf stays."""
     feature, cut, _, missing_left, left, right, _ = tree
+    step = np.where(np.arange(256)[None, :] <= cut[:, None], left[:, None], right[:, None])
+    step[:, MISSING_BIN] = np.where(missing_left, left, right)
+    return np.where((feature >= 0)[:, None], step, np.arange(len(feature))[:, None]).astype(np.int64).ravel()
+
+
+def walk_bins(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
+    """The same by the rows' bins (rows x features)."""
+    feature = tree[0]
     nodes, n = len(feature), len(bins)
     if nodes == 1:
         return np.zeros(n, np.int64)
-    inner = feature >= 0
-    step = np.where(np.arange(256)[None, :] <= cut[:, None], left[:, None], right[:, None])
-    step[:, MISSING_BIN] = np.where(missing_left, left, right)
-    step = np.where(inner[:, None], step, np.arange(nodes)[:, None]).astype(np.int64).ravel()
+    inner, step = feature >= 0, steps_by_bin(tree)
     columns = np.ascontiguousarray(bins.T)  # blocks keep their bins by feature
     flat, rows, start = columns.ravel(), np.arange(n), np.where(inner, feature, 0) * n
     node = step[columns[feature[0]]]
@@ -214,6 +231,42 @@ def added(parts):
         yield 0, total
 
 
+def sum_rows(groups: list[list[int]], k: int) -> list[int]:
+    """The row of a block's bins that each group of features is summed by."""
+    joint = [g for g in groups if len(g) > 1]
+    return [g[0] if len(g) == 1 else k + joint.index(g) for g in groups]
+
+
+def gradients(y: np.ndarray, w: np.ndarray, margin: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """g and h as whole numbers."""
+    p = 1.0 / (1.0 + np.exp(-margin))
+    return np.rint(w * (p - y) * scale), np.rint(w * p * (1.0 - p) * scale)
+
+
+def tally(out: np.ndarray, at_row: list[int], bins: np.ndarray, use: np.ndarray | None, first: np.ndarray | int, g: np.ndarray, h: np.ndarray) -> None:
+    """Adds g and h of a block's rows ``use`` (None: all) to ``out`` (2 x groups x cells); ``first``: their nodes' first cells."""
+    for i, r in enumerate(at_row):
+        cell = first + (bins[r].astype(np.int64) if use is None else bins[r][use])
+        # whole numbers below 2^53 add up exactly
+        out[0, i] += np.bincount(cell, g, out.shape[2]).astype(np.int64)
+        out[1, i] += np.bincount(cell, h, out.shape[2]).astype(np.int64)
+
+
+def per_feature(sums: np.ndarray, groups: list[list[int]], n_cuts: list[int]) -> list[np.ndarray]:
+    """(2, groups, nodes, 256) as (2, nodes, bins) of each feature: its bins 0 to its number of cuts, then missing."""
+    nodes, parts = sums.shape[2], {}
+    for i, group in enumerate(groups):
+        codes = [n_cuts[f] + 2 for f in group]
+        if len(group) == 1:
+            f = group[0]
+            parts[f] = np.concatenate([sums[:, i, :, :n_cuts[f] + 1], sums[:, i, :, MISSING_BIN:]], axis=2)
+            continue
+        cube = sums[:, i, :, :int(np.prod(codes))].reshape(2, nodes, *codes)
+        for j, f in enumerate(group):
+            parts[f] = cube.sum(axis=tuple(2 + other for other in range(len(group)) if other != j))
+    return [parts[f] for f in range(len(n_cuts))]
+
+
 def histograms(rows: RDD, growing: tuple[np.ndarray, ...], wanted: list[int], n_cuts: list[int], scale: float) -> np.ndarray:
     """(2, features, nodes, 256) sums of g and h as whole numbers.
 
@@ -223,40 +276,19 @@ def histograms(rows: RDD, growing: tuple[np.ndarray, ...], wanted: list[int], n_
     lookup = np.full(len(growing[0]), -1, np.int64)
     lookup[wanted] = np.arange(nodes)
     groups = shared_columns(n_cuts)
-    joint = [g for g in groups if len(g) > 1]
-    at_row = [g[0] if len(g) == 1 else k + joint.index(g) for g in groups]
+    at_row = sum_rows(groups, k)
 
     def summed(blocks):
         out = np.zeros((2, len(groups), nodes * 256), np.int64)
         for bins, y, w, margin in blocks:
             if len(growing[0]) == 1:  # the root holds all rows
-                columns, first = bins, 0
+                use, first = None, 0
             else:
                 place = lookup[walk_bins(growing, bins[:k].T)]
                 use = np.flatnonzero(place >= 0)
-                columns, y, w, margin, first = None, y[use], w[use], margin[use], place[use] * 256
-            p = 1.0 / (1.0 + np.exp(-margin))
-            g, h = np.rint(w * (p - y) * scale), np.rint(w * p * (1.0 - p) * scale)
-            for i, r in enumerate(at_row):
-                cell = first + (bins[r][use] if columns is None else columns[r].astype(np.int64))
-                # whole numbers below 2^53 add up exactly
-                out[0, i] += np.bincount(cell, g, nodes * 256).astype(np.int64)
-                out[1, i] += np.bincount(cell, h, nodes * 256).astype(np.int64)
-        yield 0, per_feature(out.reshape(2, len(groups), nodes, 256))
-
-    def per_feature(sums: np.ndarray) -> np.ndarray:
-        """(2, nodes, bins of all features): each feature's bins 0 to its number of cuts, then missing."""
-        parts = {}
-        for i, group in enumerate(groups):
-            codes = [n_cuts[f] + 2 for f in group]
-            if len(group) == 1:
-                f = group[0]
-                parts[f] = np.concatenate([sums[:, i, :, :n_cuts[f] + 1], sums[:, i, :, MISSING_BIN:]], axis=2)
-                continue
-            cube = sums[:, i, :, :int(np.prod(codes))].reshape(2, nodes, *codes)
-            for j, f in enumerate(group):
-                parts[f] = cube.sum(axis=tuple(2 + other for other in range(len(group)) if other != j))
-        return np.concatenate([parts[f] for f in range(k)], axis=2)
+                y, w, margin, first = y[use], w[use], margin[use], place[use] * 256
+            tally(out, at_row, bins, use, first, *gradients(y, w, margin, scale))
+        yield 0, np.concatenate(per_feature(out.reshape(2, len(groups), nodes, 256), groups, n_cuts), axis=2)
 
     out = np.zeros((2, k, nodes, 256), np.int64)
     parts = rows.mapPartitions(summed)
@@ -294,6 +326,262 @@ def best_cuts(g: np.ndarray, h: np.ndarray, n_cuts: list[int], reg_lambda: float
     return [(float(high[i, j]), int(j) // 2, int(at[i].flat[j]), bool(j % 2)) if high[i, j] > NO_GAIN else None for i, j in enumerate(first)]
 
 
+@dataclass
+class Growth:
+    """What a tree's growth is ruled by."""
+
+    cuts: list[np.ndarray]
+    scale: float
+    max_depth: int
+    step_size: float
+    reg_lambda: float
+    min_child_weight: float
+
+    def leaf(self, g: int, h: int) -> float:
+        total = h / self.scale + self.reg_lambda
+        return -self.step_size * (g / self.scale) / total if total > 0 else 0.0
+
+
+Cut = tuple[float, int, int, bool, int, int]  # gain, feature, bin, missing left, whole sums of g and h on the left
+
+
+class LevelSums:
+    """Whole sums of g and h, (2, features, 256), of each node of a level, for the features ``mine``."""
+
+    def __init__(self, rules: Growth, mine: list[int]):
+        self.rules, self.mine, self.n_cuts = rules, mine, [len(c) for c in rules.cuts]
+        self.level: dict[int, np.ndarray] = {}
+
+    def summed(self, tree: Tree, wanted: list[int]) -> np.ndarray:
+        """Those of the nodes ``wanted``."""
+        raise NotImplementedError
+
+    def begin(self, tree: Tree) -> tuple[int, int]:
+        """The root's level; sums of g and h of all rows."""
+        self.level = {0: self.summed(tree, [0])[0]}
+        g, h = self.level[0][:, 0].sum(axis=1)
+        return int(g), int(h)
+
+    def deepen(self, tree: Tree, split: list[tuple[int, int, int]]) -> None:
+        """The next level, of the smaller and larger children of the nodes ``split``."""
+        children = {}
+        for (node, small, large), sums in zip(split, self.summed(tree, [small for _, small, _ in split])):
+            children[small], children[large] = sums, self.level[node] - sums
+        self.level = children
+
+    def best(self) -> list[Cut | None]:
+        """The level's best cuts by these features."""
+        if not self.mine:
+            return [None] * len(self.level)
+        g, h = np.stack(list(self.level.values()), axis=1) / self.rules.scale
+        found = best_cuts(g, h, [self.n_cuts[f] for f in self.mine], self.rules.reg_lambda, self.rules.min_child_weight)
+        out: list[Cut | None] = []
+        for sums, cut in zip(self.level.values(), found):
+            if cut is None:
+                out.append(None)
+                continue
+            gain, i, at, missing_left = cut
+            left = sums[:, i, :at + 1].sum(axis=1) + (sums[:, i, MISSING_BIN] if missing_left else 0)
+            out.append((gain, self.mine[i], at, missing_left, int(left[0]), int(left[1])))
+        return out
+
+
+def grow(sums: LevelSums, rules: Growth) -> Tree:
+    """One tree, level by level."""
+    tree = Tree()
+    root = tree.add()
+    totals = {root: sums.begin(tree)}
+    tree.value[root] = rules.leaf(*totals[root])
+    for depth in range(rules.max_depth):
+        split: list[tuple[int, int, int]] = []
+        below: dict[int, tuple[int, int]] = {}
+        for (node, (g, h)), cut in zip(totals.items(), sums.best()):
+            if cut is None:
+                continue
+            _, f, at, missing_left, left_g, left_h = cut
+            left, right = tree.add(), tree.add()
+            tree.feature[node], tree.cut[node], tree.threshold[node] = f, at, float(rules.cuts[f][at])
+            tree.missing_left[node], tree.left[node], tree.right[node] = missing_left, left, right
+            right_g, right_h = g - left_g, h - left_h
+            tree.value[left], tree.value[right] = rules.leaf(left_g, left_h), rules.leaf(right_g, right_h)
+            sides = [(left, (left_g, left_h)), (right, (right_g, right_h))]
+            below.update(sides if left_h <= right_h else sides[::-1])
+            split.append((node, *((left, right) if left_h <= right_h else (right, left))))
+        if not split or depth + 1 == rules.max_depth:
+            break
+        sums.deepen(tree, split)
+        totals = below
+    return tree
+
+
+class JobSums(LevelSums):
+    """Sums by one Spark job a level."""
+
+    def __init__(self, rules: Growth, blocks: RDD):
+        super().__init__(rules, list(range(len(rules.cuts))))
+        self.blocks = blocks
+
+    def summed(self, tree: Tree, wanted: list[int]) -> np.ndarray:
+        return np.moveaxis(histograms(self.blocks, tree.packed(), wanted, self.n_cuts, self.rules.scale), 2, 0)
+
+
+class TaskSums(LevelSums):
+    """Sums within one of several tasks that run together.  A task's bins, labels and weights lie in a file of its
+    own that is mapped into memory; margins, gradients and nodes, 26 bytes a row, are in memory."""
+
+    def __init__(self, rules: Growth, blocks, context: BarrierTaskContext, folder: str):
+        self.context, self.folder = context, folder
+        self.rank, self.tasks = context.partitionId(), len(context.getTaskInfos())
+        super().__init__(rules, list(range(self.rank, len(rules.cuts), self.tasks)))
+        self.groups = shared_columns(self.n_cuts)
+        self.at_row = sum_rows(self.groups, len(self.n_cuts))
+        # a stage that is run again doesn't meet the files of its last attempt
+        self.run, self.steps, self.files = context.allGather(str(context.taskAttemptId()))[0], 0, {}
+        self.blocks, self.margins = [], []
+        with tempfile.TemporaryFile() as f:
+            for bins, y, w, margin in blocks:
+                self.margins.append(margin.copy())
+                self.blocks.append((f.tell(), bins.shape))
+                for x in (y, w, bins):
+                    f.write(x.tobytes())
+                f.write(bytes(-f.tell() % 8))
+            f.flush()
+            held = np.memmap(f, np.uint8, "r") if self.blocks else np.empty(0, np.uint8)
+        for i, (at, (rows, n)) in enumerate(self.blocks):
+            y, w = (held[at + 8 * n * j:at + 8 * n * (j + 1)].view(np.float64) for j in range(2))
+            self.blocks[i] = (held[at + 16 * n:at + 16 * n + rows * n].reshape(rows, n), y, w)
+        small = np.min_scalar_type(2 ** (rules.max_depth + 1))
+        self.nodes = [np.zeros(len(m), small) for m in self.margins]
+        self.gh = [gradients(y, w, m, rules.scale) for (_, y, w), m in zip(self.blocks, self.margins)]
+
+    def follow(self, tree: tuple[np.ndarray, ...]) -> None:
+        """Move all rows one node down, those at leaves stay."""
+        if len(tree[0]) == 1:
+            return
+        step, asked = steps_by_bin(tree), np.where(tree[0] >= 0, tree[0], 0)
+        for (bins, _, _), node in zip(self.blocks, self.nodes):
+            n = len(node)
+            at = np.take(asked * n, node)
+            at += np.arange(n)
+            at = bins.reshape(-1)[at] + (node.astype(np.int64) << 8)
+            node[:] = step[at]
+
+    def take(self, tree: tuple[np.ndarray, ...]) -> None:
+        """Add a grown tree to the margins."""
+        self.follow(tree)
+        for i, ((_, y, w), node, margin) in enumerate(zip(self.blocks, self.nodes, self.margins)):
+            margin += tree[-1][node]
+            node[:] = 0
+            self.gh[i] = gradients(y, w, margin, self.rules.scale)
+
+    def begin(self, tree: Tree) -> tuple[int, int]:
+        self.level = {0: self.summed(tree, [0])[0]}
+        return self.total
+
+    def summed(self, tree: Tree, wanted: list[int]) -> np.ndarray:
+        nodes, packed = len(wanted), tree.packed()
+        self.follow(packed)
+        lookup = np.full(len(packed[0]), -1, np.int64)
+        lookup[wanted] = np.arange(nodes)
+        out = np.zeros((2, len(self.groups), nodes * 256), np.int64)
+        for (bins, _, _), node, (g, h) in zip(self.blocks, self.nodes, self.gh):
+            if len(packed[0]) == 1:  # the root holds all rows
+                tally(out, self.at_row, bins, None, 0, g, h)
+                continue
+            place = lookup[node]
+            use = np.flatnonzero(place >= 0)
+            tally(out, self.at_row, bins, use, place[use] * 256, g[use], h[use])
+        parts = per_feature(out.reshape(2, len(self.groups), nodes, 256), self.groups, self.n_cuts)
+        return self.exchanged(parts, nodes)
+
+    def put(self, kind: str, data: bytes) -> list[str]:
+        """Write this task's file of the step, whole or not at all; the names of all tasks' ones."""
+        names = [os.path.join(self.folder, f"{self.run}-{self.steps}-{kind}-{rank}") for rank in range(self.tasks)]
+        self.files[kind] = names[self.rank]
+        with open(f"{names[self.rank]}.part", "wb") as f:
+            f.write(data)
+        os.replace(f"{names[self.rank]}.part", names[self.rank])
+        return names
+
+    def drop(self, kind: str) -> None:
+        if kind in self.files:
+            os.remove(self.files.pop(kind))
+
+    def exchanged(self, parts: list[np.ndarray], nodes: int) -> np.ndarray:
+        """All tasks' sums of the features ``mine``, from the files of this step."""
+        self.drop("sums")  # all have read the last ones, as they have told their cuts since
+        self.steps += 1
+        own = np.array([int(x) for x in parts[0].sum(axis=(1, 2))], np.int64)
+        names = self.put("sums", b"".join(x.tobytes() for x in (own, *parts)))
+        self.total, wanted = (0, 0), [0] * len(self.mine)
+        start = 16 + 8 * np.cumsum([0, *(x.size for x in parts)])
+        for name in names:
+            with when_there(name) as f:
+                self.total = tuple(a + int(b) for a, b in zip(self.total, np.frombuffer(f.read(16), np.int64)))
+                for i, feature in enumerate(self.mine):
+                    f.seek(start[feature])
+                    wanted[i] = wanted[i] + np.frombuffer(f.read(8 * parts[feature].size), np.int64).reshape(parts[feature].shape)
+        self.drop("cuts")  # all have read the last ones, as they are a step further
+        out = np.zeros((nodes, 2, len(self.mine), 256), np.int64)
+        for i, (feature, total) in enumerate(zip(self.mine, wanted)):
+            out[:, :, i, :self.n_cuts[feature] + 1] = total[:, :, :-1].swapaxes(0, 1)
+            out[:, :, i, MISSING_BIN] = total[:, :, -1].T
+        return out
+
+    def best(self) -> list[Cut | None]:
+        """The best of all tasks' cuts; ties go to the first feature."""
+        told = []
+        for name in self.put("cuts", json.dumps(super().best()).encode()):
+            with when_there(name) as f:
+                told.append(json.loads(f.read()))
+        return [min((tuple(c) for c in cuts if c), key=lambda c: (-c[0], c[1]), default=None) for cuts in zip(*told)]
+
+
+def when_there(name: str):
+    """The opened file, once another task has put it there.  A task that fails ends its whole barrier stage, the waiting ones too."""
+    pause = 0.0005
+    while True:
+        try:
+            return open(name, "rb")
+        except FileNotFoundError:
+            time.sleep(pause)
+            pause = min(0.02, pause * 1.5)
+
+
+def tasks_together(spark: SparkSession) -> int:
+    """Tasks that the session can run at the same time in one barrier stage and that share a mounted folder, or 0."""
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    folder = checkpoint_dir(spark)
+    if "://" in folder and not folder.startswith("file://") or conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 0
+    cores, executors = sc.defaultParallelism, max(1, sc._jsc.sc().getExecutorMemoryStatus().size() - 1)
+    if conf.get("spark.default.parallelism"):  # not the cores, then
+        cores = min(cores, executors * int(conf.get("spark.executor.cores", "1")))
+    if cores == 2:  # what a cluster of one core says as well
+        cores = min(cores, executors)
+    return cores // int(conf.get("spark.task.cpus", "1"))
+
+
+def fit_together(packed: DataFrame, rules: Growth, rounds: int, tasks: int, folder: str) -> list[tuple[np.ndarray, ...]]:
+    """All trees by one barrier stage of ``tasks`` tasks that exchange their sums in ``folder``."""
+    os.makedirs(folder)
+
+    def run(blocks):
+        context = BarrierTaskContext.get()
+        sums = TaskSums(rules, blocks, context, folder)
+        for r in range(rounds):
+            tree = grow(sums, rules).packed()
+            if context.partitionId() == 0:
+                yield tree
+            if r + 1 < rounds:
+                sums.take(tree)
+
+    trees = unpacked(packed.repartition(tasks)).barrier().mapPartitions(run).collect()
+    shutil.rmtree(folder, ignore_errors=True)
+    return trees
+
+
 @dataclass
 class BoostedTrees:
     """A fitted model: at most rounds x 2^(depth+1) nodes, whatever it was fitted on."""
@@ -349,7 +637,6 @@ def fit(rows: DataFrame, features: list[str], label: str, weight: str, rounds: i
     if not 2 <= bins <= MISSING_BIN:
         raise ValueError(f"bins must be between 2 and {MISSING_BIN}")
     cuts = cut_points(rows, features, bins - 1)
-    n_cuts = [len(c) for c in cuts]
     base_margin = float(np.log(base_score / (1.0 - base_score)))
     spark = rows.sparkSession
     folder = os.path.join(checkpoint_dir(spark), "boosting", uuid.uuid4().hex)  # sets the context's checkpoint folder as well
@@ -362,48 +649,21 @@ def fit(rows: DataFrame, features: list[str], label: str, weight: str, rounds: i
     room = min(52 - int(np.ceil(np.log2(BLOCK_ROWS))), 61 - int(np.ceil(np.log2(n + 2))))
     scale = 2.0 ** (room - int(np.ceil(np.log2(max(most, 1.0)))))
 
+    rules = Growth(cuts, scale, max_depth, step_size, reg_lambda, min_child_weight)
+    tasks = tasks_together(spark) if n and features and max_depth else 0
+    if tasks:
+        exchange = os.path.join(checkpoint_dir(spark).removeprefix("file://"), "boosting", uuid.uuid4().hex)
+        return BoostedTrees(list(features), base_margin, fit_together(packed, rules, rounds, tasks, exchange))
+    return BoostedTrees(list(features), base_margin, fit_by_jobs(packed, rules, rounds, rewrite_every))
+
+
+def fit_by_jobs(packed: DataFrame, rules: Growth, rounds: int, rewrite_every: int) -> list[tuple[np.ndarray, ...]]:
+    """All trees by one job a level."""
     done: list[tuple[np.ndarray, ...]] = []
     blocks = unpacked(packed).persist(StorageLevel.MEMORY_AND_DISK)
     kept = [blocks]
-
-    def sums_of(tree: Tree, wanted: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(nodes, features, 256) whole numbers of g and h."""
-        g, h = histograms(blocks, tree.packed(), wanted, n_cuts, scale)
-        return g.swapaxes(0, 1), h.swapaxes(0, 1)
-
-    def leaf(g: int, h: int) -> float:
-        total = h / scale + reg_lambda
-        return -step_size * (g / scale) / total if total > 0 else 0.0
-
     for r in range(rounds):
-        tree = Tree()
-        root = tree.add()
-        g, h = sums_of(tree, [root])
-        level = {root: (g[0], h[0])}
-        tree.value[root] = leaf(g[0, 0].sum(), h[0, 0].sum())
-        for depth in range(max_depth):
-            split: list[tuple[int, int, int]] = []
-            cuts_of = best_cuts(*(np.stack(x) / scale for x in zip(*level.values())), n_cuts, reg_lambda, min_child_weight)
-            for (node, (g, h)), cut in zip(level.items(), cuts_of):
-                if cut is None:
-                    continue
-                _, f, at, missing_left = cut
-                left, right = tree.add(), tree.add()
-                tree.feature[node], tree.cut[node], tree.threshold[node] = f, at, float(cuts[f][at])
-                tree.missing_left[node], tree.left[node], tree.right[node] = missing_left, left, right
-                left_g, left_h = (int(x[f, :at + 1].sum() + (x[f, MISSING_BIN] if missing_left else 0)) for x in (g, h))
-                right_g, right_h = int(g[f].sum()) - left_g, int(h[f].sum()) - left_h
-                tree.value[left], tree.value[right] = leaf(left_g, left_h), leaf(right_g, right_h)
-                split.append((node, *((left, right) if left_h <= right_h else (right, left))))
-            if not split or depth + 1 == max_depth:
-                break
-            g, h = sums_of(tree, [small for _, small, _ in split])
-            children = {}
-            for i, (node, small, large) in enumerate(split):
-                children[small] = (g[i], h[i])
-                children[large] = (level[node][0] - g[i], level[node][1] - h[i])
-            level = children
-        done.append(tree.packed())
+        done.append(grow(JobSums(rules, blocks), rules).packed())
         if r + 1 < rounds:
             # computed by the next round's first job; an executor that is lost recomputes a few rounds at most
             blocks = with_tree(blocks, done[-1]).persist(StorageLevel.MEMORY_AND_DISK)
@@ -414,4 +674,4 @@ def fit(rows: DataFrame, features: list[str], label: str, weight: str, rounds: i
                 kept.pop(0).unpersist()
     for b in kept:
         b.unpersist()
-    return BoostedTrees(list(features), base_margin, done)
+    return done
