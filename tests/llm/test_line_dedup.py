@@ -1,3 +1,8 @@
+import random
+
+import pytest
+
+from deliverylens.llm import line_dedup
 from deliverylens.llm.line_dedup import later_matches, without_later_matches
 
 
@@ -50,6 +55,41 @@ def test_repeated_rows_are_cut_alike(spark):
     assert [r.text for r in without_later_matches(df).collect()] == ["the very same line of words\nsome other content here"] * 2
 
 
+def variants(seed=5):
+    """Documents of long and short lines, families of near copies among them, white space of all kinds between words."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    bases = [rng.sample(words, rng.choice([4, 12, 60, 70, 150])) for _ in range(12)]
+    texts = []
+    for i in range(60):
+        lines = []
+        for _ in range(4):
+            line = list(rng.choice(bases))
+            for _ in range(rng.choice([0, 1, len(line) // 9, len(line) // 6])):
+                line[rng.randrange(len(line))] = rng.choice(words)
+            lines.append(rng.choice([" ", "\t", "  ", " \x0b", "\r", "\f"]).join(line))
+        texts.append((i, "\n".join(lines)))
+    return texts
+
+
+@pytest.mark.parametrize("short", [256, 3])
+def test_families_of_long_and_short_lines(spark, monkeypatch, short):
+    monkeypatch.setattr(line_dedup, "SHORT", short)
+    rows = variants()
+    got = {(r.doc_id, r.line_no) for r in later_matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute(rows)
+
+
+def test_few_bytes_are_staged(spark, monkeypatch):
+    """Lines that share a rare word but little else are told apart before anything is written about their pairs."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(["rare", *(f"x{rng.randrange(3000)}" for _ in range(150))])) for i in range(120)]
+    sizes, write = {}, line_dedup.staged
+    monkeypatch.setattr(line_dedup, "staged", lambda df, name: (out := write(df, name), sizes.setdefault(name, out.count()))[0])
+    assert later_matches(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert sum(n for name, n in sizes.items() if name not in ("line_keys", "firsts")) < 120
+
+
 def test_empty(no_docs):
     assert later_matches(no_docs).count() == 0
     assert without_later_matches(no_docs).count() == 0
