@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from deliverylens.llm.common import documents, staged
 
-SHARE, NEAR, SHORT, WIDE, LEVELS = 80, 2, 256, 64, 65_536
+SHARE, NEAR, SHORT, WIDE, LEVELS, MARKS = 80, 2, 256, 64, 65_536, 1 << 18
 #: What ``\\s`` means besides a space; columns of a prefix entry.
 WHITE, ENTRY = "\t\n\x0b\f\r", ["id", "n", "at", "parity", "odd"]
 
@@ -103,12 +103,29 @@ def may_match(x: str, y: str, share: int) -> Column:
             & (100 * F.least(n, m) >= share * F.greatest(n, m)) & ((100 + share) * most >= share * (n + m)))
 
 
+def marked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``lines`` without those that are surely not in ``wanted`` (d, h, l), so that few texts move to the join: a table
+    of 64 bits a word, at most ``MARKS`` words, has a bit for each line by the hash of its place."""
+    def place(*cols: str) -> Column:
+        return F.xxhash64(*cols)
+
+    def word(h: Column) -> Column:
+        return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(MARKS - 1))
+
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    marks = (wanted.select(place("d", "h", "l").alias("place")).select(word(F.col("place")).alias("word"), bit.alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    placed = lines.withColumn("place", place("doc_id", "text_hash", "line_no"))
+    return (placed.withColumn("word", word(F.col("place"))).join(F.broadcast(marks), "word")
+            .where(F.col("bits").bitwiseAND(bit) != 0).select(*lines.columns))
+
+
 def similar_pairs(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, levels: list[int], share: int) -> DataFrame:
     """The pairs (x, y: ids in ``firsts``) whose token sets are similar."""
     ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
     wanted = staged(firsts.join(ids, "id").select("id", F.col("pos.doc_id").alias("d"), F.col("pos.text_hash").alias("h"),
                                                   F.col("pos.line_no").alias("l")), "wanted")
-    lines = lines_of(docs)
+    lines = marked(lines_of(docs), wanted)
     sets = (lines.join(wanted, lines["doc_id"].eqNullSafe(wanted["d"]) & (lines["text_hash"] == wanted["h"]) & (lines["line_no"] == wanted["l"]))
             .select("id", ordered_tokens(F.col("line"), levels).alias("toks")))
     # a parity of four more words, by other bits of the tokens, leaves few pairs that carry their tokens

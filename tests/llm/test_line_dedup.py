@@ -90,6 +90,14 @@ def test_few_bytes_are_staged(spark, monkeypatch):
     assert sum(n for name, n in sizes.items() if name not in ("line_keys", "firsts")) < 120
 
 
+def test_marks_keep_all_wanted_lines(spark):
+    rows = [(i if i % 7 else None, "\n".join(f"line {i} {k}" for k in range(5))) for i in range(200)]
+    lines = line_dedup.lines_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    wanted = lines.where("line_no = 3").selectExpr("doc_id as d", "text_hash as h", "line_no as l")
+    left = [r.line_no for r in line_dedup.marked(lines, wanted).collect()]
+    assert left.count(3) == 200 and len(left) < 260
+
+
 def test_empty(no_docs):
     assert later_matches(no_docs).count() == 0
     assert without_later_matches(no_docs).count() == 0
