@@ -413,12 +413,11 @@ def _st1(spark, sf_dir):
     """ST1 as a stream of upload rows: half of the events, then the other half with the first sent once more;
     the stored attempts."""
     from ..streaming import jobs as ST
-    rows = (RAW.attempts_csv_rows(_t(spark, sf_dir)).withColumn("ord", RAW.input_order())
-            .withColumnRenamed("uploader", "user_id"))
+    rows = RAW.attempts_csv_rows(_t(spark, sf_dir)).withColumnRenamed("uploader", "user_id")
     half = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
     base = _store(spark)
     ST.in_arrivals(spark, [rows.where(half), rows], _scratch(spark, "streams"),
-                   lambda stream, checkpoint: ST.stream_ingest_rows(spark, stream, base, checkpoint))
+                   lambda stream, checkpoint: ST.stream_ingest_rows(spark, stream.withColumn("ord", RAW.input_order()), base, checkpoint))
     return JOBS.read_table(spark, base, "delivery_attempts")
 
 

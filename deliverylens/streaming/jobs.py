@@ -27,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas as S
 from ..functions import predicates as P
 from ..functions.scalars import avg_exact, round_to
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, freed_exchanges
 from ..sources import files as FILES
 
 
@@ -151,14 +151,18 @@ def in_arrivals(spark: SparkSession, arrivals: list[DataFrame], folder: str, sta
     Each part is written to a folder that the stream watches, and the stream
     is started on what has arrived, runs to its end and stops; so every start
     but the first goes on from the checkpoint, with the state and the
-    watermark of the one before.  ``start(stream of rows, checkpoint)`` starts it."""
+    watermark of the one before.  ``start(stream of rows, checkpoint)`` starts it.
+    A part that the stream has gone through is removed."""
     for i, part in enumerate(arrivals):
-        part.write.parquet(os.path.join(folder, "in", f"arrival={i}"))
+        arrived = os.path.join(folder, "in", f"arrival={i}")
+        with freed_exchanges(part.sparkSession):
+            part.write.option("compression", "zstd").parquet(arrived)
         rows = spark.readStream.schema(part.schema).parquet(os.path.join(folder, "in", "arrival=*"))
         query = start(rows, os.path.join(folder, "checkpoint"))
         query.awaitTermination()
         if query.exception() is not None:
             raise query.exception()
+        FILES.remove(spark, arrived)
 
 
 def stream_ingest_csv(spark: SparkSession, source: str, table_dir: str, user_id: str, **kw) -> StreamingQuery:
