@@ -15,12 +15,13 @@ from __future__ import annotations
 import datetime as dt
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..session import staged
+from ..operators import ingest as M
+from ..session import freed_exchanges
 from ..sources import files as FILES
 from ..tables import Tables
 from . import jobs as JOBS
@@ -55,24 +56,29 @@ def ledger(spark: SparkSession, base: str) -> DataFrame:
 def new_rows(spark: SparkSession, base: str, table: str, rows: DataFrame) -> DataFrame:
     """``rows`` whose key the table lacks, one of each key."""
     key = ROW_KEYS[table]
+    # a null key is no key that a table could hold
+    rows = rows.where(F.col(key).isNotNull())
     one = rows.groupBy(key).agg(F.min(F.struct(*rows.columns)).alias("r")).select("r.*")
     if table in JOBS.SNAPSHOT_TABLES:
         known = JOBS.read_table(spark, base, table, SCHEMAS)
     else:
         index = JOBS.KEYS.KEY_COLUMNS[table]
-        known = JOBS.read_keys(spark, base, table, one.select(F.col(index).alias("key")), SCHEMAS)
-    # a null key is no key that a table could hold
-    return one.where(F.col(key).isNotNull()).join(known.select(key), key, "left_anti").select(*rows.columns)
+        known = JOBS.read_keys(spark, base, table, rows.select(F.col(index).alias("key")), SCHEMAS)
+    return one.join(known.select(key), key, "left_anti").select(*rows.columns)
 
 
 def bulk_load(spark: SparkSession, csv_dir: str, base: str) -> DataFrame:
     """Load the dataset's files that the ledger lacks; returns (table_name, rows_added), one row for each table."""
-    seen = JOBS.last_version(spark, base)
+    with freed_exchanges(spark):
+        return _load(spark, csv_dir, base)
+
+
+def _load(spark: SparkSession, csv_dir: str, base: str) -> DataFrame:
+    batch = JOBS.Batch(spark, base, schemas=SCHEMAS)
     loaded = {(r.bytes, r.digest, r.table_name) for r in ledger(spark, base).select("bytes", "digest", "table_name").collect()}
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     at = F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
-    writes: dict[str, DataFrame] = {}
-    files, rejects = [], None
+    files, rejects, groups = [], None, None
     for table, name, schema in FILES.BULK_FILES:
         path = os.path.join(csv_dir, name)
         if not FILES.path_exists(spark, path):
@@ -81,16 +87,23 @@ def bulk_load(spark: SparkSession, csv_dir: str, base: str) -> DataFrame:
         if (size, digest, table) in loaded:
             continue
         rows, bad = FILES.bulk_rows(spark, path, schema)
-        fresh = staged(new_rows(spark, base, table, rows), table)
-        stored = JOBS.read_table(spark, base, table, SCHEMAS) if table in JOBS.SNAPSHOT_TABLES else None
-        writes[table] = fresh if stored is None else stored.unionByName(fresh)
+        added = 0
+        if table in JOBS.SNAPSHOT_TABLES:
+            batch.add(table, JOBS.read_table(spark, base, table, SCHEMAS))
+        with JOBS.Slices(rows, ROW_KEYS[table], table) as slices:
+            for buckets in slices.groups:
+                n = Observation()
+                batch.add(table, new_rows(spark, base, table, slices.rows(buckets)).observe(n, F.count(F.lit(1)).alias("n")))
+                added += M.observed(n)
+                slices.merged(buckets)
+        groups = max(groups or [], slices.groups, key=len)
         bad = bad.select(F.lit(name).alias("source"), "reason", "body", F.lit(None).cast("string").alias("user_id"), at.alias("rejected_at"))
         rejects = bad if rejects is None else rejects.unionByName(bad)
-        files.append((table, path, size, digest, fresh.count()))
+        files.append((table, path, size, digest, added))
     if files:
-        writes["rejects"] = rejects
-        writes["loads"] = spark.createDataFrame([(*f, now) for f in files], LOADS)
-        JOBS.commit_batch(spark, base, writes, seen, SCHEMAS)
+        batch.add("rejects", rejects)
+        batch.add("loads", spark.createDataFrame([(*f, now) for f in files], LOADS))
+        batch.commit(groups)
     added = {f[0]: f[4] for f in files}
     return spark.createDataFrame([(t, added.get(t, 0)) for t, _, _ in FILES.BULK_FILES], "table_name string, rows_added long")
 

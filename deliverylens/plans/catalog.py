@@ -634,7 +634,8 @@ def _s7(spark, sf_dir):
     t, folder = _t(spark, sf_dir), _scratch(spark, "bulk")
     for table, name, schema in bulk.FILES.BULK_FILES:
         df = t.as_dict()[table]
-        df.select(*[c for c in schema.fieldNames() if c in df.columns]).write.option("header", True).csv(os.path.join(folder, "csv", name))
+        columns = [c for c in schema.fieldNames() if c in df.columns]
+        df.select(*columns).write.option("header", True).option("compression", "gzip").csv(os.path.join(folder, "csv", name))
     base = os.path.join(folder, "store")
     first, second = (bulk.bulk_load(spark, os.path.join(folder, "csv"), base) for _ in range(2))
     stored = bulk.read_bulk_tables(spark, base).as_dict()
