@@ -246,7 +246,7 @@ def gradients(y: np.ndarray, w: np.ndarray, margin: np.ndarray, scale: float) ->
 def tally(out: np.ndarray, at_row: list[int], bins: np.ndarray, use: np.ndarray | None, first: np.ndarray | int, g: np.ndarray, h: np.ndarray) -> None:
     """Adds g and h of a block's rows ``use`` (None: all) to ``out`` (2 x groups x cells); ``first``: their nodes' first cells."""
     for i, r in enumerate(at_row):
-        cell = first + (bins[r].astype(np.int64) if use is None else bins[r][use])
+        cell = first + (bins[r].astype(np.int64) if use is None else np.take(bins[r], use))
         # whole numbers below 2^53 add up exactly
         out[0, i] += np.bincount(cell, g, out.shape[2]).astype(np.int64)
         out[1, i] += np.bincount(cell, h, out.shape[2]).astype(np.int64)
@@ -450,21 +450,29 @@ class TaskSums(LevelSums):
         for i, (at, (rows, n)) in enumerate(self.blocks):
             y, w = (held[at + 8 * n * j:at + 8 * n * (j + 1)].view(np.float64) for j in range(2))
             self.blocks[i] = (held[at + 16 * n:at + 16 * n + rows * n].reshape(rows, n), y, w)
-        small = np.min_scalar_type(2 ** (rules.max_depth + 1))
-        self.nodes = [np.zeros(len(m), small) for m in self.margins]
+        self.small = np.min_scalar_type(2 ** (rules.max_depth + 1))
+        self.nodes = [np.zeros(len(m), self.small) for m in self.margins]
+        # a block's places and bins while its rows move, in the same memory for all blocks
+        most = max(map(len, self.margins), default=0)
+        self.rows, self.room, self.byte = np.arange(most), np.empty((2, most), np.int64), np.empty(most, np.uint8)
         self.gh = [gradients(y, w, m, rules.scale) for (_, y, w), m in zip(self.blocks, self.margins)]
 
     def follow(self, tree: tuple[np.ndarray, ...]) -> None:
         """Move all rows one node down, those at leaves stay."""
         if len(tree[0]) == 1:
             return
-        step, asked = steps_by_bin(tree), np.where(tree[0] >= 0, tree[0], 0)
+        step, asked = steps_by_bin(tree).astype(self.small), np.where(tree[0] >= 0, tree[0], 0)
         for (bins, _, _), node in zip(self.blocks, self.nodes):
             n = len(node)
-            at = np.take(asked * n, node)
-            at += np.arange(n)
-            at = bins.reshape(-1)[at] + (node.astype(np.int64) << 8)
-            node[:] = step[at]
+            (key, at), byte = self.room[:, :n], self.byte[:n]
+            key[:] = node
+            # "clip" writes into ``out`` without a copy; all places are within bounds
+            np.take(asked * n, key, out=at, mode="clip")
+            at += self.rows[:n]
+            np.take(bins.reshape(-1), at, out=byte, mode="clip")
+            key <<= 8
+            key += byte
+            np.take(step, key, out=node, mode="clip")
 
     def take(self, tree: tuple[np.ndarray, ...]) -> None:
         """Add a grown tree to the margins."""
@@ -481,16 +489,15 @@ class TaskSums(LevelSums):
     def summed(self, tree: Tree, wanted: list[int]) -> np.ndarray:
         nodes, packed = len(wanted), tree.packed()
         self.follow(packed)
-        lookup = np.full(len(packed[0]), -1, np.int64)
-        lookup[wanted] = np.arange(nodes)
+        first, asked = np.zeros(len(packed[0]), np.int64), np.zeros(len(packed[0]), bool)
+        first[wanted], asked[wanted] = np.arange(nodes) * 256, True
         out = np.zeros((2, len(self.groups), nodes * 256), np.int64)
         for (bins, _, _), node, (g, h) in zip(self.blocks, self.nodes, self.gh):
             if len(packed[0]) == 1:  # the root holds all rows
                 tally(out, self.at_row, bins, None, 0, g, h)
                 continue
-            place = lookup[node]
-            use = np.flatnonzero(place >= 0)
-            tally(out, self.at_row, bins, use, place[use] * 256, g[use], h[use])
+            use = np.flatnonzero(np.take(asked, node))
+            tally(out, self.at_row, bins, use, np.take(first, np.take(node, use)), np.take(g, use), np.take(h, use))
         parts = per_feature(out.reshape(2, len(self.groups), nodes, 256), self.groups, self.n_cuts)
         return self.exchanged(parts, nodes)
 

@@ -69,7 +69,8 @@ def fit_models(t: Tables, max_iter: int = 150, n_trees: int = 100, contamination
                                     n_trees=n_trees, seed=seed)
     nodes.write.parquet(os.path.join(folder, "forest"))
     forest = spark.read.parquet(os.path.join(folder, "forest"))
-    scored = IF.score_isolation_forest(x, forest, FE.MODEL_FEATURES)
+    # ids and labels need not pass the scorer
+    scored = IF.score_isolation_forest(x.select(*FE.MODEL_FEATURES), forest, FE.MODEL_FEATURES)
     threshold = IF.anomaly_threshold(scored, contamination).first()["q"]  # one number
     models = Models(recovery=recovery, forest=forest, threshold=float(threshold))
     if model_dir:

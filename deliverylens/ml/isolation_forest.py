@@ -15,7 +15,7 @@ Spark layout:
 * building: ``groupBy("tree").applyInPandas`` -- one task per tree, each
   with at most psi rows.
 * scoring: the forest (at most n_trees x (2 psi - 1) nodes: a proven bound)
-  is broadcast and ``mapInPandas`` scores Arrow batches with vectorised numpy
+  is broadcast and ``mapInArrow`` scores Arrow batches with vectorised numpy
   traversal.
 * threshold: the exact (1 - contamination) quantile of the training scores,
   computed distributed (``functions.stats``).
@@ -27,6 +27,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,11 +148,23 @@ class Forest:
             part = np.ascontiguousarray(x[start:start + SCORED_ROWS].T)
             flat, n = part.ravel(), part.shape[1]
             rows, at = np.arange(n), self.asked * n
+            node, place, value, cut, below = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n), np.empty(n), np.empty(n, bool)
             for root, levels in zip(self.root, self.levels):
-                node = np.full(n, root, dtype=np.int64)
-                for _ in range(levels):
-                    below = flat[at[node] + rows] < self.threshold[node]
-                    node = self.step[node * 2 + below]
+                node.fill(root)
+                if levels:  # all rows are at the root
+                    np.less(part[self.asked[root]], self.threshold[root], out=below)
+                    np.take(self.step[2 * root:2 * root + 2], below.view(np.uint8), out=node, mode="clip")
+                for _ in range(levels - 1):
+                    # "clip" writes into ``out`` without a copy; all places are within bounds
+                    np.take(at, node, out=place, mode="clip")
+                    place += rows
+                    np.take(flat, place, out=value, mode="clip")
+                    np.take(self.threshold, node, out=cut, mode="clip")
+                    np.less(value, cut, out=below)
+                    node <<= 1
+                    node += below
+                    np.take(self.step, node, out=place, mode="clip")
+                    node, place = place, node
                 total[start:start + n] += self.leaf_len[node]
         return np.power(2.0, -(total / self.n_trees) / self.c_psi)
 
@@ -166,12 +179,14 @@ def score_isolation_forest(df: DataFrame, nodes: DataFrame, features: list[str],
 
     def run(batches):
         forest = shared.value
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
-            pdf[out] = forest.score(x) if len(pdf) else np.zeros(0)
-            yield pdf
-
-    return df.mapInPandas(run, schema)
+        for batch in batches:
+            # the other columns pass as they are
+            x = np.empty((batch.num_rows, len(cols)))
+            for i, c in enumerate(cols):
+                x[:, i] = batch.column(c).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(x))], names=[*batch.schema.names, out])
+
+    return df.mapInArrow(run, schema)
 
 
 def anomaly_threshold(train_scores: DataFrame, contamination: float = 0.05,
